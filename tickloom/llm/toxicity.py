@@ -2,33 +2,55 @@
 
 Positives are documents confirmed as toxic; everything else is unlabelled, whatever its label says. With the class prior
 p, the risk of a classifier is p R+ (positives taken as positive) + max(0, Ru- - p R+-) (unlabelled taken as negative, less
-the share of positives among them). Features are the presence of words that are over-represented among the positives, and
-the model is linear; it's fitted with numpy on a bounded sample.
+the share of positives among them). Features are the presence of words and of beginnings of words that are
+over-represented among the positives, and the model is linear; it's fitted with numpy on a bounded sample.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, per_text
+from .common import kept, per_text, row_of
 
 FOLDS, HELD, CUT = 3, 1, 0.7
 #: Bounds of the fit: documents of either kind in the sample, by the hash of their ids; words that are features.
 POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 2000
-#: Positives in which a word must occur, and how many times more often in them than in unlabelled documents.
-LEAST_IN, LIFT = 5, 2.0
-STEPS, BATCHES, RATE, DECAY, SEED = 60, 8, 0.05, 1e-4, 7
+#: Positives in which a word must occur, how many times more often in them than in unlabelled documents, and the least
+#: product of the positives and the logarithm of that.
+LEAST_IN, LIFT, GAIN = 5, 4.0, 20.0
+#: Lengths of the beginnings.
+STEMS = (4, 5, 6, 7, 8)
+STEPS, BATCHES, RATE, DECAY, SEED = 100, 8, 0.05, 1e-4, 7
 #: A word: letters and digits, apostrophes inside.
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
 def vocabulary(text: bytes | None) -> set[str]:
-    return set(WORD.findall(text.decode("utf-8", "replace").lower())) if text else set()
+    """The distinct words of a whole text, and their beginnings with an asterisk."""
+    if not text:
+        return set()
+    out = set(WORD.findall(text.decode("utf-8", "replace").lower()))
+    for k in STEMS:
+        out |= {w[:k] + "*" for w in out if len(w) > k and w[-1] != "*"}
+    return out
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(positive, text) -> for each batch, in how many positive and other texts a feature occurs."""
+    for b in batches:
+        sums: tuple[Counter, Counter] = (Counter(), Counter())
+        for positive, text in zip(b.column(0), b.column(1)):
+            sums[positive.as_py()].update(vocabulary(text.as_py()))
+        words = list(sums[0].keys() | sums[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([sums[1][w] for w in words], pa.int64()), pa.array([sums[0][w] for w in words], pa.int64())], ["word", "p", "u"])
 
 
 def held_out() -> Column:
@@ -43,8 +65,8 @@ def _within(n: int, most: int) -> Column:
 def fit(x: list[np.ndarray], positive: np.ndarray, n: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the non-negative risk under the logistic loss.
 
-    x: the numbers of each document's features, of n. Where the estimate of the negatives' risk falls below zero, a step
-    goes against its gradient, as overfitting shows there.
+    x: the numbers of each document's features, of n. Where a batch's estimate of the negatives' risk falls below zero,
+    overfitting shows there; it then counts as zero and has no gradient.
     """
     random = np.random.default_rng(SEED)
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
@@ -65,7 +87,7 @@ def fit(x: list[np.ndarray], positive: np.ndarray, n: int, prior: float) -> tupl
             of_p, of_u = dense[: len(pos)], dense[len(pos) :]
             negative = -np.log1p(-su + 1e-12).mean() + prior * np.log1p(-sp + 1e-12).mean()
             away = of_u.T @ su / len(unl) - prior * (of_p.T @ sp) / len(pos)
-            g = prior * (of_p.T @ (sp - 1)) / len(pos) + away if negative >= 0 else -away
+            g = prior * (of_p.T @ (sp - 1)) / len(pos) + (away if negative >= 0 else 0)
             g[:n] += DECAY * w[:n]
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -97,21 +119,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     # about POSITIVES ids of eight bytes: a bounded broadcast
     of_p = rows.join(F.broadcast(positives), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
     of_u = rows.where(_within(rows.count(), UNLABELLED)).select(F.lit(False).alias("positive"), "text")
-    seen = kept(per_text(of_p.union(of_u), "words array<string>", lambda: lambda t: (sorted(vocabulary(t)),)).withColumn("n", F.monotonically_increasing_id()), "seen")
+    seen = kept(of_p.union(of_u).withColumn("n", F.monotonically_increasing_id()), "sample")
     count = {r["positive"]: r["n"] for r in seen.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, u = count.get(True, 0), count.get(False, 0)
     if not p or not u:
         return Classifier({}, math.log(prior / (1 - prior)))
-    words = seen.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    each = seen.select("positive", F.col("text").cast("binary")).mapInArrow(_counts, "word string, p bigint, u bigint")
+    words = each.groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     lift = (F.col("p") / p) / ((F.col("u") + 1) / (u + 1))
-    best = words.where((F.col("p") >= LEAST_IN) & (lift >= LIFT)).orderBy(F.desc(F.col("p") * F.log(lift)), "word").limit(FEATURES)
+    gain = F.col("p") * F.log(lift)
+    best = words.where((F.col("p") >= LEAST_IN) & (lift >= LIFT) & (gain >= GAIN)).orderBy(F.desc(gain), "word").limit(FEATURES)
     names = sorted(r["word"] for r in best.collect())
     if not names:
         return Classifier({}, math.log(prior / (1 - prior)))
-    wanted = F.array(*map(F.lit, names))
     at = {w: k for k, w in enumerate(names)}
-    sample = seen.orderBy("n").select("positive", F.array_intersect("words", wanted).alias("words")).collect()
-    w, b = fit([np.array([at[x] for x in r["words"]], np.int64) for r in sample], np.array([r["positive"] for r in sample]), len(names), prior)
+    found = per_text(seen, "words array<int>", lambda: lambda t: (sorted(at[w] for w in vocabulary(t) & at.keys()),))
+    sample = found.orderBy("n").collect()
+    w, b = fit([np.array(r["words"], np.int64) for r in sample], np.array([r["positive"] for r in sample]), len(names), prior)
     return Classifier({t: float(x) for t, x in zip(names, w) if x}, b)
 
 
@@ -127,7 +151,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic; columns as in docs."""
-    from .common import row_of
-
     model = train(docs, labels)
     return per_text(docs.select(row_of(docs), "text"), "score double, predicted int", lambda: model.score).where("predicted = 0").select("row.*")
