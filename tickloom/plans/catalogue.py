@@ -1,4 +1,328 @@
-"""The queries by name, and SQL that gives the same rows."""
+"""The market-data queries by name, and SQL that gives the same rows.
 
-QUERIES = {}
-SQL = {}
+All run over whole tables; a limit stands only where it is the feature (pages, top lists).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import access, bars, studies, upkeep, validation, volatility
+from ..sources import tables
+from ..streaming import ticks as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: Common parts of the SQL.
+TICKS = "ticks AS (SELECT event_type AS instrument, ts AS timestamp, event_id AS sequence_number, value AS ltp, CAST(json_extract_string(props, '$.k') AS BIGINT) AS quantity FROM events WHERE value > 0)"
+BARS = TICKS + ", bars AS (SELECT instrument, time_bucket(INTERVAL '{w}', timestamp) AS timestamp, arg_min(ltp, sequence_number) AS open, max(ltp) AS high, min(ltp) AS low, arg_max(ltp, sequence_number) AS close, CAST(sum(quantity) AS BIGINT) AS volume, count(*) AS n FROM ticks GROUP BY ALL)"
+HOURS = BARS.replace("{w}", "1 hour")
+BOOKS = TICKS + ", levels AS (SELECT t.*, i AS place, s.side, CASE WHEN s.side = 'BUY' THEN ltp - 0.05::DOUBLE * (i + 1) ELSE ltp + 0.05::DOUBLE * (i + 1) END AS price, CASE WHEN s.side = 'BUY' THEN quantity * (i + 1) * 20 ELSE quantity * (5 - i) * 20 END AS size FROM ticks t, range(5) r(i), (VALUES ('BUY'), ('SELL')) s(side))"
+FAULTY = HOURS + """, faulty AS (SELECT instrument, row_number() OVER (PARTITION BY instrument ORDER BY timestamp) AS sequence_number, timestamp + INTERVAL 15 MINUTE AS timestamp, open, high, low, close, volume FROM bars),
+bad AS (SELECT instrument, sequence_number, CASE WHEN sequence_number % 31 = 0 THEN timestamp - INTERVAL 3 HOUR WHEN sequence_number % 37 = 0 THEN NULL ELSE timestamp END AS timestamp,
+CASE WHEN sequence_number % 11 = 0 THEN -open ELSE open END AS open, CASE WHEN sequence_number % 13 = 0 THEN low - 1 ELSE high END AS high, low, close, CASE WHEN sequence_number % 17 = 0 THEN -1 ELSE volume END AS volume FROM faulty)"""
+SECOND = "(hour(timestamp) * 3600 + minute(timestamp) * 60 + second(timestamp))"
+OPEN_, CLOSE_ = validation.OPEN, validation.CLOSE
+ROW_FINDINGS = f"""rowwise AS (SELECT instrument, sequence_number, unnest(list_filter([
+CASE WHEN timestamp IS NULL THEN 'missing_field' END, CASE WHEN open IS NULL THEN 'missing_field' END, CASE WHEN open <= 0 THEN 'non_positive_price' END, CASE WHEN high <= 0 THEN 'non_positive_price' END, CASE WHEN low <= 0 THEN 'non_positive_price' END, CASE WHEN close <= 0 THEN 'non_positive_price' END,
+CASE WHEN volume < 0 THEN 'negative_value' END, CASE WHEN ({SECOND} - {OPEN_}) % 3600 <> 0 THEN 'timestamp_not_aligned' END,
+CASE WHEN NOT (isodow(timestamp) < 6 AND {SECOND} >= {OPEN_} AND {SECOND} < {CLOSE_}) THEN 'out_of_session' END,
+CASE WHEN high < low THEN 'ohlc_invariant' END, CASE WHEN high < greatest(open, close) THEN 'ohlc_invariant' END, CASE WHEN low > least(open, close) THEN 'ohlc_invariant' END], lambda x: x IS NOT NULL)) AS code FROM bad),
+seq AS (SELECT instrument, sequence_number, CASE WHEN row_number() OVER (PARTITION BY instrument, timestamp ORDER BY sequence_number) > 1 THEN 'duplicate_timestamp' WHEN timestamp <= lag(timestamp) OVER (PARTITION BY instrument ORDER BY sequence_number) THEN 'out_of_order' END AS code FROM bad WHERE timestamp IS NOT NULL),
+findings AS (SELECT *, CASE WHEN code = 'out_of_session' THEN 'WARNING' ELSE 'ERROR' END AS severity FROM (SELECT * FROM rowwise UNION ALL SELECT * FROM seq WHERE code IS NOT NULL))"""
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.build(tables.ticks(spark, sf_dir), "1 hour")
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.books(tables.ticks(spark, sf_dir))
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars, numbered by instrument, with faults at fixed numbers."""
+    n = F.col("sequence_number")
+    out = hours(spark, sf_dir).withColumn("timestamp", F.expr("timestamp + INTERVAL 15 MINUTES")).withColumn("sequence_number", F.expr("row_number() OVER (PARTITION BY instrument ORDER BY timestamp)").cast("bigint"))
+    return out.select(
+        "instrument", "sequence_number", F.when(n % 31 == 0, F.expr("timestamp - INTERVAL 3 HOURS")).when(n % 37 == 0, F.lit(None)).otherwise(F.col("timestamp")).alias("timestamp"),
+        F.when(n % 11 == 0, -F.col("open")).otherwise(F.col("open")).alias("open"), F.when(n % 13 == 0, F.col("low") - 1).otherwise(F.col("high")).alias("high"), "low", "close", F.when(n % 17 == 0, -1).otherwise(F.col("volume")).alias("volume"),
+    )
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = faulty(spark, sf_dir)
+    return validation.row_findings(rows, 60).union(validation.sequence_findings(rows))
+
+
+for _name, _width in (("bars_1h", "1 hour"), ("bars_5m", "5 minutes"), ("bars_15m", "15 minutes")):
+    QUERIES[_name] = lambda spark, sf_dir, w=_width: bars.build(tables.ticks(spark, sf_dir), w)
+    SQL[_name] = f"WITH {BARS.replace('{w}', _width)} SELECT * FROM bars"
+
+
+@query(f"WITH {HOURS} SELECT instrument, time_bucket(INTERVAL '4 hours', timestamp) AS timestamp, arg_min(open, timestamp) AS open, max(high) AS high, min(low) AS low, arg_max(close, timestamp) AS close, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS n FROM bars GROUP BY instrument, 2 HAVING count(*) = 4")
+def bars_complete_4h(spark, sf_dir):
+    return bars.widen(hours(spark, sf_dir), "4 hours", complete=4)
+
+
+@query(f"WITH {TICKS} SELECT * FROM ticks WHERE timestamp >= TIMESTAMP '2024-01-08 09:15:00' AND timestamp < TIMESTAMP '2024-01-12 15:30:00'")
+def access_window(spark, sf_dir):
+    return access.window(tables.ticks(spark, sf_dir), datetime(2024, 1, 8, 9, 15), datetime(2024, 1, 12, 15, 30))
+
+
+@query(f"WITH {HOURS} SELECT * FROM bars WHERE timestamp + INTERVAL '1 hour' <= TIMESTAMP '2024-01-15 10:30:00'")
+def access_completed_bars(spark, sf_dir):
+    return access.completed(hours(spark, sf_dir), datetime(2024, 1, 15, 10, 30), "1 hour")
+
+
+@query(f"WITH {TICKS} SELECT instrument, timestamp, sequence_number, ltp, quantity FROM ticks QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY sequence_number DESC) = 1")
+def latest_per_instrument(spark, sf_dir):
+    return access.latest(tables.ticks(spark, sf_dir)).select("instrument", "timestamp", "sequence_number", "ltp", "quantity")
+
+
+@query(f"WITH {TICKS}, g AS (SELECT instrument, day + INTERVAL '12 hours' AS timestamp FROM (SELECT DISTINCT instrument FROM ticks), generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) s(day)) SELECT g.instrument, g.timestamp, (SELECT arg_max(ltp, sequence_number) FROM ticks t WHERE t.instrument = g.instrument AND t.timestamp <= g.timestamp) AS ltp FROM g")
+def as_of_grid(spark, sf_dir):
+    ticks = tables.ticks(spark, sf_dir)
+    grid = ticks.select("instrument").distinct().select("instrument", F.explode(F.expr("sequence(TIMESTAMP_NTZ'2024-01-01 12:00:00', TIMESTAMP_NTZ'2024-01-31 12:00:00', INTERVAL 1 DAY)")).alias("timestamp"))
+    return access.as_of(grid, ticks)
+
+
+@query(f"WITH {TICKS} SELECT instrument, count(*) AS n, min(ltp) AS low, max(ltp) AS high, round(avg(ltp), 4) AS mean, CAST(sum(quantity) AS BIGINT) AS volume, max(quantity) AS largest, min(timestamp) AS first, max(timestamp) AS last FROM ticks GROUP BY ALL")
+def tick_summary(spark, sf_dir):
+    return tables.ticks(spark, sf_dir).groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.min("ltp").alias("low"), F.max("ltp").alias("high"), F.round(F.avg("ltp"), 4).alias("mean"), F.sum("quantity").alias("volume"), F.max("quantity").alias("largest"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+@query(f"WITH {TICKS} SELECT count(*) AS total, count(*) FILTER (WHERE NOT s) AS out_of_session, count(DISTINCT CAST(timestamp AS DATE)) AS days, CAST(CAST(min(timestamp) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(timestamp) AS DATE) AS VARCHAR) AS last_day FROM (SELECT *, isodow(timestamp) < 6 AND {SECOND} >= {OPEN_} AND {SECOND} < {CLOSE_} AS s FROM ticks)")
+def purge_summary(spark, sf_dir):
+    day = F.to_date("timestamp")
+    return tables.ticks(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count_if(~validation.in_session()).alias("out_of_session"), F.count_distinct(day).alias("days"), F.min(day).cast("string").alias("first_day"), F.max(day).cast("string").alias("last_day"))
+
+
+@query(f"WITH {TICKS} SELECT * FROM (SELECT * FROM ticks ORDER BY timestamp DESC, sequence_number DESC LIMIT 50 OFFSET 50)")
+def page_newest(spark, sf_dir):
+    return access.page(tables.ticks(spark, sf_dir), ["timestamp", "sequence_number"], 2, 50, newest=True)
+
+
+@query("SELECT p_partkey AS token, p_name AS symbol, p_type AS instrument_type, p_retailprice AS strike, p_size AS lot_size FROM part WHERE p_name ILIKE '%a%'")
+def search_symbols(spark, sf_dir):
+    return access.search(tables.instruments(spark, sf_dir), "A")
+
+
+@query("WITH n AS (SELECT p_partkey AS token, p_name AS symbol, p_type AS instrument_type, p_retailprice AS strike, p_size AS lot_size FROM part WHERE p_retailprice BETWEEN 920 AND 980) SELECT * FROM n WHERE lot_size = (SELECT min(lot_size) FROM n)")
+def strike_band(spark, sf_dir):
+    return access.band(tables.instruments(spark, sf_dir), 954.0, 10, 3)
+
+
+@query("SELECT p_type AS instrument_type, count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type")
+def candles_by_type(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("token"), "l_extendedprice")
+    # summed by token before the join, so the larger table's rows aren't shuffled
+    sums = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+    return sums.join(tables.instruments(spark, sf_dir), "token").groupBy("instrument_type").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+@query("SELECT DISTINCT l_shipdate AS expiry FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' ORDER BY 1 LIMIT 5")
+def nearest_expiries(spark, sf_dir):
+    return tables.table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("expiry")).where("expiry >= TIMESTAMP_NTZ'1996-01-01 00:00:00'").distinct().orderBy("expiry").limit(5)
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS runs, count(DISTINCT o_custkey) AS instruments, max(o_orderdate) AS last_run FROM orders GROUP BY 1")
+def download_status(spark, sf_dir):
+    return tables.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("o_custkey").alias("instruments"), F.max("o_orderdate").alias("last_run"))
+
+
+_ANALYTICS = TICKS + ", b AS (SELECT *, quantity * 100 AS buy, quantity % 7 * 150 AS sell, (ltp + 0.05::DOUBLE) - (ltp - 0.05::DOUBLE) AS spread FROM ticks), a AS (SELECT instrument, time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, arg_max(ltp, sequence_number) AS ltp, round(avg(spread), 2) AS avg_spread, round(max(spread), 2) AS max_spread, round(avg(CASE WHEN buy + sell > 0 THEN (buy - sell) / (buy + sell) ELSE 0 END), 4) AS imbalance, CAST(trunc(avg(buy)) AS BIGINT) AS buy_depth, CAST(trunc(avg(sell)) AS BIGINT) AS sell_depth, CAST(sum(buy - sell) AS BIGINT) AS delta, count(*) AS n FROM b GROUP BY 1, 2)"
+
+
+@query(f"WITH {_ANALYTICS} SELECT *, CAST(sum(delta) OVER (PARTITION BY instrument, CAST(timestamp AS DATE) ORDER BY timestamp) AS BIGINT) AS cum_delta FROM a")
+def book_analytics(spark, sf_dir):
+    return bars.analytics(books(spark, sf_dir), "1 hour")
+
+
+_COUNTS = ", w AS (SELECT instrument, time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, count(*) FILTER (WHERE side = 'BUY' AND size >= 2000) AS walls_buy, count(*) FILTER (WHERE side = 'SELL' AND size >= 2000) AS walls_sell FROM levels GROUP BY 1, 2)"
+
+
+@query(f"WITH {BOOKS}{_COUNTS} SELECT * FROM w")
+def wall_counts(spark, sf_dir):
+    return bars.wall_counts(books(spark, sf_dir), "1 hour")
+
+
+_WALLS = "first AS (SELECT instrument, date_trunc('minute', timestamp) AS minute, side, floor(price * 10 + 0.5) / 10 AS price, size AS quantity, ltp, timestamp, sequence_number, place FROM levels WHERE size >= 5000 QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, floor(price * 10 + 0.5) / 10 ORDER BY sequence_number, place) = 1)"
+
+
+@query(f"WITH {BOOKS}, {_WALLS} SELECT instrument, minute, side, price, quantity, ltp, timestamp FROM first")
+def wall_events(spark, sf_dir):
+    return bars.walls(books(spark, sf_dir))
+
+
+@query(f"WITH {BOOKS}, {_WALLS} SELECT instrument, minute, side, price, quantity, ltp, timestamp FROM first ORDER BY quantity DESC, timestamp, side, price LIMIT 50")
+def wall_events_top50(spark, sf_dir):
+    return bars.walls(books(spark, sf_dir)).orderBy(F.desc("quantity"), "timestamp", "side", "price").limit(50)
+
+
+@query(f"WITH {BOOKS}, f AS (SELECT instrument, sequence_number, min(ltp) OVER w AS lo, max(ltp) OVER w AS hi FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY timestamp RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL 5 MINUTES FOLLOWING)), h AS (SELECT l.*, CASE WHEN side = 'BUY' THEN lo ELSE hi END AS reached FROM levels l JOIN f USING (instrument, sequence_number) WHERE size >= 3000 AND price > 0 AND ((side = 'BUY' AND lo < price) OR (side = 'SELL' AND hi > price))) SELECT instrument, date_trunc('minute', timestamp) AS minute, side, floor(price * 10 + 0.5) / 10 AS wall, floor(ltp * 10 + 0.5) / 10 AS price, size AS quantity, floor((reached - price) * 10 + 0.5) / 10 AS move FROM h QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, floor(price * 10 + 0.5) / 10 ORDER BY sequence_number, place) = 1")
+def absorption_events(spark, sf_dir):
+    return bars.absorptions(books(spark, sf_dir))
+
+
+@query(f"WITH {_ANALYTICS}{BOOKS.removeprefix(TICKS)}{_COUNTS}, s AS (SELECT a.instrument, round(avg(CASE WHEN avg_spread > 0 THEN avg_spread END), 2) AS avg_spread, max(max_spread) AS max_spread, round(avg(imbalance), 4) AS imbalance, CAST(sum(coalesce(walls_buy, 0)) AS BIGINT) AS walls_buy, CAST(sum(coalesce(walls_sell, 0)) AS BIGINT) AS walls_sell FROM a LEFT JOIN w ON a.instrument = w.instrument AND a.timestamp = w.timestamp GROUP BY 1) SELECT *, CASE WHEN imbalance > 0.02 THEN 'BUY' WHEN imbalance < -0.02 THEN 'SELL' ELSE 'NEUTRAL' END AS bias FROM s")
+def dashboard_summary(spark, sf_dir):
+    b = books(spark, sf_dir)
+    return bars.strip(bars.analytics(b, "1 hour"), bars.wall_counts(b, "1 hour"))
+
+
+_A = "137.47727084867520"
+_RV = HOURS + f""", r AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY instrument ORDER BY timestamp)) AS ret FROM bars),
+v AS (SELECT instrument, timestamp, row_number() OVER (PARTITION BY instrument ORDER BY timestamp) >= 20 AS ok, stddev_pop(ret) OVER (PARTITION BY instrument ORDER BY timestamp ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS cc,
+sum(ln(high / low) * ln(high / low)) OVER w / 20 / (4 * ln(2)) AS p, sum(0.5 * ln(high / low) * ln(high / low) - (2 * ln(2) - 1) * ln(close / open) * ln(close / open)) OVER w / 20 AS gk,
+sum(ln(high / open) * (ln(high / open) - ln(close / open)) + ln(low / open) * (ln(low / open) - ln(close / open))) OVER w / 20 AS rs FROM r WINDOW w AS (PARTITION BY instrument ORDER BY timestamp ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+x AS (SELECT instrument, timestamp, CASE WHEN ok THEN round(cc * sqrt(18900), 6) END AS close_close, CASE WHEN ok AND p >= 0 THEN round(sqrt(p) * sqrt(18900), 6) END AS parkinson, CASE WHEN ok AND gk >= 0 THEN round(sqrt(gk) * sqrt(18900), 6) END AS garman_klass, CASE WHEN ok AND rs >= 0 THEN round(sqrt(rs) * sqrt(18900), 6) END AS rogers_satchell FROM v)"""
+
+
+@query(f"WITH {_RV} SELECT * FROM x")
+def realised_volatility(spark, sf_dir):
+    return volatility.realised(hours(spark, sf_dir), 20)
+
+
+@query(f"WITH {_RV}, y AS (SELECT instrument, arg_max(parkinson, timestamp) / 100 AS vol FROM x WHERE parkinson IS NOT NULL GROUP BY 1) SELECT instrument, round(vol, 6) AS vol, CASE WHEN vol < 0.1 THEN 'Low' WHEN vol < 0.15 THEN 'Normal' WHEN vol < 0.25 THEN 'Elevated' ELSE 'High' END AS regime FROM y")
+def volatility_regime(spark, sf_dir):
+    last = volatility.realised(hours(spark, sf_dir), 20).where("parkinson IS NOT NULL").groupBy("instrument").agg((F.max_by("parkinson", "timestamp") / 100).alias("vol"))
+    return last.select("instrument", F.round("vol", 6).alias("vol"), volatility.regime(F.col("vol")).alias("regime"))
+
+
+@query("SELECT p_partkey AS token, 0.1 + (p_partkey % 40) / 100 AS sigma, p_partkey % 2 = 0 AS call FROM part")
+def implied_roundtrip(spark, sf_dir):
+    """The volatility found from a price made with a known one."""
+    strike = F.col("strike")
+    spot, years, call = strike * (1 + (F.col("token") % 11) / 100), F.lit(0.25) + (F.col("token") % 5) / 10, F.col("token") % 2 == 0
+    sigma = 0.1 + (F.col("token") % 40) / 100
+    paid = volatility.priced(spot, strike, years, sigma, call)
+    return tables.instruments(spark, sf_dir).select("token", F.round(volatility.implied_vol(spot, strike, years, paid, call), 3).alias("sigma"), call.alias("call"))
+
+
+@query("WITH a AS (SELECT CAST(round_even(p_retailprice / 50, 0) AS BIGINT) * 50 AS strike, CASE WHEN p_partkey % 2 = 0 THEN 'CE' ELSE 'PE' END AS kind, p_partkey AS token FROM part) SELECT CAST(strike AS DOUBLE) AS strike, max(CASE WHEN kind = 'CE' THEN token END) AS ce, max(CASE WHEN kind = 'PE' THEN token END) AS pe FROM a GROUP BY 1")
+def strike_chain(spark, sf_dir):
+    rows = tables.instruments(spark, sf_dir).select(volatility.nearest_strike(F.col("strike"), 50).alias("strike"), F.when(F.col("token") % 2 == 0, "CE").otherwise("PE").alias("kind"), "token")
+    return rows.groupBy("strike").agg(F.max(F.when(F.col("kind") == "CE", F.col("token"))).alias("ce"), F.max(F.when(F.col("kind") == "PE", F.col("token"))).alias("pe"))
+
+
+@query(f"SELECT day + to_minutes({OPEN_ // 60} + k * 60) AS timestamp FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) s(day), range(6) r(k) WHERE isodow(day) < 6")
+def session_grid(spark, sf_dir):
+    return validation.session_grid(spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-31')) AS day"), 60)
+
+
+@query(f"WITH {FAULTY}, {ROW_FINDINGS} SELECT instrument, sequence_number, code, severity FROM findings")
+def validation_findings(spark, sf_dir):
+    return findings(spark, sf_dir)
+
+
+@query(f"WITH {TICKS}, c AS (SELECT instrument, sequence_number, CAST(timestamp AS DATE) AS day, CASE WHEN sequence_number % 23 = 0 THEN NULL ELSE sequence_number % 50 * 10 + hour(timestamp) * 100 END AS volume FROM ticks), r AS (SELECT *, CAST(day IS DISTINCT FROM lag(day) OVER (PARTITION BY instrument ORDER BY sequence_number) AS INT) AS ch FROM c), s AS (SELECT *, sum(ch) OVER (PARTITION BY instrument ORDER BY sequence_number) AS run FROM r), l AS (SELECT *, last_value(volume IGNORE NULLS) OVER (PARTITION BY instrument, run ORDER BY sequence_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s) SELECT instrument, sequence_number, 'volume_regression' AS code, 'WARNING' AS severity FROM l WHERE volume < before")
+def volume_regressions(spark, sf_dir):
+    n = F.col("sequence_number")
+    return validation.volume_findings(tables.ticks(spark, sf_dir).withColumn("volume", F.when(n % 23 != 0, n % 50 * 10 + F.hour("timestamp") * 100)))
+
+
+@query(f"WITH {HOURS}, b AS (SELECT instrument, timestamp + INTERVAL 15 MINUTES AS timestamp FROM bars), s AS (SELECT instrument, min(timestamp) AS lo, max(timestamp) AS hi FROM b GROUP BY 1), g AS (SELECT instrument, day + to_minutes({OPEN_ // 60} + k * 60) AS timestamp, lo, hi FROM s, generate_series(TIMESTAMP '2023-12-31', TIMESTAMP '2024-02-02', INTERVAL 1 DAY) d(day), range(6) r(k) WHERE isodow(day) < 6) SELECT instrument, timestamp FROM g WHERE timestamp BETWEEN lo AND hi AND NOT EXISTS (SELECT 1 FROM b WHERE b.instrument = g.instrument AND b.timestamp = g.timestamp)")
+def session_gaps(spark, sf_dir):
+    return validation.gaps(hours(spark, sf_dir).withColumn("timestamp", F.expr("timestamp + INTERVAL 15 MINUTES")), 60)
+
+
+@query(f"WITH {FAULTY}, {ROW_FINDINGS} SELECT b.instrument, count(DISTINCT b.sequence_number) AS n, count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, count(*) FILTER (WHERE code IN ('missing_field', 'timestamp_not_aligned')) AS schema_invalid, count(*) FILTER (WHERE code IN ('ohlc_invariant', 'non_positive_price')) AS invalid_ohlc, count(*) FILTER (WHERE code = 'negative_value') AS volume_issues, count(*) FILTER (WHERE code = 'duplicate_timestamp') AS duplicates, count(*) FILTER (WHERE code = 'out_of_order') AS out_of_order, count(*) FILTER (WHERE code = 'out_of_session') AS outside_session, 0::BIGINT AS gaps, CASE WHEN count(*) FILTER (WHERE severity = 'ERROR') > 0 THEN 'FAIL' WHEN count(severity) > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM bad b LEFT JOIN findings f USING (instrument, sequence_number) GROUP BY 1")
+def quality_report(spark, sf_dir):
+    return validation.report(findings(spark, sf_dir), faulty(spark, sf_dir))
+
+
+@query(f"WITH {FAULTY}, {ROW_FINDINGS} SELECT * FROM bad WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE severity = 'ERROR' AND f.instrument = bad.instrument AND f.sequence_number = bad.sequence_number)")
+def screen_reject(spark, sf_dir):
+    return validation.screened(faulty(spark, sf_dir), findings(spark, sf_dir))
+
+
+@query(f"WITH {FAULTY}, {ROW_FINDINGS} SELECT instrument, sequence_number, string_agg(DISTINCT code, ',' ORDER BY code) AS reasons FROM findings WHERE severity = 'ERROR' GROUP BY 1, 2")
+def quarantine(spark, sf_dir):
+    return validation.quarantined(faulty(spark, sf_dir), findings(spark, sf_dir))
+
+
+_BREAK = HOURS + """, e AS (SELECT *, CAST(timestamp AS DATE) AS day, hour(timestamp) AS hour FROM bars), s AS (SELECT instrument, day, max(high) AS hi, min(low) AS lo FROM e WHERE hour >= 9 AND hour < 12 GROUP BY 1, 2),
+l AS (SELECT e.*, hi, lo, CASE WHEN close > hi + 0.05::DOUBLE * (hi - lo) THEN 'LONG' WHEN close < lo - 0.05::DOUBLE * (hi - lo) THEN 'SHORT' END AS side FROM e JOIN s USING (instrument, day) WHERE hour >= 12 AND hour < 20),
+n AS (SELECT instrument, day, hi, lo, timestamp AS entered, side, close AS entry FROM l WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY instrument, day ORDER BY timestamp) = 1),
+p AS (SELECT n.*, bool_or(CASE WHEN side = 'LONG' THEN e.low <= n.lo ELSE e.high >= n.hi END) AS stopped, arg_max(e.close, e.timestamp) AS last FROM n JOIN e USING (instrument, day) WHERE e.timestamp > entered AND e.hour < 20 GROUP BY ALL),
+x AS (SELECT instrument, day, side, entered, entry, CASE WHEN stopped THEN CASE WHEN side = 'LONG' THEN lo ELSE hi END ELSE last END AS exit, stopped FROM p),
+t AS (SELECT *, round(CASE WHEN side = 'LONG' THEN exit - entry ELSE entry - exit END - 2, 6) AS pnl FROM x)"""
+
+
+@query(f"WITH {_BREAK} SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM t")
+def breakout_trades(spark, sf_dir):
+    return studies.breakouts(hours(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"WITH {_BREAK} SELECT side, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (WHERE pnl > 0) / count(*), 2) AS win_pct, round(sum(pnl), 4) AS net, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(-sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END), 0), 4) AS profit_factor FROM t GROUP BY side")
+def breakout_study(spark, sf_dir):
+    return studies.study(studies.breakouts(hours(spark, sf_dir)), "side")
+
+
+_EQUITY = "t AS (SELECT o_orderstatus AS strategy, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice) - 150000 AS BIGINT) AS pnl FROM orders), d AS (SELECT strategy, day, sum(pnl) AS pnl FROM t GROUP BY 1, 2), e AS (SELECT strategy, day, CAST(1000000000 + sum(pnl) OVER (PARTITION BY strategy ORDER BY day) AS BIGINT) AS equity FROM d), c AS (SELECT *, greatest(1000000000, max(equity) OVER (PARTITION BY strategy ORDER BY day)) AS peak FROM e), q AS (SELECT strategy, day, equity, peak, round((peak - equity) / peak * 100, 6) AS drawdown_pct FROM c)"
+
+
+@query(f"WITH {_EQUITY} SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM q")
+def equity_curve(spark, sf_dir):
+    return studies.equity(tables.trades(spark, sf_dir), 1_000_000_000).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"WITH {_EQUITY}, r AS (SELECT strategy, equity / lag(equity) OVER (PARTITION BY strategy ORDER BY day) - 1 AS r FROM q), s AS (SELECT strategy, round(CASE WHEN stddev_pop(r) > 0 THEN (avg(r) - 0.065::DOUBLE / 252) / stddev_pop(r) * sqrt(252) ELSE 0 END, 4) AS sharpe FROM r WHERE r IS NOT NULL GROUP BY 1) SELECT t.strategy, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, CAST(sum(pnl) AS BIGINT) AS total, (SELECT max(drawdown_pct) FROM q WHERE q.strategy = t.strategy) AS max_drawdown_pct, any_value(s.sharpe) AS sharpe FROM t LEFT JOIN s USING (strategy) GROUP BY t.strategy")
+def trade_metrics(spark, sf_dir):
+    return studies.metrics(tables.trades(spark, sf_dir), 1_000_000_000)
+
+
+@query()
+def volatility_breakout(spark, sf_dir):
+    """Path-dependent: held against a plain loop in the tests."""
+    return studies.simulate(hours(spark, sf_dir))
+
+
+@query("SELECT token, symbol, CASE WHEN token % 3 = 0 THEN 'FUT' ELSE instrument_type END AS instrument_type, strike, lot_size FROM (SELECT p_partkey AS token, p_name AS symbol, p_type AS instrument_type, p_retailprice AS strike, p_size AS lot_size FROM part) UNION ALL SELECT -p_partkey, NULL, 'FUT', NULL, NULL FROM part WHERE p_partkey % 10 = 0 AND p_partkey > 0")
+def upsert_instruments(spark, sf_dir):
+    table = tables.instruments(spark, sf_dir)
+    new = table.where("token % 3 = 0").select("token", F.lit("FUT").alias("instrument_type")).union(table.where("token % 10 = 0 AND token > 0").select(-F.col("token"), F.lit("FUT")))
+    return upkeep.upsert(table, new, "token", ["instrument_type"])
+
+
+@query(f"WITH {TICKS} SELECT instrument, date_trunc('hour', timestamp) AS timestamp, arg_min(sequence_number, sequence_number) AS sequence_number, arg_min(ltp, sequence_number) AS ltp FROM ticks GROUP BY 1, 2 HAVING min(sequence_number) IS NOT NULL AND NOT (hour(date_trunc('hour', timestamp)) = 0)")
+def insert_first_wins(spark, sf_dir):
+    rows = tables.ticks(spark, sf_dir).select("instrument", bars.start("1 hour").alias("timestamp"), "sequence_number", "ltp")
+    return upkeep.insert_first(rows.where("hour(timestamp) = 0"), rows, ["instrument", "timestamp"], "sequence_number")
+
+
+@query("SELECT p_partkey AS token, p_name AS symbol, p_type AS instrument_type, p_retailprice AS strike, p_size AS lot_size, p_retailprice BETWEEN 920 AND 980 AS is_active FROM part")
+def activate_band(spark, sf_dir):
+    return upkeep.activate(tables.instruments(spark, sf_dir), 954.0, 10, 3)
+
+
+@query(f"WITH {TICKS} SELECT CASE WHEN timestamp >= TIMESTAMP '2024-01-20' THEN 'kept' ELSE 'old' END AS part, count(*) AS n FROM ticks GROUP BY 1")
+def retention_split(spark, sf_dir):
+    kept, old = upkeep.split(tables.ticks(spark, sf_dir), "2024-01-26", 7)
+    return kept.select(F.lit("kept").alias("part")).union(old.select(F.lit("old"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(SQL["bars_1h"])
+def stream_bars(spark, sf_dir):
+    """The stream's bars are those of the batch query."""
+    source = spark.readStream.schema(tables.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rows = source.where("value > 0").select(F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("sequence_number"), F.col("value").alias("ltp"), k.alias("quantity"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tickloom"
+    return stream.bars_available_now(spark, rows, "1 hour", folder).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
