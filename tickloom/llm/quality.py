@@ -105,3 +105,37 @@ def assess(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept for each row of docs (doc_id, text, lang, source); other columns are ignored."""
     counts = kept(measured(docs, ["doc_id", "lang", "source"]), "counts")
     return judged(counts).drop("lang", "source", "n_lines")
+
+
+def _sql() -> str:
+    """The same rows in DuckDB's SQL, by windows of three words as rows."""
+    coarse = "(({v} >> greatest(length(bin({v})) - 6, 0)) << greatest(length(bin({v})) - 6, 0))"
+    rates = {k: f"CASE WHEN {b} > 0 THEN {s} * {t} // {b} ELSE 0 END" for k, (t, b, s, _, _) in RATES.items()}
+    each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {x} AS v, {RATES[k][3]} AS least FROM c WHERE NOT base_failed" for k, x in rates.items())
+
+    def quartiles(by: str) -> str:
+        keys = f"{by}, rule" if by else "rule"
+        ranked = f"SELECT {keys}, value, sum(sum(n)) OVER (PARTITION BY {keys} ORDER BY value) AS upto, sum(sum(n)) OVER (PARTITION BY {keys}) AS every FROM sk GROUP BY {keys}, value"
+        return f"SELECT {keys}, max(every) AS n, min(value) FILTER (WHERE 4 * upto >= every) AS q1, min(value) FILTER (WHERE 4 * upto >= 3 * every) AS q3 FROM ({ranked}) GROUP BY {keys}"
+
+    beyond = " OR ".join(f"(t.rule = '{k}' AND (({x}) > t.high" + (f" OR ({x}) < t.low" if RATES[k][4] else "") + "))" for k, x in rates.items())
+    pick = "CASE WHEN o.n >= {n} THEN o.{q} WHEN l.n >= {n} THEN l.{q} ELSE a.{q} END"
+    q1, q3 = pick.format(n=LEAST_DOCS, q="q1"), pick.format(n=LEAST_DOCS, q="q3")
+    return rf"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS often FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(3) x(k) WHERE often > 1 GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+c AS (SELECT * EXCLUDE (lines), CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+e AS ({each}),
+sk AS (SELECT lang, source, rule, {coarse.format(v="v")} AS value, count(*) AS n FROM e GROUP BY ALL),
+o AS ({quartiles("lang, source")}), l AS ({quartiles("lang")}), a AS ({quartiles("")}),
+q AS (SELECT o.lang, o.source, o.rule, {q1} AS q1, {q3} AS q3 FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN a ON o.rule = a.rule),
+t AS (SELECT q.*, q1 - {REACH} * greatest(q3 - q1, least) AS low, q3 + {REACH} * greatest(q3 - q1, least) AS high FROM q JOIN (SELECT DISTINCT rule, least FROM e) m USING (rule))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT EXISTS (SELECT 1 FROM t WHERE t.lang IS NOT DISTINCT FROM c.lang AND t.source IS NOT DISTINCT FROM c.source AND ({beyond})) AS kept FROM c
+"""
+
+
+RULES_SQL = _sql()

@@ -43,4 +43,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": _of_documents(langid.identify),
     "op10_sentencepiece": _of_documents(lambda docs: spm.encoded(docs, PIECES)),
 }
-SQL = {"op2_warc": warc.WARC_SQL, "op5_mixing": mixing.MIX_SQL, "op6_linededup": linededup.LINES_SQL}
+SQL = {"op2_warc": warc.WARC_SQL, "op4_quality": quality.RULES_SQL, "op5_mixing": mixing.MIX_SQL, "op6_linededup": linededup.LINES_SQL}
