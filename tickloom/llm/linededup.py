@@ -74,7 +74,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     each = kept(found.select("id", "id_hash", F.explode(F.arrays_zip("ks", "marks")).alias("x")).select("id", "id_hash", F.col("x.ks").alias("k"), F.col("x.marks").alias("mark")), "chunks")
     again = kept(each.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "marks")
     asked = kept(each.join(again, "mark").groupBy("id", "id_hash").agg(F.sort_array(F.collect_set("k")).alias("ask")), "asked")
-    texts = keyed.join(asked.withColumnsRenamed({"id": "of", "id_hash": "of_hash"}), _alike("id", "of")).select("id", "id_hash", "text", "ask")
+    # a document may hold a repeated chunk whatever the corpus' size, so this side grows with it: never broadcast
+    texts = keyed.join(asked.withColumnsRenamed({"id": "of", "id_hash": "of_hash"}).hint("merge"), _alike("id", "of")).select("id", "id_hash", "text", "ask")
     bytes_ = per_text(texts, "ks array<int>, chunk array<string>", lambda: taken, also="ask")
     same = kept(bytes_.select("id", "id_hash", F.explode(F.arrays_zip("ks", "chunk")).alias("x")).select(F.struct(F.col("id").isNull().alias("none"), "id", "id_hash", F.col("x.ks").alias("k")).alias("who"), F.col("x.chunk").alias("chunk")), "bytes")
     # grouping and joining by the chunk itself compares all of its bytes
@@ -91,7 +92,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     gone = repeated(docs).withColumnsRenamed({"id": "of", "id_hash": "of_hash"})
     rows = docs.select(row_of(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("id_hash"))
-    joined = rows.join(gone, _alike("id", "of"), "left").select("row", F.col("row.text").alias("text"), "gone")
+    joined = rows.join(gone.hint("merge"), _alike("id", "of"), "left").select("row", F.col("row.text").alias("text"), "gone")
     return per_text(joined, "new_text string, n_lines bigint, gone_lines bigint, gone_words bigint", lambda: without, also="gone")
 
 
