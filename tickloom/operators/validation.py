@@ -96,6 +96,6 @@ def screened(rows: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def quarantined(rows: DataFrame, findings: DataFrame) -> DataFrame:
-    """The rows with an error, as JSON, with the sorted codes."""
+    """instrument, sequence_number and reasons (the sorted codes, each once) of the rows with an error."""
     why = findings.where("severity = 'ERROR'").groupBy("instrument", "sequence_number").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("reasons"))
     return rows.join(why, ["instrument", "sequence_number"]).select("instrument", "sequence_number", "reasons")
