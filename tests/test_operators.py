@@ -164,3 +164,14 @@ import __spark_entry__ as e
 assert e.queries() and e.oracle_sql() and not any(k.startswith("op1_") or k == "pipeline" for k in e.queries())
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_a_stream_keeps_one_of_equal_ticks(spark, tmp_path):
+    rows = [("a", at("10:00"), 1, 5.0), ("a", at("10:00"), 1, 5.0), ("a", at("10:00"), 2, 5.0), ("b", at("10:00"), 1, 5.0)]
+    kind = "instrument string, timestamp timestamp, sequence_number bigint, ltp double"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
+    out = stream.deduplicated(source).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out")
+    out.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select("instrument", "sequence_number").collect()
+    assert sorted(map(tuple, got)) == [("a", 1), ("a", 2), ("b", 1)]
