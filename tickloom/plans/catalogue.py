@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access, bars, studies, upkeep, validation, volatility
+from ..operators import access, bars, breakouts, studies, upkeep, validation, volatility
 from ..sources import tables
 from ..streaming import ticks as stream
 
@@ -275,6 +275,50 @@ def breakout_study(spark, sf_dir):
     return studies.study(studies.breakouts(hours(spark, sf_dir)), "side")
 
 
+#: The events come at all hours, so their sessions are whole days and their candles hours.
+ALL_DAY = breakouts.Clock(open=0, short=180, first=360, levels=60, exit=1380, candle=60)
+_SUITE = BARS.replace("{w}", "5 minutes") + """, e AS (SELECT instrument, CAST(timestamp AS DATE) AS day, hour(timestamp) * 60 + minute(timestamp) AS minute, high, low, close FROM bars QUALIFY count(*) OVER (PARTITION BY instrument, CAST(timestamp AS DATE)) >= 3),
+c AS (SELECT instrument, day, minute // 60 * 60 AS minute, arg_max(close, minute) AS close FROM e GROUP BY instrument, day, minute // 60),
+d AS (SELECT instrument, day, max(high) AS top, min(low) AS bottom FROM e GROUP BY 1, 2),
+f AS (SELECT instrument, day, lag(top) OVER o AS hi, lag(bottom) OVER o AS lo, CASE WHEN row_number() OVER o > 5 THEN avg(top - bottom) OVER (PARTITION BY instrument ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS mean FROM d WINDOW o AS (PARTITION BY instrument ORDER BY day)),
+levels AS (SELECT 'H' AS kind, instrument, day, max(high) AS hi, min(low) AS lo, 360 AS begin, 0.05::DOUBLE AS buffer FROM e WHERE minute < 360 GROUP BY instrument, day HAVING max(high) > min(low) UNION ALL SELECT 'O', instrument, day, max(high), min(low), 180, 0.05::DOUBLE FROM e WHERE minute < 180 GROUP BY instrument, day HAVING max(high) > min(low) UNION ALL SELECT 'P', instrument, day, hi, lo, 60, 0::DOUBLE FROM f WHERE hi IS NOT NULL),
+found AS (SELECT kind, instrument, day, hi, lo, c.minute, close AS entry, CASE WHEN close > hi + buffer * (hi - lo) THEN 'LONG' ELSE 'SHORT' END AS side FROM levels JOIN c USING (instrument, day) WHERE c.minute >= begin AND c.minute < 1380 AND (close > hi + buffer * (hi - lo) OR close < lo - buffer * (hi - lo)) QUALIFY row_number() OVER (PARTITION BY kind, instrument, day ORDER BY c.minute) = 1),
+again AS (SELECT x.instrument, x.day, hi, lo, side, min(e.minute) AS minute FROM found x JOIN e ON e.instrument = x.instrument AND e.day = x.day AND e.minute >= x.minute + 60 AND e.minute <= 1380 WHERE kind = 'H' AND CASE WHEN side = 'LONG' THEN low <= hi ELSE high >= lo END GROUP BY ALL),
+sig AS (SELECT instrument, day, CASE kind WHEN 'H' THEN 'FH_BREAK' WHEN 'O' THEN 'ORB30' ELSE 'PDH_PDL' END AS name, side, entry, minute, minute + 60 AS start, CASE WHEN side = 'LONG' THEN lo ELSE hi END AS stop, hi - lo AS width FROM found
+UNION ALL SELECT instrument, day, 'FH_FADE', CASE WHEN side = 'LONG' THEN 'SHORT' ELSE 'LONG' END, entry, minute, minute + 60, CASE WHEN side = 'LONG' THEN entry + 0.5::DOUBLE * (hi - lo) ELSE entry - 0.5::DOUBLE * (hi - lo) END, hi - lo FROM found WHERE kind = 'H'
+UNION ALL SELECT x.instrument, x.day, 'VOL_CONTRACT', side, entry, minute, minute + 60, CASE WHEN side = 'LONG' THEN x.lo ELSE x.hi END, x.hi - x.lo FROM found x JOIN f USING (instrument, day) WHERE kind = 'H' AND x.hi - x.lo < 0.5::DOUBLE * mean
+UNION ALL SELECT instrument, day, 'FH_RETEST', side, CASE WHEN side = 'LONG' THEN hi ELSE lo END, minute, minute + 1, CASE WHEN side = 'LONG' THEN hi - 0.5::DOUBLE * (hi - lo) ELSE lo + 0.5::DOUBLE * (hi - lo) END, hi - lo FROM again),
+path AS (SELECT s.*, e.minute AS later, high, low, close, CASE WHEN side = 'LONG' THEN low <= stop ELSE high >= stop END AS hit FROM sig s JOIN e ON e.instrument = s.instrument AND e.day = s.day AND e.minute >= start AND e.minute <= 1380 WHERE CASE WHEN side = 'LONG' THEN stop < entry ELSE stop > entry END),
+ends AS (SELECT instrument, day, name, min(later) FILTER (WHERE hit) AS stopped FROM path GROUP BY 1, 2, 3),
+walked AS (SELECT p.instrument, p.day, p.name, side, p.minute, entry, stop, width, stopped, arg_max(close, later) AS last, greatest(max(CASE WHEN side = 'LONG' THEN high - entry ELSE entry - low END), 0) AS mfe, greatest(max(CASE WHEN side = 'LONG' THEN entry - low ELSE high - entry END), 0) AS mae FROM path p JOIN ends n ON p.instrument = n.instrument AND p.day = n.day AND p.name = n.name AND later <= coalesce(stopped, later) GROUP BY ALL),
+left_ AS (SELECT *, CASE WHEN stopped IS NULL THEN last ELSE stop END AS exit, CASE WHEN stopped IS NULL THEN 'eod' ELSE 'stop' END AS reason, abs(entry - stop) AS risk FROM walked),
+trades AS (SELECT instrument, day, name, side, minute, entry, stop, exit, reason, width, risk, CASE WHEN side = 'LONG' THEN exit - entry ELSE entry - exit END - 2 AS pnl, (CASE WHEN side = 'LONG' THEN exit - entry ELSE entry - exit END - 2) / risk AS r, mfe, mae FROM left_)"""
+
+
+def suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return breakouts.suite(bars.build(tables.ticks(spark, sf_dir), "5 minutes"), ALL_DAY, least=3)
+
+
+@query(f"WITH {_SUITE} SELECT instrument, CAST(day AS VARCHAR) AS day, name, side, minute, entry, round(stop, 6) AS stop, round(exit, 6) AS exit, reason, round(width, 6) AS width, round(risk, 6) AS risk, round(pnl, 6) AS pnl, round(r, 6) AS r, round(mfe, 6) AS mfe, round(mae, 6) AS mae FROM trades")
+def breakout_suite(spark, sf_dir):
+    return suite(spark, sf_dir).withColumns({"day": F.col("day").cast("string"), **{c: F.round(c, 6) for c in ("stop", "exit", "width", "risk", "pnl", "r", "mfe", "mae")}})
+
+
+@query(f"WITH {_SUITE} SELECT name, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (WHERE pnl > 0) / count(*), 2) AS win_pct, round(sum(pnl), 4) AS net, round(avg(pnl), 8) AS mean, round(avg(mfe), 8) AS mfe, round(avg(mae), 8) AS mae, round(100.0::DOUBLE * count(*) FILTER (WHERE reason = 'stop') / count(*), 2) AS stop_pct, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(-sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END), 0), 4) AS profit_factor FROM trades GROUP BY name")
+def breakout_outcomes(spark, sf_dir):
+    return breakouts.outcomes(suite(spark, sf_dir), "name")
+
+
+@query(f"WITH {_SUITE}, p AS (SELECT t.*, period FROM trades t, (VALUES ('ALL'), ('PRE'), ('POST')) v(period) WHERE period = 'ALL' OR (period = 'PRE') = (day < DATE '2024-01-15')) SELECT name, period, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (WHERE r > 0) / count(*), 2) AS win_pct, round(avg(r), 8) AS mean_r, round(sum(r), 4) AS sum_r, round(coalesce(sum(CASE WHEN r > 0 THEN r ELSE 0 END) / nullif(-sum(CASE WHEN r <= 0 THEN r ELSE 0 END), 0), 99), 4) AS profit_factor, round(avg(r) / CASE WHEN stddev_pop(r) > 0 THEN stddev_pop(r) ELSE 1e-9::DOUBLE END * sqrt(count(*)), 3) AS t FROM p GROUP BY name, period HAVING count(*) >= 20")
+def breakout_expectancy(spark, sf_dir):
+    return breakouts.expectancy(breakouts.periods(suite(spark, sf_dir), "2024-01-15"), "name", "period")
+
+
+@query(f"WITH {_SUITE}, t AS (SELECT * FROM trades WHERE name = 'FH_BREAK'), m AS (SELECT instrument, median(width) AS median, count(*) AS base FROM t GROUP BY 1), x AS (SELECT t.*, base, width < median AS narrow, minute <= 720 AS early FROM t JOIN m USING (instrument)), y AS (SELECT *, unnest(list_filter(['none', CASE WHEN narrow THEN 'narrow' ELSE 'wide' END, CASE WHEN early THEN 'early' ELSE 'late' END, CASE WHEN minute = 360 THEN 'first' END, lower(side), CASE WHEN narrow AND early THEN 'narrow_early' END, CASE WHEN narrow AND early AND side = 'SHORT' THEN 'narrow_early_short' END], lambda k: k IS NOT NULL)) AS filter FROM x) SELECT instrument, filter, count(*) AS n, round(100.0::DOUBLE * count(*) / max(base), 2) AS kept_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE pnl > 0) / count(*), 2) AS win_pct, round(sum(pnl), 4) AS net, round(avg(pnl), 8) AS mean, round(coalesce(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(-sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END), 0), 99), 4) AS profit_factor FROM y GROUP BY 1, 2")
+def breakout_filters(spark, sf_dir):
+    return breakouts.filters(suite(spark, sf_dir).where("name = 'FH_BREAK'"), early=720, first=360)
+
+
 _EQUITY = "t AS (SELECT o_orderstatus AS strategy, CAST(o_orderdate AS DATE) AS day, CAST(floor(o_totalprice) - 150000 AS BIGINT) AS pnl FROM orders), d AS (SELECT strategy, day, sum(pnl) AS pnl FROM t GROUP BY 1, 2), e AS (SELECT strategy, day, CAST(1000000000 + sum(pnl) OVER (PARTITION BY strategy ORDER BY day) AS BIGINT) AS equity FROM d), c AS (SELECT *, greatest(1000000000, max(equity) OVER (PARTITION BY strategy ORDER BY day)) AS peak FROM e), q AS (SELECT strategy, day, equity, peak, round((peak - equity) / peak * 100, 6) AS drawdown_pct FROM c)"
 
 
