@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access, bars, breakouts, studies, upkeep, validation, volatility
+from ..operators import access, bars, breakouts, calendar, contracts, studies, upkeep, validation, volatility
 from ..sources import tables
 from ..streaming import ticks as stream
 
@@ -275,6 +275,61 @@ def breakout_study(spark, sf_dir):
     return studies.study(studies.breakouts(hours(spark, sf_dir)), "side")
 
 
+_HOLIDAYS, _SPECIAL = (", ".join(f"DATE '{x}'" for x in days) for days in (calendar.HOLIDAYS, calendar.SPECIAL))
+
+
+@query(f"SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS day, CAST(d AS DATE) IN ({_SPECIAL}) OR (isodow(d) < 6 AND CAST(d AS DATE) NOT IN ({_HOLIDAYS})) AS is_trading, year(d) = 2026 AS covered FROM generate_series(TIMESTAMP '2025-12-01', TIMESTAMP '2027-01-31', INTERVAL 1 DAY) s(d)")
+def trading_calendar(spark, sf_dir):
+    return calendar.days(spark, "2025-12-01", "2027-01-31").withColumn("day", F.col("day").cast("string"))
+
+
+@query("WITH s AS (SELECT 'tick_downloader' AS service, max(ts) AS last_seen FROM events UNION ALL SELECT 'ohlcv_scheduler', max(o_orderdate) FROM orders UNION ALL SELECT 'instrument_sync_scheduler', NULL) SELECT service, last_seen, round(date_sub('second', last_seen, TIMESTAMP '2024-01-31 12:00:00') / 60, 1) AS minutes_ago, CASE WHEN last_seen IS NULL THEN 'unknown' WHEN date_sub('second', last_seen, TIMESTAMP '2024-01-31 12:00:00') / 60 > CASE service WHEN 'tick_downloader' THEN 10 ELSE 15 END THEN 'stale' ELSE 'ok' END AS status FROM s")
+def scheduler_health(spark, sf_dir):
+    last = tables.table(spark, sf_dir, "events").agg(F.lit("tick_downloader").alias("service"), F.max("ts").alias("last_seen"))
+    last = last.union(tables.table(spark, sf_dir, "orders").agg(F.lit("ohlcv_scheduler"), F.max("o_orderdate"))).union(spark.sql("SELECT 'instrument_sync_scheduler', CAST(NULL AS TIMESTAMP_NTZ)"))
+    return calendar.health(last, datetime(2024, 1, 31, 12))
+
+
+@query("""WITH i AS (SELECT p_partkey AS token, CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '1998-11-20 23:59:59.999999' ELSE TIMESTAMP '1998-12-15 10:00:00' END AS "end", p_partkey % 2 = 0 AS derivative FROM part), l AS (SELECT l_partkey AS token, max(l_shipdate) AS seen FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1),
+w AS (SELECT token, "end", coalesce(seen + INTERVAL 5 MINUTES, "end" - CASE WHEN derivative THEN INTERVAL 30 DAYS ELSE INTERVAL 90 DAYS END) AS start FROM i LEFT JOIN l USING (token))
+SELECT token, start + to_days(CAST(k * 5 AS INTEGER)) AS start, least(start + to_days(CAST(k * 5 + 5 AS INTEGER)), "end") AS "end" FROM w, range(2000) r(k) WHERE start + to_days(CAST(k * 5 AS INTEGER)) < "end" """)
+def fetch_plan(spark, sf_dir):
+    expiry = F.when(F.col("token") % 3 == 0, F.lit("1998-11-20").cast("date"))
+    some = tables.instruments(spark, sf_dir).select("token", expiry.alias("expiry"), (F.col("token") % 2 == 0).alias("derivative"))
+    last = tables.table(spark, sf_dir, "lineitem").where("l_partkey % 5 <> 0").select(F.col("l_partkey").alias("token"), F.col("l_shipdate").alias("timestamp"))
+    return calendar.fetches(some, last, datetime(1998, 12, 15, 10))
+
+
+_RAW = FAULTY + """, raw AS (SELECT instrument, sequence_number, CASE WHEN sequence_number % 41 = 0 THEN 'soon' WHEN sequence_number % 43 = 0 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || '+05:30' ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S') END AS timestamp,
+CASE WHEN sequence_number % 47 = 0 THEN 'true' ELSE CAST(open AS VARCHAR) END AS open, high, low, CASE WHEN sequence_number % 19 = 0 THEN NULL ELSE close END AS close, volume FROM bad),
+t AS (SELECT *, CASE WHEN timestamp NOT LIKE '%+05:30' THEN try_cast(timestamp AS TIMESTAMP) END AS ts, CASE WHEN open <> 'true' THEN CAST(open AS DOUBLE) END AS o FROM raw),
+x AS (SELECT *, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS s, o IS NOT NULL AND close IS NOT NULL AS four FROM t),
+f AS (SELECT instrument, sequence_number, unnest([CASE WHEN timestamp IS NULL THEN 'timestamp missing_field' END, CASE WHEN timestamp = 'soon' THEN 'timestamp malformed_timestamp' END, CASE WHEN timestamp LIKE '%+05:30' THEN 'timestamp timezone_inconsistent' END, CASE WHEN open = 'true' THEN 'open unexpected_type' END, CASE WHEN close IS NULL THEN 'close missing_field' END,
+CASE WHEN o <= 0 THEN 'open non_positive_price' END, CASE WHEN high <= 0 THEN 'high non_positive_price' END, CASE WHEN low <= 0 THEN 'low non_positive_price' END, CASE WHEN close <= 0 THEN 'close non_positive_price' END, CASE WHEN volume < 0 THEN 'volume negative_value' END, 'source unknown_field',
+CASE WHEN (s - 33300) % 300 <> 0 THEN 'timestamp timestamp_not_aligned' END, CASE WHEN isodow(ts) > 5 OR s < 33300 OR s >= 55800 THEN 'timestamp out_of_session' END, CASE WHEN four AND high < low THEN 'high ohlc_invariant' END, CASE WHEN four AND high < greatest(o, close) THEN 'high ohlc_invariant' END, CASE WHEN four AND low > least(o, close) THEN 'low ohlc_invariant' END]) AS fc FROM x),
+found AS (SELECT instrument, sequence_number, split_part(fc, ' ', 1) AS field, split_part(fc, ' ', 2) AS code, CASE WHEN split_part(fc, ' ', 2) IN ('out_of_session', 'unknown_field') THEN 'WARNING' ELSE 'ERROR' END AS severity FROM f WHERE fc IS NOT NULL)"""
+
+
+def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faulty bars as text, with faults that only text can have and a column that no contract knows."""
+    n, text = F.col("sequence_number"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    return faulty(spark, sf_dir).select(
+        "instrument", "sequence_number", F.when(n % 41 == 0, "soon").when(n % 43 == 0, F.concat(text, F.lit("+05:30"))).otherwise(text).alias("timestamp"), F.when(n % 47 == 0, "true").otherwise(F.col("open").cast("string")).alias("open"),
+        F.col("high").cast("string").alias("high"), F.col("low").cast("string").alias("low"), F.when(n % 19 != 0, F.col("close").cast("string")).alias("close"), F.col("volume").cast("string").alias("volume"), F.lit("feed").alias("source"),
+    )
+
+
+@query(f"WITH {_RAW} SELECT * FROM found")
+def raw_findings(spark, sf_dir):
+    return contracts.findings(raw_bars(spark, sf_dir), contracts.BAR_5M)
+
+
+@query(f"WITH {_RAW} SELECT instrument, sequence_number, list_sort(list(DISTINCT code)) AS reasons FROM found WHERE severity = 'ERROR' GROUP BY 1, 2")
+def raw_quarantine(spark, sf_dir):
+    raw = raw_bars(spark, sf_dir)
+    return contracts.quarantine(raw, contracts.findings(raw, contracts.BAR_5M)).drop("row")
+
+
 #: The events come at all hours, so their sessions are whole days and their candles hours.
 ALL_DAY = breakouts.Clock(open=0, short=180, first=360, levels=60, exit=1380, candle=60)
 _SUITE = BARS.replace("{w}", "5 minutes") + """, e AS (SELECT instrument, CAST(timestamp AS DATE) AS day, hour(timestamp) * 60 + minute(timestamp) AS minute, high, low, close FROM bars QUALIFY count(*) OVER (PARTITION BY instrument, CAST(timestamp AS DATE)) >= 3),
