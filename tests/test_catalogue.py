@@ -12,4 +12,4 @@ def test_same_rows(spark, duck, name):
 
 
 def test_all_queries_are_held_against_something():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"volatility_breakout"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"volatility_breakout", "volatility_breakout_curve", "premium_reversion"}

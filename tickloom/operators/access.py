@@ -58,3 +58,11 @@ def band(instruments: DataFrame, spot: float, step: float, steps: int) -> DataFr
     atm = round(spot / step) * step
     near = instruments.where(F.col("strike").between(atm - steps * step, atm + steps * step))
     return near.join(F.broadcast(near.agg(F.min("lot_size").alias("lot_size"))), "lot_size")
+
+
+def strikes_near(options: DataFrame, spot: float, step: float, steps: int, today: str) -> DataFrame:
+    """Options of the first expiry from today on whose strike is within `steps` of the nearest one to spot."""
+    atm = round(spot / step) * step
+    open_ = options.where(F.col("expiry") >= F.lit(today).cast("date"))
+    first = open_.agg(F.min("expiry").alias("expiry"))
+    return open_.where(F.col("strike").between(atm - steps * step, atm + steps * step)).join(F.broadcast(first), "expiry").select(*options.columns)

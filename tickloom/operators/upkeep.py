@@ -25,6 +25,23 @@ def activate(instruments: DataFrame, spot: float, step: int, steps: int) -> Data
     return instruments.withColumn("is_active", F.coalesce(F.col("strike").between(atm - steps * step, atm + steps * step), F.lit(False)))
 
 
+def activate_daily(instruments: DataFrame, name: str, today: str, spot: float | None, step: int = 50, steps: int = 10) -> DataFrame:
+    """instruments (name, symbol, instrument_type, expiry, strike, is_active) with the day's flags, in one pass over a one-row
+    minimum: expired ones off; a name's index and its open futures on; its options off but for those of the next expiry within
+    `steps` strikes of spot (all off without a spot). The flags of all others stay."""
+    day = F.lit(today).cast("date")
+    kind, own, open_ = F.col("instrument_type"), F.col("name") == name, F.col("expiry") >= day
+    option = (kind == "OPTIDX") & own
+    first = instruments.where(option & open_).agg(F.min("expiry").alias("next_expiry"))
+    near = F.lit(False)
+    if spot is not None:
+        atm = round(spot / step) * step
+        near = (F.col("expiry") == F.col("next_expiry")) & F.col("strike").between(atm - steps * step, atm + steps * step)
+    index = (kind == "AMXIDX") & (own | (F.col("symbol") == name))
+    flag = F.when(option, F.coalesce(near, F.lit(False))).when(index | ((kind == "FUTIDX") & own & open_), True).when(F.col("expiry") < day, False).otherwise(F.col("is_active"))
+    return instruments.join(F.broadcast(first)).withColumn("is_active", flag).drop("next_expiry")
+
+
 def split(rows: DataFrame, today: str, keep_days: int) -> tuple[DataFrame, DataFrame]:
     """(kept, old) by the day of timestamp; at least one day is kept."""
     cutoff = F.date_sub(F.lit(today).cast("date"), max(1, keep_days) - 1).cast("timestamp_ntz")

@@ -62,16 +62,37 @@ def price(spot, strike, years, sigma, call) -> np.ndarray:
     return np.where((years > 0) & (sigma > 0), value, worth)
 
 
-def implied(spot, strike, years, paid, call, low: float = 0.001, high: float = 5.0, steps: int = 60) -> np.ndarray:
-    """The volatility at which price() is `paid`, by bisection on whole columns; NaN where no price between the bounds is."""
+def vega(spot, strike, years, sigma) -> np.ndarray:
+    """What a price gains with sigma."""
+    root = sigma * np.sqrt(years)
+    d1 = (np.log(spot / strike) + (RATE + sigma * sigma / 2) * years) / root
+    return spot * np.sqrt(years) * np.exp(-d1 * d1 / 2) / math.sqrt(2 * math.pi)
+
+
+def implied(spot, strike, years, paid, call, low: float = 0.001, high: float = 5.0, steps: int = 60, near: float = 1e-9) -> np.ndarray:
+    """The volatility at which price() is `paid`, for whole columns; NaN where no price between the bounds is.
+
+    Newton's steps, each halving its bracket instead where it would leave it; rows are dropped from the work as they are found.
+    """
     lo, hi = np.full(len(spot), low), np.full(len(spot), high)
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        over = price(spot, strike, years, mid, call) > paid
-        lo, hi = np.where(over, lo, mid), np.where(over, mid, hi)
+    with np.errstate(all="ignore"):
+        x = np.clip(np.nan_to_num(np.sqrt(2 * math.pi / years) * paid / spot, nan=0.5), 0.01, high)
+        left = np.arange(len(spot))
+        for _ in range(steps):
+            a = [v[left] for v in (spot, strike, years)]
+            off = price(*a, x[left], call[left]) - paid[left]
+            over = off > 0
+            hi[left], lo[left] = np.where(over, x[left], hi[left]), np.where(over, lo[left], x[left])
+            step = off / vega(*a, x[left])
+            to = x[left] - step
+            fine = np.isfinite(to) & (to > lo[left]) & (to < hi[left])
+            x[left] = np.where(fine, to, (lo[left] + hi[left]) / 2)
+            left = left[~(fine & (np.abs(step) < near))]
+            if not len(left):
+                break
     worth = np.maximum(np.where(call, spot - strike, strike - spot), 0)
-    good = (spot > 0) & (strike > 0) & (years > 0) & (paid > 0) & (paid >= worth - 0.01) & (lo > low) & (hi < high)
-    return np.where(good, (lo + hi) / 2, np.nan)
+    good = (spot > 0) & (strike > 0) & (years > 0) & (paid > 0) & (paid >= worth - 0.01) & (x > low + 1e-6) & (x < high - 1e-6)
+    return np.where(good, x, np.nan)
 
 
 @F.pandas_udf(DoubleType())

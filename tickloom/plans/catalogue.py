@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access, bars, breakouts, calendar, contracts, studies, upkeep, validation, volatility
+from ..operators import access, bars, breakouts, calendar, contracts, options, studies, upkeep, validation, volatility
 from ..sources import tables
 from ..streaming import ticks as stream
 
@@ -330,6 +330,65 @@ def raw_quarantine(spark, sf_dir):
     return contracts.quarantine(raw, contracts.findings(raw, contracts.BAR_5M)).drop("row")
 
 
+#: Options made of the parts: their prices come from a known volatility (sigma), which the solver has to find again.
+_OPTIONS = """o AS (SELECT p_partkey AS token, p_brand AS name, CASE WHEN p_partkey % 2 = 0 THEN 'CE' ELSE 'PE' END AS kind, 700 + p_partkey % 8 * 50 AS strike FROM part),
+c AS (SELECT l_partkey AS token, l_shipdate AS timestamp, 0.15 + (l_partkey % 30) / 100 AS sigma FROM lineitem GROUP BY ALL)"""
+
+
+def option_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """options, closes and underlying: a part is an option of its brand, its ship dates are its bars, a brand's price follows the day."""
+    some = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("token"), F.col("p_brand").alias("name"), F.when(F.col("p_partkey") % 2 == 0, "CE").otherwise("PE").alias("kind"), (700 + F.col("p_partkey") % 8 * 50).cast("double").alias("strike"), F.lit("2002-06-30").cast("date").alias("expiry"))
+    days = tables.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("token"), F.col("l_shipdate").alias("timestamp")).distinct()
+    spot = 1050.0 + F.pmod(F.datediff(F.col("timestamp"), F.lit("1992-01-01")) * 7, F.lit(100))
+    years = volatility.years_to(F.col("expiry"), F.to_date("timestamp"))
+    paid = volatility.priced(spot, F.col("strike"), years, 0.15 + (F.col("token") % 30) / 100, F.col("kind") == "CE")
+    closes = days.join(some, "token").select("token", "timestamp", paid.alias("close"))
+    under = days.join(some, "token").select("name", "timestamp").distinct().withColumn("close", spot)
+    return some, closes, under.withColumns({"open": F.col("close") - 1, "high": F.col("close") + 4, "low": F.col("close") - 3})
+
+
+@query(f"WITH {_OPTIONS} SELECT token, timestamp, round(sigma, 3) AS iv FROM c JOIN o USING (token)")
+def implied_history(spark, sf_dir):
+    return options.history(*option_tables(spark, sf_dir)).select("token", "timestamp", F.round("iv", 3).alias("iv"))
+
+
+@query(f"WITH {_OPTIONS}, n AS (SELECT DISTINCT token, sigma FROM c WHERE timestamp <= TIMESTAMP '1997-06-30' AND timestamp > TIMESTAMP '1990-01-01'), x AS (SELECT name, CAST(strike AS DOUBLE) AS strike, arg_max(sigma, token) FILTER (WHERE kind = 'CE') AS ce, arg_max(sigma, token) FILTER (WHERE kind = 'PE') AS pe FROM o JOIN n USING (token) GROUP BY 1, 2) SELECT name, strike, round(ce * 100, 1) AS ce_iv, round(pe * 100, 1) AS pe_iv FROM x")
+def implied_chain(spark, sf_dir):
+    """The last close as of a day is priced anew at that day, so that its volatility is the one it was made with."""
+    some, closes, under = option_tables(spark, sf_dir)
+    at = datetime(1997, 6, 30)
+    spot = options.last_closes(under, "name", at).select("name", F.col("close").alias("spot"))
+    years = volatility.years_to(F.col("expiry"), F.lit(at.date()))
+    known = closes.select("token", "timestamp").join(some, "token").join(spot, "name")
+    closes = known.select("token", "timestamp", volatility.priced(F.col("spot"), F.col("strike"), years, 0.15 + (F.col("token") % 30) / 100, F.col("kind") == "CE").alias("close"))
+    return options.chain(some, closes, under, at).select("name", "strike", F.round("ce_iv", 1).alias("ce_iv"), F.round("pe_iv", 1).alias("pe_iv"))
+
+
+@query(f"WITH {_OPTIONS}, u AS (SELECT name, max(timestamp) AS last FROM o JOIN c USING (token) WHERE timestamp <= TIMESTAMP '1997-06-30' GROUP BY 1), s AS (SELECT name, 1050.0::DOUBLE + (date_diff('day', TIMESTAMP '1992-01-01', last) * 7) % 100 AS spot FROM u) SELECT name, spot, CAST(round_even(spot / 50, 0) * 50 AS DOUBLE) AS atm, (SELECT count(DISTINCT strike) FROM o WHERE o.name = s.name AND token IN (SELECT token FROM c)) AS strikes FROM s")
+def at_the_money(spark, sf_dir):
+    return options.at_the_money(*option_tables(spark, sf_dir), datetime(1997, 6, 30)).select("name", "spot", "atm", F.size("strikes").cast("bigint").alias("strikes"))
+
+
+@query()
+def premium_reversion(spark, sf_dir):
+    """Path-dependent: its runs are held against a plain loop in the tests."""
+    some, closes, under = option_tables(spark, sf_dir)
+    return studies.closed(options.reversion(options.premium(some, closes, under, n=5), hold=10))
+
+
+@query()
+def volatility_breakout_curve(spark, sf_dir):
+    """Path-dependent: held against a plain loop in the tests."""
+    return studies.curve(studies.breakout_run(hours(spark, sf_dir), 5, 20, hold=15))
+
+
+@query("WITH i AS (SELECT p_partkey AS token, CASE WHEN p_partkey % 5 = 0 THEN 'NIFTY' ELSE p_brand END AS name, p_name AS symbol, CASE p_partkey % 3 WHEN 0 THEN 'OPTIDX' WHEN 1 THEN 'FUTIDX' ELSE 'AMXIDX' END AS instrument_type, p_retailprice AS strike, DATE '2026-09-01' + CAST(p_partkey % 4 * 7 AS INTEGER) AS expiry, p_partkey % 2 = 0 AS is_active FROM part) SELECT token, CASE WHEN instrument_type = 'OPTIDX' AND name = 'NIFTY' THEN expiry = DATE '2026-09-15' AND strike BETWEEN 900 AND 1000 WHEN name = 'NIFTY' AND (instrument_type = 'AMXIDX' OR expiry >= DATE '2026-09-10') THEN true WHEN expiry < DATE '2026-09-10' THEN false ELSE is_active END AS is_active FROM i")
+def activate_daily(spark, sf_dir):
+    n = F.col("p_partkey")
+    some = tables.table(spark, sf_dir, "part").select(n.alias("token"), F.when(n % 5 == 0, "NIFTY").otherwise(F.col("p_brand")).alias("name"), F.col("p_name").alias("symbol"), F.element_at(F.array(F.lit("OPTIDX"), F.lit("FUTIDX"), F.lit("AMXIDX")), (n % 3 + 1).cast("int")).alias("instrument_type"), F.col("p_retailprice").alias("strike"), F.date_add(F.lit("2026-09-01").cast("date"), (n % 4 * 7).cast("int")).alias("expiry"), (n % 2 == 0).alias("is_active"))
+    return upkeep.activate_daily(some, "NIFTY", "2026-09-10", 951.0, 10, 5).select("token", "is_active")
+
+
 #: The events come at all hours, so their sessions are whole days and their candles hours.
 ALL_DAY = breakouts.Clock(open=0, short=180, first=360, levels=60, exit=1380, candle=60)
 _SUITE = BARS.replace("{w}", "5 minutes") + """, e AS (SELECT instrument, CAST(timestamp AS DATE) AS day, hour(timestamp) * 60 + minute(timestamp) AS minute, high, low, close FROM bars QUALIFY count(*) OVER (PARTITION BY instrument, CAST(timestamp AS DATE)) >= 3),
