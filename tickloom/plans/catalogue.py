@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, bars, breakouts, calendar, contracts, options, studies, upkeep, validation, volatility
 from ..sources import tables
+from ..streaming import feed
 from ..streaming import ticks as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,6 +390,36 @@ def activate_daily(spark, sf_dir):
     return upkeep.activate_daily(some, "NIFTY", "2026-09-10", 951.0, 10, 5).select("token", "is_active")
 
 
+def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as lines of the feed: every seventh without the exchange's clock, every eleventh with none at all."""
+    n, cents = F.col("event_id"), F.round(F.col("value") * 100).cast("bigint").cast("string")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 - 19800
+    level = F.array(F.struct(cents.alias("price"), n.alias("quantity"), F.lit(0).alias("num_orders"), F.lit(3).alias("orders")), F.struct(F.lit(None).cast("string").alias("price"), n.alias("quantity"), F.lit(1).alias("num_orders"), F.lit(1).alias("orders")))
+    packet = F.struct(F.col("event_type").alias("token"), n.alias("sequence_number"), cents.alias("last_traded_price"), F.when((n % 7 != 0) & (n % 11 != 0), F.floor(seconds * 1000).cast("string")).alias("exchange_timestamp"), F.when(n % 11 != 0, F.floor(seconds).cast("string")).otherwise("0").alias("last_traded_timestamp"), level.alias("best_5_buy_data"))
+    return tables.table(spark, sf_dir, "events").select(F.to_json(packet).alias("value"), F.col("ts").alias("received"))
+
+
+def feed_tokens(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES ('click', 'CLICK-EQ'), ('view', 'VIEW-EQ'), ('purchase', 'BUY-EQ') AS t(token, instrument)")
+
+
+@query("SELECT CASE event_type WHEN 'click' THEN 'CLICK-EQ' WHEN 'view' THEN 'VIEW-EQ' ELSE 'BUY-EQ' END AS instrument, CASE WHEN event_id % 11 = 0 THEN ts WHEN event_id % 7 = 0 THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END AS timestamp, event_id AS sequence_number, round(value * 100) / 100 AS ltp, CASE WHEN event_id % 11 = 0 THEN 'received' WHEN event_id % 7 = 0 THEN 'last_traded' ELSE 'exchange' END AS time_source, 1::BIGINT AS levels, 3::BIGINT AS orders FROM events WHERE event_type IN ('click', 'view', 'purchase') AND round(value * 100) > 0")
+def feed_ticks(spark, sf_dir):
+    out = feed.parsed(feed.packets(feed_lines(spark, sf_dir)), feed_tokens(spark))
+    return out.select("instrument", "timestamp", "sequence_number", "ltp", "time_source", F.size("best_5_buy").cast("bigint").alias("levels"), F.get("best_5_buy", F.lit(0))["orders"].alias("orders"))
+
+
+@query("SELECT CASE WHEN event_id % 11 = 0 THEN 'received' WHEN event_id % 7 = 0 THEN 'last_traded' ELSE 'exchange' END AS time_source, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') AND round(value * 100) > 0 GROUP BY 1")
+def feed_clocks(spark, sf_dir):
+    return feed.sources(feed.parsed(feed.packets(feed_lines(spark, sf_dir)), feed_tokens(spark)))
+
+
+@query("WITH s AS (SELECT p_partkey AS token, CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 END AS exchange_type FROM part WHERE p_partkey % 6 < 5 ORDER BY p_type, p_name, p_partkey LIMIT 1000) SELECT CAST(exchange_type AS INTEGER) AS exchange_type, list_sort(list(token)) AS tokens FROM s GROUP BY 1")
+def feed_subscriptions(spark, sf_dir):
+    exchange = F.element_at(F.array(*[F.lit(x) for x in ("NSE", "NFO", "BSE", "BFO", "MCX", "NCX")]), (F.col("token") % 6 + 1).cast("int"))
+    return feed.subscriptions(tables.instruments(spark, sf_dir).withColumn("exchange", exchange))
+
+
 #: The events come at all hours, so their sessions are whole days and their candles hours.
 ALL_DAY = breakouts.Clock(open=0, short=180, first=360, levels=60, exit=1380, candle=60)
 _SUITE = BARS.replace("{w}", "5 minutes") + """, e AS (SELECT instrument, CAST(timestamp AS DATE) AS day, hour(timestamp) * 60 + minute(timestamp) AS minute, high, low, close FROM bars QUALIFY count(*) OVER (PARTITION BY instrument, CAST(timestamp AS DATE)) >= 3),
