@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tests.compare import SMALL
-from tickloom.operators import breakouts, calendar, contracts, options, studies
+from tickloom.operators import breakouts, calendar, contracts, options, studies, validation, volatility
 from tickloom.plans import catalogue
 
 DAY = datetime(2026, 9, 3)
@@ -143,3 +143,12 @@ def test_premiums_revert_by_the_loop(spark):
     for k, rows in each.items():
         trades += [(str(k), *t[:5]) for t in looped(rows, 10, studies.CAPITAL, studies.NOTIONAL)[0]]
     assert trades and sorted(trades) == sorted((r.instrument, r.entered, r.left, r.side, r.quantity, r.reason) for r in got)
+
+
+def test_windows_in_parts_are_windows(spark):
+    rows = catalogue.hours(spark, SMALL)
+    whole, small = (sorted(map(tuple, volatility.realised(rows, 7, size).collect())) for size in (10**6, 8))
+    assert len(whole) == rows.count() and repr(whole) == repr(small)
+    bad = catalogue.faulty(spark, SMALL)
+    whole, small = (sorted(map(tuple, validation.sequence_findings(bad, size=size).collect())) for size in (10**6, 3))
+    assert whole and whole == small

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ordered
+
 OPEN, CLOSE = 9 * 3600 + 15 * 60, 15 * 3600 + 30 * 60
 WARNINGS = ("out_of_session", "volume_regression", "unexpected_gap", "unknown_field", "ltp_outside_day_range")
 #: Counters of a report and the codes that count in them.
@@ -48,12 +50,16 @@ def row_findings(bars: DataFrame, minutes: int) -> DataFrame:
     return bars.select("instrument", "sequence_number", F.explode(codes).alias("code")).withColumn("severity", severity(F.col("code")))
 
 
-def sequence_findings(rows: DataFrame) -> DataFrame:
-    """Repeated timestamps, and timestamps before that of the record in front; rows arrive in the order of sequence_number."""
-    order = "PARTITION BY instrument ORDER BY sequence_number"
-    seen = rows.where("timestamp IS NOT NULL").withColumns({"again": F.expr("row_number() OVER (PARTITION BY instrument, timestamp ORDER BY sequence_number)"), "front": F.expr(f"lag(timestamp) OVER ({order})")})
-    code = F.when(F.col("again") > 1, "duplicate_timestamp").when(F.col("timestamp") <= F.col("front"), "out_of_order")
-    return seen.select("instrument", "sequence_number", code.alias("code")).where("code IS NOT NULL").withColumn("severity", severity(F.col("code")))
+def sequence_findings(rows: DataFrame, strict: bool = True, size: int = 10_000) -> DataFrame:
+    """Repeated timestamps, and timestamps before that of the record in front (or, if strict, at it); rows arrive in the order of
+    sequence_number. Repeats are found by timestamp, the record in front in parts of about `size` records."""
+    dated = rows.where("timestamp IS NOT NULL").select("instrument", "sequence_number", "timestamp")
+    each = ordered.parts(ordered.numbered(dated, "instrument", "sequence_number", F.floor(F.col("sequence_number") / 100_000)), 1, size)
+    seen = each.withColumn("front", F.expr("lag(timestamp) OVER (PARTITION BY instrument, part ORDER BY k)")).where("own")
+    again = seen.withColumn("again", F.expr("row_number() OVER (PARTITION BY instrument, timestamp ORDER BY sequence_number)"))
+    late = F.col("timestamp") <= F.col("front") if strict else F.col("timestamp") < F.col("front")
+    code = F.when(F.col("again") > 1, "duplicate_timestamp").when(late, "out_of_order")
+    return again.select("instrument", "sequence_number", code.alias("code")).where("code IS NOT NULL").withColumn("severity", severity(F.col("code")))
 
 
 def volume_findings(rows: DataFrame) -> DataFrame:

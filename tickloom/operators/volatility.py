@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions import ordered
+
 #: Bars a day and days a year; the rate of interest.
 BARS, DAYS, RATE = 75, 252, 0.065
 ANNUAL = math.sqrt(BARS * DAYS)
@@ -36,11 +38,15 @@ def estimators(n: int, by: str = "instrument", order: str = "timestamp") -> dict
     }
 
 
-def realised(bars: DataFrame, n: int) -> DataFrame:
-    """bars with the four estimators. Bars whose prices aren't all positive are left out."""
-    good = bars.where("open > 0 AND high > 0 AND low > 0 AND close > 0")
-    step = good.withColumn("ret", F.expr("ln(close / lag(close) OVER (PARTITION BY instrument ORDER BY timestamp))"))
-    return step.select("instrument", "timestamp", *[F.round(x, 6).alias(k) for k, x in estimators(n).items()])
+def realised(bars: DataFrame, n: int, size: int = 10_000) -> DataFrame:
+    """bars with the four estimators. Bars whose prices aren't all positive are left out.
+
+    The windows run over parts of about `size` bars, each with the n bars in front, so an instrument's bars needn't fit a task.
+    """
+    good = bars.where("timestamp IS NOT NULL AND open > 0 AND high > 0 AND low > 0 AND close > 0").select("instrument", "timestamp", "open", "high", "low", "close")
+    each = ordered.parts(ordered.numbered(good, "instrument", "timestamp", F.to_date("timestamp")), n, size).withColumn("_key", F.struct("instrument", "part"))
+    step = each.withColumn("ret", F.expr("ln(close / lag(close) OVER (PARTITION BY _key ORDER BY k))"))
+    return step.select("instrument", "timestamp", "own", *[F.round(x, 6).alias(c) for c, x in estimators(n, by="_key", order="k").items()]).where("own").drop("own")
 
 
 def regime(vol: Column) -> Column:
