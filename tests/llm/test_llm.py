@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -297,3 +298,45 @@ def test_passages_move_with_inserted_lines():
     body = "\n".join(f"line {i} of a passage" for i in range(40))
     a, b = ({c for c, *_ in linededup.chunks(t.encode())} for t in (body, "new first line\n" + body))
     assert len(a & b) >= len(a) - 2
+
+
+def test_repeated_runs_of_short_lines_all_go(spark):
+    """Passages of 2 to 8 lines under 50 words, over 50 together, in other contexts each time, against all pairs of runs."""
+    r = random.Random(5)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    shared = [[line(51 // k + r.randrange(1, 4)) for _ in range(k)] for k in range(2, 9) for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        parts = [[line(r.randrange(1, 20)) for _ in range(r.randrange(1, 5))] for _ in range(4)]
+        for p in r.sample(shared, 3):
+            parts.insert(r.randrange(len(parts)), [*p[:1], *([""] if len(p) == 5 else []), *p[1:]])
+        texts.append([x for p in parts for x in p])
+    texts.append([line(10)] * 30)
+
+    gone, seen = [], {}
+    for d, lines in enumerate(texts):
+        out, start = set(), 0
+        here = [(i, j, "\n".join(lines[i : j + 1])) for i in range(len(lines)) for j in range(i, len(lines)) if lines[i] and lines[j] and len(" ".join(lines[i : j + 1]).split()) > 50]
+        for i, j, x in here:
+            of, end = seen.setdefault(x, (d, j))
+            if of < d or end < i:
+                out.update(range(i, j + 1))
+        gone.append(out)
+    docs = spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(texts)], "doc_id bigint, text string")
+    for n in linededup.repeated(docs).collect():
+        start = 0
+        for k, (_, size, *_) in enumerate(linededup.chunks("\n".join(texts[n.id]).encode())):
+            gone[n.id].update(range(start, start + size) if k in n.gone else ())
+            start += size
+    got = {x.doc_id: x for x in linededup.passages(docs).collect()}
+    for d, lines in enumerate(texts):
+        stay = [x for i, x in enumerate(lines) if i not in gone[d]]
+        assert [x for x in got[d].text.split("\n") if x] == [x for x in stay if x]
+        assert got[d].n_lines == len(lines) and got[d].gone_words == len(" ".join(lines).split()) - len(" ".join(stay).split())
+    assert sum(x.gone_words for x in got.values()) > sum(x.gone_words for x in linededup.report(docs).collect())
+
+
+def test_repeated_runs_of_odd_rows(odd):
+    got = linededup.passages(odd).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(t[0]) for t in TEXTS) and linededup.passages(odd.limit(0)).count() == 0
+    assert [r.text for r in got if r.doc_id == 1] == [None]

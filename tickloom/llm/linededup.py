@@ -4,6 +4,9 @@ A rolling hash over the hashes of two neighbouring lines decides whether a chunk
 the lines around them alone and move with inserted text. A line of 50 words or more is a chunk by itself. Chunks of two
 lines with words or more, or of 50 words or more, are compared over the whole corpus: first by hash, then, where a hash
 occurs again, by their bytes. All but the first occurrence (by doc_id, nulls last, then position) go.
+
+So op6_linededup and its SQL. Chunks hang on the lines in front of them, so a passage of short lines may share none with its
+copy; passages() finds these as well: every run of whole lines of over PASSAGE words that stands earlier in the order above.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from .common import kept, per_text, row_of
 
 #: A boundary follows one pair of lines in DIVISOR on average; a line of LONG words stands alone.
 DIVISOR, LONG, BASE, MODULUS = 3, 50, 31, 1 << 32
+#: Words that a repeated run of lines has more of, whatever the chunks.
+PASSAGE = 50
 
 
 def line_hash(line: bytes) -> int:
@@ -109,6 +114,92 @@ def replaced(docs: DataFrame) -> DataFrame:
     return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
+def windows(text: bytes | None) -> tuple[list[int], list[int], list[int], list[int]]:
+    """First and last line and 128-bit digest (two halves) of the shortest windows of over PASSAGE words: for each line with
+    words, the one that begins and the one that ends there.
+
+    Which windows lie in a run of lines depends on the run alone, and they cover its lines with words, so two texts share a
+    run of over PASSAGE words just where they share windows. A byte is in PASSAGE + 1 windows of a kind at most.
+    """
+    lines = text.split(b"\n") if text else []
+    at, full, upto, offset = [], [], [0], 0
+    for i, line in enumerate(lines):
+        at.append(offset)
+        offset += len(line) + 1
+        if n := len(line.split()):
+            full.append(i)
+            upto.append(upto[-1] + n)
+    spans, j = set(), 0
+    for i in range(len(full)):
+        while j < len(full) and upto[j + 1] - upto[i] <= PASSAGE:
+            j += 1
+        if j == len(full):
+            break
+        spans.add((full[i], full[j]))
+    i = 0
+    for j in range(len(full)):
+        while upto[j + 1] - upto[i + 1] > PASSAGE:
+            i += 1
+        if upto[j + 1] - upto[i] > PASSAGE:
+            spans.add((full[i], full[j]))
+    out: tuple[list[int], ...] = ([], [], [], [])
+    for a, b in sorted(spans):
+        digest = hashlib.blake2b(text[at[a] : at[b] + len(lines[b])], digest_size=16).digest()
+        for held, x in zip(out, (a, b, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True))):
+            held.append(x)
+    return out
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> id, id_hash, spans: for each text that has windows of an earlier place, their first and last
+    lines as first * 2^32 + last. In one text, a window that overlaps its first occurrence isn't a repetition."""
+    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("id_hash"), "text")
+    found = per_text(keyed, "a array<int>, b array<int>, hi array<bigint>, lo array<bigint>", lambda: windows)
+    each = kept(found.select("id", "id_hash", F.explode(F.arrays_zip("a", "b", "hi", "lo")).alias("x")).select("id", "id_hash", "x.*"), "windows")
+    again = kept(each.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo"), "windows_again")
+    who = F.struct(F.col("id").isNull().alias("none"), "id", "id_hash", "a").alias("who")
+    same = kept(each.join(again.hint("merge"), ["hi", "lo"]).select("hi", "lo", who, (F.col("b") - F.col("a")).alias("more")), "windows_same")
+    first = kept(same.groupBy("hi", "lo").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("hi", "lo", "first"), "windows_first")
+    elsewhere = ~(F.col("who.id").eqNullSafe(F.col("first.id")) & (F.col("who.id_hash") == F.col("first.id_hash")))
+    later = same.join(first.hint("merge"), ["hi", "lo"]).where(elsewhere & (F.col("who") > F.col("first")) | ~elsewhere & (F.col("who.a") > F.col("first.a") + F.col("more")))
+    span = F.shiftleft(F.col("who.a").cast("bigint"), 32) + F.col("who.a") + F.col("more")
+    return later.groupBy("who.id", "who.id_hash").agg(F.collect_set(span).alias("spans"))
+
+
+def without_runs(text: bytes | None, gone: dict | None) -> tuple[str | None, int, int, int]:
+    """text without the lines of these chunks and spans; its lines, and the lines and words that went."""
+    if text is None:
+        return None, 0, 0, 0
+    lines, out, start = text.split(b"\n"), set(), 0
+    if gone:
+        asked = set(gone["chunks"])
+        for k, (_, n, _, _) in enumerate(chunks(text) if asked else ()):
+            if k in asked:
+                out.update(range(start, start + n))
+            start += n
+        reached = 0
+        for span in sorted(gone["spans"]):
+            a, b = span >> 32, span & 0xFFFFFFFF
+            out.update(range(max(a, reached), b + 1))
+            reached = max(reached, b + 1)
+    rest = b"\n".join(x for i, x in enumerate(lines) if i not in out) if out else text
+    return rest.decode("utf-8", "replace"), len(lines), len(out), sum(len(lines[i].split()) for i in out)
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """report() with all repeated runs of over PASSAGE words gone too: the same columns. Each line that goes stands, equal, at
+    an earlier place, and the first such place keeps it. Only lines without words may stay of a run."""
+    docs = docs.select("doc_id", "text")
+    none = {"chunks": F.lit(None).cast("array<int>"), "spans": F.lit(None).cast("array<bigint>")}
+    both = repeated(docs).select("id", "id_hash", F.col("gone").alias("chunks"), none["spans"].alias("spans")).unionByName(runs(docs).select("id", "id_hash", none["chunks"].alias("chunks"), "spans"))
+    gone = kept(both.groupBy("id", "id_hash").agg(F.struct(*[F.flatten(F.collect_list(c)).alias(c) for c in none]).alias("gone")), "gone_both")
+    gone = gone.withColumnsRenamed({"id": "of", "id_hash": "of_hash"})
+    rows = docs.select("doc_id", F.xxhash64("text").alias("id_hash"), "text")
+    joined = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("id_hash") == F.col("of_hash")), "left").select("doc_id", "text", "gone")
+    out = per_text(joined, "new_text string, n_lines bigint, gone_lines bigint, gone_words bigint", lambda: without_runs, also="gone")
+    return out.withColumnRenamed("new_text", "text")
+
+
 LINES_SQL = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 h AS (SELECT *, CAST(('0x' || substr(md5(line), 1, 8)) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),

@@ -38,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": _of_documents(quality.assess),
     "op5_mixing": _of_documents(mixing.mix),
     "op6_linededup": _of_documents(linededup.report),
+    "op6_passages": _of_documents(linededup.passages),
     "op7_toxicity": op7_toxicity,
     "op8_tokencount": _of_documents(lambda docs: tokencount.counted(docs, RANKS, PRETOKENS)),
     "op9_langid": _of_documents(langid.identify),
