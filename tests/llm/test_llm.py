@@ -119,6 +119,19 @@ def test_equal_payloads_revisit_the_smallest_page(spark):
     assert got == sorted([(0, 100, "response", None), (1, 100, "response", None), (1, 100, "response", None), (2, 100, "revisit", 1), (3, 100, "revisit", 1), (4, 99, "response", None), (5, 99, "response", None), (6, 0, "response", None)])
 
 
+def test_foreign_arc_records(spark, tmp_path):
+    """HTTP without a length, HTTP with a wrong one, a revisit of it, and no HTTP at all."""
+    same = b"y" * 120
+    blocks = [("http://a/", "text/html", b"HTTP/1.0 200 OK\r\nX-Page-Id: 1\r\n\r\n" + same), ("http://b/", "text/html", b"HTTP/1.0 200 OK\r\nContent-Length: 7\r\nX-Page-Id: 2\r\n\r\n" + same), ("http://c/", "text/html", b"HTTP/1.0 200 OK\r\nContent-Length: 7\r\n\r\nabc"), ("dns:a", "text/dns", b"20240101000000\na. IN A 1.2.3.4\n")]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc/f.arc").write_bytes(warc.arc_head(1, "f") + b"".join(b"\n%s 0.0.0.0 20240101000000 %s %d\n%s" % (u.encode(), m.encode(), len(b), b) for u, m, b in blocks) + b"\n")
+    warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    got = {r.url: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, f"{tmp_path}/warc").collect()}
+    assert got == {"http://a/": (120, "response", None), "http://b/": (120, "revisit", 1), "http://c/": (3, "response", None), "dns:a": (31, "resource", None)}
+    held = [x for f in (tmp_path / "warc").glob("part-*") for x in warc.parse_warc(f.read_bytes())]
+    assert [(f["content-type"], b) for f, b in held if f["warc-type"] == "resource"] == [("text/dns", blocks[3][2])]
+
+
 # media
 
 

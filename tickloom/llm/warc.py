@@ -210,25 +210,27 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + CRLF * 2 + block
 
 
-def converted(page_id, url, ip, date, mime, status, head, payload, digest, first) -> bytes:
-    """The WARC record of an ARC record; first: the page whose equal payload it revisits, or None."""
-    kind = "response" if first is None else "revisit"
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", warc_id(url, date, digest, page_id)), ("WARC-Date", warc_date(date)), ("WARC-Target-URI", _field(url)), ("WARC-IP-Address", ip), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
+def converted(page_id, url, ip, date, mime, status, head, payload, digest, first, size) -> bytes:
+    """The WARC record of an ARC record; first: the page whose equal payload it revisits, or None. A record that has no HTTP
+    head (dns:, ftp:) is a resource of its own media type, and its block is the payload alone."""
+    kind = "revisit" if first is not None else "response" if head else "resource"
+    media = "application/http; msgtype=response" if head else mime or "application/octet-stream"
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", warc_id(url, date, digest, page_id)), ("WARC-Date", warc_date(date)), ("WARC-Target-URI", _field(url)), ("WARC-IP-Address", ip), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", media)]
     if first is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(first))]
-    return warc_record(fields, head + CRLF * 2 + (payload if first is None else b""))
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(first)), ("X-Payload-Length", str(size))]
+    return warc_record(fields, (head + CRLF * 2 if head else b"") + (payload if first is None else b""))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
     """read_arc()'s records with refers_to, as WARC files at path; each begins with a warcinfo record."""
-    names = [x.split(" ")[0] for x in RECORD.split(", ")] + ["digest", "refers_to"]
+    names = [x.split(" ")[0] for x in RECORD.split(", ")] + ["digest", "refers_to", "size"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = [warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMESPACE, path)}>"), ("WARC-Date", warc_date(ARC_DATE)), ("Content-Type", "application/warc-fields")], b"software: tickloom\r\nformat: WARC File Format 1.1\r\n")]
         for b in batches:
             for row in zip(*(b.column(n) for n in names)):
-                *rest, head, payload, digest, first = (x.as_py() for x in row)
-                info.append(converted(*rest, head, zlib.decompress(payload) if payload else b"", digest, first))
+                *rest, head, payload, digest, first, size = (x.as_py() for x in row)
+                info.append(converted(*rest, head, zlib.decompress(payload) if payload else b"", digest, first, size))
                 if len(info) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(info, pa.binary())], ["record"])
                     info = []
@@ -255,14 +257,16 @@ def parse_warc(data: bytes) -> Iterator[tuple]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url, date for each response and revisit
-    below path. A response's digest and length are taken from its payload, which must agree with its header; a revisit has
-    those of the payload that it stands for in its headers."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url, date for each response, resource
+    and revisit below path. A payload's length is that of its bytes, whatever an HTTP header says, and its digest must agree
+    with the record's; a revisit has both of the payload that it stands for in its WARC headers."""
 
     def one(fields: dict[str, str], block: bytes) -> tuple:
-        _, payload, http, _ = _http(block)
-        digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), int(http["content-length"])
-        if fields["warc-type"] == "response" and (hashlib.sha256(payload).hexdigest(), len(payload)) != (digest, size):
+        _, payload, http, _ = _http(block) if fields["warc-type"] != "resource" else (b"", block, {}, None)
+        digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), len(payload)
+        if fields["warc-type"] == "revisit":
+            size = int(fields.get("x-payload-length") or http["content-length"])
+        elif hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"the payload of {fields['warc-record-id']} isn't what its headers say")
         page, first = http.get("x-page-id"), fields.get("x-refers-to-page-id")
         return (int(page) if page else None, size, digest, fields["warc-type"], int(first) if first else None, fields["warc-record-id"], _value(fields["warc-target-uri"]), fields["warc-date"])
@@ -271,7 +275,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for b in batches:
             for data in b.column(0):
-                got = [one(f, block) for f, block in parse_warc(data.as_py()) if f["warc-type"] in ("response", "revisit")]
+                got = [one(f, block) for f, block in parse_warc(data.as_py()) if f["warc-type"] in ("response", "resource", "revisit")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], t) for i, t in enumerate(types)], READ.replace(" bigint", "").replace(" string", "").split(", "))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, READ)
