@@ -155,6 +155,15 @@ def test_sequence_of_a_page():
     assert media.sequence(None) == media.sequence("") == []
 
 
+def test_captions_in_front_of_behind_and_left_open():
+    a, b = '<img src="a" alt="old">', '<img src="b">'
+    for inner in (f"<figcaption>new</figcaption>{a}{b}", f"{a}{b}<figcaption>new</figcaption>", f"{a}<figcaption>new</figcaption>{b}", f"<figcaption>new{a}{b}", f"{a}{b}<figcaption>new"):
+        got = [(i["pos"], i["text"] or i["ref"], i["caption"]) for i in media.sequence(f"<p>one</p><figure>{inner}</figure><p>later</p><img src='c' alt='own'>")]
+        assert got == [(0, "one", None), (1, "a", "new"), (2, "b", "new"), (3, "later", None), (4, "c", "own")]
+    assert [(i["ref"], i["caption"]) for i in media.sequence(f"<figure>{a}<figcaption>new")] == [("a", "new")]
+    assert [(i["pos"], i["text"]) for i in media.sequence("<figure><figcaption>alone</figcaption><table><tr><td>x</table></figure>end")] == [(0, "alone"), (1, "x"), (2, "end")]
+
+
 # mixing
 
 

@@ -32,14 +32,37 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.hidden, self.figure, self.caption = 0, [], None
+        self.hidden = 0
+        #: Of each open figure: its media, the parts of an open caption, the last whole caption and the item it stands before.
+        self.figures: list[dict] = []
 
     def part(self) -> None:
         text, self.text = "".join(self.text), []
-        if self.caption is not None:
-            self.caption.append(text)
+        if self.figures and self.figures[-1]["open"] is not None:
+            self.figures[-1]["open"].append(text)
         elif text.strip():
-            self.items.append({"pos": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+
+    def end_caption(self) -> None:
+        if self.figures and (parts := self.figures[-1]["open"]) is not None:
+            self.figures[-1] |= {"open": None, "caption": "".join(parts).strip(), "at": len(self.items)}
+
+    def end_figure(self) -> None:
+        """The caption goes to all of the figure's media, before and behind it; without media it is text."""
+        self.end_caption()
+        figure = self.figures.pop()
+        if figure["caption"] is not None:
+            for item in figure["media"]:
+                item["caption"] = figure["caption"]
+            if figure["caption"] and not figure["media"]:
+                self.items.insert(figure["at"], {"kind": "text", "text": figure["caption"], "ref": None, "caption": None})
+
+    def close(self) -> None:
+        super().close()
+        self.part()
+        while self.figures:
+            self.end_figure()
+        self.items = [{"pos": k} | item for k, item in enumerate(self.items)]
 
     def handle_starttag(self, tag, attrs) -> None:
         at = dict(attrs)
@@ -48,23 +71,25 @@ class _Sequence(HTMLParser):
         if tag in BLOCKS or tag == "img":
             self.part()
         if tag == "figure":
-            self.figure = []
-        elif tag == "figcaption":
-            self.caption = []
+            self.figures.append({"media": [], "open": None, "caption": None, "at": 0})
+        elif tag == "figcaption" and self.figures:
+            self.end_caption()
+            self.figures[-1]["open"] = []
         elif tag == "img":
             ref = (at.get("src") or "").removeprefix("sha256:")
-            self.items.append({"pos": len(self.items), "kind": "media", "text": None, "ref": ref, "caption": at.get("alt")})
-            self.figure.append(self.items[-1])
+            self.items.append({"kind": "media", "text": None, "ref": ref, "caption": at.get("alt")})
+            if self.figures:
+                self.figures[-1]["media"].append(self.items[-1])
 
     def handle_endtag(self, tag) -> None:
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         if tag in BLOCKS:
             self.part()
-        if tag == "figcaption" and self.caption is not None:
-            for item in self.figure:
-                item["caption"] = "".join(self.caption).strip()
-            self.caption = None
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
 
     def handle_data(self, data) -> None:
         if not self.hidden:
@@ -76,7 +101,6 @@ def sequence(page: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(page or "")
     p.close()
-    p.part()
     return p.items
 
 
