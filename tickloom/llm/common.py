@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,20 +18,57 @@ BROADCAST_ROWS = 20_000
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 
+#: Of each open block of swept(): the paths that go when it ends.
+_blocks: list[list[str]] = []
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all machines of the cluster share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER
-    return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}/{name}"
+    """A new path below the folder that all machines of the cluster share. Without one, a local folder on a local master; on
+    a cluster that would lose rows without an error, so it is one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        base = LOCAL_FOLDER
+    path = f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}/{name}"
+    if _blocks:
+        _blocks[-1].append(path)
+    return path
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: what follows doesn't recompute it, and a lost executor loses no part of it."""
+    """df written to the shared folder and read again: what follows doesn't recompute it, and a lost executor loses no part of it.
+    The table goes with the block of swept() that it is written in; outside of all it stays."""
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose kept() tables go when it ends, also if it fails. It yields a kept() whose tables outlive it: for what the
+    block has to hand on, since a frame that is read later needs its tables."""
+    mine: list[str] = []
+    _blocks.append(mine)
+
+    def outliving(df: DataFrame, name: str) -> DataFrame:
+        out = kept(df, name)
+        path = mine.pop()
+        if len(_blocks) > 1:
+            _blocks[-2].append(path)
+        return out
+
+    try:
+        yield outliving
+    finally:
+        _blocks.pop()
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def row_of(docs: DataFrame) -> Column:
     """The whole row as one struct, so that no name of an extra column can clash."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

@@ -1,12 +1,15 @@
 """Removal of passages that repeat across documents, by content-defined chunks of lines.
 
-A rolling hash over the hashes of two neighbouring lines decides whether a chunk ends after them, so boundaries depend on
-the lines around them alone and move with inserted text. A line of 50 words or more is a chunk by itself. Chunks of two
-lines with words or more, or of 50 words or more, are compared over the whole corpus: first by hash, then, where a hash
-occurs again, by their bytes. All but the first occurrence (by doc_id, nulls last, then position) go.
-
-So op6_linededup and its SQL. Chunks hang on the lines in front of them, so a passage of short lines may share none with its
-copy; passages() finds these as well: every run of whole lines of over PASSAGE words that stands earlier in the order above.
+The lines with words of a text follow each other, whatever lines without words lie between. A rolling hash over the hashes
+of two neighbouring lines chooses boundaries that depend on these lines and the next ones alone, so they move with inserted
+text: a pair is a boundary unless its hash is above both of its neighbours', or if it has over PASSAGE words. The two lines at
+a boundary are a chunk; a line of LONG words or more is one by itself.
+
+Chunks are compared over the whole corpus, by hash and, where a hash occurs again, by their bytes. A chunk that stands
+earlier (by doc_id, nulls last, then position) is repeated, and from it the match goes on to both sides, line by line, as
+long as neighbouring lines stand earlier, too. The lines of such a run go. So each repeated run of three lines or more goes,
+and each of two lines or one with over PASSAGE words; of shorter runs of two lines those that are a chunk. The first place of
+a line keeps it. A line without words goes with the lines around it.
 """
 
 from __future__ import annotations
@@ -16,55 +19,82 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, per_text, row_of
+from .common import kept, per_text, row_of, swept
 
-#: A boundary follows one pair of lines in DIVISOR on average; a line of LONG words stands alone.
-DIVISOR, LONG, BASE, MODULUS = 3, 50, 31, 1 << 32
-#: Words that a repeated run of lines has more of, whatever the chunks.
-PASSAGE = 50
+BASE, MODULUS = 31, 1 << 32
+#: A pair of lines with more words than PASSAGE is always a boundary, a line of LONG words a chunk.
+PASSAGE, LONG = 50, 50
 
 
 def line_hash(line: bytes) -> int:
     return int.from_bytes(hashlib.md5(line).digest()[:4], "big")
 
 
-def chunks(text: bytes | None) -> list[tuple[bytes, int, int, int]]:
-    """(bytes, lines, lines with words, words) of each chunk of a text in order. Null: none; an empty text is one empty line."""
+def laid(text: bytes | None) -> tuple[list[bytes], list[int], list[int]]:
+    """All lines of a text, and of those with words their numbers and how many words they have. Null: none; an empty text is
+    one empty line."""
     if text is None:
-        return []
-    out, start, before = [], 0, 0
+        return [], [], []
     lines = text.split(b"\n")
-    counts = [len(x.split()) for x in lines]
-    for i, line in enumerate(lines):
-        now = line_hash(line)
-        if (now + BASE * before) % MODULUS % DIVISOR == 0 or counts[i] >= LONG or i + 1 == len(lines) or counts[i + 1] >= LONG:
-            part = counts[start : i + 1]
-            out.append((b"\n".join(lines[start : i + 1]), len(part), sum(map(bool, part)), sum(part)))
-            start = i + 1
-        before = now
+    counted = [(i, n) for i, x in enumerate(lines) if (n := len(x.split()))]
+    return lines, [i for i, _ in counted], [n for _, n in counted]
+
+
+def boundaries(full: list[bytes], words: list[int]) -> list[bool]:
+    """Whether each pair of neighbouring lines with words is a boundary."""
+    h = [line_hash(x) for x in full]
+    r = [(b + BASE * a) % MODULUS for a, b in zip(h, h[1:])]
+    out = []
+    for k, x in enumerate(r):
+        least = [y for j in (k - 1, k + 1) if 0 <= j < len(r) for y in (r[j],)]
+        out.append(not least or x <= max(least) or words[k] + words[k + 1] > PASSAGE)
     return out
 
 
 def marks(text: bytes | None) -> tuple[list[int], list[int]]:
-    """Number and 63-bit hash of each chunk that is compared."""
-    got = [(k, c) for k, (c, _, full, words) in enumerate(chunks(text)) if full > 1 or words >= LONG]
-    return [k for k, _ in got], [int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "big") >> 1 for _, c in got]
+    """Number and 63-bit hash of what is compared: of the k-th line with words and the next (2k + 1), of a long line (2k)."""
+    lines, at, words = laid(text)
+    every = [(2 * k + 1, lines[i] + b"\n" + lines[j]) for k, (i, j) in enumerate(zip(at, at[1:]))]
+    every += [(2 * k, lines[i]) for k, (i, n) in enumerate(zip(at, words)) if n >= LONG]
+    return [k for k, _ in every], [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") >> 1 for _, x in every]
 
 
 def taken(text: bytes | None, numbers: list[int]) -> tuple[list[int], list[str]]:
-    """These chunks and their texts."""
-    every = chunks(text)
-    return numbers, [every[k][0].decode("utf-8", "replace") for k in numbers]
+    """These lines and pairs of lines as texts; only a pair has a line end."""
+    lines, at, _ = laid(text)
+    return numbers, [b"\n".join(lines[i] for i in at[n // 2 : n // 2 + 1 + n % 2]).decode("utf-8", "replace") for n in numbers]
+
+
+def repeated_lines(text: bytes, numbers: list[int]) -> set[int]:
+    """The lines that go, given the numbers (as in marks()) of what stands earlier."""
+    lines, at, words = laid(text)
+    again = set(numbers)
+    pairs = sorted(n // 2 for n in again if n % 2)
+    cut = boundaries([lines[i] for i in at], words) if pairs else []
+    gone = {n // 2 for n in again if not n % 2}
+    run: list[int] = []
+    for k in [*pairs, -1]:
+        if run and k != run[-1] + 1:
+            if any(cut[j] for j in run):
+                gone.update(range(run[0], run[-1] + 2))
+            run = []
+        run.append(k)
+    out = {at[k] for k in gone}
+    for k, (a, b) in enumerate(zip([-1, *at], [*at, len(lines)])):
+        beside = [j in gone for j in (k - 1, k) if 0 <= j < len(at)]
+        if beside and all(beside):
+            out.update(range(a + 1, b))
+    return out
 
 
 def without(text: bytes | None, numbers: list[int] | None) -> tuple[str | None, int, int, int]:
-    """text without these chunks; its lines, and the lines and words that went."""
+    """text without the lines that go; its lines, and the lines and words that went."""
     if text is None:
         return None, 0, 0, 0
-    every, gone = chunks(text), set(numbers or ())
-    rest = b"\n".join(c for k, (c, *_) in enumerate(every) if k not in gone) if gone else text
-    lost = [every[k] for k in gone]
-    return rest.decode("utf-8", "replace"), sum(n for _, n, _, _ in every), sum(n for _, n, _, _ in lost), sum(w for *_, w in lost)
+    lines = text.split(b"\n")
+    gone = repeated_lines(text, numbers) if numbers else set()
+    rest = b"\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
+    return rest.decode("utf-8", "replace"), len(lines), len(gone), sum(len(lines[i].split()) for i in gone)
 
 
 def _alike(a: str, b: str) -> Column:
@@ -72,28 +102,31 @@ def _alike(a: str, b: str) -> Column:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> id, id_hash, gone: for each text that loses chunks, their numbers. Rows alike in doc_id and
-    text are one document; id_hash is the text's hash."""
+    """docs (doc_id, text) -> id, id_hash, gone: for each text with something that stands earlier, the numbers of its pairs and
+    long lines that do, as in marks(). Rows alike in doc_id and text are one document; id_hash is the text's hash."""
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("id_hash"), "text")
-    found = per_text(keyed, "ks array<int>, marks array<bigint>", lambda: marks)
-    each = kept(found.select("id", "id_hash", F.explode(F.arrays_zip("ks", "marks")).alias("x")).select("id", "id_hash", F.col("x.ks").alias("k"), F.col("x.marks").alias("mark")), "chunks")
-    again = kept(each.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "marks")
-    asked = kept(each.join(again, "mark").groupBy("id", "id_hash").agg(F.sort_array(F.collect_set("k")).alias("ask")), "asked")
-    # a document may hold a repeated chunk whatever the corpus' size, so this side grows with it: never broadcast
-    texts = keyed.join(asked.withColumnsRenamed({"id": "of", "id_hash": "of_hash"}).hint("merge"), _alike("id", "of")).select("id", "id_hash", "text", "ask")
-    bytes_ = per_text(texts, "ks array<int>, chunk array<string>", lambda: taken, also="ask")
-    same = kept(bytes_.select("id", "id_hash", F.explode(F.arrays_zip("ks", "chunk")).alias("x")).select(F.struct(F.col("id").isNull().alias("none"), "id", "id_hash", F.col("x.ks").alias("k")).alias("who"), F.col("x.chunk").alias("chunk")), "bytes")
-    # grouping and joining by the chunk itself compares all of its bytes
-    first = kept(same.groupBy("chunk").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("chunk", "first"), "firsts")
-    later = same.join(first, "chunk").where("who > first")
-    return kept(later.groupBy("who.id", "who.id_hash").agg(F.collect_set("who.k").alias("gone")), "gone")
+    with swept(docs.sparkSession) as outliving:
+        found = per_text(keyed, "ks array<int>, marks array<bigint>", lambda: marks)
+        each = kept(found.select("id", "id_hash", F.explode(F.arrays_zip("ks", "marks")).alias("x")).select("id", "id_hash", F.col("x.ks").alias("k"), F.col("x.marks").alias("mark")), "marks")
+        again = kept(each.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "again")
+        # these sides grow with the corpus at any share of repeats, so none is broadcast
+        asked = kept(each.join(again.hint("merge"), "mark").groupBy("id", "id_hash").agg(F.sort_array(F.collect_set("k")).alias("ask")), "asked")
+        texts = keyed.join(asked.withColumnsRenamed({"id": "of", "id_hash": "of_hash"}).hint("merge"), _alike("id", "of")).select("id", "id_hash", "text", "ask")
+        bytes_ = per_text(texts, "ks array<int>, chunk array<string>", lambda: taken, also="ask")
+        who = F.struct(F.col("id").isNull().alias("none"), "id", "id_hash", F.col("x.ks").alias("k")).alias("who")
+        same = kept(bytes_.select("id", "id_hash", F.explode(F.arrays_zip("ks", "chunk")).alias("x")).select(who, F.col("x.chunk").alias("chunk")), "bytes")
+        # grouping and joining by the chunk itself compares all of its bytes
+        first = kept(same.groupBy("chunk").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("chunk", "first"), "firsts")
+        later = same.join(first.hint("merge"), "chunk").where("who > first")
+        return outliving(later.groupBy("who.id", "who.id_hash").agg(F.collect_set("who.k").alias("gone")), "gone")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """row (all columns of docs), new_text, n_lines, gone_lines, gone_words for each row of docs (doc_id, text, ...).
 
-    A text may lose all of its lines and is then empty; its row stays. Null texts stay null. Repeated rows (alike in
-    doc_id and text) are one document and get equal results; copies under other ids lose what the first has.
+    A text may lose all of its lines and is then empty; its row stays. Null texts stay null and have no lines. Repeated rows
+    (alike in doc_id and text) are one document and get equal results; copies under other ids lose what the first has. Null
+    ids come last. An empty table gives one.
     """
     gone = repeated(docs).withColumnsRenamed({"id": "of", "id_hash": "of_hash"})
     rows = docs.select(row_of(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("id_hash"))
@@ -114,100 +147,20 @@ def replaced(docs: DataFrame) -> DataFrame:
     return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-def windows(text: bytes | None) -> tuple[list[int], list[int], list[int], list[int]]:
-    """First and last line and 128-bit digest (two halves) of the shortest windows of over PASSAGE words: for each line with
-    words, the one that begins and the one that ends there.
-
-    Which windows lie in a run of lines depends on the run alone, and they cover its lines with words, so two texts share a
-    run of over PASSAGE words just where they share windows. A byte is in PASSAGE + 1 windows of a kind at most.
-    """
-    lines = text.split(b"\n") if text else []
-    at, full, upto, offset = [], [], [0], 0
-    for i, line in enumerate(lines):
-        at.append(offset)
-        offset += len(line) + 1
-        if n := len(line.split()):
-            full.append(i)
-            upto.append(upto[-1] + n)
-    spans, j = set(), 0
-    for i in range(len(full)):
-        while j < len(full) and upto[j + 1] - upto[i] <= PASSAGE:
-            j += 1
-        if j == len(full):
-            break
-        spans.add((full[i], full[j]))
-    i = 0
-    for j in range(len(full)):
-        while upto[j + 1] - upto[i + 1] > PASSAGE:
-            i += 1
-        if upto[j + 1] - upto[i] > PASSAGE:
-            spans.add((full[i], full[j]))
-    out: tuple[list[int], ...] = ([], [], [], [])
-    for a, b in sorted(spans):
-        digest = hashlib.blake2b(text[at[a] : at[b] + len(lines[b])], digest_size=16).digest()
-        for held, x in zip(out, (a, b, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True))):
-            held.append(x)
-    return out
-
-
-def runs(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> id, id_hash, spans: for each text that has windows of an earlier place, their first and last
-    lines as first * 2^32 + last. In one text, a window that overlaps its first occurrence isn't a repetition."""
-    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("id_hash"), "text")
-    found = per_text(keyed, "a array<int>, b array<int>, hi array<bigint>, lo array<bigint>", lambda: windows)
-    each = kept(found.select("id", "id_hash", F.explode(F.arrays_zip("a", "b", "hi", "lo")).alias("x")).select("id", "id_hash", "x.*"), "windows")
-    again = kept(each.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo"), "windows_again")
-    who = F.struct(F.col("id").isNull().alias("none"), "id", "id_hash", "a").alias("who")
-    same = kept(each.join(again.hint("merge"), ["hi", "lo"]).select("hi", "lo", who, (F.col("b") - F.col("a")).alias("more")), "windows_same")
-    first = kept(same.groupBy("hi", "lo").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("hi", "lo", "first"), "windows_first")
-    elsewhere = ~(F.col("who.id").eqNullSafe(F.col("first.id")) & (F.col("who.id_hash") == F.col("first.id_hash")))
-    later = same.join(first.hint("merge"), ["hi", "lo"]).where(elsewhere & (F.col("who") > F.col("first")) | ~elsewhere & (F.col("who.a") > F.col("first.a") + F.col("more")))
-    span = F.shiftleft(F.col("who.a").cast("bigint"), 32) + F.col("who.a") + F.col("more")
-    return later.groupBy("who.id", "who.id_hash").agg(F.collect_set(span).alias("spans"))
-
-
-def without_runs(text: bytes | None, gone: dict | None) -> tuple[str | None, int, int, int]:
-    """text without the lines of these chunks and spans; its lines, and the lines and words that went."""
-    if text is None:
-        return None, 0, 0, 0
-    lines, out, start = text.split(b"\n"), set(), 0
-    if gone:
-        asked = set(gone["chunks"])
-        for k, (_, n, _, _) in enumerate(chunks(text) if asked else ()):
-            if k in asked:
-                out.update(range(start, start + n))
-            start += n
-        reached = 0
-        for span in sorted(gone["spans"]):
-            a, b = span >> 32, span & 0xFFFFFFFF
-            out.update(range(max(a, reached), b + 1))
-            reached = max(reached, b + 1)
-    rest = b"\n".join(x for i, x in enumerate(lines) if i not in out) if out else text
-    return rest.decode("utf-8", "replace"), len(lines), len(out), sum(len(lines[i].split()) for i in out)
-
-
-def passages(docs: DataFrame) -> DataFrame:
-    """report() with all repeated runs of over PASSAGE words gone too: the same columns. Each line that goes stands, equal, at
-    an earlier place, and the first such place keeps it. Only lines without words may stay of a run."""
-    docs = docs.select("doc_id", "text")
-    none = {"chunks": F.lit(None).cast("array<int>"), "spans": F.lit(None).cast("array<bigint>")}
-    both = repeated(docs).select("id", "id_hash", F.col("gone").alias("chunks"), none["spans"].alias("spans")).unionByName(runs(docs).select("id", "id_hash", none["chunks"].alias("chunks"), "spans"))
-    gone = kept(both.groupBy("id", "id_hash").agg(F.struct(*[F.flatten(F.collect_list(c)).alias(c) for c in none]).alias("gone")), "gone_both")
-    gone = gone.withColumnsRenamed({"id": "of", "id_hash": "of_hash"})
-    rows = docs.select("doc_id", F.xxhash64("text").alias("id_hash"), "text")
-    joined = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("id_hash") == F.col("of_hash")), "left").select("doc_id", "text", "gone")
-    out = per_text(joined, "new_text string, n_lines bigint, gone_lines bigint, gone_words bigint", lambda: without_runs, also="gone")
-    return out.withColumnRenamed("new_text", "text")
-
-
 LINES_SQL = r"""
-WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 h AS (SELECT *, CAST(('0x' || substr(md5(line), 1, 8)) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
-b AS (SELECT *, (h + 31 * coalesce(lag(h) OVER d, 0)) % 4294967296 % 3 = 0 OR w >= 50 OR coalesce(lead(w) OVER d, 50) >= 50 AS stop FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
-c AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines, count(*) FILTER (WHERE w > 0) AS full_lines, sum(w) AS words FROM k GROUP BY doc_id, k),
-f AS (SELECT *, (full_lines > 1 OR words >= 50) AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, k) > 1 AS gone FROM c),
-o AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS text, CAST(sum(lines) AS BIGINT) AS n_lines,
-    CAST(coalesce(sum(lines) FILTER (WHERE gone), 0) AS BIGINT) AS gone_lines, CAST(coalesce(sum(words) FILTER (WHERE gone), 0) AS BIGINT) AS gone_words FROM f GROUP BY doc_id)
+f AS (SELECT *, row_number() OVER d AS k, lead(line) OVER d AS next, (lead(h) OVER d + 31 * h) % 4294967296 AS r, w + lead(w) OVER d AS w2 FROM h WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, w2 > 50 OR coalesce(r <= lag(r) OVER d, false) OR coalesce(r <= lead(r) OVER d, false) OR (k = 1 AND lead(r) OVER d IS NULL) AS cut,
+    next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id NULLS LAST, k) > 1 AS again,
+    w >= 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id NULLS LAST, k) > 1 AS alone FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+g AS (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM b),
+s AS (SELECT *, again AND max(CASE WHEN again AND cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run) = 1 AS goes FROM g),
+z AS (SELECT doc_id, i, goes OR alone OR coalesce(lag(goes) OVER (PARTITION BY doc_id ORDER BY k), false) AS gone FROM s),
+e AS (SELECT h.doc_id, h.i, h.line, h.w, last_value(z.gone IGNORE NULLS) OVER d AS before, first_value(z.gone IGNORE NULLS) OVER u AS after
+    FROM h LEFT JOIN z ON h.doc_id IS NOT DISTINCT FROM z.doc_id AND h.i = z.i WINDOW d AS (PARTITION BY h.doc_id ORDER BY h.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), u AS (PARTITION BY h.doc_id ORDER BY h.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+x AS (SELECT *, coalesce(before AND after, before, after, false) AS gone FROM e),
+o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text, CAST(count(*) AS BIGINT) AS n_lines,
+    CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS gone_lines, CAST(coalesce(sum(w) FILTER (WHERE gone), 0) AS BIGINT) AS gone_words FROM x GROUP BY doc_id)
 SELECT d.doc_id, o.text, coalesce(o.n_lines, 0) AS n_lines, coalesce(o.gone_lines, 0) AS gone_lines, coalesce(o.gone_words, 0) AS gone_words FROM documents d LEFT JOIN o ON d.doc_id IS NOT DISTINCT FROM o.doc_id
 """

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import langid, linededup, media, mixing, quality, simhash, spm, tokencount, toxicity, warc
 
-#: Where the public vocabularies are; see /opt/tokenizers/README.md.
-TOKENIZERS = "/opt/tokenizers"
-PIECES, RANKS = f"{TOKENIZERS}/piece_bpe_32k.model", f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
-#: Fixed value: the pattern that parts text before the merges of the rank files, as published with them.
-PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The public vocabularies that the queries hand to their operators, and the pattern published with the rank files.
+PIECES, RANKS = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
+PRETOKENS = public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": _of_documents(quality.assess),
     "op5_mixing": _of_documents(mixing.mix),
     "op6_linededup": _of_documents(linededup.report),
-    "op6_passages": _of_documents(linededup.passages),
     "op7_toxicity": op7_toxicity,
     "op8_tokencount": _of_documents(lambda docs: tokencount.counted(docs, RANKS, PRETOKENS)),
     "op9_langid": _of_documents(langid.identify),
