@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, per_text, row_of
+from .common import kept, per_text, row_of, swept
 
 FOLDS, HELD, CUT = 3, 1, 0.7
 #: Bounds of the fit: documents of either kind in the sample, by the hash of their ids; words that are features.
@@ -62,32 +62,53 @@ def _within(n: int, most: int) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit((most << 30) // max(n, 1))
 
 
+class Rows:
+    """Which of n features each document has, the rows one after another."""
+
+    def __init__(self, rows: list[np.ndarray], n: int):
+        self.size, self.n = np.array([len(r) for r in rows], np.int64), n
+        self.start = np.cumsum(self.size) - self.size
+        self.features = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+
+    def of(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the document among docs, feature) for each feature of these documents."""
+        size = self.size[docs]
+        row = np.repeat(np.arange(len(docs)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        return row, self.features[np.repeat(self.start[docs], size) + at]
+
+
 def fit(x: list[np.ndarray], positive: np.ndarray, n: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the non-negative risk under the logistic loss.
 
     x: the numbers of each document's features, of n. Where a batch's estimate of the negatives' risk falls below zero,
-    overfitting shows there; it then counts as zero and has no gradient.
+    overfitting shows there; it then counts as zero and has no gradient. What is learned follows from the order of x.
     """
-    random = np.random.default_rng(SEED)
+    random, rows = np.random.default_rng(SEED), Rows(x, n)
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[n] = math.log(prior / (1 - prior))
     parts = [np.flatnonzero(positive), np.flatnonzero(~positive)]
     step = 0
+
+    def scores(docs: np.ndarray, of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        z = np.bincount(of[0], w[of[1]], len(docs)) + w[n]
+        return 1 / (1 + np.exp(-z.clip(-30, 30)))
+
+    def gathered(docs: np.ndarray, of: tuple[np.ndarray, np.ndarray], by: np.ndarray) -> np.ndarray:
+        """The mean over docs of by times each feature and the constant."""
+        return np.append(np.bincount(of[1], by[of[0]], n), by.sum()) / len(docs)
+
     for _ in range(STEPS):
         orders = [np.array_split(random.permutation(p), BATCHES) for p in parts]
         for pos, unl in zip(*orders):
             if not len(pos) or not len(unl):
                 continue
-            dense = np.zeros((len(pos) + len(unl), n + 1), np.float32)
-            dense[:, n] = 1
-            for k, d in enumerate((*pos, *unl)):
-                dense[k, x[d]] = 1
-            s = 1 / (1 + np.exp(-(dense @ w).clip(-30, 30)))
-            sp, su = s[: len(pos)], s[len(pos) :]
-            of_p, of_u = dense[: len(pos)], dense[len(pos) :]
+            of_p, of_u = rows.of(pos), rows.of(unl)
+            sp, su = scores(pos, of_p), scores(unl, of_u)
             negative = -np.log1p(-su + 1e-12).mean() + prior * np.log1p(-sp + 1e-12).mean()
-            away = of_u.T @ su / len(unl) - prior * (of_p.T @ sp) / len(pos)
-            g = prior * (of_p.T @ (sp - 1)) / len(pos) + (away if negative >= 0 else 0)
+            g = prior * gathered(pos, of_p, sp - 1)
+            if negative >= 0:
+                g += gathered(unl, of_u, su) - prior * gathered(pos, of_p, sp)
             g[:n] += DECAY * w[:n]
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -109,7 +130,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     """docs (doc_id, text), labels (doc_id, toxic) -> classifier, from the rows that aren't held out.
 
     The prior is the share of toxic documents among all labelled ones. A document with several labels is toxic if any says
-    so. Without a positive or an unlabelled document, every score is the prior.
+    so. Without a positive or an unlabelled document, every score is the prior. UNLABELLED bounds the sample that word counts
+    and weights are learned from; which words are over-represented, and how much the weights vary, depends on it, scoring
+    covers all documents. Equal inputs give equal weights however they are partitioned.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -117,13 +140,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text")
     positives = known.where("toxic = 1").where(_within(toxic, POSITIVES)).select("doc_id")
     # about POSITIVES ids of eight bytes: a bounded broadcast
-    of_p = rows.join(F.broadcast(positives), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
-    of_u = rows.where(_within(rows.count(), UNLABELLED)).select(F.lit(False).alias("positive"), "text")
-    seen = kept(of_p.union(of_u).withColumn("n", F.monotonically_increasing_id()), "sample")
+    of_p = rows.join(F.broadcast(positives), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "doc_id", "text")
+    of_u = rows.where(_within(rows.count(), UNLABELLED)).select(F.lit(False).alias("positive"), "doc_id", "text")
+    with swept(docs.sparkSession):
+        return _trained(kept(of_p.union(of_u), "sample"), prior)
+
+
+def _trained(seen: DataFrame, prior: float) -> Classifier:
+    """seen (positive, doc_id, text), the sample -> classifier. Documents are taken in the order of their ids' hashes, ids and
+    texts' hashes, whatever the partitions; rows alike in all of these are alike."""
     count = {r["positive"]: r["n"] for r in seen.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     p, u = count.get(True, 0), count.get(False, 0)
+    none = Classifier({}, math.log(prior / (1 - prior)))
     if not p or not u:
-        return Classifier({}, math.log(prior / (1 - prior)))
+        return none
     each = seen.select("positive", F.col("text").cast("binary")).mapInArrow(_counts, "word string, p bigint, u bigint")
     words = each.groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     lift = (F.col("p") / p) / ((F.col("u") + 1) / (u + 1))
@@ -131,10 +161,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     best = words.where((F.col("p") >= LEAST_IN) & (lift >= LIFT) & (gain >= GAIN)).orderBy(F.desc(gain), "word").limit(FEATURES)
     names = sorted(r["word"] for r in best.collect())
     if not names:
-        return Classifier({}, math.log(prior / (1 - prior)))
+        return none
     at = {w: k for k, w in enumerate(names)}
-    found = per_text(seen, "words array<int>", lambda: lambda t: (sorted(at[w] for w in vocabulary(t) & at.keys()),))
-    sample = found.orderBy("n").collect()
+    order = [F.xxhash64("doc_id").alias("h"), F.col("doc_id"), F.xxhash64("text").alias("of")]
+    found = per_text(seen.select("positive", *order, "text"), "words array<int>", lambda: lambda t: (sorted(at[w] for w in vocabulary(t) & at.keys()),))
+    sample = found.orderBy("h", "doc_id", "of", "positive").collect()
     w, b = fit([np.array(r["words"], np.int64) for r in sample], np.array([r["positive"] for r in sample]), len(names), prior)
     return Classifier({t: float(x) for t, x in zip(names, w) if x}, b)
 
