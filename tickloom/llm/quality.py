@@ -1,9 +1,13 @@
 """Quality rules whose thresholds adapt to language and source.
 
 Each document gives a few integer rates. A sketch counts the documents of a language and source by rate, keeping a rate's
-six leading binary digits: sketches merge by adding counts, and a quantile is right to 1 part in 32. Groups of too few
-documents fall back on the merged sketch of their language, then of everything. A rate is extreme if it lies further above
-(or below) the group's upper (lower) quartile than `REACH` interquartile ranges. The thresholds are joined to the documents.
+six leading binary digits: sketches merge by adding counts, and a quantile is right to 1 part in 32. A group's quantiles are
+drawn towards those of its language, and these towards those of everything, by the weight of PRIOR documents: with few
+documents the parents decide, with many the group itself, and no size is a switch.
+
+The upper threshold of a rate lies in the first gap among the upper quantiles, at the geometric mean of two neighbours of which
+one is GAP times the other; without a gap, REACH times the way from the median to the last quantile beyond it. The thresholds
+are joined to the documents.
 """
 
 from __future__ import annotations
@@ -12,12 +16,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, per_text, words
+from .common import kept, per_text, swept, words
 
-#: Interquartile ranges beyond a quartile; documents that a group's own sketch needs.
-REACH, LEAST_DOCS = 6, 200
-#: name: (numerator, denominator, scale, smallest range counted, whether low rates count too)
-RATES = {"symbols": ("n_symbols", "n_words", 1000, 25, False), "repeats": ("n_repeat_words", "n_words", 1000, 40, False), "lines": ("n_dup_lines", "n_lines", 1000, 100, False), "length": ("word_chars", "n_words", 100, 60, True)}
+#: Quantiles in percent, the upper ones from the third on; documents that the parent group's quantiles weigh as many as; how many
+#: times a quantile must be the one before for a gap; spans beyond the last quantile.
+QUANTILES, PRIOR, GAP, REACH = (1, 50, 75, 90, 95, 99), 50, 4, 2
+#: name: (numerator, denominator, scale, size of differences that mean nothing, whether low rates count too)
+RATES = {"symbols": ("n_symbols", "n_words", 1000, 25, False), "repeats": ("n_repeat_words", "n_words", 1000, 40, False), "lines": ("n_dup_lines", "n_lines", 1000, 200, False), "length": ("word_chars", "n_words", 100, 60, True)}
 BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
 
 
@@ -71,19 +76,25 @@ def thresholds(counts: DataFrame) -> DataFrame:
     each = counts.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), coarse(rate(k)).alias("value")) for k in RATES])).alias("x"))
     sketch = kept(each.groupBy("lang", "source", "x.rule", "x.value").agg(F.count(F.lit(1)).alias("n")), "sketch")
 
-    def quartiles(by: list[str], tag: str) -> DataFrame:
+    def quantiles(by: list[str], tag: str) -> DataFrame:
         merged = sketch.groupBy(*by, "rule", "value").agg(F.sum("n").alias("n"))
         keys = ", ".join([*by, "rule"])
         ranked = merged.withColumn("upto", F.expr(f"sum(n) OVER (PARTITION BY {keys} ORDER BY value)")).withColumn("all", F.expr(f"sum(n) OVER (PARTITION BY {keys})"))
-        return ranked.groupBy(*by, "rule").agg(F.max("all").alias(f"n_{tag}"), F.expr("min(value) FILTER (WHERE 4 * upto >= `all`)").alias(f"q1_{tag}"), F.expr("min(value) FILTER (WHERE 4 * upto >= 3 * `all`)").alias(f"q3_{tag}"))
+        return ranked.groupBy(*by, "rule").agg(F.max("all").alias(f"n_{tag}"), *[F.expr(f"min(value) FILTER (WHERE 100 * upto >= {q} * `all`)").cast("double").alias(f"q{q}_{tag}") for q in QUANTILES])
 
-    own, lang, whole = quartiles(["lang", "source"], "s"), quartiles(["lang"], "l"), quartiles([], "a")
+    own, lang, whole = quantiles(["lang", "source"], "s"), quantiles(["lang"], "l"), quantiles([], "a")
     out = own.join(lang.withColumnsRenamed({"lang": "lang_", "rule": "rule_"}), F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("rule") == F.col("rule_"))).join(whole, "rule")
-    pick = {q: F.when(F.col("n_s") >= LEAST_DOCS, F.col(f"{q}_s")).when(F.col("n_l") >= LEAST_DOCS, F.col(f"{q}_l")).otherwise(F.col(f"{q}_a")) for q in ("q1", "q3")}
-    out = out.select("lang", "source", "rule", pick["q1"].alias("q1"), pick["q3"].alias("q3"))
-    least = F.create_map(*[x for k, v in RATES.items() for x in (F.lit(k), F.lit(v[3]).cast("bigint"))])[F.col("rule")]
-    reach = F.lit(REACH) * F.greatest(F.col("q3") - F.col("q1"), least)
-    return out.select("lang", "source", "rule", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+
+    def drawn(q: Column, n: Column, parent: Column) -> Column:
+        return (n * q + F.lit(float(PRIOR)) * parent) / (n + F.lit(float(PRIOR)))
+
+    out = out.select("lang", "source", "rule", *[drawn(F.col(f"q{q}_s"), F.col("n_s"), drawn(F.col(f"q{q}_l"), F.col("n_l"), F.col(f"q{q}_a"))).alias(f"q{q}") for q in QUANTILES])
+    least = F.create_map(*[x for k, v in RATES.items() for x in (F.lit(k), F.lit(float(v[3])))])[F.col("rule")]
+    first, middle, last = F.col(f"q{QUANTILES[0]}"), F.col(f"q{QUANTILES[1]}"), F.col(f"q{QUANTILES[-1]}")
+    upper = [F.col(f"q{q}") for q in QUANTILES[2:]]
+    gaps = [F.when(b + least >= GAP * (a + least), F.sqrt((a + least) * (b + least)) - least) for a, b in zip(upper, upper[1:])]
+    high = F.coalesce(*gaps, last + REACH * (last - middle) + least)
+    return out.select("lang", "source", "rule", (first - REACH * (middle - first) - least).alias("low"), high.alias("high"))
 
 
 def judged(counts: DataFrame) -> DataFrame:
@@ -92,8 +103,9 @@ def judged(counts: DataFrame) -> DataFrame:
     A language and source without thresholds (all its documents fail the base rules) keeps none, by the base rules.
     Null languages and sources are groups of their own. The thresholds are a few rows for each language and source.
     """
-    wide = thresholds(counts).groupBy("lang", "source").agg(*[F.expr(f"max({e}) FILTER (WHERE rule = '{k}')").alias(f"{e}_{k}") for k in RATES for e in ("low", "high")])
-    wide = kept(wide.withColumnsRenamed({"lang": "lang_", "source": "source_"}), "thresholds")
+    with swept(counts.sparkSession) as outliving:
+        wide = thresholds(counts).groupBy("lang", "source").agg(*[F.expr(f"max({e}) FILTER (WHERE rule = '{k}')").alias(f"{e}_{k}") for k in RATES for e in ("low", "high")])
+        wide = outliving(wide.withColumnsRenamed({"lang": "lang_", "source": "source_"}), "thresholds")
     beyond = F.lit(False)
     for k, (*_, both) in RATES.items():
         beyond |= (rate(k) > F.col(f"high_{k}")) | (F.lit(both) & (rate(k) < F.col(f"low_{k}")))
@@ -111,16 +123,20 @@ def _sql() -> str:
     """The same rows in DuckDB's SQL, by windows of three words as rows."""
     coarse = "(({v} >> greatest(length(bin({v})) - 6, 0)) << greatest(length(bin({v})) - 6, 0))"
     rates = {k: f"CASE WHEN {b} > 0 THEN {s} * {t} // {b} ELSE 0 END" for k, (t, b, s, _, _) in RATES.items()}
-    each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {x} AS v, {RATES[k][3]} AS least FROM c WHERE NOT base_failed" for k, x in rates.items())
+    each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {x} AS v FROM c WHERE NOT base_failed" for k, x in rates.items())
 
-    def quartiles(by: str) -> str:
+    def quantiles(by: str) -> str:
         keys = f"{by}, rule" if by else "rule"
         ranked = f"SELECT {keys}, value, sum(sum(n)) OVER (PARTITION BY {keys} ORDER BY value) AS upto, sum(sum(n)) OVER (PARTITION BY {keys}) AS every FROM sk GROUP BY {keys}, value"
-        return f"SELECT {keys}, max(every) AS n, min(value) FILTER (WHERE 4 * upto >= every) AS q1, min(value) FILTER (WHERE 4 * upto >= 3 * every) AS q3 FROM ({ranked}) GROUP BY {keys}"
+        each = ", ".join(f"CAST(min(value) FILTER (WHERE 100 * upto >= {q} * every) AS DOUBLE) AS q{q}" for q in QUANTILES)
+        return f"SELECT {keys}, CAST(max(every) AS DOUBLE) AS n, {each} FROM ({ranked}) GROUP BY {keys}"
 
     beyond = " OR ".join(f"(t.rule = '{k}' AND (({x}) > t.high" + (f" OR ({x}) < t.low" if RATES[k][4] else "") + "))" for k, x in rates.items())
-    pick = "CASE WHEN o.n >= {n} THEN o.{q} WHEN l.n >= {n} THEN l.{q} ELSE a.{q} END"
-    q1, q3 = pick.format(n=LEAST_DOCS, q="q1"), pick.format(n=LEAST_DOCS, q="q3")
+    p = f"{PRIOR}::DOUBLE"
+    drawn = ", ".join(f"(o.n * o.q{q} + {p} * ((l.n * l.q{q} + {p} * a.q{q}) / (l.n + {p}))) / (o.n + {p}) AS q{q}" for q in QUANTILES)
+    least = "CASE rule " + " ".join(f"WHEN '{k}' THEN {v[3]}::DOUBLE" for k, v in RATES.items()) + " END"
+    first, middle, last = (f"q{QUANTILES[k]}" for k in (0, 1, -1))
+    gaps = " ".join(f"WHEN q{b} + least >= {GAP} * (q{a} + least) THEN sqrt((q{a} + least) * (q{b} + least)) - least" for a, b in zip(QUANTILES[2:], QUANTILES[3:]))
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS often FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
@@ -130,9 +146,9 @@ b AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
 c AS (SELECT * EXCLUDE (lines), CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 e AS ({each}),
 sk AS (SELECT lang, source, rule, {coarse.format(v="v")} AS value, count(*) AS n FROM e GROUP BY ALL),
-o AS ({quartiles("lang, source")}), l AS ({quartiles("lang")}), a AS ({quartiles("")}),
-q AS (SELECT o.lang, o.source, o.rule, {q1} AS q1, {q3} AS q3 FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN a ON o.rule = a.rule),
-t AS (SELECT q.*, q1 - {REACH} * greatest(q3 - q1, least) AS low, q3 + {REACH} * greatest(q3 - q1, least) AS high FROM q JOIN (SELECT DISTINCT rule, least FROM e) m USING (rule))
+o AS ({quantiles("lang, source")}), l AS ({quantiles("lang")}), a AS ({quantiles("")}),
+q AS (SELECT o.lang, o.source, o.rule, {drawn} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rule = l.rule JOIN a ON o.rule = a.rule),
+t AS (SELECT lang, source, rule, {first} - {REACH} * ({middle} - {first}) - least AS low, CASE {gaps} ELSE {last} + {REACH} * ({last} - {middle}) + least END AS high FROM (SELECT *, {least} AS least FROM q))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND NOT EXISTS (SELECT 1 FROM t WHERE t.lang IS NOT DISTINCT FROM c.lang AND t.source IS NOT DISTINCT FROM c.source AND ({beyond})) AS kept FROM c
 """
