@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import folder, kept, per_text
 
 WIDTH = 64
+#: Paragraphs after which a document's page has its picture again.
+EVERY = 4
 #: Fixed values of HTML: elements whose end or start parts text, and those whose text isn't shown.
 BLOCKS = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "figcaption", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
 HIDDEN = {"script", "style", "title", "template"}
@@ -68,6 +70,8 @@ class _Sequence(HTMLParser):
         at = dict(attrs)
         if tag in HIDDEN:
             self.hidden += 1
+        if self.hidden:
+            return
         if tag in BLOCKS or tag == "img":
             self.part()
         if tag == "figure":
@@ -84,6 +88,8 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag) -> None:
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+        if self.hidden:
+            return
         if tag in BLOCKS:
             self.part()
         if tag == "figcaption":
@@ -97,7 +103,8 @@ class _Sequence(HTMLParser):
 
 
 def sequence(page: str | None) -> list[dict]:
-    """The items of a page in order, numbered from 0. Null and empty pages have none."""
+    """The items of a page in order, numbered from 0. Null and empty pages have none. What is hidden, media too, doesn't count;
+    a figcaption outside of a figure is text. Captions belong to all media of their figure."""
     p = _Sequence()
     p.feed(page or "")
     p.close()
@@ -133,10 +140,24 @@ def feature(payload: bytes) -> str:
     return f"{mean:.3f} {deviation:.3f} {entropy:.3f} {step:.3f}"
 
 
+def caption(k: int, text: str | None) -> str:
+    return f"picture {k} of {len(text or '')} characters"
+
+
 def page_of(text: str | None, ref: str) -> str:
-    """A document as a page: its paragraphs, then its picture with a caption."""
-    body = "".join(f"<p>{html.escape(x, quote=False)}</p>" for x in (text or "").split("\n") if x.strip())
-    return f'<article>{body}<figure><img src="sha256:{ref}"><figcaption>media of {len(text or "")} characters</figcaption></figure></article>'
+    """A document as a page: its picture, and again after each EVERY paragraphs, between them; captions stand behind and in
+    front of the pictures by turns. The paragraphs are the lines that aren't blank."""
+
+    def figure(k: int) -> str:
+        parts = f'<img src="sha256:{ref}" alt="">', f"<figcaption>{caption(k, text)}</figcaption>"
+        return f"<figure>{''.join(parts if k % 2 else parts[::-1])}</figure>"
+
+    out = [figure(1)]
+    for n, x in enumerate((x for x in (text or "").split("\n") if x.strip()), 1):
+        out.append(f"<p>{html.escape(x, quote=False)}</p>")
+        if n % EVERY == 0:
+            out.append(figure(1 + n // EVERY))
+    return f"<article>{''.join(out)}</article>"
 
 
 def write_media(docs: DataFrame, path: str) -> None:
@@ -183,27 +204,44 @@ def parsed(pages: DataFrame, page: str = "page") -> DataFrame:
 
 
 def resolved(sequences: DataFrame, key: str, media: DataFrame) -> DataFrame:
-    """A row for each media reference of sequences (key, items): key, pos, caption, ref, and the columns of media (digest,
-    one row for each) joined by digest; a reference without payload has nulls. Items of text stay in the sequence, whose
-    positions the rows carry."""
-    refs = sequences.select(key, F.explode(F.expr("filter(items, x -> x.kind = 'media')")).alias("x")).select(key, "x.pos", "x.caption", "x.ref")
-    return refs.join(media, F.col("ref") == F.col("digest"), "left").drop("digest")
+    """A row for each payload that a page of sequences (key, items) refers to: key, ref, places (position and caption of each
+    reference, in order), and the columns of media (digest, one row for each) joined by digest; one without payload has nulls.
+    Pages without media have no row."""
+    refs = F.expr("filter(items, x -> x.kind = 'media')")
+    each = sequences.select(key, refs.alias("refs")).select(key, "refs", F.explode(F.array_distinct(F.transform("refs", lambda x: x["ref"]))).alias("ref"))
+    places = F.transform(F.filter("refs", lambda x: x["ref"] == F.col("ref")), lambda x: F.struct(x["pos"].alias("pos"), x["caption"].alias("caption")))
+    return each.select(key, "ref", places.alias("places")).join(media, F.col("ref") == F.col("digest"), "left").drop("digest")
+
+
+def interleaved(pages: DataFrame, key: str, media: DataFrame, page: str = "page") -> DataFrame:
+    """pages (key, page) -> key, items: each page's texts and media in order, as ITEM with a struct `payload` of the columns of
+    media (digest, one row for each) that the reference leads to; null for texts and for references without payload.
+
+    key tells pages apart; of null keys, all payloads are looked up together. A null or empty page has no items.
+    """
+    sequences = kept(parsed(pages.select(key, page), page), "sequences")
+    columns = [c for c in media.columns if c != "digest"]
+    found = resolved(sequences, key, media).where(F.coalesce(*[F.col(c).isNotNull() for c in columns]))
+    by_ref = found.groupBy(F.col(key).alias("of")).agg(F.map_from_entries(F.collect_set(F.struct("ref", F.struct(*columns).alias("payload")))).alias("payloads"))
+    both = sequences.join(by_ref, F.col(key).eqNullSafe(F.col("of")), "left")
+    return both.select(key, F.transform("items", lambda x: x.withField("payload", F.try_element_at("payloads", F.coalesce(x["ref"], F.lit(""))))).alias("items"))
 
 
 def columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, FEATURES, media_pos and caption for each row of docs (doc_id, text): its text as a media payload
-    in an interleaved page.
+    """doc_id, n_bytes, FEATURES and items for each row of docs (doc_id, text): its text as a media payload, read back from an
+    interleaved page. items is the page's sequence: position, kind, length of a text, caption of a picture.
 
-    A null text is empty; an empty one has 64 zero bytes as payload. Equal texts have one digest and share a payload's
-    features. Other columns are ignored; repeated rows stay.
+    A null text is empty; an empty one has 64 zero bytes as payload. Texts however long are one payload. Equal texts have one
+    digest and share a payload's features. Other columns are ignored; repeated rows stay. No rows: no rows.
     """
     spark = docs.sparkSession
     path = folder(spark, "media")
     write_media(docs, path)
     store = spark.read.schema("digest string, media binary").parquet(path)
     features = kept(examined(store).distinct(), "features")
-    pages = paged(docs)
-    return resolved(parsed(pages), "who", features).select("who.doc_id", "who.n_bytes", *[x.split(" ")[0] for x in FEATURES.split(", ")], F.col("pos").alias("media_pos"), "caption")
+    light = F.transform("items", lambda x: F.struct(x["pos"].alias("pos"), x["kind"].alias("kind"), F.length(x["text"]).alias("n_chars"), x["caption"].alias("caption"), x["ref"].alias("ref")))
+    pages = parsed(paged(docs)).select(F.struct("who", F.transform(light, lambda x: x.dropFields("ref")).alias("items")).alias("page"), light.alias("items"))
+    return resolved(pages, "page", features).select("page.who.doc_id", "page.who.n_bytes", *[x.split(" ")[0] for x in FEATURES.split(", ")], "page.items")
 
 
 def paged(docs: DataFrame) -> DataFrame:
