@@ -1,10 +1,17 @@
 """The text operators against SQL, brute force, the libraries, exact round trips and held-out accuracy."""
 
 import functools
+import gzip
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 import regex
 import xxhash
@@ -13,7 +20,7 @@ from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 
 from tests.compare import SMALL, difference
-from tickloom.llm import langid, linededup, media, mixing, quality, queries, simhash, spm, tokencount, toxicity, warc
+from tickloom.llm import common, langid, linededup, media, mixing, quality, queries, simhash, spm, tokencount, toxicity, warc
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -65,13 +72,52 @@ def plain_groups(prints):
     return {k: least[root(f)] for k, f in prints.items()}
 
 
-def test_near_duplicates_are_those_of_all_pairs(spark, rows):
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in rows}
+@pytest.mark.parametrize("folder", [SMALL, MEDIUM])
+def test_near_duplicates_are_those_of_all_pairs(spark, folder):
+    prints = {r.doc_id: plain_fingerprint(r.text) for r in queries.table(spark, folder, "documents").collect()}
     want = {k: (f"{prints[k]:016x}", c) for k, c in plain_groups(prints).items()}
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op1_simhash"](spark, SMALL).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op1_simhash"](spark, folder).collect()}
     assert got == want
 
 
+def test_a_list_of_100_000_that_share_three_bytes(spark, monkeypatch):
+    """No task compares more than a block pair, and links across blocks aren't lost: planted pairs, each 4 bits apart."""
+    r = np.random.default_rng(1)
+    low = np.unique(r.integers(0, 1 << 40, 99_000, np.int64))
+    fps = (np.int64(0x123456) << np.int64(40)) | low
+    flips = np.array([(1 << 3) | (1 << 12) | (1 << 21) | (1 << 35)], np.int64)
+    fps = np.unique(np.concatenate((fps, fps[:500] ^ flips)))
+    frame = spark.createDataFrame(pd.DataFrame({"fp": fps}))
+    lists = simhash.postings(frame)
+    assert lists.groupBy("key").count().where("count > 90000").count() == 1
+    got = {x.fp: x.root for x in simhash.groups(frame).collect()}
+    want = {int(a): int(b) for a, b in simhash.forest(fps)}
+    assert len(want) >= 500 and got == {int(f): want.get(int(f), int(f)) for f in fps}
+
+
+@pytest.mark.parametrize("long", [4, 16])
+def test_long_lists_are_split_without_loss(spark, monkeypatch, long):
+    """With a small bound, a family whose members share most bytes goes through all three ways of splitting, against all pairs."""
+    monkeypatch.setattr(simhash, "LONG", long)
+    r = random.Random(7)
+    fps = {0x1122334455667788}
+    while len(fps) < 150:
+        f = r.choice(sorted(fps)) if r.random() < 0.7 else 0x1122334455667788
+        for b in r.sample(range(64), r.choice((1, 3, 5, 7))):
+            f ^= 1 << b
+        fps.add(f)
+    signed = {f: f - (f >> 63 << 64) for f in fps}
+    got = {x.fp: x.root for x in simhash.groups(spark.createDataFrame([(f,) for f in signed.values()], "fp bigint")).collect()}
+    want = plain_groups({f: f for f in fps})
+    pairs = {(got[signed[f]], c) for f, c in want.items()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
+
+
+def test_the_tally_counts_equal_bytes():
+    x = np.random.default_rng(2).integers(0, 1 << 63, 5000, np.int64).view(np.uint64) & np.uint64(0xFF00FFFF00FF80FF)
+    assert (simhash.shared(x) == [sum(b == 0 for b in int(v).to_bytes(8, "big")) for v in x]).all()
+
+
 def test_any_four_positions_hold_a_triple():
     from itertools import combinations
 
@@ -79,8 +125,6 @@ def test_any_four_positions_hold_a_triple():
 
 
 def test_links_of_random_fingerprints_in_chains(spark):
-    import random
-
     random.seed(3)
     fps = [random.getrandbits(64) for _ in range(30)]
     for f in list(fps):
@@ -107,7 +151,8 @@ def test_arc_round_trip(version):
         data += b"\n" + warc.arc_record(version, k, u, p, len(data) + 1, "f")
     for packed in (data + b"\n", zlib.compress(data, wbits=31)):
         got = list(warc.parse_arc(packed))
-        assert [(g[0], g[1], g[-1]) for g in got] == [(k, u, p) for k, (u, p) in enumerate(zip(urls, payloads))]
+        assert [(g[1], g[2], g[-1]) for g in got] == [(k, u, p) for k, (u, p) in enumerate(zip(urls, payloads))]
+        assert all(data[int(g[0].split(":")[1]) :].startswith(media_url) for g, media_url in zip(got, (b"http://a/%20b ", b"- ", b"%2D ", b"% ")))
     with pytest.raises(ValueError):
         list(warc.parse_arc(data[:-3]))
 
@@ -126,26 +171,109 @@ def test_foreign_arc_records(spark, tmp_path):
     (tmp_path / "arc").mkdir()
     (tmp_path / "arc/f.arc").write_bytes(warc.arc_head(1, "f") + b"".join(b"\n%s 0.0.0.0 20240101000000 %s %d\n%s" % (u.encode(), m.encode(), len(b), b) for u, m, b in blocks) + b"\n")
     warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
-    got = {r.url: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, f"{tmp_path}/warc").collect()}
+    got = {r.url: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.with_targets(warc.read_warc(spark, f"{tmp_path}/warc")).collect()}
     assert got == {"http://a/": (120, "response", None), "http://b/": (120, "revisit", 1), "http://c/": (3, "response", None), "dns:a": (31, "resource", None)}
     held = [x for f in (tmp_path / "warc").glob("part-*") for x in warc.parse_warc(f.read_bytes())]
     assert [(f["content-type"], b) for f, b in held if f["warc-type"] == "resource"] == [("text/dns", blocks[3][2])]
 
 
+def test_records_have_identifiers_and_members_of_their_own(spark, tmp_path):
+    """Repeated rows differ in identifier; a revisit's headers name its target; each record can be read from its own offset; and
+    a second conversion gives the same records."""
+    long_ = "x" * 300
+    pages = spark.createDataFrame([(2, "b", long_), (1, "a", long_), (1, "a", long_), (3, None, "y" * 200_000)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_arc(pages, f"{tmp_path}/arc")
+    for out in ("one", "two"):
+        warc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/{out}")
+    (file,) = [f for f in (tmp_path / "one").glob("part-*") if f.stat().st_size]
+    data = file.read_bytes()
+    records = [f for f, _ in warc.parse_warc(data)]
+    assert gzip.decompress(data).count(b"WARC/1.1") == len(records) == len({f["warc-record-id"] for f in records}) == 5
+    by_page = {f["warc-target-uri"]: f for f in records if "warc-target-uri" in f}
+    revisit = by_page["b"]
+    assert revisit["warc-type"] == "revisit" and revisit["warc-refers-to-target-uri"] == "a" and revisit["warc-refers-to-date"] == revisit["warc-date"]
+    assert revisit["warc-refers-to"] in {f["warc-record-id"] for f in records if f.get("warc-target-uri") == "a"}
+    starts = [m.start() for m in re.finditer(rb"\x1f\x8b\x08\x00", data)]
+    heads = [zlib.decompressobj(31).decompress(data[k:])[:8] for k in starts]
+    assert heads.count(b"WARC/1.1") == 5 and set(heads) == {b"WARC/1.1", b""}
+    twice = [sorted(r.record_id for r in warc.read_warc(spark, f"{tmp_path}/{out}").collect()) for out in ("one", "two")]
+    assert twice[0] == twice[1]
+
+
 # media
 
 
+def plain_feature(payload):
+    n = len(payload)
+    counts = Counter(payload)
+    mean = sum(payload) / n
+    deviation = math.sqrt(max(0.0, sum(c * v * v for v, c in counts.items()) / n - mean * mean))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    return [mean, deviation, entropy, sum(abs(a - b) for a, b in zip(payload, payload[1:])) / (n - 1)]
+
+
 def test_media_round_trip(spark, rows):
     got = {r.doc_id: r for r in queries.QUERIES["op3_media"](spark, SMALL).collect()}
     assert len(got) == len(rows)
     for r in rows:
         text = (r.text or "").encode()
         payload = text + bytes(-len(text) % 64 or (0 if text else 64))
-        stored = media.stored(payload)
+        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
         g = got[r.doc_id]
         assert media.samples(stored) == payload
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (g.media_bytes, g.media_sha256, g.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(payload))
+        assert (g.media_bytes, g.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert [float(x) for x in g.feature.split()] == pytest.approx(plain_feature(payload), abs=6e-4)
+        items, n = [("media", None, f"picture 1 of {len(r.text or '')} characters")], 0
+        for line in (r.text or "").split("\n"):
+            if line.strip():
+                n += 1
+                items.append(("text", len(line), None))
+                if n % 4 == 0:
+                    items.append(("media", None, f"picture {1 + n // 4} of {len(r.text)} characters"))
+        if "\r" not in (r.text or ""):
+            assert [(x.pos, x.kind, x.n_chars, x.caption) for x in g["items"]] == [(k, *x) for k, x in enumerate(items)]
+
+
+def test_sequences_with_several_payloads(spark):
+    """Positions, captions and payloads of pages that share some, against a plain list; one reference leads nowhere."""
+    r, made, want = random.Random(4), [], {}
+    sizes = {f"d{k}": k * 10 for k in range(6)}
+    for page in range(40):
+        parts, items = [], []
+        for k in range(r.randrange(9)):
+            if r.random() < 0.5:
+                parts.append(f"<p>text {k} &lt;</p>")
+                items.append(("text", f"text {k} <", None, None))
+            else:
+                ref, words = r.choice([*sizes, "lost"]), f"caption {k}" if r.random() < 0.5 else ""
+                parts.append(f'<figure><img src="sha256:{ref}" alt="alt"><figcaption>{words}</figcaption></figure>' if words else f'<img src="sha256:{ref}" alt="alt">')
+                items.append(("media", ref, words or "alt", sizes.get(ref)))
+        made.append((page, "".join(parts)))
+        want[page] = [(k, *x) for k, x in enumerate(items)]
+    stock = spark.createDataFrame(list(sizes.items()), "digest string, size int")
+    got = media.interleaved(spark.createDataFrame([*made, (99, None)], "id int, page string"), "id", stock).collect()
+    assert {r.id: [(i.pos, i.kind, i.text or i.ref, i.caption, i.payload and i.payload.size) for i in r["items"]] for r in got} == want | {99: []}
+
+
+def test_real_pages_keep_their_order(spark):
+    """The texts of the pages table in order, against the pages without tags and hidden parts."""
+    import html as escapes
+
+    for r in media.parsed(queries.table(spark, SMALL, "pages").select("page_id", "html"), "html").collect():
+        raw = queries.table(spark, SMALL, "pages").where(f"page_id = {r.page_id}").first().html if r.page_id < 5 else None
+        assert [i.pos for i in r["items"]] == list(range(len(r["items"])))
+        if raw is not None:
+            shown = re.sub(r"(?s)<!--.*?-->|<(script|style|title|template)\b.*?</\1>", "", raw)
+            words = escapes.unescape(re.sub(r"(?s)<[^>]*>", " ", shown)).split()
+            assert "".join(" ".join(i.text for i in r["items"] if i.kind == "text").split()) == "".join(words)
+
+
+def test_hidden_media_and_stray_captions():
+    page = '<img src="sha256:a" alt="own"><template><figure><img src="sha256:b"></figure><p>no</template><figcaption>stray</figcaption>end'
+    assert [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in media.sequence(page)] == [("media", "a", "own"), ("text", "stray", None), ("text", "end", None)]
+
+
 
 
 def test_sequence_of_a_page():
@@ -193,13 +321,110 @@ def test_toxicity_of_held_out_documents(spark):
 
 
 def test_the_risk_is_never_fitted_below_zero():
-    import numpy as np
-
     x = [np.array([0])] * 40 + [np.array([1])] * 100 + [np.array([0])] * 10
     w, b = toxicity.fit(x, np.arange(150) < 40, 2, 0.2)
     assert w[0] + b > 0 > w[1] + b
 
 
+def looped_fit(x, positive, n, prior):
+    """toxicity.fit in plain loops, with the same random orders."""
+    rng = np.random.default_rng(toxicity.SEED)
+    w, m, v, step = [0.0] * n + [math.log(prior / (1 - prior))], [0.0] * (n + 1), [0.0] * (n + 1), 0
+    parts = [[k for k, p in enumerate(positive) if p], [k for k, p in enumerate(positive) if not p]]
+
+    def mean(docs, f):
+        out = [0.0] * (n + 1)
+        for d in docs:
+            for k in (*x[d], n):
+                out[k] += f(d) / len(docs)
+        return out
+
+    for _ in range(toxicity.STEPS):
+        orders = [np.array_split(rng.permutation(np.array(p)), toxicity.BATCHES) for p in parts]
+        for pos, unl in zip(*orders):
+            if not len(pos) or not len(unl):
+                continue
+            s = {int(d): 1 / (1 + math.exp(-(sum(w[k] for k in x[d]) + w[n]))) for d in (*pos, *unl)}
+            risk = sum(-math.log(1 - s[d]) for d in unl) / len(unl) - prior * sum(-math.log(1 - s[d]) for d in pos) / len(pos)
+            g = [prior * a for a in mean(pos, lambda d: s[d] - 1)]
+            if risk >= 0:
+                g = [a + b - prior * c for a, b, c in zip(g, mean(unl, s.get), mean(pos, s.get))]
+            step += 1
+            for k in range(n + 1):
+                d = g[k] + (toxicity.DECAY * w[k] if k < n else 0)
+                m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d * d
+                w[k] -= toxicity.RATE * (m[k] / (1 - 0.9**step)) / (math.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    return w[:n], w[n]
+
+
+def test_the_fit_is_the_plain_loops():
+    r = random.Random(6)
+    x = [np.array(sorted(r.sample(range(12), r.randrange(5))), np.int64) for _ in range(120)]
+    positive = np.array([k < 30 for k in range(120)])
+    got, want = toxicity.fit(x, positive, 12, 0.2), looped_fit(x, positive, 12, 0.2)
+    assert np.allclose(got[0], want[0], atol=1e-9) and abs(got[1] - want[1]) < 1e-9
+
+
+def test_toxicity_is_the_same_however_rows_are_partitioned(spark):
+    docs, labels = (queries.table(spark, MEDIUM, t) for t in ("documents", "labels"))
+    one, two, three = ({r.doc_id: r.score for r in toxicity.scored(d, l).collect()} for d, l in ((docs, labels), (docs.repartition(7), labels.repartition(3)), (docs.orderBy("text").coalesce(1), labels)))
+    assert one == two == three
+
+
+def test_texts_alike_have_one_score(spark, labels):
+    docs = spark.createDataFrame([(k, t) for k in range(4) for t in ("some words", "", None)], "doc_id bigint, text string")
+    got = toxicity.scored(docs, labels).collect()
+    assert len({r.score for r in got}) == 1 and {r.predicted for r in got} <= {0, 1}
+
+
+def test_a_groups_own_quantiles_decide_as_it_grows(spark):
+    """Groups of 1, 2 and 500 documents with a symbol in every fourth word, among 2000 without: one of 500 sets its own
+    threshold, so its documents stay; those of 1 and 2 are judged by their language."""
+    plain, odd = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" + "#" * (k % 4 == 0) for k in range(60))
+    rows = [(k, plain, "en", f"s{k % 20}") for k in range(2000)] + [(3000, odd, "en", "one"), (3001, odd, "en", "two"), (3002, plain, "en", "two")] + [(4000 + k, odd, "en", "many") for k in range(500)]
+    rows += [(5000 + k, odd, "en", "s0") for k in range(8)]
+    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[4000 + k] for k in range(500)) and all(got[k] for k in range(2000)) and got[3002]
+    assert not any(got[5000 + k] for k in range(8))
+    counts = quality.measured(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), ["doc_id", "lang", "source"])
+    high = {r.source: r.high for r in quality.thresholds(counts).where("rule = 'symbols'").collect()}
+    assert high["many"] > 250 > high["s0"] and len(set(high.values())) > 3
+
+
+def plain_profile(texts, n):
+    counts = Counter()
+    for t in texts:
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        joined = " " + " ".join(words) + " "
+        for size in (1, 2, 3):
+            for k in range(len(joined) - size + 1):
+                g = joined[k : k + size]
+                if words and not (size == 1 and g == " ") and not (size == 3 and g[1] == " "):
+                    counts[g] += 1
+
+    def code(g):
+        out = 0
+        for c in g:
+            out = out << 21 | ord(c)
+        return out
+
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:n]
+
+
+def test_languages_against_plain_profiles(spark, rows):
+    """Profiles and distances in plain Python. Below TRAIN, all texts that aren't held out are learned from."""
+    known = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    place = {lang: {g: k for k, g in enumerate(plain_profile([r.text for r in known if r.lang == lang], 300))} for lang in {r.lang for r in known}}
+    got = {r.doc_id: r for r in queries.QUERIES["op9_langid"](spark, SMALL).collect()}
+    for r in rows:
+        mine = plain_profile([r.text], 300)
+        away = {lang: sum(abs(p[g] - k) if g in p else 300 for k, g in enumerate(mine)) for lang, p in place.items()}
+        lang = min(sorted(away), key=away.get) if mine else "und"
+        assert got[r.doc_id].lang_pred == lang and 0 <= got[r.doc_id].score <= 1
+        assert got[r.doc_id].score == pytest.approx(1 - away[lang] / (300 * len(mine)) if mine else 0.0)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = queries.table(spark, MEDIUM, "documents")
     got = langid.identify(docs).where("held_out AND lang_pred <> 'und'").join(docs.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").collect()
@@ -260,7 +485,7 @@ def test_token_counts_without_a_trie(spark, rows):
 
     known: dict = {}
     got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in queries.QUERIES["op8_tokencount"](spark, SMALL).collect()}
-    for r in rows[:120]:
+    for r in rows:
         parts = regex.findall(queries.PRETOKENS, r.text or "")
         for p in parts:
             known.setdefault(p, fewest(p.encode()) if p not in known else 0)
@@ -312,53 +537,145 @@ def test_odd_rows_toxicity(odd, labels):
     assert toxicity.clean(odd, labels).dtypes == odd.dtypes and toxicity.scored(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def test_no_documents_leave_none(spark, odd, labels):
+    assert toxicity.clean(odd.limit(0), labels.limit(0)).count() == 0 and toxicity.clean(odd, labels.limit(0)).count() == len(TEXTS)
+
+
 def test_odd_pages(spark):
-    assert warc.archive(spark.createDataFrame([], "page_id bigint, url string, html string, size int")).count() == 0
+    kind = "page_id bigint, url string, html string, size int, digest string, place string, first string, record string, payload string"
+    assert warc.archive(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, "u", "y" * 3_000_000, 7, *["?"] * 5), (2, "v", "y" * 3_000_000, 7, *["?"] * 5), (None, None, None, None, *[None] * 5)]
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(1, 3_000_000, "response", None), (2, 3_000_000, "revisit", 1), (None, 0, "response", None)}
+
+
+def test_a_source_without_words(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s"), (2, "", "t"), (3, None, "t"), (4, "d", None)], "doc_id bigint, text string, source string")
+    assert {r.doc_id: (r["size"], r.target, r.taken) for r in mixing.mix(docs).collect() if r["size"] == 0} == {2: (0, 0.0, 0), 3: (0, 0.0, 0)}
+    assert {r.doc_id for r in mixing.mixed(docs).collect()} == {1, 4}
 
 
-def test_passages_move_with_inserted_lines():
-    body = "\n".join(f"line {i} of a passage" for i in range(40))
-    a, b = ({c for c, *_ in linededup.chunks(t.encode())} for t in (body, "new first line\n" + body))
-    assert len(a & b) >= len(a) - 2
+def test_tables_of_a_block_go_with_it(spark):
+    def there(frame):
+        return Path(frame.inputFiles()[0].removeprefix("file://")).parent
 
+    with common.swept(spark) as outliving:
+        inner = there(common.kept(spark.range(3), "inner"))
+        with common.swept(spark) as handed_on:
+            middle = handed_on(spark.range(4), "middle")
+        assert middle.count() == 4 and there(middle).exists() and inner.exists()
+        held = there(middle)
+        out = outliving(spark.range(5), "outer")
+    assert out.count() == 5 and there(out).exists() and not inner.parent.exists() and not held.parent.exists()
 
-def test_repeated_runs_of_short_lines_all_go(spark):
-    """Passages of 2 to 8 lines under 50 words, over 50 together, in other contexts each time, against all pairs of runs."""
-    r = random.Random(5)
+
+class Cluster:
+    class conf:
+        get = staticmethod(lambda *_: None)
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    with pytest.raises(ValueError):
+        common.folder(Cluster, "x")
+
+
+def test_boundaries_move_with_inserted_lines():
+    body = [f"line {i} of a passage".encode() for i in range(40)]
+    a, b = linededup.boundaries(body, [5] * 40), linededup.boundaries([b"new first line", *body], [3] + [5] * 40)
+    assert a[1:] == b[2:] and 15 < sum(a) < 35
+    assert all(any(a[k : k + 2]) for k in range(38))  # each three lines hold one
+
+
+def plain_lines(texts):
+    """By (id, text) in order: the lines that stay, by the rule of linededup's docstring."""
+    pairs, singles, out = {}, {}, []
+    every = []
+    for d, text in texts:
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.split()]
+        words = [len(lines[i].split()) for i in full]
+        every.append((lines, full, words))
+        for k in range(len(full)):
+            singles.setdefault(lines[full[k]], (d, k))
+            if k + 1 < len(full):
+                pairs.setdefault((lines[full[k]], lines[full[k + 1]]), (d, k))
+    for (d, _), (lines, full, words) in zip(texts, every):
+        r = []
+        for a, b in zip(full, full[1:]):
+            h = [int(hashlib.md5(lines[i].encode()).hexdigest()[:8], 16) for i in (a, b)]
+            r.append((h[1] + 31 * h[0]) % 2**32)
+        cut = [words[k] + words[k + 1] > 50 or not (len(r) > 1 and all(x > y for x, y in ((x, y) for x in [r[k]] for y in r[max(0, k - 1) : k] + r[k + 1 : k + 2]))) for k in range(len(r))]
+        again = [pairs[lines[full[k]], lines[full[k + 1]]] < (d, k) for k in range(len(r))]
+        gone, k = {k for k in range(len(full)) if words[k] >= 50 and singles[lines[full[k]]] < (d, k)}, 0
+        while k < len(again):
+            end = k
+            while end < len(again) and again[end]:
+                end += 1
+            if any(cut[k:end]):
+                gone.update(range(k, end + 1))
+            k = max(end, k + 1)
+        stay, at = [], {i: k for k, i in enumerate(full)}
+        for i, x in enumerate(lines):
+            beside = [k for k in (max((k for j, k in at.items() if j < i), default=None), min((k for j, k in at.items() if j > i), default=None)) if k is not None]
+            if at[i] not in gone if i in at else not (beside and all(k in gone for k in beside)):
+                stay.append(x)
+        out.append("\n".join(stay))
+    return out
+
+
+def made_texts(seed):
+    """Passages of 2 to 8 lines under 50 words in other contexts each time, with blank lines, repeats within a text, copies."""
+    r = random.Random(seed)
     line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
-    shared = [[line(51 // k + r.randrange(1, 4)) for _ in range(k)] for k in range(2, 9) for _ in range(6)]
+    shared = [[line(r.choice((2, 51 // k + r.randrange(1, 4)))) for _ in range(k)] for k in range(2, 9) for _ in range(6)]
     texts = []
     for _ in range(60):
         parts = [[line(r.randrange(1, 20)) for _ in range(r.randrange(1, 5))] for _ in range(4)]
         for p in r.sample(shared, 3):
             parts.insert(r.randrange(len(parts)), [*p[:1], *([""] if len(p) == 5 else []), *p[1:]])
-        texts.append([x for p in parts for x in p])
-    texts.append([line(10)] * 30)
-
-    gone, seen = [], {}
-    for d, lines in enumerate(texts):
-        out, start = set(), 0
-        here = [(i, j, "\n".join(lines[i : j + 1])) for i in range(len(lines)) for j in range(i, len(lines)) if lines[i] and lines[j] and len(" ".join(lines[i : j + 1]).split()) > 50]
-        for i, j, x in here:
-            of, end = seen.setdefault(x, (d, j))
-            if of < d or end < i:
-                out.update(range(i, j + 1))
-        gone.append(out)
-    docs = spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(texts)], "doc_id bigint, text string")
-    for n in linededup.repeated(docs).collect():
+        texts.append("\n".join(x for p in parts for x in p))
+    return [*texts, "\n".join([line(10)] * 30), texts[3], "\n\n", line(60), texts[5].replace("\n", "\n\n"), texts[7] + "\n"]
+
+
+def test_repeated_runs_against_a_plain_loop(spark):
+    texts = list(enumerate(made_texts(5)))
+    texts.append((len(texts), texts[-3][1] + "\nmore"))
+    got = {r.doc_id: r for r in linededup.report(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    want = plain_lines(texts)
+    assert [got[d].text for d, _ in texts] == want
+    assert got[60].text.count("\n") == 0 and got[60].gone_lines == 29  # of thirty equal lines one stays
+    for (d, text), stay in zip(texts, want):
+        assert got[d].n_lines == text.count("\n") + 1 and got[d].gone_words == len(text.split()) - len(stay.split())
+
+
+def test_recall_of_repeated_runs(spark):
+    """Over sf0.1: of the lines in runs of neighbouring lines that each stand, pair by pair, in an earlier document, how many go;
+    and each line's first place stays."""
+    docs = queries.table(spark, "/root/testdata/sf0.1", "documents").orderBy("doc_id").collect()
+    got = {r.doc_id: r.text for r in linededup.report(queries.table(spark, "/root/testdata/sf0.1", "documents")).collect()}
+    seen, lines_seen, total, gone = {}, set(), Counter(), Counter()
+    for d in docs:
+        lines = [x for x in (d.text or "").split("\n") if x.split()]
+        left, stays, j = [x for x in (got[d.doc_id] or "").split("\n") if x.split()], [], 0
+        for x in lines:
+            stays.append(j < len(left) and left[j] == x)
+            j += stays[-1]
+        pairs = list(zip(lines, lines[1:]))
+        early = [seen.get(p, d.doc_id) < d.doc_id for p in pairs] + [False]
         start = 0
-        for k, (_, size, *_) in enumerate(linededup.chunks("\n".join(texts[n.id]).encode())):
-            gone[n.id].update(range(start, start + size) if k in n.gone else ())
-            start += size
-    got = {x.doc_id: x for x in linededup.passages(docs).collect()}
-    for d, lines in enumerate(texts):
-        stay = [x for i, x in enumerate(lines) if i not in gone[d]]
-        assert [x for x in got[d].text.split("\n") if x] == [x for x in stay if x]
-        assert got[d].n_lines == len(lines) and got[d].gone_words == len(" ".join(lines).split()) - len(" ".join(stay).split())
-    assert sum(x.gone_words for x in got.values()) > sum(x.gone_words for x in linededup.report(docs).collect())
-
-
-def test_repeated_runs_of_odd_rows(odd):
-    got = linededup.passages(odd).collect()
-    assert sorted(str(r.doc_id) for r in got) == sorted(str(t[0]) for t in TEXTS) and linededup.passages(odd.limit(0)).count() == 0
-    assert [r.text for r in got if r.doc_id == 1] == [None]
+        for k, e in enumerate(early):
+            if not e:
+                if n := k - start:
+                    kind = "short" if n < 3 else "long"
+                    total[kind] += n + 1
+                    gone[kind] += n + 1 - sum(stays[start : k + 1])
+                start = k + 1
+        assert all(s or x in lines_seen or x in lines[:i] for i, (s, x) in enumerate(zip(stays, lines)))
+        lines_seen.update(lines)
+        for p in pairs:
+            seen.setdefault(p, d.doc_id)
+    print({k: (gone[k], n) for k, n in total.items()})
+    assert gone["long"] >= 0.9 * total["long"] > 1000

@@ -99,10 +99,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """The rows of docs that the mix takes, a row taken twice standing there twice; columns as in docs."""
-    every = sized(docs.withColumn("source", F.col("source").cast("string")))
-    light = kept(every.select("source", "h", "size"), "sizes")
-    out = every.join(plan(light, weights, share), F.col("source").eqNullSafe(F.col("of")))
+    """The rows of docs that the mix takes, a row taken twice standing there twice; columns as in docs.
+
+    Rows without words (null and empty texts, too) have size 0 and add nothing to a target: they are taken as often as any row
+    below their source's threshold, so a source whose target is 0, as it has no words at all, is not in the mix. Rows without
+    a source form one; rows alike in id and text are in or out together. No rows: no rows.
+    """
+    every = kept(sized(docs.withColumn("source", F.col("source").cast("string"))), "sized")
+    out = every.join(plan(every.select("source", "h", "size"), weights, share), F.col("source").eqNullSafe(F.col("of")))
     return out.select("row", F.explode(F.array_repeat(F.lit(0), copies()))).select("row.*")
 
 

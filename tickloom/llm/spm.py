@@ -45,15 +45,13 @@ class Bpe:
     """Encoder and decoder of a sentencepiece BPE model with byte fallback, no normalisation rules and a space put before a text."""
 
     def __init__(self, path: str):
-        sp = SentencePieceProcessor(model_file=path)
+        self.library = sp = SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         self.pieces = [sp.id_to_piece(i) for i in ids]
         plain = [i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
         self.scores = {self.pieces[i]: sp.get_score(i) for i in plain}
         self.byte = {int(self.pieces[i][1:-1], 16): i for i in ids if sp.is_byte(i)}
-        self.bytes = {i: b for b, i in self.byte.items()}
-        self.silent = {i for i in ids if sp.is_control(i)}
         if sp.normalize(" a  b ") != f"{SPACE}{SPACE}a{SPACE}{SPACE}b{SPACE}" or len(self.byte) != 256 or "AÅﬁ" not in sp.normalize("AÅﬁ"):
             raise ValueError("the model isn't one of byte fallback that keeps texts as they are")
         # words: a text can be cut before a space mark if no token has one after another character, and at characters that no token has
@@ -68,7 +66,8 @@ class Bpe:
         self.automaton.make_automaton()
         self.longest = max(map(len, self.ids))
         self.pairs, self.words = Memory(), Memory()
-        self.shown: dict[str, tuple[int, str, str]] = {}
+        #: A character's id: behind it, ids are decoded as they are within a text.
+        self.front = next(i for i in plain if len(self.pieces[i]) == 1 and self.pieces[i] != SPACE)
 
     def merges(self, text: str) -> list[str]:
         """BPE by definition, for texts of two tokens at most: of the mergeable neighbours, those of the best score merge, leftmost first."""
@@ -120,28 +119,24 @@ class Bpe:
         return out
 
     def encode_word(self, word: str) -> list[int]:
-        out = []
-        for t in self.tokens(self.last_tokens(word)):
-            i = self.ids.get(t)
-            out += [self.byte[b] for b in t.encode()] if i is None else [i]
-        return out
+        return self.ids_of(self.tokens(self.last_tokens(word)))
 
     def parts(self, text: str) -> list[str]:
         """The words of a text, each with the spaces before it, as the text that begins with one more space."""
         return re.findall(r" +[^ \n]*|\n[^ \n]*|[^ \n]+" if self.by_line else r" +[^ ]*|[^ ]+", " " + text) if text else []
 
-    def show(self, token: str) -> tuple[int, str, str]:
-        """Of a token: the number of its ids, the ids as text, the ids decoded."""
-        if (x := self.shown.get(token)) is None:
-            ids = [self.ids[token]] if token in self.ids else [self.byte[b] for b in token.encode()]
-            x = (len(ids), ",".join(map(str, ids)), self.joined(ids))
-            if token in self.ids:
-                self.shown[token] = x
-        return x
+    def ids_of(self, tokens: list[str]) -> list[int]:
+        """Ids of tokens; a character that is none has those of its bytes."""
+        out: list[int] = []
+        for t in tokens:
+            i = self.ids.get(t)
+            out += [self.byte[b] for b in t.encode()] if i is None else [i]
+        return out
 
     def part(self, key: str) -> tuple[int, str, str, list[str]]:
-        """As show(), of a part of a text: a word after a space, or one that begins with a line end or with its spaces. With
-        its table, which goes on from that of a known word if all but a few characters agree."""
+        """Of a part of a text (a word after a space, or one that begins with a line end or with its spaces): the number of its
+        ids, the ids as text, and what the library decodes them to. With its table, which goes on from that of a known word if
+        all but a few characters agree."""
         if (x := self.words.get(key)) is None:
             before: list[str] = []
             for k in range(1, min(SHARED, len(key) - 1) + 1):
@@ -149,8 +144,8 @@ class Bpe:
                     before = known[3]
                     break
             last = self.last_tokens(key.replace(" ", SPACE) if key[:1] in (" ", "\n") else SPACE + key, before)
-            each = list(map(self.show, self.tokens(last)))
-            x = (sum([e[0] for e in each]), ",".join([e[1] for e in each]), "".join([e[2] for e in each]), last)
+            ids = self.ids_of(self.tokens(last))
+            x = (len(ids), ",".join(map(str, ids)), self.library.decode([self.front, *ids])[1:], last)
             if len(key) <= 64:
                 self.words.put(key, x)
         return x
@@ -158,26 +153,13 @@ class Bpe:
     def encode(self, text: str) -> list[int]:
         return [i for p in self.parts(text.replace(SPACE, " ")) for i in self.encode_word(p.replace(" ", SPACE))]
 
-    def joined(self, ids: list[int]) -> str:
-        """The pieces of ids with spaces for space marks; runs of byte tokens are read as UTF-8."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.bytes:
-                run.append(self.bytes[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if i not in self.silent:
-                out.append(self.pieces[i].replace(SPACE, " "))
-        return "".join(out) + run.decode("utf-8", "replace")
-
     def decode(self, ids: list[int]) -> str:
-        """joined(), without the space that encoding puts in front."""
-        return self.joined(ids).removeprefix(" ")
+        """What the library makes of ids."""
+        return self.library.decode(ids)
 
     def digests(self, text: bytes | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text. Parts begin with a space or a line end,
+        so no character's bytes lie in two of them, and decoding them one by one decodes the text."""
         told = (text or b"").decode("utf-8", "replace").replace(SPACE, " ")
         keys = told.replace("\n", " \n").split(" ") if self.by_line else [""]
         if "" in keys:  # several spaces together, or none at the start
@@ -206,13 +188,14 @@ def loaded(path: str) -> Bpe:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text). Null and empty texts have no ids.
-    Other columns are ignored, repeated rows stay."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text). Null and empty texts have no ids and
+    decode to an empty text. Texts are encoded whole, however long; equal ones alike. Other columns are ignored, repeated rows
+    stay. No rows: no rows."""
     return per_text(docs.select("doc_id", "text"), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda: loaded(path).digests)
 
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, ids."""
+    """docs (doc_id, text) -> doc_id, ids. Null and empty texts have an empty list; other columns are ignored, repeated rows stay."""
     return per_text(docs.select("doc_id", "text"), "ids array<int>", lambda: lambda t: (loaded(path).encode((t or b"").decode("utf-8", "replace")),))
 
 
