@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 LOCAL_FOLDER = "file:///tmp/checkpoints/tickloom"
 #: Rows of a driver-made table that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: Bytes of text whose results a Python task holds at a time.
+PIECE = 2 << 20
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
 
@@ -88,7 +90,7 @@ def per_text(rows: DataFrame, fields: str, make: Callable[[], Callable[..., tupl
     """The other columns of rows, then `fields` ("name type, ..."), computed from the whole text of each row as UTF-8 (None for null).
 
     make() runs once in each task and gives the function; it gets the column `also` as well, if one is named. One text at
-    a time is taken out of the Arrow batch.
+    a time is taken out of the Arrow batch, and results are handed on after each PIECE bytes of text.
     """
     names, kinds = zip(*(f.strip().split(" ", 1) for f in fields.split(", ")))
     rest = [f for f in rows.schema.fields if f.name not in (text, also)]
@@ -97,12 +99,22 @@ def per_text(rows: DataFrame, fields: str, make: Callable[[], Callable[..., tupl
     others, used = [f.name for f in rest], [text] if also is None else [text, also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn, n = make(), len(others)
+
+        def piece(b: pa.RecordBatch, got: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(c, t) for c, t in zip(zip(*got), types))], [*others, *names])
+
         for b in batches:
-            n = len(others)
-            got = [fn(*(x.as_py() for x in xs)) for xs in zip(*(b.column(n + i) for i in range(len(used))))]
-            cols = list(zip(*got)) if got else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(c, t) for c, t in zip(cols, types))], [*others, *names])
+            start, size, got = 0, 0, []
+            for k, xs in enumerate(zip(*(b.column(n + i) for i in range(len(used))))):
+                values = [x.as_py() for x in xs]
+                got.append(fn(*values))
+                size += len(values[0] or b"")
+                if size >= PIECE:
+                    yield piece(b.slice(start, k + 1 - start), got)
+                    start, size, got = k + 1, 0, []
+            if got:
+                yield piece(b.slice(start), got)
 
     asked = rows.select(*[F.col(f"`{c}`") for c in others], F.col(text).cast("binary").alias(text), *([] if also is None else [also]))
     return asked.mapInArrow(run, T.StructType([*rest, *added.fields]))
