@@ -1,16 +1,14 @@
-"""Runs, breakouts, raw contracts and chains against loops and fixed cases."""
+"""Breakouts, raw contracts and windows in parts against fixed cases."""
 
-from collections import namedtuple
 from datetime import datetime, timedelta
 
 import pytest
 
 from tests.compare import SMALL
-from tickloom.operators import breakouts, calendar, contracts, options, studies, validation, volatility
+from tickloom.operators import breakouts, calendar, contracts, validation, volatility
 from tickloom.plans import catalogue
 
 DAY = datetime(2026, 9, 3)
-Bar = namedtuple("Bar", "timestamp close side leave usable")
 
 
 def at(clock, day=DAY):
@@ -18,48 +16,6 @@ def at(clock, day=DAY):
     return day + timedelta(hours=h, minutes=m)
 
 
-def looped(rows, hold, capital, notional):
-    """Trades and equity of one instrument's signals, by a loop."""
-    cash, pos, trades, equity = capital, None, [], []
-    for r in rows:
-        if pos and r.usable and (r.leave or pos["held"] >= hold):
-            pnl = pos["side"] * (r.close - pos["entry"]) * pos["size"]
-            cash += pnl
-            trades.append((pos["at"], r.timestamp, pos["side"], pos["size"], r.leave or "max_hold_reached", round(pnl, 6)))
-            pos = None
-        elif not pos and r.usable and r.side:
-            pos = {"side": r.side, "entry": r.close, "at": r.timestamp, "size": max(1, int(notional / r.close)), "held": 0}
-        elif pos:
-            pos["held"] += 1
-        equity.append((r.timestamp, round(cash + (pos["side"] * (r.close - pos["entry"]) * pos["size"] if pos else 0), 4)))
-    if pos:
-        pnl = pos["side"] * (rows[-1].close - pos["entry"]) * pos["size"]
-        trades.append((pos["at"], rows[-1].timestamp, pos["side"], pos["size"], "backtest_end", round(pnl, 6)))
-    return trades, equity
-
-
-@pytest.mark.parametrize("batch", ["3", "10000"])
-def test_a_run_is_the_loop_whatever_the_batches(spark, batch):
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    try:
-        signals = spark.sql("SELECT concat('i', id % 3) AS instrument, TIMESTAMP_NTZ'2026-09-03 09:15:00' + make_dt_interval(0, 0, CAST(id AS INT)) AS timestamp, 100D + hash(id) % 40 AS close, CASE WHEN hash(id, 1) % 5 = 0 THEN 1 WHEN hash(id, 1) % 5 = 1 THEN -1 ELSE 0 END AS side, CASE WHEN hash(id, 2) % 9 = 0 THEN 'calm' END AS leave, hash(id, 3) % 4 <> 0 AS usable FROM range(300)").cache()
-        ran = studies.run(signals, 6, 10_000.0, 1_000.0)
-        got, curve = studies.closed(ran).collect(), studies.curve(ran, 10_000.0).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    for name in ("i0", "i1", "i2"):
-        rows = sorted((r for r in signals.collect() if r.instrument == name), key=lambda r: r.timestamp)
-        trades, equity = looped(rows, 6, 10_000.0, 1_000.0)
-        assert trades and sorted(trades) == sorted((r.entered, r.left, r.side, r.quantity, r.reason, r.pnl) for r in got if r.instrument == name)
-        assert equity == [(r.timestamp, round(r.equity, 4)) for r in sorted(curve, key=lambda r: r.timestamp) if r.instrument == name]
-
-
-def test_an_empty_run(spark):
-    empty = spark.createDataFrame([], "instrument string, timestamp timestamp_ntz, close double, side int, leave string, usable boolean")
-    assert studies.run(empty, 5).isEmpty()
-
-
 def bars(spark, path):
     """Minute bars of one day: flat at 100 to 10:15, then as path (clock, close) says."""
     change, rows = dict(path), []
@@ -128,23 +84,6 @@ def test_due_slots(spark):
     assert [r[0] for r in rows.select(calendar.due_slot(rows.t)).collect()] == [at("09:20"), None, None, at("15:30"), None]
 
 
-def test_premiums_revert_by_the_loop(spark):
-    some, closes, under = catalogue.option_tables(spark, SMALL)
-    premiums = options.premium(some, closes, under, n=5).cache()
-    got = studies.closed(options.reversion(premiums, hold=10)).collect()
-    trades = []
-    each: dict = {}
-    for r in premiums.where("rv IS NOT NULL").orderBy("timestamp").collect():
-        vrp = r.vrp if r.rv > 0 and r.vrp is not None else None
-        over = r.timestamp.date() > r.expiry
-        side = 0 if over or vrp is None else -1 if vrp >= 0.05 else 1 if vrp <= -0.05 else 0
-        leave = "expiry" if over else "vrp_reverted" if vrp is not None and abs(vrp) <= 0.01 else None
-        each.setdefault(r.instrument, []).append(Bar(r.timestamp, r.close, side, leave, vrp is not None or over))
-    for k, rows in each.items():
-        trades += [(str(k), *t[:5]) for t in looped(rows, 10, studies.CAPITAL, studies.NOTIONAL)[0]]
-    assert trades and sorted(trades) == sorted((r.instrument, r.entered, r.left, r.side, r.quantity, r.reason) for r in got)
-
-
 def test_windows_in_parts_are_windows(spark):
     rows = catalogue.hours(spark, SMALL)
     whole, small = (sorted(map(tuple, volatility.realised(rows, 7, size).collect())) for size in (10**6, 8))

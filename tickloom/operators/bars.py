@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .access import by_time
+
 
 def start(width: str, column: str = "timestamp") -> Column:
     """The start of the bar, closed at the left, as TIMESTAMP_NTZ."""
@@ -17,8 +19,9 @@ def tenth(x: Column) -> Column:
 
 
 def build(ticks: DataFrame, width: str) -> DataFrame:
-    """instrument, timestamp, open, high, low, close, volume, n. First and last by sequence number; sums combine before the shuffle."""
-    return ticks.groupBy("instrument", start(width).alias("timestamp")).agg(F.min_by("ltp", "sequence_number").alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), F.max_by("ltp", "sequence_number").alias("close"), F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("n"))
+    """instrument, timestamp, open, high, low, close, volume, n. First and last by time, then sequence number (a missing one first);
+    of ticks equal in both any one. Null prices count in n alone, ticks without a time in no bar. Sums combine before the shuffle."""
+    return ticks.groupBy("instrument", start(width).alias("timestamp")).agg(F.min_by("ltp", F.when(F.col("ltp").isNotNull(), by_time())).alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), F.max_by("ltp", F.when(F.col("ltp").isNotNull(), by_time())).alias("close"), F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("n"))
 
 
 def widen(bars: DataFrame, width: str, complete: int | None = None) -> DataFrame:
@@ -38,7 +41,7 @@ def analytics(books: DataFrame, width: str) -> DataFrame:
     depth = F.col("total_buy_qty") + F.col("total_sell_qty")
     imbalance = F.when(depth > 0, (F.col("total_buy_qty") - F.col("total_sell_qty")) / depth).otherwise(0.0)
     out = books.groupBy("instrument", start(width).alias("timestamp")).agg(
-        F.max_by("ltp", "sequence_number").alias("ltp"), F.round(F.avg(spread), 2).alias("avg_spread"), F.round(F.max(spread), 2).alias("max_spread"), F.round(F.avg(imbalance), 4).alias("imbalance"),
+        F.max_by("ltp", by_time()).alias("ltp"), F.bround(F.avg(spread), 2).alias("avg_spread"), F.bround(F.max(spread), 2).alias("max_spread"), F.bround(F.avg(imbalance), 4).alias("imbalance"),
         F.avg("total_buy_qty").cast("bigint").alias("buy_depth"), F.avg("total_sell_qty").cast("bigint").alias("sell_depth"), F.sum(F.col("total_buy_qty") - F.col("total_sell_qty")).alias("delta"), F.count(F.lit(1)).alias("n"),
     )
     return out.withColumn("cum_delta", F.expr("sum(delta) OVER (PARTITION BY instrument, CAST(timestamp AS DATE) ORDER BY timestamp)"))
@@ -54,43 +57,60 @@ def wall_counts(books: DataFrame, width: str, least: int = 2000) -> DataFrame:
 
 
 def levels(books: DataFrame, least: int) -> DataFrame:
-    """A row for each level of at least this quantity, with its side and place."""
+    """row (all columns of books), side, place and level for each level of at least this quantity."""
     both = F.array(F.struct(F.lit("BUY").alias("side"), F.col("best_5_buy").alias("levels")), F.struct(F.lit("SELL").alias("side"), F.col("best_5_sell").alias("levels")))
-    one = books.select("*", F.explode(both).alias("s")).select("*", "s.side", F.posexplode("s.levels").alias("place", "level"))
-    return one.where(F.col("level.quantity") >= least).drop("s", "best_5_buy", "best_5_sell")
+    row = F.struct(*[F.col(f"`{c}`") for c in books.columns if not c.startswith("best_5_")])
+    one = books.select(row.alias("row"), F.explode(both).alias("s")).select("row", "s.side", F.posexplode("s.levels").alias("place", "level"))
+    return one.where(F.col("level.quantity") >= least)
+
+
+def _first() -> list[Column]:
+    """The order of a bar's levels: their tick's, then the place."""
+    return [F.col("row.timestamp"), F.col("row.sequence_number"), F.col("place")]
 
 
 def walls(books: DataFrame, least: int = 5000) -> DataFrame:
-    """The first level of at least this quantity for each instrument, minute, side and price to one decimal."""
-    key = levels(books, least).withColumns({"minute": start("1 minute"), "price": tenth(F.col("level.price"))})
-    first = F.struct("sequence_number", "place", F.col("level.quantity").alias("quantity"), "ltp", "timestamp")
+    """The first level of at least this quantity for each instrument, minute, side and price to one decimal. Books without a time
+    are in no minute; empty and null sides have no levels."""
+    key = levels(books, least).where("row.timestamp IS NOT NULL").select("*", start("1 minute", "row.timestamp").alias("minute"), tenth(F.col("level.price")).alias("price"), F.col("row.instrument").alias("instrument"))
+    first = F.struct(*_first(), F.col("level.quantity").alias("quantity"), F.col("row.ltp").alias("ltp"))
     out = key.groupBy("instrument", "minute", "side", "price").agg(F.min(first).alias("f"))
     return out.select("instrument", "minute", "side", "price", "f.quantity", "f.ltp", "f.timestamp")
 
 
 def absorptions(books: DataFrame, least: int = 3000) -> DataFrame:
-    """Walls that the price passes within five minutes: the first that qualifies for each instrument, minute, side and price.
+    """Walls that the price passes within five minutes: the first that qualifies for each instrument, minute, side and price, with
+    the tick's time.
 
     The following prices are a range frame of each instrument's ticks by hour and the next one's first ticks, so that no
     window holds a whole instrument: ticks near an hour's end are also copied into the hour before.
     """
-    micros = F.expr("unix_micros(CAST(timestamp AS TIMESTAMP))")
-    wide = books.withColumn("at", micros).withColumn("part", F.floor(F.col("at") / 3_600_000_000))
-    early = F.floor((F.col("at") - 300_000_000) / 3_600_000_000)
-    copies = wide.withColumn("part", F.explode(F.array_distinct(F.array("part", early)))).withColumn("own", F.col("part") == F.floor(F.col("at") / 3_600_000_000))
-    frame = "OVER (PARTITION BY instrument, part ORDER BY at RANGE BETWEEN 1 FOLLOWING AND 300000000 FOLLOWING)"
-    seen = copies.withColumns({"low": F.expr(f"min(ltp) {frame}"), "high": F.expr(f"max(ltp) {frame}")}).where("own")
-    each = levels(seen, least).where("level.price > 0")
-    price = F.col("level.price")
-    buy = (F.col("side") == "BUY") & (F.col("low") < price)
-    sell = (F.col("side") == "SELL") & (F.col("high") > price)
-    hit = each.where(buy | sell).withColumns({"minute": start("1 minute"), "wall": tenth(price), "move": tenth(F.when(buy, F.col("low")).otherwise(F.col("high")) - price)})
-    first = F.struct("sequence_number", "place", tenth(F.col("ltp")).alias("price"), F.col("level.quantity").alias("quantity"), "move")
-    return hit.groupBy("instrument", "minute", "side", "wall").agg(F.min(first).alias("f")).select("instrument", "minute", "side", "wall", "f.price", "f.quantity", "f.move")
-
-
-def strip(analytics: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row for each instrument: mean of the positive spreads, largest spread, mean imbalance and its bias, walls."""
+    hour, reach = 3_600_000_000, 300_000_000
+    book = F.struct(*[F.col(f"`{c}`") for c in books.columns]).alias("book")
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    wide = books.where("timestamp IS NOT NULL").select(book, "instrument", "ltp", at.alias("at")).withColumn("mine", F.floor(F.col("at") / hour))
+    copies = wide.withColumn("part", F.explode(F.array_distinct(F.array("mine", F.floor((F.col("at") - reach) / hour)))))
+    frame = f"OVER (PARTITION BY instrument, part ORDER BY at RANGE BETWEEN 1 FOLLOWING AND {reach} FOLLOWING)"
+    seen = copies.withColumns({"low": F.expr(f"min(ltp) {frame}"), "high": F.expr(f"max(ltp) {frame}")}).where("part = mine")
+    each = levels(seen.select("book.*", F.struct("low", "high").alias("_next")), least).where("level.price > 0")
+    price, buy = F.col("level.price"), F.col("side") == "BUY"
+    reached = F.when(buy, F.col("row._next.low")).otherwise(F.col("row._next.high"))
+    hit = each.where(F.when(buy, reached < price).otherwise(reached > price)).select("*", F.col("row.instrument").alias("instrument"), start("1 minute", "row.timestamp").alias("minute"), tenth(price).alias("wall"), tenth(reached - price).alias("move"))
+    first = F.struct(*_first(), tenth(F.col("row.ltp")).alias("price"), F.col("level.quantity").alias("quantity"), "move")
+    out = hit.groupBy("instrument", "minute", "side", "wall").agg(F.min(first).alias("f"))
+    return out.select("instrument", "minute", "side", "wall", "f.price", "f.quantity", "f.move", "f.timestamp", "f.sequence_number", "f.place")
+
+
+def strip(analytics: DataFrame, counts: DataFrame, absorbed: DataFrame | None = None) -> DataFrame:
+    """One row for each instrument: mean of the positive spreads, largest spread, mean imbalance and its bias, walls, and if
+    absorbed (instrument, ...) is given how many of its rows. Bars without counts have no walls; halves round to even."""
     both = analytics.join(counts, ["instrument", "timestamp"], "left")
-    out = both.groupBy("instrument").agg(F.round(F.avg(F.when(F.col("avg_spread") > 0, F.col("avg_spread"))), 2).alias("avg_spread"), F.max("max_spread").alias("max_spread"), F.round(F.avg("imbalance"), 4).alias("imbalance"), F.sum(F.coalesce("walls_buy", F.lit(0))).alias("walls_buy"), F.sum(F.coalesce("walls_sell", F.lit(0))).alias("walls_sell"))
-    return out.withColumn("bias", F.when(F.col("imbalance") > 0.02, "BUY").when(F.col("imbalance") < -0.02, "SELL").otherwise("NEUTRAL"))
+    out = both.groupBy("instrument").agg(
+        F.bround(F.avg(F.when(F.col("avg_spread") > 0, F.col("avg_spread"))), 2).alias("avg_spread"), F.max("max_spread").alias("max_spread"), F.bround(F.avg("imbalance"), 4).alias("imbalance"),
+        F.sum(F.coalesce("walls_buy", F.lit(0))).alias("walls_buy"), F.sum(F.coalesce("walls_sell", F.lit(0))).alias("walls_sell"),
+    )
+    out = out.withColumn("bias", F.when(F.col("imbalance") > 0.02, "BUY").when(F.col("imbalance") < -0.02, "SELL").otherwise("NEUTRAL"))
+    if absorbed is None:
+        return out
+    n = absorbed.groupBy("instrument").agg(F.count(F.lit(1)).alias("absorptions"))
+    return out.join(n, "instrument", "left").withColumn("absorptions", F.coalesce("absorptions", F.lit(0)))

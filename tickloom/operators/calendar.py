@@ -14,8 +14,9 @@ HOLIDAYS = (
     "2026-05-28", "2026-06-26", "2026-09-14", "2026-10-02", "2026-10-20", "2026-11-10", "2026-11-24", "2026-12-25",
 )
 SPECIAL = ("2026-02-01",)
-#: Minutes without a sign of life after which a service is stale while the market is open.
+#: Minutes without a sign of life after which a service is stale while the market is open.
 STALE = {"tick_downloader": 10, "ohlcv_scheduler": 15, "instrument_sync_scheduler": 24 * 60}
+#: The session, in minutes of the day.
 OPEN, CLOSE = 9 * 60 + 15, 15 * 60 + 30
 
 
@@ -58,7 +59,8 @@ def fetches(instruments: DataFrame, last: DataFrame, now: datetime, minutes: int
     """token, start, end of the requests that fill the bars of instruments (token, expiry, derivative) up to now.
 
     From the bar after the last stored one (last: token, timestamp), else from `days` before the end, for derivatives at most
-    derivative_days; to now, or the end of the day of expiry. Requests are of at most `chunk` days. None where nothing is open.
+    derivative_days; to now, or the end of the day of expiry. Requests are of at most `chunk` days. None where nothing is open,
+    spans without a trading day stay, see open_fetches().
     """
     at = F.lit(now).cast("timestamp_ntz")
     end = F.least(at, F.coalesce(F.col("expiry").cast("timestamp_ntz") + F.expr("INTERVAL '0 23:59:59.999999' DAY TO SECOND"), at))
@@ -70,3 +72,8 @@ def fetches(instruments: DataFrame, last: DataFrame, now: datetime, minutes: int
     step = F.make_dt_interval(F.col("k") * chunk)
     each = whole.select("token", "start", "end", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)).alias("k"))
     return each.select("token", (F.col("start") + step).alias("start"), F.least(F.col("start") + step + F.make_dt_interval(F.lit(chunk)), F.col("end")).alias("end"))
+
+
+def open_fetches(requests: DataFrame) -> DataFrame:
+    """Those of fetches() whose days hold a trading day."""
+    return requests.where(F.exists(F.sequence(F.to_date("start"), F.to_date("end")), lambda d: trading(d)))

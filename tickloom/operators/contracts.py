@@ -38,6 +38,7 @@ class Contract:
         return [f.name for f in self.fields if f.positive]
 
 
+#: The fields of the contracts and the codes of findings.
 _PRICES = tuple(Field(x, positive=True) for x in ("open", "high", "low", "close"))
 BAR_1M, BAR_5M = (Contract(f"ohlcv_{n}m", (Field("timestamp", "time"), *_PRICES, Field("volume", floor=True)), n) for n in (1, 5))
 TICK = Contract(
@@ -121,10 +122,9 @@ def _values(contract: Contract) -> list[tuple[str, str, Column]]:
     inside = t["high"] >= t["low"]
     if contract.minutes is None:
         return [session, ("high", "ohlc_invariant", ~inside), ("ltp", "ltp_outside_day_range", inside & ~t["ltp"].between(t["low"], t["high"]))]
-    micros = F.unix_micros(t["timestamp"].cast("timestamp")) % 1_000_000 != 0
     whole = t["open"].isNotNull() & t["high"].isNotNull() & t["low"].isNotNull() & t["close"].isNotNull()
     most, least = F.greatest(t["open"], t["close"]), F.least(t["open"], t["close"])
-    return [("timestamp", "timestamp_not_aligned", micros | ~validation.aligned(contract.minutes, "_typed.timestamp")), session, ("high", "ohlc_invariant", whole & ~inside), ("high", "ohlc_invariant", whole & (t["high"] < most)), ("low", "ohlc_invariant", whole & (t["low"] > least))]
+    return [("timestamp", "timestamp_not_aligned", ~validation.aligned(contract.minutes, "_typed.timestamp")), session, ("high", "ohlc_invariant", whole & ~inside), ("high", "ohlc_invariant", whole & (t["high"] < most)), ("low", "ohlc_invariant", whole & (t["low"] > least))]
 
 
 def findings(raw: DataFrame, contract: Contract) -> DataFrame:
@@ -132,7 +132,7 @@ def findings(raw: DataFrame, contract: Contract) -> DataFrame:
     both = raw.withColumn("_typed", F.struct(*cells(raw, contract)))
     rules = _rules(raw, contract) + _values(contract)
     broken = F.array_compact(F.array(*[F.when(x, F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"))) for field, code, x in rules]))
-    return both.select(*OWN, F.explode(broken).alias("x")).select(*OWN, "x.field", "x.code").withColumn("severity", validation.severity(F.col("code")))
+    return both.select(*OWN, F.explode(broken).alias("x")).select(*OWN, "x.field", "x.code").withColumn("severity", validation.severity(F.col("code"), contract.minutes is None))
 
 
 def candles(raw: DataFrame, column: str = "candle") -> DataFrame:

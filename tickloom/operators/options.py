@@ -11,10 +11,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import access, studies, volatility
+from . import access, volatility
 
-#: Premiums at which to sell, to buy, and to leave; bars of the realised volatility and of the longest stay.
-RICH, CHEAP, REVERTED, WINDOW, HOLD = 0.05, -0.05, 0.01, 5 * 75, 150
+#: Bars of the realised volatility.
+WINDOW = 5 * 75
 
 
 def solved(rows: DataFrame) -> DataFrame:
@@ -76,21 +76,11 @@ def premium(options: DataFrame, closes: DataFrame, underlying: DataFrame, n: int
     bars = closes.groupBy("token", "timestamp").agg(F.max("close").alias("paid"))
     both = bars.join(options, "token").join(spots, ["name", "timestamp"]).select("token", "timestamp", "strike", "expiry", "kind", "paid", "u.*")
     step = both.where("open > 0 AND high > 0 AND low > 0 AND close > 0").withColumn("ret", F.expr("ln(close / lag(close) OVER (PARTITION BY token ORDER BY timestamp))"))
-    rv = step.withColumn("rv", volatility.estimators(n, by="token")[method])
+    rv = step.withColumn("rv", volatility.by_name(method, n, by="token"))
     rows = solved(rv.withColumnRenamed("close", "spot").withColumnRenamed("paid", "close"))
     return rows.select(F.col("token").alias("instrument"), "timestamp", "close", "expiry", "iv", "rv", (F.col("iv") - F.col("rv")).alias("vrp"))
 
 
-def reversion(premiums: DataFrame, hold: int = HOLD, **sizes: float) -> DataFrame:
-    """The bars of positions that sell rich options and buy cheap ones; see studies.run(). Bars after expiry close a position."""
-    vrp = F.when(F.col("rv") > 0, F.col("vrp"))
-    over = F.to_date("timestamp") > F.col("expiry")
-    side = F.when(over, 0).when(vrp >= RICH, -1).when(vrp <= CHEAP, 1).otherwise(0)
-    leave = F.when(over, "expiry").when(F.abs(vrp) <= REVERTED, "vrp_reverted")
-    ready = premiums.where("rv IS NOT NULL").select("instrument", "timestamp", "close", side.alias("side"), leave.alias("leave"), (vrp.isNotNull() | over).alias("usable"))
-    return studies.run(ready, hold, **sizes)
-
-
 def nearest_band(options: DataFrame, name: str, spot: float, today: str, step: int = 50, steps: int = 10) -> DataFrame:
     """A name's options of the next expiry within `steps` strikes of the one nearest to spot."""
     return access.strikes_near(options.where(F.col("name") == name), spot, step, steps, today)

@@ -1,38 +1,10 @@
-"""Breakout studies in closed form, trade metrics, equity curves, and a one-position simulation."""
+"""Studies of trades: what they came to, equity curves and metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hours of the opening range and of the last exit; the range's share that a close must pass it by; the cost of a trade.
-RANGE, EXIT, BUFFER, COST = (9, 12), 20, 0.05, 2.0
-
-
-def breakouts(bars: DataFrame) -> DataFrame:
-    """Trades by instrument and day: the first close outside the opening range, left at the opposite end or at the last close.
-
-    The day's bars are joined to the day's range and entry; the stop is the first bar after the entry that touches it.
-    """
-    hour = F.hour("timestamp")
-    each = bars.withColumns({"day": F.to_date("timestamp"), "hour": hour})
-    first = (F.col("hour") >= RANGE[0]) & (F.col("hour") < RANGE[1])
-    span = each.where(first).groupBy("instrument", "day").agg(F.max("high").alias("hi"), F.min("low").alias("lo"))
-    later = each.where((F.col("hour") >= RANGE[1]) & (F.col("hour") < EXIT)).join(span, ["instrument", "day"])
-    buffer = BUFFER * (F.col("hi") - F.col("lo"))
-    side = F.when(F.col("close") > F.col("hi") + buffer, "LONG").when(F.col("close") < F.col("lo") - buffer, "SHORT")
-    entry = later.withColumn("side", side).where("side IS NOT NULL").groupBy("instrument", "day", "hi", "lo").agg(F.min(F.struct("timestamp", "side", F.col("close").alias("entry"))).alias("e")).select("instrument", "day", "hi", "lo", F.col("e.timestamp").alias("entered"), "e.side", "e.entry")
-    path = each.where(F.col("hour") < EXIT).select("instrument", "day", "timestamp", "high", "low", "close").join(entry, ["instrument", "day"]).where("timestamp > entered")
-    hit = F.when(F.col("side") == "LONG", F.col("low") <= F.col("lo")).otherwise(F.col("high") >= F.col("hi"))
-    out = path.groupBy("instrument", "day", "side", "entered", "entry", "hi", "lo").agg(F.max(hit).alias("stopped"), F.max_by("close", "timestamp").alias("last"))
-    exit_ = F.when(F.col("stopped"), F.when(F.col("side") == "LONG", F.col("lo")).otherwise(F.col("hi"))).otherwise(F.col("last"))
-    gain = F.when(F.col("side") == "LONG", exit_ - F.col("entry")).otherwise(F.col("entry") - exit_)
-    return out.select("instrument", "day", "side", "entered", "entry", exit_.alias("exit"), "stopped", F.round(gain - COST, 6).alias("pnl"))
-
-
 def study(trades: DataFrame, by: str) -> DataFrame:
     """Trades, share of wins, net result and profit factor (null without losses) for each value of `by`."""
     wins, losses = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0)), -F.sum(F.when(F.col("pnl") <= 0, F.col("pnl")).otherwise(0))
@@ -51,116 +23,15 @@ def equity(trades: DataFrame, capital: int) -> DataFrame:
 
 
 def metrics(trades: DataFrame, capital: int) -> DataFrame:
-    """By strategy: trades, wins, total, largest drawdown, and the Sharpe ratio of daily changes (0 if they don't vary)."""
+    """By strategy: trades, wins, losses (no gain), share of wins, total, capital at the end, largest drawdown, and the Sharpe ratio
+    of daily changes (0 if they don't vary). Trades without a result are no wins or losses."""
     curve = equity(trades, capital)
     change = curve.withColumn("front", F.expr("lag(equity) OVER (PARTITION BY strategy ORDER BY day)")).where("front > 0").withColumn("r", F.col("equity") / F.col("front") - 1)
     sharpe = change.groupBy("strategy").agg(F.round(F.when(F.stddev_pop("r") > 0, (F.avg("r") - 0.065 / 252) / F.stddev_pop("r") * F.sqrt(F.lit(252.0))).otherwise(0.0), 4).alias("sharpe"))
     worst = curve.groupBy("strategy").agg(F.max("drawdown_pct").alias("max_drawdown_pct"))
-    sums = trades.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), F.sum("pnl").alias("total"))
+    n, wins, total = F.count(F.lit(1)), F.count_if(F.col("pnl") > 0), F.sum("pnl")
+    sums = trades.groupBy("strategy").agg(
+        n.alias("n"), wins.alias("wins"), F.count_if(F.col("pnl") <= 0).alias("losses"), F.round(100.0 * wins / n, 2).alias("win_pct"),
+        total.alias("total"), (F.lit(capital) + F.coalesce(total, F.lit(0))).cast("bigint").alias("ending"),
+    )
     return sums.join(worst, "strategy").join(sharpe, "strategy", "left")
-
-
-#: What a run begins with, and what each of its positions is worth at entry.
-CAPITAL, NOTIONAL = 1_000_000.0, 100_000.0
-_RUN = "instrument string, timestamp timestamp_ntz, last boolean, side int, quantity bigint, entered timestamp_ntz, entry double, exit double, reason string, pnl double, cash double, open_value double"
-
-
-class _Position:
-    """An instrument's cash and position, bar by bar."""
-
-    def __init__(self, instrument: str | None, hold: int, capital: float, notional: float):
-        self.instrument, self.hold, self.cash, self.notional = instrument, hold, capital, notional
-        self.side = self.held = self.size = 0
-        self.entered = self.entry = self.bar = None
-
-    def row(self, reason: str | None, last: bool = False) -> tuple:
-        bar = self.bar
-        worth = self.side * (bar.close - self.entry) * self.size if self.side else 0.0
-        if not reason:
-            return (self.instrument, bar.timestamp, last, *(None,) * 7, self.cash, worth)
-        self.cash += worth
-        done = (self.side, self.size, self.entered, self.entry, bar.close, reason, worth)
-        self.side = 0
-        return (self.instrument, bar.timestamp, last, *done, self.cash, 0.0)
-
-    def step(self, bar) -> tuple:
-        self.bar, reason = bar, None
-        if self.side:
-            if bar.usable:
-                reason = bar.leave or ("max_hold_reached" if self.held >= self.hold else None)
-            self.held += 1
-        elif bar.usable and bar.side:
-            self.side, self.held, self.entered, self.entry = int(bar.side), 0, bar.timestamp, bar.close
-            self.size = max(1, int(self.notional / bar.close)) if bar.close > 0 else 0
-        return self.row(reason)
-
-    def end(self) -> list[tuple]:
-        return [self.row("backtest_end", True)] if self.side else []
-
-
-def run(signals: DataFrame, hold: int, capital: float = CAPITAL, notional: float = NOTIONAL) -> DataFrame:
-    """One position at a time by instrument. signals: instrument, timestamp, close, side (1 or -1 opens, 0 doesn't), leave (a
-    reason to close, or null) and usable (false: neither opens nor closes, but counts as a bar held).
-
-    A row for each bar with cash and what the open position is worth, and with reason, entry, exit, quantity and pnl if a position
-    closes there. A bar closes or opens, not both. The last bar closes what is open, as a further row (last is true).
-    Sizes are whole units of `notional`, 1 at least, 0 for prices that aren't positive.
-
-    Each instrument's bars run through one task in order, in Arrow batches; only the position is held.
-    """
-    names = [x.split(" ")[0] for x in _RUN.split(", ")]
-
-    def framed(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"side": "Int32", "quantity": "Int64"})
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = None
-        for batch in batches:
-            batch["leave"] = batch["leave"].astype(object).where(batch["leave"].notna(), None)
-            rows: list[tuple] = []
-            for bar in batch.itertuples(index=False):
-                if now is None or bar.instrument != now.instrument:
-                    rows += now.end() if now else []
-                    now = _Position(bar.instrument, hold, capital, notional)
-                rows.append(now.step(bar))
-            yield framed(rows)
-        if now:
-            yield framed(now.end())
-
-    each = signals.where("instrument IS NOT NULL AND close IS NOT NULL AND timestamp IS NOT NULL").select(F.col("instrument").cast("string"), "timestamp", "close", F.coalesce("side", F.lit(0)).alias("side"), "leave", F.coalesce("usable", F.lit(False)).alias("usable"))
-    return each.repartition("instrument").sortWithinPartitions("instrument", "timestamp").mapInPandas(walk, _RUN)
-
-
-def closed(run: DataFrame) -> DataFrame:
-    """The trades of a run: instrument, entered, left, side, quantity, entry, exit, reason, pnl and pnl_pct of what was put in."""
-    paid = F.col("entry") * F.col("quantity")
-    return run.where("reason IS NOT NULL").select("instrument", "entered", F.col("timestamp").alias("left"), "side", "quantity", "entry", "exit", "reason", F.round("pnl", 6).alias("pnl"), F.round(F.coalesce(F.try_divide(F.col("pnl") * 100, paid), F.lit(0.0)), 6).alias("pnl_pct"))
-
-
-def curve(run: DataFrame, capital: float = CAPITAL) -> DataFrame:
-    """instrument, timestamp, equity, cash and drawdown in percent of the highest equity so far, for each bar; of the rows of the
-    last bar the one after the forced close stands."""
-    bars = run.groupBy("instrument", "timestamp").agg(F.max_by(F.struct((F.col("cash") + F.col("open_value")).alias("equity"), "cash"), "last").alias("r")).select("instrument", "timestamp", "r.*")
-    peak = F.greatest(F.lit(capital), F.expr("max(equity) OVER (PARTITION BY instrument ORDER BY timestamp)"))
-    return bars.withColumn("peak", peak).select("instrument", "timestamp", F.round("equity", 6).alias("equity"), F.round("cash", 6).alias("cash"), F.round(F.try_divide((F.col("peak") - F.col("equity")) * 100, F.col("peak")), 6).alias("drawdown_pct"))
-
-
-def breakout_run(bars: DataFrame, short: int = 375, long: int = 1500, enter: float = 1.5, leave: float = 1.1, hold: int = 75, capital: float = CAPITAL, notional: float = NOTIONAL) -> DataFrame:
-    """run() on the ratio of short to long volatility: entered in the direction of the last `short` bars, left when it is low again.
-
-    Ratio and direction are windows; bars before the long window is full aren't sent, and those without a ratio aren't usable.
-    """
-    step = bars.where("close > 0").withColumn("ret", F.expr("ln(close / lag(close) OVER (PARTITION BY instrument ORDER BY timestamp))"))
-
-    def vol(n: int) -> str:
-        return f"stddev_pop(ret) OVER (PARTITION BY instrument ORDER BY timestamp ROWS BETWEEN {n - 2} PRECEDING AND CURRENT ROW)"
-
-    signals = step.withColumns({"ratio": F.try_divide(F.expr(vol(short)), F.expr(vol(long))), "up": F.expr(f"close >= lag(close, {short - 1}) OVER (PARTITION BY instrument ORDER BY timestamp)"), "k": F.expr("row_number() OVER (PARTITION BY instrument ORDER BY timestamp)")})
-    side = F.when(F.col("ratio") >= enter, F.when(F.col("up"), 1).otherwise(-1)).otherwise(0)
-    ready = signals.where(F.col("k") > long).select("instrument", "timestamp", "close", side.alias("side"), F.when(F.col("ratio") <= leave, "regime_normalized").alias("leave"), F.col("ratio").isNotNull().alias("usable"))
-    return run(ready, hold, capital, notional)
-
-
-def simulate(bars: DataFrame, short: int = 5, long: int = 20, enter: float = 1.5, leave: float = 1.1, hold: int = 15) -> DataFrame:
-    """The trades of breakout_run(), over windows that fit hourly bars."""
-    return closed(breakout_run(bars, short, long, enter, leave, hold))

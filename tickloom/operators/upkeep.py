@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """table with `columns` replaced where new has the key, and new's other rows; columns not named are kept or null."""
-    fresh = new.select(F.col(key), *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("there"))
-    both = table.join(fresh, key, "full")
-    return both.select(key, *[(F.when(F.col("there"), F.col(f"new_{c}")).otherwise(F.col(c)) if c in columns else F.col(c)).alias(c) for c in table.columns if c != key])
+    """table with `columns` replaced where new has the key, and new's other rows; columns not named are kept or null. Of several
+    new rows of a key the largest in `columns`, in their order, stands. Null keys match none, so such rows of new are added, as
+    one. Columns of table keep their names, whatever they are."""
+    fresh = new.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*columns)).alias("_new"))
+    old = table.select(F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("_old"))
+    both = old.join(fresh, F.col(f"_old.{key}") == F.col("_key"), "full")
+    value = {c: F.when(F.col("_new").isNotNull(), F.col("_new").getField(c)).otherwise(F.col("_old").getField(c)) for c in columns} | {key: F.coalesce(F.col("_old").getField(key), F.col("_key"))}
+    return both.select(*[value.get(c, F.col("_old").getField(c)).alias(c) for c in table.columns])
 
 
 def insert_first(table: DataFrame, new: DataFrame, key: list[str], arrival: str) -> DataFrame:
@@ -48,11 +52,70 @@ def split(rows: DataFrame, today: str, keep_days: int) -> tuple[DataFrame, DataF
     return rows.where(F.col("timestamp") >= cutoff), rows.where(F.col("timestamp") < cutoff)
 
 
-def archive(old: DataFrame, path: str) -> int:
-    """old as Parquet at path, by day; returns the rows read back, which must be as many as there were."""
-    n = old.count()
-    old.withColumn("trade_date", F.to_date("timestamp")).write.partitionBy("trade_date").option("compression", "snappy").parquet(path)
-    back = old.sparkSession.read.parquet(path).count()
-    if back != n:
-        raise OSError(f"{n} rows were written, {back} read back; nothing may be deleted")
-    return back
+def _sums(rows: DataFrame) -> DataFrame:
+    """trade_date, n and a sum over hashes of whole rows: equal only if all cells are there."""
+    columns = sorted(c for c in rows.columns if c != "trade_date")
+    return rows.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("sum"))
+
+
+def archive(old: DataFrame, path: str) -> DataFrame:
+    """old as Parquet at path, a folder for each day of timestamp (rows without one in a folder of their own).
+
+    Every cell is read back, and its day is verified if rows and hashes agree with what was written. Returns trade_date, n and
+    verified; only verified days may be deleted. No rows: no folders and no days.
+    """
+    dated = old.withColumn("trade_date", F.to_date("timestamp"))
+    dated.write.partitionBy("trade_date").option("compression", "snappy").parquet(path)
+    back = old.sparkSession.read.schema(dated.schema).parquet(path)
+    there = _sums(back).select(F.col("trade_date").alias("day"), F.col("n").alias("n_back"), F.col("sum").alias("sum_back"))
+    both = _sums(dated).join(there, F.col("trade_date").eqNullSafe(F.col("day")), "left")
+    return both.select("trade_date", "n", F.coalesce((F.col("n") == F.col("n_back")) & F.col("sum").eqNullSafe(F.col("sum_back")), F.lit(False)).alias("verified"))
+
+
+def purged(rows: DataFrame, verified: DataFrame) -> DataFrame:
+    """rows but for those of the verified days (trade_date, verified): a day that isn't verified stays whole. Days are few, and
+    their side is the smaller one."""
+    gone = verified.where("verified").select(F.col("trade_date").alias("_day"))
+    return rows.join(gone, F.to_date("timestamp").eqNullSafe(F.col("_day")), "left_anti")
+
+
+def compacted(spark: SparkSession, source: str, target: str, rows: int = 5_000_000) -> DataFrame:
+    """The table at source, written to target with files of up to `rows` rows, a day after the other; how many files (files) there
+    are before and after. The source stays, for whoever reads it."""
+    table = spark.read.parquet(source)
+    (table.repartition("trade_date") if "trade_date" in table.columns else table).write.option("maxRecordsPerFile", rows).partitionBy(*[c for c in table.columns if c == "trade_date"]).parquet(target)
+    read = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(p) for p in (source, target)]
+    return read[0].agg(F.count(F.lit(1)).alias("before")).join(read[1].agg(F.count(F.lit(1)).alias("after")))
+
+
+def cleaned(master: DataFrame) -> DataFrame:
+    """A downloaded list of instruments, all text, in its types. Strikes that are no number are null, those of options are in
+    hundredths; expiries are like 28NOV2026, others null; lots that are no number are 0; missing names, exchanges and types
+    empty."""
+    strike = F.col("strike").try_cast("double")
+    option = F.col("instrumenttype").isin("OPTIDX", "OPTSTK")
+    text = [F.coalesce(F.col(c), F.lit("")).alias(to) for c, to in (("name", "name"), ("exch_seg", "exchange"), ("instrumenttype", "instrument_type"))]
+    lot = F.coalesce(F.col("lotsize").try_cast("double").cast("int"), F.lit(0))
+    good = F.upper("expiry").rlike("^[0-9]{2}[A-Z]{3}[0-9]{4}$")
+    expiry = F.to_date(F.try_to_timestamp(F.when(good, F.initcap(F.lower("expiry"))), F.lit("ddMMMyyyy")))
+    return master.select(F.col("token").cast("string").alias("token"), "symbol", *text, expiry.alias("expiry"), F.when(option, strike / 100).otherwise(strike).alias("strike"), lot.alias("lot_size"))
+
+
+#: What a run of a download may have come to.
+OUTCOMES = ("success", "no_data", "failed")
+
+
+def logged(runs: DataFrame) -> DataFrame:
+    """runs (token, rows, error) as rows of the log: failed with an error, else no_data without rows, else success."""
+    status = F.when(F.col("error").isNotNull(), OUTCOMES[2]).when(F.coalesce("rows", F.lit(0)) == 0, OUTCOMES[1]).otherwise(OUTCOMES[0])
+    return runs.select("token", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.col("error").alias("message"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """rows as CSV with a header line at path; quotes in cells are doubled, null and empty cells differ."""
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "\\N").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_csv() wrote."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("nullValue", "\\N").option("multiLine", True).csv(path)

@@ -1,101 +1,201 @@
-"""Contracts on bars and ticks: findings as rows of instrument, sequence_number, code and severity."""
+"""Contracts on bars and ticks: findings as rows of instrument, sequence_number, code and severity.
+
+Sessions are those of the exchange's calendar, with its holidays and special days; where a function has `trading`, another
+calendar (day -> whether it's one) may be given. sequence_number is the place at which a record arrived.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
+from . import calendar
 
+Calendar = Callable[[Column], Column]
+#: The session in seconds of the day, the codes that warn, and those that do so for ticks.
 OPEN, CLOSE = 9 * 3600 + 15 * 60, 15 * 3600 + 30 * 60
 WARNINGS = ("out_of_session", "volume_regression", "unexpected_gap", "unknown_field", "ltp_outside_day_range")
+TICK_WARNINGS = (*WARNINGS, "duplicate_timestamp", "out_of_order")
 #: Counters of a report and the codes that count in them.
-GROUPS = {"schema_invalid": ("missing_field", "unexpected_type", "timestamp_not_aligned", "malformed_timestamp"), "invalid_ohlc": ("ohlc_invariant", "non_positive_price", "ltp_outside_day_range"), "volume_issues": ("negative_value", "volume_regression"), "duplicates": ("duplicate_timestamp",), "out_of_order": ("out_of_order",), "outside_session": ("out_of_session",), "gaps": ("unexpected_gap",)}
+GROUPS = {"schema_invalid": ("missing_field", "unexpected_type", "malformed_timestamp", "timezone_inconsistent", "timestamp_not_aligned"), "invalid_ohlc": ("ohlc_invariant", "non_positive_price", "ltp_outside_day_range"), "volume_issues": ("negative_value", "volume_regression"), "duplicates": ("duplicate_timestamp",), "out_of_order": ("out_of_order",), "outside_session": ("out_of_session",), "gaps": ("unexpected_gap",)}
 
 
 def second_of_day(ts: str | Column = "timestamp") -> Column:
     return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts).cast("int")
 
 
-def in_session(ts: str = "timestamp") -> Column:
-    """Weekdays, 09:15:00 to before 15:30:00."""
-    return (F.weekday(ts) < 5) & (second_of_day(ts) >= OPEN) & (second_of_day(ts) < CLOSE)
+def in_session(ts: str = "timestamp", trading: Calendar = calendar.trading) -> Column:
+    """Trading days, 09:15:00 to before 15:30:00."""
+    return trading(F.to_date(ts)) & (second_of_day(ts) >= OPEN) & (second_of_day(ts) < CLOSE)
 
 
 def aligned(minutes: int, ts: str = "timestamp") -> Column:
-    return F.pmod(second_of_day(ts) - OPEN, F.lit(60 * minutes)) == 0
+    """Whether a bar may start then: a whole number of bars after (or before) the session's opening, to the microsecond."""
+    whole = F.unix_micros(F.col(ts).cast("timestamp")) % 1_000_000 == 0
+    return whole & (F.pmod(second_of_day(ts) - OPEN, F.lit(60 * minutes)) == 0)
 
 
-def severity(code: Column) -> Column:
-    return F.when(code.isin(*WARNINGS), "WARNING").otherwise("ERROR")
+def severity(code: Column, tick: bool = False) -> Column:
+    return F.when(code.isin(*(TICK_WARNINGS if tick else WARNINGS)), "WARNING").otherwise("ERROR")
 
 
-def row_rules(minutes: int) -> list[tuple[str, Column]]:
+def row_rules(minutes: int, trading: Calendar = calendar.trading) -> list[tuple[str, Column]]:
     """Rules on a bar alone; a bar breaks each as often as it stands here."""
     prices = ["open", "high", "low", "close"]
     out: list[tuple[str, Column]] = []
     for c in ("timestamp", *prices, "volume"):
         out.append(("missing_field", F.col(c).isNull()))
     out += [("non_positive_price", F.col(c) <= 0) for c in prices]
-    out += [("negative_value", F.col("volume") < 0), ("timestamp_not_aligned", ~aligned(minutes)), ("out_of_session", ~in_session())]
+    out += [("negative_value", F.col("volume") < 0), ("timestamp_not_aligned", ~aligned(minutes)), ("out_of_session", ~in_session(trading=trading))]
     most, least = F.greatest("open", "close"), F.least("open", "close")
     all_there = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
     out += [("ohlc_invariant", all_there & x) for x in (F.col("high") < F.col("low"), F.col("high") < most, F.col("low") > least)]
     return out
 
 
-def row_findings(bars: DataFrame, minutes: int) -> DataFrame:
-    """Findings of row_rules(): one pass, no shuffle."""
-    codes = F.array_compact(F.array(*[F.when(x, F.lit(code)) for code, x in row_rules(minutes)]))
+def row_findings(bars: DataFrame, minutes: int, trading: Calendar = calendar.trading) -> DataFrame:
+    """Findings of row_rules(): one pass, no shuffle. A rule whose cells are null isn't broken."""
+    codes = F.array_compact(F.array(*[F.when(x, F.lit(code)) for code, x in row_rules(minutes, trading)]))
     return bars.select("instrument", "sequence_number", F.explode(codes).alias("code")).withColumn("severity", severity(F.col("code")))
 
 
-def sequence_findings(rows: DataFrame, strict: bool = True, size: int = 10_000) -> DataFrame:
-    """Repeated timestamps, and timestamps before that of the record in front (or, if strict, at it); rows arrive in the order of
-    sequence_number. Repeats are found by timestamp, the record in front in parts of about `size` records."""
+def tick_findings(ticks: DataFrame, trading: Calendar = calendar.trading) -> DataFrame:
+    """All findings on ticks (timestamp, ltp, high, low, volume): what is missing or not positive, a day's high below its low, a
+    price outside of the day's range, times outside of sessions, falling volumes, and, as warnings, repeated and late times."""
+    day = F.col("high") >= F.col("low")
+    rules = [("missing_field", F.col(c).isNull()) for c in ("timestamp", "ltp")]
+    rules += [("non_positive_price", F.col(c) <= 0) for c in ("ltp", "high", "low")] + [("negative_value", F.col("volume") < 0)]
+    rules += [("out_of_session", ~in_session(trading=trading)), ("ohlc_invariant", ~day), ("ltp_outside_day_range", day & ~F.col("ltp").between(F.col("low"), F.col("high")))]
+    codes = F.array_compact(F.array(*[F.when(x, F.lit(code)) for code, x in rules]))
+    own = ticks.select("instrument", "sequence_number", F.explode(codes).alias("code")).withColumn("severity", severity(F.col("code"), tick=True))
+    return own.union(sequence_findings(ticks, tick=True)).union(volume_findings(ticks))
+
+
+def sequence_findings(rows: DataFrame, tick: bool = False, size: int = 10_000) -> DataFrame:
+    """Repeated timestamps, and timestamps before that of the record in front (for bars: or at it); rows arrive in the order of
+    sequence_number. Both are errors of bars and warnings of ticks. A record without a time is passed over. Repeats are found by
+    timestamp, the record in front in parts of about `size` records."""
     dated = rows.where("timestamp IS NOT NULL").select("instrument", "sequence_number", "timestamp")
     each = ordered.parts(ordered.numbered(dated, "instrument", "sequence_number", F.floor(F.col("sequence_number") / 100_000)), 1, size)
     seen = each.withColumn("front", F.expr("lag(timestamp) OVER (PARTITION BY instrument, part ORDER BY k)")).where("own")
     again = seen.withColumn("again", F.expr("row_number() OVER (PARTITION BY instrument, timestamp ORDER BY sequence_number)"))
-    late = F.col("timestamp") <= F.col("front") if strict else F.col("timestamp") < F.col("front")
+    late = F.col("timestamp") < F.col("front") if tick else F.col("timestamp") <= F.col("front")
     code = F.when(F.col("again") > 1, "duplicate_timestamp").when(late, "out_of_order")
-    return again.select("instrument", "sequence_number", code.alias("code")).where("code IS NOT NULL").withColumn("severity", severity(F.col("code")))
+    return again.select("instrument", "sequence_number", code.alias("code")).where("code IS NOT NULL").withColumn("severity", severity(F.col("code"), tick))
+
+
+def volume_findings(rows: DataFrame, size: int = 10_000) -> DataFrame:
+    """Cumulative volumes below the last known one of the same run of a day (records that follow each other and have one day, or
+    none). Null volumes are passed over.
 
+    An instrument is read in parts of about `size` records. Which run a part begins in, and the last volume known before it,
+    come from one row for each part.
+    """
+    each = ordered.numbered(rows.select("instrument", "sequence_number", F.to_date("timestamp").alias("day"), "volume"), "instrument", "sequence_number", F.floor(F.col("sequence_number") / 100_000))
+    part, key = "PARTITION BY instrument, part ORDER BY k", ["instrument", "part"]
+    front = F.expr(f"lag(struct(day)) OVER ({part})")
+    seen = ordered.parts(each, 1, size).withColumn("front", front).where("own")
+    begun = seen.withColumn("begun", F.expr(f"max(CASE WHEN front IS NULL OR NOT day <=> front.day THEN k END) OVER ({part})"))
 
-def volume_findings(rows: DataFrame) -> DataFrame:
-    """Cumulative volumes below the last known one of the same run of a day."""
-    order = "PARTITION BY instrument ORDER BY sequence_number"
-    day = rows.withColumn("day", F.to_date("timestamp"))
-    runs = day.withColumn("change", F.expr(f"NOT day <=> lag(day) OVER ({order})").cast("int")).withColumn("run", F.expr(f"sum(change) OVER ({order})"))
-    last = runs.withColumn("before", F.expr("last(volume, true) OVER (PARTITION BY instrument, run ORDER BY sequence_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-    return last.where("volume < before").select("instrument", "sequence_number", F.lit("volume_regression").alias("code"), F.lit("WARNING").alias("severity"))
+    def carried(x: DataFrame, last: Column, name: str) -> DataFrame:
+        """x with what stands last in the parts before its own."""
+        ends = x.groupBy(*key).agg(last.alias("last")).withColumn(name, F.expr("last(last, true) OVER (PARTITION BY instrument ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+        return x.join(ends.drop("last"), key)
 
+    runs = carried(begun, F.max("begun"), "before").withColumn("run", F.coalesce("begun", "before"))
+    known = runs.withColumn("known", F.when(F.col("volume").isNotNull(), F.struct("run", "volume")))
+    inside = known.withColumn("inside", F.expr(f"last(known, true) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+    last = carried(inside, F.max_by("known", F.when(F.col("known").isNotNull(), F.col("k"))), "earlier").withColumn("of", F.coalesce("inside", "earlier"))
+    return last.where("of.run = run AND volume < of.volume").select("instrument", "sequence_number", F.lit("volume_regression").alias("code"), F.lit("WARNING").alias("severity"))
 
-def session_grid(days: DataFrame, minutes: int) -> DataFrame:
+
+def session_grid(days: DataFrame, minutes: int, trading: Calendar = calendar.trading) -> DataFrame:
     """days (day) -> timestamp: the starts of the bars of each trading day's session."""
     n = (CLOSE - OPEN) // (60 * minutes)
     at = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(OPEN // 60) + F.col("k") * minutes)
-    return days.where(F.weekday("day") < 5).select("day", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select(at.alias("timestamp"))
+    return days.where(trading(F.col("day"))).select("day", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select(at.alias("timestamp"))
 
 
-def gaps(bars: DataFrame, minutes: int) -> DataFrame:
-    """instrument, timestamp of the bars missing between each instrument's first and last one, in trading sessions."""
+def expected(bars: DataFrame, minutes: int, trading: Calendar = calendar.trading) -> DataFrame:
+    """instrument, timestamp of the bars that belong between each instrument's first and last one, in trading sessions. Bars
+    without a time don't count."""
     span = bars.where("timestamp IS NOT NULL").groupBy("instrument").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-    days = span.select("instrument", "first", "last", F.explode(F.expr("sequence(CAST(first AS DATE), CAST(last AS DATE))")).alias("day")).where(F.weekday("day") < 5)
+    days = span.select("instrument", "first", "last", F.explode(F.expr("sequence(CAST(first AS DATE), CAST(last AS DATE))")).alias("day")).where(trading(F.col("day")))
     n = (CLOSE - OPEN) // (60 * minutes)
     at = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(OPEN // 60) + F.col("k") * minutes)
-    grid = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("instrument", "first", "last", at.alias("timestamp")).where("timestamp BETWEEN first AND last")
-    return grid.select("instrument", "timestamp").join(bars.select("instrument", "timestamp"), ["instrument", "timestamp"], "left_anti")
+    grid = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("instrument", "first", "last", at.alias("timestamp"))
+    return grid.where("timestamp BETWEEN first AND last").select("instrument", "timestamp")
+
+
+def gaps(bars: DataFrame, minutes: int, trading: Calendar = calendar.trading) -> DataFrame:
+    """instrument, timestamp of the bars of expected() that are missing."""
+    return expected(bars, minutes, trading).join(bars.select("instrument", "timestamp"), ["instrument", "timestamp"], "left_anti")
 
 
-def report(findings: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row for each instrument: its rows, errors, warnings, the counters of GROUPS and PASS, WARNING or FAIL."""
+def gap_findings(bars: DataFrame, minutes: int, trading: Calendar = calendar.trading) -> DataFrame:
+    """gaps() as findings, which belong to no record."""
+    return gaps(bars, minutes, trading).select("instrument", F.lit(None).cast("bigint").alias("sequence_number"), F.lit("unexpected_gap").alias("code"), F.lit("WARNING").alias("severity"))
+
+
+def report(findings: DataFrame, rows: DataFrame, due: DataFrame | None = None) -> DataFrame:
+    """One row for each instrument: its rows, errors, warnings, the counters of GROUPS, first and last time, and PASS, WARNING or
+    FAIL. With due (instrument, ...; the rows of expected()), how many those are and the percentage that is there; null for
+    an instrument without any. Findings on instruments without rows don't count."""
     counts = findings.groupBy("instrument").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"), *[F.count_if(F.col("code").isin(*codes)).alias(k) for k, codes in GROUPS.items()])
-    sizes = rows.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     out = sizes.join(counts, "instrument", "left").fillna(0)
+    if due is not None:
+        there = F.round(100.0 * (F.col("expected") - F.col("gaps")) / F.col("expected"), 2)
+        out = out.join(due.groupBy("instrument").agg(F.count(F.lit(1)).alias("expected")), "instrument", "left").withColumn("completeness_pct", there)
     return out.withColumn("status", F.when(F.col("errors") > 0, "FAIL").when(F.col("warnings") > 0, "WARNING").otherwise("PASS"))
 
 
+#: The order of a report's sections; others follow by name.
+SECTIONS = ("tick", "ohlcv_1m", "ohlcv_5m")
+
+
+def sections(reports: dict[str, DataFrame]) -> DataFrame:
+    """Reports by data set as rows of one table, with position (1 for the first of an instrument's sections) and overall, the worst
+    status of an instrument's sections. Data sets that weren't asked for have no row."""
+    names = [x for x in SECTIONS if x in reports] + sorted(set(reports) - set(SECTIONS))
+    parts = [reports[x].withColumns({"dataset": F.lit(x), "_place": F.lit(k)}) for k, x in enumerate(names)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    rank = "CASE status WHEN 'FAIL' THEN 2 WHEN 'WARNING' THEN 1 ELSE 0 END"
+    worst = F.element_at(F.array(F.lit("PASS"), F.lit("WARNING"), F.lit("FAIL")), F.expr(f"max({rank}) OVER (PARTITION BY instrument)") + 1)
+    return out.withColumns({"position": F.expr("row_number() OVER (PARTITION BY instrument ORDER BY _place)"), "overall": worst}).drop("_place")
+
+
+def by_code(findings: DataFrame) -> DataFrame:
+    """instrument, code, severity and how many findings."""
+    return findings.groupBy("instrument", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary(findings: DataFrame, rows: DataFrame, dataset: str) -> DataFrame:
+    """instrument and line: 'dataset: n rows, e errors, w warnings [code=n, ...]', codes sorted; without findings no list."""
+    codes = findings.groupBy("instrument", "code").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "ERROR").alias("e"))
+    each = codes.groupBy("instrument").agg(F.sum("e").alias("e"), F.sum(F.col("n") - F.col("e")).alias("w"), F.array_sort(F.collect_list(F.concat_ws("=", "code", "n"))).alias("codes"))
+    out = rows.groupBy("instrument").agg(F.count(F.lit(1)).alias("n")).join(each, "instrument", "left").fillna(0, ["e", "w"])
+    tail = F.when(F.size("codes") > 0, F.concat(F.lit(" ["), F.array_join("codes", ", "), F.lit("]"))).otherwise("")
+    return out.select("instrument", F.concat(F.lit(f"{dataset}: "), "n", F.lit(" rows, "), "e", F.lit(" errors, "), "w", F.lit(" warnings"), tail).alias("line"))
+
+
+def serialised(findings: DataFrame) -> DataFrame:
+    """instrument, sequence_number and finding: a JSON object with code, severity and record, in this order."""
+    return findings.select("instrument", "sequence_number", F.to_json(F.struct("code", "severity", F.col("sequence_number").alias("record")), {"ignoreNullFields": "false"}).alias("finding"))
+
+
+def screen(rows: DataFrame, findings: DataFrame, mode: str) -> DataFrame:
+    """The rows to store: in mode 'report' all, in mode 'reject' those without an error; ValueError for others."""
+    if mode not in ("report", "reject"):
+        raise ValueError(f"mode is report or reject, not {mode!r}")
+    return rows if mode == "report" else screened(rows, findings)
+
+
 def screened(rows: DataFrame, findings: DataFrame) -> DataFrame:
     """The rows without an error."""
     return rows.join(findings.where("severity = 'ERROR'").select("instrument", "sequence_number").distinct(), ["instrument", "sequence_number"], "left_anti")

@@ -5,7 +5,6 @@ All run over whole tables; a limit stands only where it is the feature (pages, t
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +14,7 @@ from ..operators import access, bars, breakouts, calendar, contracts, options, s
 from ..sources import tables
 from ..streaming import feed
 from ..streaming import ticks as stream
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .registry import QUERIES, SQL, query
 
 #: Common parts of the SQL.
 TICKS = "ticks AS (SELECT event_type AS instrument, ts AS timestamp, event_id AS sequence_number, value AS ltp, CAST(json_extract_string(props, '$.k') AS BIGINT) AS quantity FROM events WHERE value > 0)"
@@ -38,16 +35,6 @@ seq AS (SELECT instrument, sequence_number, CASE WHEN row_number() OVER (PARTITI
 findings AS (SELECT *, CASE WHEN code = 'out_of_session' THEN 'WARNING' ELSE 'ERROR' END AS severity FROM (SELECT * FROM rowwise UNION ALL SELECT * FROM seq WHERE code IS NOT NULL))"""
 
 
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.build(tables.ticks(spark, sf_dir), "1 hour")
 
@@ -147,7 +134,7 @@ def download_status(spark, sf_dir):
     return tables.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("o_custkey").alias("instruments"), F.max("o_orderdate").alias("last_run"))
 
 
-_ANALYTICS = TICKS + ", b AS (SELECT *, quantity * 100 AS buy, quantity % 7 * 150 AS sell, (ltp + 0.05::DOUBLE) - (ltp - 0.05::DOUBLE) AS spread FROM ticks), a AS (SELECT instrument, time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, arg_max(ltp, sequence_number) AS ltp, round(avg(spread), 2) AS avg_spread, round(max(spread), 2) AS max_spread, round(avg(CASE WHEN buy + sell > 0 THEN (buy - sell) / (buy + sell) ELSE 0 END), 4) AS imbalance, CAST(trunc(avg(buy)) AS BIGINT) AS buy_depth, CAST(trunc(avg(sell)) AS BIGINT) AS sell_depth, CAST(sum(buy - sell) AS BIGINT) AS delta, count(*) AS n FROM b GROUP BY 1, 2)"
+_ANALYTICS = TICKS + ", b AS (SELECT *, quantity * 100 AS buy, quantity % 7 * 150 AS sell, (ltp + 0.05::DOUBLE) - (ltp - 0.05::DOUBLE) AS spread FROM ticks), a AS (SELECT instrument, time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, arg_max(ltp, sequence_number) AS ltp, round_even(avg(spread), 2) AS avg_spread, round_even(max(spread), 2) AS max_spread, round_even(avg(CASE WHEN buy + sell > 0 THEN (buy - sell) / (buy + sell) ELSE 0 END), 4) AS imbalance, CAST(trunc(avg(buy)) AS BIGINT) AS buy_depth, CAST(trunc(avg(sell)) AS BIGINT) AS sell_depth, CAST(sum(buy - sell) AS BIGINT) AS delta, count(*) AS n FROM b GROUP BY 1, 2)"
 
 
 @query(f"WITH {_ANALYTICS} SELECT *, CAST(sum(delta) OVER (PARTITION BY instrument, CAST(timestamp AS DATE) ORDER BY timestamp) AS BIGINT) AS cum_delta FROM a")
@@ -178,10 +165,10 @@ def wall_events_top50(spark, sf_dir):
 
 @query(f"WITH {BOOKS}, f AS (SELECT instrument, sequence_number, min(ltp) OVER w AS lo, max(ltp) OVER w AS hi FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY timestamp RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL 5 MINUTES FOLLOWING)), h AS (SELECT l.*, CASE WHEN side = 'BUY' THEN lo ELSE hi END AS reached FROM levels l JOIN f USING (instrument, sequence_number) WHERE size >= 3000 AND price > 0 AND ((side = 'BUY' AND lo < price) OR (side = 'SELL' AND hi > price))) SELECT instrument, date_trunc('minute', timestamp) AS minute, side, floor(price * 10 + 0.5) / 10 AS wall, floor(ltp * 10 + 0.5) / 10 AS price, size AS quantity, floor((reached - price) * 10 + 0.5) / 10 AS move FROM h QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, floor(price * 10 + 0.5) / 10 ORDER BY sequence_number, place) = 1")
 def absorption_events(spark, sf_dir):
-    return bars.absorptions(books(spark, sf_dir))
+    return bars.absorptions(books(spark, sf_dir)).select("instrument", "minute", "side", "wall", "price", "quantity", "move")
 
 
-@query(f"WITH {_ANALYTICS}{BOOKS.removeprefix(TICKS)}{_COUNTS}, s AS (SELECT a.instrument, round(avg(CASE WHEN avg_spread > 0 THEN avg_spread END), 2) AS avg_spread, max(max_spread) AS max_spread, round(avg(imbalance), 4) AS imbalance, CAST(sum(coalesce(walls_buy, 0)) AS BIGINT) AS walls_buy, CAST(sum(coalesce(walls_sell, 0)) AS BIGINT) AS walls_sell FROM a LEFT JOIN w ON a.instrument = w.instrument AND a.timestamp = w.timestamp GROUP BY 1) SELECT *, CASE WHEN imbalance > 0.02 THEN 'BUY' WHEN imbalance < -0.02 THEN 'SELL' ELSE 'NEUTRAL' END AS bias FROM s")
+@query(f"WITH {_ANALYTICS}{BOOKS.removeprefix(TICKS)}{_COUNTS}, s AS (SELECT a.instrument, round_even(avg(CASE WHEN avg_spread > 0 THEN avg_spread END), 2) AS avg_spread, max(max_spread) AS max_spread, round_even(avg(imbalance), 4) AS imbalance, CAST(sum(coalesce(walls_buy, 0)) AS BIGINT) AS walls_buy, CAST(sum(coalesce(walls_sell, 0)) AS BIGINT) AS walls_sell FROM a LEFT JOIN w ON a.instrument = w.instrument AND a.timestamp = w.timestamp GROUP BY 1) SELECT *, CASE WHEN imbalance > 0.02 THEN 'BUY' WHEN imbalance < -0.02 THEN 'SELL' ELSE 'NEUTRAL' END AS bias FROM s")
 def dashboard_summary(spark, sf_dir):
     b = books(spark, sf_dir)
     return bars.strip(bars.analytics(b, "1 hour"), bars.wall_counts(b, "1 hour"))
@@ -243,11 +230,6 @@ def session_gaps(spark, sf_dir):
     return validation.gaps(hours(spark, sf_dir).withColumn("timestamp", F.expr("timestamp + INTERVAL 15 MINUTES")), 60)
 
 
-@query(f"WITH {FAULTY}, {ROW_FINDINGS} SELECT b.instrument, count(DISTINCT b.sequence_number) AS n, count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, count(*) FILTER (WHERE code IN ('missing_field', 'timestamp_not_aligned')) AS schema_invalid, count(*) FILTER (WHERE code IN ('ohlc_invariant', 'non_positive_price')) AS invalid_ohlc, count(*) FILTER (WHERE code = 'negative_value') AS volume_issues, count(*) FILTER (WHERE code = 'duplicate_timestamp') AS duplicates, count(*) FILTER (WHERE code = 'out_of_order') AS out_of_order, count(*) FILTER (WHERE code = 'out_of_session') AS outside_session, 0::BIGINT AS gaps, CASE WHEN count(*) FILTER (WHERE severity = 'ERROR') > 0 THEN 'FAIL' WHEN count(severity) > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM bad b LEFT JOIN findings f USING (instrument, sequence_number) GROUP BY 1")
-def quality_report(spark, sf_dir):
-    return validation.report(findings(spark, sf_dir), faulty(spark, sf_dir))
-
-
 @query(f"WITH {FAULTY}, {ROW_FINDINGS} SELECT * FROM bad WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE severity = 'ERROR' AND f.instrument = bad.instrument AND f.sequence_number = bad.sequence_number)")
 def screen_reject(spark, sf_dir):
     return validation.screened(faulty(spark, sf_dir), findings(spark, sf_dir))
@@ -266,14 +248,23 @@ x AS (SELECT instrument, day, side, entered, entry, CASE WHEN stopped THEN CASE
 t AS (SELECT *, round(CASE WHEN side = 'LONG' THEN exit - entry ELSE entry - exit END - 2, 6) AS pnl FROM x)"""
 
 
+def hourly_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of a range from 9 to 12 over hourly bars, left before 20 o'clock."""
+    clock = breakouts.Clock(open=9 * 60, first=12 * 60, exit=20 * 60 - 1, candle=60)
+    each = breakouts.laid_out(hours(spark, sf_dir), least=1)
+    found = breakouts.trades(each, breakouts.signals(each, clock).where("name = 'FH_BREAK'"), clock)
+    entered = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"))
+    return found.select("instrument", "day", "side", entered.alias("entered"), "entry", "exit", (F.col("reason") == "stop").alias("stopped"), F.round("pnl", 6).alias("pnl"))
+
+
 @query(f"WITH {_BREAK} SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM t")
 def breakout_trades(spark, sf_dir):
-    return studies.breakouts(hours(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+    return hourly_breakouts(spark, sf_dir).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"WITH {_BREAK} SELECT side, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (WHERE pnl > 0) / count(*), 2) AS win_pct, round(sum(pnl), 4) AS net, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(-sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END), 0), 4) AS profit_factor FROM t GROUP BY side")
 def breakout_study(spark, sf_dir):
-    return studies.study(studies.breakouts(hours(spark, sf_dir)), "side")
+    return studies.study(hourly_breakouts(spark, sf_dir), "side")
 
 
 _HOLIDAYS, _SPECIAL = (", ".join(f"DATE '{x}'" for x in days) for days in (calendar.HOLIDAYS, calendar.SPECIAL))
@@ -370,17 +361,22 @@ def at_the_money(spark, sf_dir):
     return options.at_the_money(*option_tables(spark, sf_dir), datetime(1997, 6, 30)).select("name", "spot", "atm", F.size("strikes").cast("bigint").alias("strikes"))
 
 
-@query()
-def premium_reversion(spark, sf_dir):
-    """Path-dependent: its runs are held against a plain loop in the tests."""
-    some, closes, under = option_tables(spark, sf_dir)
-    return studies.closed(options.reversion(options.premium(some, closes, under, n=5), hold=10))
+_VRP = """, b AS (SELECT token, timestamp, sigma, 1050.0::DOUBLE + (date_diff('day', TIMESTAMP '1992-01-01', timestamp) * 7) % 100 AS close FROM c JOIN o USING (token)),
+g AS (SELECT *, 0.5::DOUBLE * ln((close + 4) / (close - 3)) ** 2 - (2 * ln(2) - 1) * ln(close / (close - 1)) ** 2 AS term FROM b),
+v AS (SELECT token, timestamp, sigma, CASE WHEN count(*) OVER w >= 5 THEN sqrt(sum(term) OVER w / 5) * sqrt(18900) END AS rv FROM g WINDOW w AS (PARTITION BY token ORDER BY timestamp ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+
 
+@query(f"WITH {_OPTIONS}{_VRP} SELECT token, timestamp, round(sigma, 3) AS iv, round(rv, 4) AS rv, round(sigma - rv, 4) AS vrp FROM v")
+def volatility_premium(spark, sf_dir):
+    """Implied less realised volatility of each option's bars."""
+    out = options.premium(*option_tables(spark, sf_dir), n=5)
+    return out.select(F.col("instrument").alias("token"), "timestamp", F.round("iv", 3).alias("iv"), F.round("rv", 4).alias("rv"), F.round("vrp", 4).alias("vrp"))
 
-@query()
-def volatility_breakout_curve(spark, sf_dir):
-    """Path-dependent: held against a plain loop in the tests."""
-    return studies.curve(studies.breakout_run(hours(spark, sf_dir), 5, 20, hold=15))
+
+@query(f"WITH {_OPTIONS} SELECT token, name, kind, CAST(strike AS DOUBLE) AS strike FROM o WHERE name = 'Brand#13' AND strike BETWEEN 900 AND 1000")
+def nearest_options(spark, sf_dir):
+    some, _, _ = option_tables(spark, sf_dir)
+    return options.nearest_band(some, "Brand#13", 951.0, "1997-06-30", 50, 1).select("token", "name", "kind", "strike")
 
 
 @query("WITH i AS (SELECT p_partkey AS token, CASE WHEN p_partkey % 5 = 0 THEN 'NIFTY' ELSE p_brand END AS name, p_name AS symbol, CASE p_partkey % 3 WHEN 0 THEN 'OPTIDX' WHEN 1 THEN 'FUTIDX' ELSE 'AMXIDX' END AS instrument_type, p_retailprice AS strike, DATE '2026-09-01' + CAST(p_partkey % 4 * 7 AS INTEGER) AS expiry, p_partkey % 2 = 0 AS is_active FROM part) SELECT token, CASE WHEN instrument_type = 'OPTIDX' AND name = 'NIFTY' THEN expiry = DATE '2026-09-15' AND strike BETWEEN 900 AND 1000 WHEN name = 'NIFTY' AND (instrument_type = 'AMXIDX' OR expiry >= DATE '2026-09-10') THEN true WHEN expiry < DATE '2026-09-10' THEN false ELSE is_active END AS is_active FROM i")
@@ -472,17 +468,11 @@ def equity_curve(spark, sf_dir):
     return studies.equity(tables.trades(spark, sf_dir), 1_000_000_000).withColumn("day", F.col("day").cast("string"))
 
 
-@query(f"WITH {_EQUITY}, r AS (SELECT strategy, equity / lag(equity) OVER (PARTITION BY strategy ORDER BY day) - 1 AS r FROM q), s AS (SELECT strategy, round(CASE WHEN stddev_pop(r) > 0 THEN (avg(r) - 0.065::DOUBLE / 252) / stddev_pop(r) * sqrt(252) ELSE 0 END, 4) AS sharpe FROM r WHERE r IS NOT NULL GROUP BY 1) SELECT t.strategy, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, CAST(sum(pnl) AS BIGINT) AS total, (SELECT max(drawdown_pct) FROM q WHERE q.strategy = t.strategy) AS max_drawdown_pct, any_value(s.sharpe) AS sharpe FROM t LEFT JOIN s USING (strategy) GROUP BY t.strategy")
+@query(f"WITH {_EQUITY}, r AS (SELECT strategy, equity / lag(equity) OVER (PARTITION BY strategy ORDER BY day) - 1 AS r FROM q), s AS (SELECT strategy, round(CASE WHEN stddev_pop(r) > 0 THEN (avg(r) - 0.065::DOUBLE / 252) / stddev_pop(r) * sqrt(252) ELSE 0 END, 4) AS sharpe FROM r WHERE r IS NOT NULL GROUP BY 1) SELECT t.strategy, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl <= 0) AS losses, round(100.0::DOUBLE * count(*) FILTER (WHERE pnl > 0) / count(*), 2) AS win_pct, CAST(sum(pnl) AS BIGINT) AS total, CAST(1000000000 + sum(pnl) AS BIGINT) AS ending, (SELECT max(drawdown_pct) FROM q WHERE q.strategy = t.strategy) AS max_drawdown_pct, any_value(s.sharpe) AS sharpe FROM t LEFT JOIN s USING (strategy) GROUP BY t.strategy")
 def trade_metrics(spark, sf_dir):
     return studies.metrics(tables.trades(spark, sf_dir), 1_000_000_000)
 
 
-@query()
-def volatility_breakout(spark, sf_dir):
-    """Path-dependent: held against a plain loop in the tests."""
-    return studies.simulate(hours(spark, sf_dir))
-
-
 @query("SELECT token, symbol, CASE WHEN token % 3 = 0 THEN 'FUT' ELSE instrument_type END AS instrument_type, strike, lot_size FROM (SELECT p_partkey AS token, p_name AS symbol, p_type AS instrument_type, p_retailprice AS strike, p_size AS lot_size FROM part) UNION ALL SELECT -p_partkey, NULL, 'FUT', NULL, NULL FROM part WHERE p_partkey % 10 = 0 AND p_partkey > 0")
 def upsert_instruments(spark, sf_dir):
     table = tables.instruments(spark, sf_dir)
@@ -513,5 +503,4 @@ def stream_bars(spark, sf_dir):
     source = spark.readStream.schema(tables.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("bigint")
     rows = source.where("value > 0").select(F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("sequence_number"), F.col("value").alias("ltp"), k.alias("quantity"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tickloom"
-    return stream.bars_available_now(spark, rows, "1 hour", folder).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return stream.bars_available_now(spark, rows, "1 hour", tables.shared_folder(spark)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

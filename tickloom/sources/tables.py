@@ -1,11 +1,13 @@
 """The tables as market data: ticks, books, instruments, trades, and faulty records for the validators.
 
-All timestamps are TIMESTAMP_NTZ. A tick's total order is (instrument, sequence_number); of equal timestamps the smaller
-sequence number is earlier.
+All timestamps are TIMESTAMP_NTZ. An instrument's ticks are ordered by time; of equal timestamps the smaller sequence number
+is earlier, a missing one earliest. Sequence numbers restart, so they say nothing about ticks of different times.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,33 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trade_id, strategy, entry_time, pnl: what an order's price is above or below 150,000, in whole units."""
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trade_id"), F.col("o_orderstatus").alias("strategy"), F.col("o_orderdate").alias("entry_time"), (F.floor("o_totalprice") - 150000).cast("bigint").alias("pnl"))
+
+
+def restarted(ticks: DataFrame) -> DataFrame:
+    """ticks whose sequence numbers restart again and again, against the order of time, and are missing for some."""
+    n = F.col("sequence_number")
+    return ticks.withColumn("sequence_number", F.when(n % 13 != 0, (n * 7) % 101))
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token, symbol, name, exchange, instrument_type, expiry, strike, lot_size, is_active: the parts as a list of instruments."""
+    n = F.col("p_partkey")
+
+    def of(*values: str | None) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in values]), (n % len(values) + 1).cast("int"))
+
+    return table(spark, sf_dir, "part").select(
+        n.alias("token"), F.concat_ws("-", "p_name", n).alias("symbol"), F.col("p_brand").alias("name"), of("NSE", "NFO", "BSE", "MCX", "NCX").alias("exchange"), of("OPTIDX", "FUTIDX", "AMXIDX", "").alias("instrument_type"),
+        F.when(n % 7 != 0, F.date_add(F.lit("2026-09-01").cast("date"), (n % 40).cast("int"))).alias("expiry"), F.col("p_retailprice").alias("strike"), F.col("p_size").alias("lot_size"), (n % 3 != 0).alias("is_active"),
+    )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below the folder that all machines share; a local one only on a local master, where no other machine is."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        base = "file:///tmp/checkpoints/tickloom"
+    return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from . import ticks
 
 LEVEL = "array<struct<price: string, quantity: bigint, num_orders: bigint, orders: bigint>>"
-#: What a packet may hold, as JSON; prices in hundredths, as text, for some are malformed.
+#: The feed's own names. What a packet may hold, as JSON; prices in hundredths, as text, for some are malformed.
 PACKET = f"token string, sequence_number bigint, last_traded_price string, last_traded_quantity bigint, average_traded_price string, average_trade_price string, volume_trade_for_the_day bigint, total_buy_quantity bigint, total_sell_quantity bigint, open_price_of_the_day string, high_price_of_the_day string, low_price_of_the_day string, closed_price string, open_interest bigint, exchange_timestamp string, last_traded_timestamp string, best_5_buy_data {LEVEL}, best_5_sell_data {LEVEL}"
 #: The feed's codes of the exchanges.
 EXCHANGES = {"NSE": 1, "NFO": 2, "BSE": 3, "BFO": 4, "MCX": 5}
 
 
 def packets(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lines of JSON as packets and received (the line's own clock, if it has one); a line that is no JSON has only nulls."""
+    """Lines of JSON as packets and received (the line's own clock, if it has one); a line that is no JSON has only nulls. Lines
+    are laid out by `inline`: no filter or projection on a packet's fields moves below it, so each line is parsed once."""
     received = F.col("received") if "received" in lines.columns else F.lit(None).cast("timestamp_ntz")
-    return lines.select(F.from_json(column, PACKET).alias("p"), received.alias("received")).select("p.*", "received")
+    return lines.select(F.inline(F.array(F.from_json(column, PACKET))), received.alias("received"))
 
 
 def units(hundredths: Column) -> Column:
@@ -55,6 +56,11 @@ def sources(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("time_source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def active(instruments: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The active instruments of these types."""
+    return instruments.where(F.col("instrument_type").isin(*kinds) & F.col("is_active"))
+
+
 def subscriptions(instruments: DataFrame, limit: int = 1000) -> DataFrame:
     """exchange_type and its tokens, sorted, of the first `limit` instruments (the feed's own bound) by type and symbol; unknown exchanges are dropped."""
     code = F.create_map(*[F.lit(x) for pair in EXCHANGES.items() for x in pair])[F.col("exchange")]

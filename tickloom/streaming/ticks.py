@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import validation
+from ..operators.access import by_time
+
 #: How late a tick may come.
 LATE = "10 seconds"
 
@@ -26,8 +30,24 @@ def deduplicated(stream: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def stream_bars(stream: DataFrame, width: str, late: str = LATE) -> DataFrame:
-    at = F.window("timestamp", width)
-    return stream.withWatermark("timestamp", late).groupBy("instrument", at.alias("w")).agg(F.min_by("ltp", "sequence_number").alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), F.max_by("ltp", "sequence_number").alias("close"), F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("n")).select("instrument", F.col("w.start").alias("timestamp"), "open", "high", "low", "close", "volume", "n")
+    """bars.build() of a stream. A tick is late if its bar ended before the watermark that the batch before began with: the latest
+    time seen until then, less `late`. Late ticks are dropped. Within a batch and the next one none is late."""
+    bar = stream.withWatermark("timestamp", late).groupBy("instrument", F.window("timestamp", width).alias("w"))
+    out = bar.agg(F.min_by("ltp", by_time()).alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), F.max_by("ltp", by_time()).alias("close"), F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("n"))
+    return out.select("instrument", F.col("w.start").alias("timestamp"), "open", "high", "low", "close", "volume", "n")
+
+
+def in_hours(ticks: DataFrame) -> DataFrame:
+    """The ticks of trading sessions; a filter by event time, so a stream and a table give the same."""
+    return ticks.where(validation.in_session())
+
+
+def append_new(ticks: DataFrame, table: DataFrame, key: tuple[str, ...] = ("instrument", "timestamp", "sequence_number")) -> DataFrame:
+    """The ticks to append to table: one of each key that it lacks. Keys with a null are compared like others."""
+    first = ticks.groupBy(*key).agg(F.min(F.struct(*[c for c in ticks.columns if c not in key])).alias("r")).select(*key, "r.*")
+    there = table.select(*[F.col(c).alias(f"_{c}") for c in key])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return first.join(there, same, "left_anti").select(*ticks.columns)
 
 
 def bars_available_now(spark: SparkSession, stream: DataFrame, width: str, folder: str) -> DataFrame:
