@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -66,8 +67,6 @@ class Bpe:
         self.automaton.make_automaton()
         self.longest = max(map(len, self.ids))
         self.pairs, self.words = Memory(), Memory()
-        #: A character's id: behind it, ids are decoded as they are within a text.
-        self.front = next(i for i in plain if len(self.pieces[i]) == 1 and self.pieces[i] != SPACE)
 
     def merges(self, text: str) -> list[str]:
         """BPE by definition, for texts of two tokens at most: of the mergeable neighbours, those of the best score merge, leftmost first."""
@@ -133,19 +132,18 @@ class Bpe:
             out += [self.byte[b] for b in t.encode()] if i is None else [i]
         return out
 
-    def part(self, key: str) -> tuple[int, str, str, list[str]]:
-        """Of a part of a text (a word after a space, or one that begins with a line end or with its spaces): the number of its
-        ids, the ids as text, and what the library decodes them to. With its table, which goes on from that of a known word if
-        all but a few characters agree."""
+    def part(self, key: str) -> tuple[list[int], str, list[str]]:
+        """Of a part of a text (a word after a space, or one that begins with a line end or with its spaces): its ids, and the
+        ids as text. With its table, which goes on from that of a known word if all but a few characters agree."""
         if (x := self.words.get(key)) is None:
             before: list[str] = []
             for k in range(1, min(SHARED, len(key) - 1) + 1):
                 if known := self.words.young.get(key[:-k]):
-                    before = known[3]
+                    before = known[2]
                     break
             last = self.last_tokens(key.replace(" ", SPACE) if key[:1] in (" ", "\n") else SPACE + key, before)
             ids = self.ids_of(self.tokens(last))
-            x = (len(ids), ",".join(map(str, ids)), self.library.decode([self.front, *ids])[1:], last)
+            x = (ids, ",".join(map(str, ids)), last)
             if len(key) <= 64:
                 self.words.put(key, x)
         return x
@@ -158,23 +156,16 @@ class Bpe:
         return self.library.decode(ids)
 
     def digests(self, text: bytes | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text. Parts begin with a space or a line end,
-        so no character's bytes lie in two of them, and decoding them one by one decodes the text."""
+        """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of what the library decodes them to."""
         told = (text or b"").decode("utf-8", "replace").replace(SPACE, " ")
         keys = told.replace("\n", " \n").split(" ") if self.by_line else [""]
         if "" in keys:  # several spaces together, or none at the start
             keys = self.parts(told)
-        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        for at in range(0, len(keys), 8192):
-            some = keys[at : at + 8192]
-            got = list(map(self.words.young.get, some))
-            if None in got:
-                got = [x or self.part(k) for x, k in zip(got, some)]
-            n += sum([x[0] for x in got])
-            ids.update(("," * (at > 0) + ",".join([x[1] for x in got])).encode())
-            shown = "".join([x[2] for x in got])
-            decoded.update((shown if at else shown.removeprefix(" ")).encode())
-        return n, ids.hexdigest(), decoded.hexdigest()
+        got = list(map(self.words.young.get, keys))
+        if None in got:
+            got = [x or self.part(k) for x, k in zip(got, keys)]
+        ids = list(chain.from_iterable([x[0] for x in got]))
+        return len(ids), hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
 _loaded: dict[str, Bpe] = {}
