@@ -63,10 +63,12 @@ class Bpe:
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if self.merges(p) == [p]:  # others are never the result of merges
-                self.automaton.add_word(p, (p, len(p)))
+                # with each token, whether it may follow another one, as far as that is known
+                self.automaton.add_word(p, (p, len(p), {}))
         self.automaton.make_automaton()
         self.longest = max(map(len, self.ids))
-        self.pairs, self.words = Memory(), Memory()
+        self.words, self.told = Memory(), 0
+        self.shown = [str(i) for i in ids]
 
     def merges(self, text: str) -> list[str]:
         """BPE by definition, for texts of two tokens at most: of the mergeable neighbours, those of the best score merge, leftmost first."""
@@ -82,16 +84,21 @@ class Bpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        if (x := self.pairs.get((a, b))) is None:
-            self.pairs.put((a, b), x := self.merges(a + b) == [a, b])
-        return x
+    def compatible(self, a: str, b: str, known: dict[str, bool]) -> bool:
+        """Whether b follows a in an encoding. known: b's own verdicts; all are forgotten when there are REMEMBERED."""
+        if self.told >= REMEMBERED:
+            self.told = 0
+            for _, _, x in self.automaton.values():
+                x.clear()
+        known[a] = out = self.merges(a + b) == [a, b]
+        self.told += 1
+        return out
 
-    def last_tokens(self, word: str, before: list[str] = []) -> list[str]:
+    def last_tokens(self, word: str, before: tuple[str, ...] = ()) -> list[str]:
         """The last token of each prefix of a word whose spaces are space marks; a character that no token has is one by
         itself. before: the table of a prefix, which the word's begins with."""
-        last, n, known = before.copy(), len(before), self.pairs.young.get
-        for end, (token, length) in self.automaton.iter(word, max(0, n - self.longest)):
+        last, n = list(before), len(before)
+        for end, (token, length, known) in self.automaton.iter(word, max(0, n - self.longest)):
             if end < n:
                 continue  # that prefix has its token
             if end > n:
@@ -99,9 +106,8 @@ class Bpe:
                 n = end
             if length <= n:
                 a = last[n - length]
-                if (ok := known((a, token))) is None:
-                    ok = self.compatible(a, token)
-                    known = self.pairs.young.get
+                if (ok := known.get(a)) is None:
+                    ok = self.compatible(a, token, known)
                 if not ok:
                     continue
             last.append(token)
@@ -132,18 +138,18 @@ class Bpe:
             out += [self.byte[b] for b in t.encode()] if i is None else [i]
         return out
 
-    def part(self, key: str) -> tuple[list[int], str, list[str]]:
-        """Of a part of a text (a word after a space, or one that begins with a line end or with its spaces): its ids, and the
-        ids as text. With its table, which goes on from that of a known word if all but a few characters agree."""
+    def part(self, key: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+        """The ids of a part of a text: a word after a space, or one that begins with a line end or with its spaces. With its
+        table, which goes on from that of a known word if all but a few characters agree."""
         if (x := self.words.get(key)) is None:
-            before: list[str] = []
+            before: tuple[str, ...] = ()
             for k in range(1, min(SHARED, len(key) - 1) + 1):
                 if known := self.words.young.get(key[:-k]):
-                    before = known[2]
+                    before = known[1]
                     break
             last = self.last_tokens(key.replace(" ", SPACE) if key[:1] in (" ", "\n") else SPACE + key, before)
-            ids = self.ids_of(self.tokens(last))
-            x = (ids, ",".join(map(str, ids)), last)
+            # tuples of plain values, which the garbage collector doesn't go through again and again
+            x = (tuple(self.ids_of(self.tokens(last))), tuple(last))
             if len(key) <= 64:
                 self.words.put(key, x)
         return x
@@ -165,7 +171,7 @@ class Bpe:
         if None in got:
             got = [x or self.part(k) for x, k in zip(got, keys)]
         ids = list(chain.from_iterable([x[0] for x in got]))
-        return len(ids), hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
+        return len(ids), hashlib.sha256(",".join(map(self.shown.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
 _loaded: dict[str, Bpe] = {}
