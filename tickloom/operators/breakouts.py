@@ -44,10 +44,10 @@ def candles(each: DataFrame, clock: Clock) -> DataFrame:
     return each.groupBy(*KEY, start.alias("k")).agg(F.max_by("close", "minute").alias("close")).withColumnRenamed("k", "minute")
 
 
-def levels(each: DataFrame, clock: Clock, buffer: float) -> DataFrame:
+def levels(each: DataFrame, clock: Clock, buffer: float, flat: bool = False) -> DataFrame:
     """The levels that a day's closes may pass, from one row a day: hi, lo, the minute `begin` they count from, their buffer and
-    the mean range of the DAYS days in front (null without so many). FIRST and SHORT are opening ranges of some width, FRONT
-    the high and low of the day in front."""
+    the mean range of the DAYS days in front (null without so many). FIRST and SHORT are opening ranges, of some width
+    unless flat ones count as well, FRONT the high and low of the day in front."""
 
     def of(f, column: str, end: int) -> Column:
         return f(F.when((F.col("minute") >= clock.open) & (F.col("minute") < end), F.col(column)))
@@ -61,7 +61,7 @@ def levels(each: DataFrame, clock: Clock, buffer: float) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), F.col(hi).alias("hi"), F.col(lo).alias("lo"), F.lit(begin).alias("begin"), F.lit(share).alias("buffer"))
 
     all_ = F.array(*[level(kind, f"high_{end}", f"low_{end}", end, buffer) for kind, end in (("FIRST", clock.first), ("SHORT", clock.short))], level("FRONT", "front_top", "front_bottom", clock.levels, 0.0))
-    return front.select(*KEY, "mean", F.explode(all_).alias("x")).select(*KEY, "mean", "x.*").where("CASE WHEN kind = 'FRONT' THEN hi IS NOT NULL ELSE hi > lo END")
+    return front.select(*KEY, "mean", F.explode(all_).alias("x")).select(*KEY, "mean", "x.*").where(F.when(F.lit(flat) | (F.col("kind") == "FRONT"), F.col("hi").isNotNull()).otherwise(F.col("hi") > F.col("lo")))
 
 
 def passed(each: DataFrame, levels: DataFrame, clock: Clock) -> DataFrame:
@@ -81,10 +81,10 @@ def retested(each: DataFrame, found: DataFrame, clock: Clock) -> DataFrame:
     return first.select(*KEY, F.lit("FH_RETEST").alias("name"), "side", "entry", "minute", (F.col("minute") + 1).alias("start"), F.when(long, F.col("entry") - half).otherwise(F.col("entry") + half).alias("stop"), (2 * half).alias("width"))
 
 
-def signals(each: DataFrame, clock: Clock = Clock(), buffer: float = BUFFER) -> DataFrame:
+def signals(each: DataFrame, clock: Clock = Clock(), buffer: float = BUFFER, flat: bool = False) -> DataFrame:
     """The six signals of each instrument and day, as rows of SIGNAL: a trade's path begins where its candle ends (after a
     retest: with the next bar), and unless the name says otherwise its stop is the level's other end."""
-    found = passed(each, levels(each, clock, buffer), clock)
+    found = passed(each, levels(each, clock, buffer, flat), clock)
     long, width = F.col("side") == "LONG", F.col("hi") - F.col("lo")
     other = F.when(long, F.col("lo")).otherwise(F.col("hi"))
 

@@ -252,7 +252,7 @@ def hourly_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of a range from 9 to 12 over hourly bars, left before 20 o'clock."""
     clock = breakouts.Clock(open=9 * 60, first=12 * 60, exit=20 * 60 - 1, candle=60)
     each = breakouts.laid_out(hours(spark, sf_dir), least=1)
-    found = breakouts.trades(each, breakouts.signals(each, clock).where("name = 'FH_BREAK'"), clock)
+    found = breakouts.trades(each, breakouts.signals(each, clock, flat=True).where("name = 'FH_BREAK'"), clock)
     entered = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"))
     return found.select("instrument", "day", "side", entered.alias("entered"), "entry", "exit", (F.col("reason") == "stop").alias("stopped"), F.round("pnl", 6).alias("pnl"))
 
