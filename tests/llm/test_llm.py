@@ -492,6 +492,27 @@ def test_token_counts_without_a_trie(spark, rows):
         assert got[r.doc_id] == (len(parts), sum(known[p] for p in parts))
 
 
+@pytest.mark.parametrize("nodes", [1, 50])
+def test_a_full_trie_is_begun_anew_without_a_change(monkeypatch, rows, nodes):
+    texts = [r.text.encode() for r in rows[:40] if r.text] + [b"abcdefgh" * 30, b"abcdefgi" * 30]
+    whole = tokencount.Unigram(queries.RANKS, queries.PRETOKENS)
+    want = [whole.counts(t) for t in texts]
+    assert len(whole.best) == len(whole.children) + 1 and len(whole.best) <= 1 + sum(min(len(p.encode()), tokencount.DEEPEST) for p in whole.ends) + 2 * tokencount.DEEPEST
+    monkeypatch.setattr(tokencount, "NODES", nodes)
+    small = tokencount.Unigram(queries.RANKS, queries.PRETOKENS)
+    assert [small.counts(t) for t in texts] == want and len(small.best) <= nodes + 1 + tokencount.DEEPEST
+
+
+def test_scores_of_a_long_pretoken_in_a_window(monkeypatch):
+    text = "".join(chr(97 + (k * k // 7 + k) % 23) for k in range(5000)).encode()
+    model = tokencount.Unigram(queries.RANKS, queries.PRETOKENS)
+    want = model.counts(text)
+    monkeypatch.setattr(tokencount, "PATH", 10)
+    assert model.counts(text) == want and want[0] == 1
+    monkeypatch.setattr(tokencount, "DEEPEST", 10_000)
+    assert tokencount.Unigram(queries.RANKS, queries.PRETOKENS).counts(text) == want
+
+
 # edges
 
 TEXTS = [(1, None, "s", "en"), (2, "", None, None), (3, " \n\t ", "s", "en"), (3, " \n\t ", "s", "en"), (None, "a b c", "t", "de"), (4, "word " * 30000, "s", "en"), (5, ("x y z\n" + "l " * 60 + "\n") * 3, None, "en"), (6, "tie tie", "t", "de"), (7, "tie tie", "t", "de")]
