@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, langid, linededup, media, mixing, periodic, quality, simhash, spm, tokencount, toxicity, warc
+from . import collocations, langid, linededup, media, mixing, neighbours, periodic, quality, simhash, spm, tokencount, toxicity, warc
 
 #: The public vocabularies that the queries hand to their operators, and the pattern published with the rank files.
 PIECES, RANKS = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"))
@@ -43,5 +43,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": _of_documents(lambda docs: spm.encoded(docs, PIECES)),
     "op11_periodic": _of_documents(periodic.report),
     "op12_collocations": _of_documents(collocations.collocations),
+    "op13_neighbours": lambda spark, sf_dir: neighbours.near_duplicates(table(spark, sf_dir, "embeddings")),
 }
-SQL = {"op2_warc": warc.WARC_SQL, "op4_quality": quality.RULES_SQL, "op5_mixing": mixing.MIX_SQL, "op6_linededup": linededup.LINES_SQL, "op12_collocations": collocations.SQL}
+SQL = {"op2_warc": warc.WARC_SQL, "op4_quality": quality.RULES_SQL, "op5_mixing": mixing.MIX_SQL, "op6_linededup": linededup.LINES_SQL, "op12_collocations": collocations.SQL, "op13_neighbours": neighbours.SQL}
