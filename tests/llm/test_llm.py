@@ -17,6 +17,7 @@ import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from tests.compare import SMALL, difference
@@ -95,24 +96,50 @@ def test_a_list_of_100_000_that_share_three_bytes(spark, monkeypatch):
     assert len(want) >= 500 and got == {int(f): want.get(int(f), int(f)) for f in fps}
 
 
-@pytest.mark.parametrize("long", [4, 16])
-def test_long_lists_are_split_without_loss(spark, monkeypatch, long):
-    """With a small bound, a family whose members share most bytes goes through all three ways of splitting, against all pairs."""
-    monkeypatch.setattr(simhash, "LONG", long)
+@pytest.mark.parametrize("long", [8, 16])
+def test_long_lists_are_split_without_loss(spark, long):
+    """With a small bound, a family whose members share most bytes goes through all ways of splitting, in several turns, against all
+    pairs. The bound reaches the workers: lists are marked as over it."""
     r = random.Random(7)
     fps = {0x1122334455667788}
     while len(fps) < 150:
         f = r.choice(sorted(fps)) if r.random() < 0.7 else 0x1122334455667788
-        for b in r.sample(range(64), r.choice((1, 3, 5, 7))):
+        for b in r.sample(range(32), r.choice((1, 3, 5, 7))):
             f ^= 1 << b
         fps.add(f)
     signed = {f: f - (f >> 63 << 64) for f in fps}
-    got = {x.fp: x.root for x in simhash.groups(spark.createDataFrame([(f,) for f in signed.values()], "fp bigint")).collect()}
+    frame = spark.createDataFrame([(f,) for f in signed.values()], "fp bigint")
+    found = simhash.postings(frame).repartition("key").sortWithinPartitions("key").mapInArrow(simhash._forests(long), "child bigint, parent bigint, key bigint, n bigint")
+    assert {x.n for x in found.where("key IS NOT NULL").collect()} >= {150}
+    fours = simhash.by_fourth(simhash.postings(frame).groupBy("key").agg(F.count("fp").alias("n")).where(f"n > {long}").join(simhash.postings(frame), "key"))
+    assert fours.groupBy("key").count().where(f"count > {5 * long}").count() >= 1  # so blocks are needed
+    got = {x.fp: x.root for x in simhash.groups(frame, long).collect()}
     want = plain_groups({f: f for f in fps})
     pairs = {(got[signed[f]], c) for f, c in want.items()}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
 
 
+def test_pairs_of_blocks_hold_every_pair_in_every_turn(spark):
+    lists = spark.range(400).select(F.lit(5).cast("bigint").alias("key"), F.col("id").alias("fp"), F.lit(400).alias("n"))
+    for turn in (1, 2):
+        met = set()
+        for x in simhash.in_blocks(lists, 100, turn).groupBy("key").agg(F.collect_list("fp").alias("fps")).collect():
+            met |= {(a, b) for a in x.fps for b in x.fps}
+        assert len(met) == 400 * 400
+
+
+def test_a_list_of_81_920_that_shares_four_bytes_loses_no_link(spark):
+    """The real bound, members told apart by one byte and parts of others, so that only blocks split them: planted pairs a few bits apart."""
+    r = np.random.default_rng(4)
+    low = np.unique(r.integers(0, 1 << 32, 82_400, np.int64))[:81_920]
+    fps = (np.int64(0x12345678) << np.int64(32)) | low
+    near = np.unique(np.concatenate((fps, fps[::400] ^ np.int64((1 << 3) | (1 << 12) | (1 << 21) | (1 << 28)))))
+    got = {x.fp: x.root for x in simhash.groups(spark.createDataFrame(pd.DataFrame({"fp": near}))).collect()}
+    assert all(got[a] == got[a ^ ((1 << 3) | (1 << 12) | (1 << 21) | (1 << 28))] for a in fps[::400].tolist())
+    want = {int(a): int(b) for a, b in simhash.forest(near)}
+    assert got == {int(f): want.get(int(f), int(f)) for f in near}
+
+
 def test_the_tally_counts_equal_bytes():
     x = np.random.default_rng(2).integers(0, 1 << 63, 5000, np.int64).view(np.uint64) & np.uint64(0xFF00FFFF00FF80FF)
     assert (simhash.shared(x) == [sum(b == 0 for b in int(v).to_bytes(8, "big")) for v in x]).all()

@@ -5,7 +5,8 @@ so a pair is worth verifying only if it shares 4 positional bytes. Lists of a si
 256 values and grow with the square of the corpus; the index therefore keys its lists by 3 positional bytes at once.
 It needs 20 of the 56 triples of positions: any 4 positions contain one of them. Within a list, postings of the other
 positions' bytes tally what a pair shares beyond the key. A list of over LONG members is split by a fourth byte, one that is
-still longer into blocks of which each two meet in a task, so no task holds more than about LONG.
+still longer into blocks of which each two meet in a task; two blocks that are too long together are split again, until all are
+compared. So no task holds more than LONG members of a list.
 """
 
 from __future__ import annotations
@@ -94,11 +95,13 @@ def by_fourth(lists: DataFrame) -> DataFrame:
     return lists.select(F.explode(keys).alias("key"), "fp").distinct()
 
 
-def in_blocks(lists: DataFrame) -> DataFrame:
-    """The members of lists (key, fp, n: its length) for each two blocks of a list, of about LONG / 2 members each."""
-    blocks = F.ceil(F.col("n") / (LONG // 2)).cast("int")
-    mine = lists.select("key", "fp", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b")).where("a <> b")
-    return mine.select(F.xxhash64("key", F.least("a", "b"), F.greatest("a", "b")).alias("key"), "fp")
+def in_blocks(lists: DataFrame, long: int, turn: int) -> DataFrame:
+    """The members of lists (key, fp, n: its length) for each two blocks of a list, of 0.4 * long members each on average. With
+    over `long` members there are three blocks at least, so each two members meet, and the next turn deals them otherwise."""
+    blocks = F.ceil(F.col("n") / (0.4 * long)).cast("int")
+    own = F.pmod(F.xxhash64("fp", F.lit(turn)), blocks).cast("int")
+    mine = lists.select("key", "fp", own.alias("a"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b")).where("a <> b")
+    return mine.select(F.xxhash64("key", F.least("a", "b"), F.greatest("a", "b"), F.lit(turn)).alias("key"), "fp")
 
 
 def shared(x: np.ndarray) -> np.ndarray:
@@ -150,8 +153,8 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, fp) -> edges, and the keys and lengths of lists of over LONG members, which aren't compared. Lists of one
+def _forests(long: int):
+    """Sorted (key, fp) -> edges, and the keys and lengths of lists of over `long` members, which aren't compared. Lists of one
     are passed over, lists of two compared all at once."""
     names = ["child", "parent", "key", "n"]
 
@@ -172,65 +175,67 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent.append(p)
         return edges(np.concatenate(child), np.concatenate(parent))
 
-    def long(key: int, n: int) -> pa.RecordBatch:
+    def over(key: int, n: int) -> pa.RecordBatch:
         none = pa.nulls(1, pa.int64())
         return pa.RecordBatch.from_arrays([none, none, pa.array([key], pa.int64()), pa.array([n], pa.int64())], names)
 
-    keys, fps, over, n = np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
-    for batch in batches:
-        k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if over is not None:  # the rest of a long list is only counted
-            rest = int(np.searchsorted(k, over, "right"))
-            n += rest
-            k, f = k[rest:], f[rest:]
-            if not len(k):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, passed, n = np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
+        for batch in batches:
+            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if passed is not None:  # the rest of a long list is only counted
+                rest = int(np.searchsorted(k, passed, "right"))
+                n += rest
+                k, f = k[rest:], f[rest:]
+                if not len(k):
+                    continue
+                yield over(passed, n)
+                passed = None
+            keys, fps = np.concatenate((keys, k)), np.concatenate((fps, f))
+            if not len(keys):
                 continue
-            yield long(over, n)
-            over = None
-        keys, fps = np.concatenate((keys, k)), np.concatenate((fps, f))
-        if not len(keys):
-            continue
-        cut = int(np.searchsorted(keys, keys[-1]))  # the last list may go on in the next batch
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sizes = np.diff(np.append(starts, len(keys)))
-        for s in starts[(sizes > LONG) & (starts < cut)]:
-            yield long(int(keys[s]), int(sizes[starts == s][0]))
-        good = np.repeat(sizes <= LONG, sizes)[:cut]
-        if good.any():
-            yield of(keys[:cut][good], fps[:cut][good])
-        keys, fps = keys[cut:], fps[cut:]
-        if len(keys) > LONG:
-            over, n = int(keys[0]), len(keys)
-            keys, fps = keys[:0], fps[:0]
-    if over is not None:
-        yield long(over, n)
-    elif len(keys):
-        yield of(keys, fps)
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """distinct (fp) -> child, parent: links that join what is linked. Lists of over LONG members are few or none; their keys
-    are joined to their members again, in the two further ways of the module's docstring."""
-    lists, out = postings(distinct), []
-    for further in (by_fourth, in_blocks, None):
-        found = kept(lists.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "child bigint, parent bigint, key bigint, n bigint"), "lists")
-        out.append(found.where("child IS NOT NULL").select("child", "parent"))
-        long = found.where("key IS NOT NULL").select("key", "n")
-        if further is None or not (n := long.count()):
-            break
-        lists = kept(further(lists.join(small(long, n), "key")), "long")
-    whole = out[0]
-    for o in out[1:]:
-        whole = whole.union(o)
-    return whole
-
-
-def groups(prints: DataFrame) -> DataFrame:
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last list may go on in the next batch
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(starts, len(keys)))
+            for s in starts[(sizes > long) & (starts < cut)]:
+                yield over(int(keys[s]), int(sizes[starts == s][0]))
+            good = np.repeat(sizes <= long, sizes)[:cut]
+            if good.any():
+                yield of(keys[:cut][good], fps[:cut][good])
+            keys, fps = keys[cut:], fps[cut:]
+            if len(keys) > long:
+                passed, n = int(keys[0]), len(keys)
+                keys, fps = keys[:0], fps[:0]
+        if passed is not None:
+            yield over(passed, n)
+        elif len(keys):
+            yield of(keys, fps)
+
+    return run
+
+
+def links(distinct: DataFrame, long: int = LONG) -> DataFrame:
+    """distinct (fp) -> child, parent: links that join what is linked. Lists of over `long` members are few or none; their keys
+    are joined to their members again, first by a fourth byte, then in pairs of blocks until no list is longer."""
+    lists, whole, turn = postings(distinct), None, 0
+    while True:
+        found = kept(lists.repartition("key").sortWithinPartitions("key").mapInArrow(_forests(long), "child bigint, parent bigint, key bigint, n bigint"), "lists")
+        edges = found.where("child IS NOT NULL").select("child", "parent")
+        whole = edges if whole is None else whole.union(edges)
+        over = found.where("key IS NOT NULL").select("key", "n")
+        if not (n := over.count()):
+            return whole
+        members = lists.join(small(over, n), "key")
+        lists = kept(in_blocks(members, long, turn) if turn else by_fourth(members), "long")
+        turn += 1
+
+
+def groups(prints: DataFrame, long: int = LONG) -> DataFrame:
     """prints (fp, ...), repeats allowed -> (fp, root) for each distinct fp; root is the smallest fp reachable by links of
     at most 4 bits. Equal fingerprints count once, so a group of copies adds one entry to a list. No fingerprints: no rows."""
     with swept(prints.sparkSession) as outliving:
         distinct = kept(prints.select("fp").distinct(), "distinct")
-        found = kept(stars(links(distinct)).withColumnsRenamed({"child": "fp", "parent": "root"}), "roots")
+        found = kept(stars(links(distinct, long)).withColumnsRenamed({"child": "fp", "parent": "root"}), "roots")
         return outliving(distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "groups")
 
 
