@@ -5,7 +5,8 @@ neighbouring words are such, so shards first agree on the words and pairs that a
 hashes of its distinct ones, sorted, with counts, in a chunk for each range of hashes; for each range the counts are added up and
 every shard gets one bit for each hash. Words of two texts that share a hash may let an infrequent pair through; none is lost.
 Then each shard cuts its pieces between words that are no frequent pair, puts the distinct parts with their numbers of occurrences into
-an automaton, and enumerates the phrases of up to WORDS words from its root. Equal phrases of all shards are added up.
+an automaton, and enumerates the phrases of up to WORDS words from its root. These go, in chunks by ranges of their hashes too, to
+where equal phrases of all shards are added up.
 
 All parts of a candidate (its suffixes along suffix links, and theirs of its prefixes) are at least as frequent, so they stand in the
 same table: cuts are joined to it, and a longer candidate hands its frequency down to all that it contains.
@@ -15,9 +16,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -30,7 +33,9 @@ LEAST, WORDS, TOP = 30, 4, 2000
 #: A longer candidate stands for what it contains if it has this share, in percent, of its occurrences.
 SHARE = 80
 #: Bytes of text in a shard, and those whose distinct words and pairs are counted in one task.
-SHARD, RANGE = 4 << 20, 16 << 20
+SHARD, RANGE = 2 << 20, 16 << 20
+#: Low bytes of a hash that are sent; its high ones choose the range.
+HASH = 5
 #: Bytes: A-Z to lower case; what ends a piece to a line feed, a tab to a space.
 _TABLE = bytearray(bytes(range(256)).lower())
 for _c in b".,;:!?\x0a\x0b\x0c\x0d":
@@ -42,7 +47,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
     """docs (text, lang, ...) -> shard, lang, size, text: all texts of a task, one after another, in parts of about `size` bytes by
-    language. A longer text is cut between two pieces."""
+    language, as Zstandard bytes, so that no row of the shuffle is large. A longer text is cut between two pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, open_ = TaskContext.get().partitionId() << 32, {}
@@ -51,7 +56,7 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
         def row(lang: str, text: bytes) -> pa.RecordBatch:
             nonlocal n
             n += 1
-            return pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([lang]), pa.array([len(text)]), pa.array([text], pa.binary())], ["shard", "lang", "size", "text"])
+            return pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([lang]), pa.array([len(text)]), pa.array([pa.compress(text, "zstd", asbytes=True)], pa.binary())], ["shard", "lang", "size", "text"])
 
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1)):
@@ -219,16 +224,18 @@ class Automaton:
 
 
 def _chunks(ranges: int):
-    """Shards -> for each range of hashes that a shard has some in: range, shard, the hashes in order, and their counts up to LEAST."""
+    """Shards -> for each range of hashes that a shard has some in: range, shard, the low bytes of the hashes in their order, and counts
+    up to LEAST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                s = Shard(lang, text.as_py())
+            for key, lang, size, text in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3)):
+                s = Shard(lang, pa.decompress(text.as_py(), size, "zstd", asbytes=True))
                 hashes, n = s.hashes[s.order], s.occurrences[s.order]
                 of = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
-                rows = [(int(of[a]), key, hashes[a:z].tobytes(), n[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
+                low = hashes.view(np.uint8).reshape(-1, 8)[:, :HASH]
+                rows = [(int(of[a]), key, low[a:z].tobytes(), n[a:z].tobytes()) for a, z in zip(cuts, cuts[1:])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["range", "shard", "hashes", "n"])
 
@@ -237,35 +244,59 @@ def _chunks(ranges: int):
 
 def _decided(chunks: pa.Table) -> pa.Table:
     """The chunks of one range -> range, shard and a bit for each of its hashes: whether all shards together have LEAST."""
-    each = [np.frombuffer(x.as_py(), np.uint64) for x in chunks.column("hashes")]
-    n = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in chunks.column("n")])
-    found, of = np.unique(np.concatenate(each), return_inverse=True)
+    each = [np.frombuffer(x.as_py(), np.uint8) for x in chunks.column("n")]
+    n = np.concatenate(each)
+    whole = np.zeros((len(n), 8), np.uint8)
+    whole[:, :HASH] = np.frombuffer(b"".join(chunks.column("hashes").to_pylist()), np.uint8).reshape(-1, HASH)
+    found, of = np.unique(whole.view("<u8").ravel(), return_inverse=True)
     frequent = (np.bincount(of, n, len(found)) >= LEAST)[of]
     cuts = np.cumsum([0, *map(len, each)]).tolist()
     bits = pa.array([np.packbits(frequent[a:z]).tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary())
     return pa.Table.from_arrays([chunks.column("range"), chunks.column("shard"), pa.array([len(x) for x in each], pa.int64()), bits], ["range", "shard", "size", "bits"])
 
 
-def _enumerated(text: pa.Table, bits: pa.Table) -> pa.Table:
-    """A shard and its bits -> lang, phrase and its occurrences there. The empty phrase has all words."""
-    names = ["lang", "phrase", "n"]
-    if not text.num_rows:
-        return pa.Table.from_arrays([pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.int64())], names)
-    lang, s = text.column("lang")[0].as_py(), Shard(text.column("lang")[0].as_py(), text.column("text")[0].as_py())
-    frequent = np.zeros(len(s.order), bool)
-    if bits.num_rows:
-        bits = bits.sort_by("range")
-        got = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n).astype(bool) for x, n in zip(bits.column("bits"), bits.column("size").to_pylist())]
-        frequent[s.order] = np.concatenate(got)
-    automaton = Automaton()
-    for part, n in s.parts(frequent).items():
-        automaton.add(part, n)
-    automaton.counted()
-    words: list[bytes | None] = [None] * len(s.counts)
-    for c in automaton.step[0]:
-        words[c] = s.word(c)
-    phrases, counts = automaton.phrases(words)
-    return pa.Table.from_arrays([pa.array([lang] * (len(phrases) + 1), pa.string()), pa.array([b"", *phrases], pa.binary()), pa.array([len(s.ids), *counts], pa.int64())], names)
+def _enumerated(ranges: int):
+    """A shard and its bits -> range, lang, phrases (in order, one a line) and n (their occurrences in the shard). The empty phrase
+    has all words."""
+    names, types = ["range", "lang", "phrases", "n"], (pa.int64(), pa.string(), pa.binary(), pa.binary())
+
+    def run(text: pa.Table, bits: pa.Table) -> pa.Table:
+        if not text.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names)
+        lang, size, packed = (text.column(c)[0].as_py() for c in ("lang", "size", "text"))
+        s = Shard(lang, pa.decompress(packed, size, "zstd", asbytes=True))
+        frequent = np.zeros(len(s.order), bool)
+        if bits.num_rows:
+            bits = bits.sort_by("range")
+            got = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n).astype(bool) for x, n in zip(bits.column("bits"), bits.column("size").to_pylist())]
+            frequent[s.order] = np.concatenate(got)
+        automaton = Automaton()
+        for part, n in s.parts(frequent).items():
+            automaton.add(part, n)
+        automaton.counted()
+        words: list[bytes | None] = [None] * len(s.counts)
+        for c in automaton.step[0]:
+            words[c] = s.word(c)
+        dealt: dict[int, list[tuple[bytes, int]]] = {crc32(b"") % ranges: [(b"", len(s.ids))]}
+        for x in zip(*automaton.phrases(words)):
+            dealt.setdefault(crc32(x[0]) % ranges, []).append(x)
+        rows = []
+        for k, found in dealt.items():
+            phrases, counts = zip(*sorted(found))
+            rows.append((k, lang, b"\n".join(phrases), np.array(counts, np.int64).tobytes()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return run
+
+
+def _summed(chunks: pa.Table) -> pa.Table:
+    """The chunks of one range and language -> lang, phrase and f, of phrases with LEAST occurrences and of the empty one."""
+    phrases = [pa.array(x.as_py().split(b"\n"), pa.binary()) for x in chunks.column("phrases")]
+    n = pa.array(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in chunks.column("n")]))
+    found = pa.table({"phrase": pa.chunked_array(phrases), "n": n}).group_by("phrase").aggregate([("n", "sum")])
+    found = found.filter(pc.or_(pc.greater_equal(found["n_sum"], LEAST), pc.equal(found["phrase"], b"")))
+    lang = pa.array([chunks.column("lang")[0].as_py()] * found.num_rows, pa.string())
+    return pa.table({"lang": lang, "phrase": found["phrase"].cast(pa.string()), "f": found["n_sum"]})
 
 
 def frequencies(docs: DataFrame, shard: int = SHARD, span: int = RANGE) -> DataFrame:
@@ -274,12 +305,12 @@ def frequencies(docs: DataFrame, shard: int = SHARD, span: int = RANGE) -> DataF
     stored = kept(shards(docs, shard), "shards")
     size = stored.agg(F.sum("size")).first()[0] or 0
     ranges = max(1, -(-size // span))
-    chunks = stored.select("shard", "lang", "text").mapInArrow(_chunks(ranges), "range bigint, shard bigint, hashes binary, n binary")
+    chunks = stored.mapInArrow(_chunks(ranges), "range bigint, shard bigint, hashes binary, n binary")
     bits = chunks.groupBy("range").applyInArrow(_decided, "range bigint, shard bigint, size bigint, bits binary")
-    each = stored.select("shard", "lang", "text").groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(_enumerated, "lang string, phrase binary, n bigint")
-    found = each.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("f"))
+    each = stored.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(_enumerated(ranges), "range bigint, lang string, phrases binary, n binary")
+    found = each.groupBy("range", "lang").applyInArrow(_summed, "lang string, phrase string, f bigint")
     k = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
-    return found.withColumn("k", k).where(f"k = 0 OR f >= {LEAST}").select("lang", "phrase", "k", "f")
+    return found.withColumn("k", k).select("lang", "phrase", "k", "f")
 
 
 def _side(phrase: str, n: Column) -> Column:
