@@ -278,7 +278,7 @@ def test_the_error_function():
 
 def test_estimators_by_name():
     with pytest.raises(ValueError):
-        volatility.by_name("yang_zhang", 5)
+        volatility.by_name("yang_zhang")
 
 
 def test_packets_are_parsed_once(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ordered
+from ..functions.rounding import rounded
 from .access import by_time
 
 
@@ -13,11 +15,6 @@ def start(width: str, column: str = "timestamp") -> Column:
     return F.window(column, width)["start"]
 
 
-def tenth(x: Column) -> Column:
-    """x to one decimal, halves up, by binary arithmetic."""
-    return F.floor(x * 10 + 0.5) / 10
-
-
 def build(ticks: DataFrame, width: str) -> DataFrame:
     """instrument, timestamp, open, high, low, close, volume, n. First and last by time, then sequence number (a missing one first);
     of ticks equal in both any one. Null prices count in n alone, ticks without a time in no bar. Sums combine before the shuffle."""
@@ -34,15 +31,24 @@ def widen(bars: DataFrame, width: str, complete: int | None = None) -> DataFrame
 def analytics(books: DataFrame, width: str) -> DataFrame:
     """Spread, imbalance, depth and cumulative delta by instrument and bar.
 
-    A side without levels has no spread (0), sides without quantity no imbalance (0). The running sum restarts each day,
-    so its window holds a day's bars of an instrument.
+    Ticks with a side without levels have no spread and don't count in its mean; a bar without any has 0. Prices are subtracted as
+    decimals. Sides without quantity have no imbalance (0). The running sum restarts each day, so its window holds a day's bars of
+    an instrument.
     """
-    spread = F.coalesce(F.try_subtract(F.get("best_5_sell", F.lit(0))["price"], F.get("best_5_buy", F.lit(0))["price"]), F.lit(0.0))
+    best = [F.get(side, F.lit(0))["price"].cast("decimal(28, 14)") for side in ("best_5_sell", "best_5_buy")]
+    spread = best[0] - best[1]
     depth = F.col("total_buy_qty") + F.col("total_sell_qty")
     imbalance = F.when(depth > 0, (F.col("total_buy_qty") - F.col("total_sell_qty")) / depth).otherwise(0.0)
+    none = F.lit(0.0)
     out = books.groupBy("instrument", start(width).alias("timestamp")).agg(
-        F.max_by("ltp", by_time()).alias("ltp"), F.bround(F.avg(spread), 2).alias("avg_spread"), F.bround(F.max(spread), 2).alias("max_spread"), F.bround(F.avg(imbalance), 4).alias("imbalance"),
-        F.avg("total_buy_qty").cast("bigint").alias("buy_depth"), F.avg("total_sell_qty").cast("bigint").alias("sell_depth"), F.sum(F.col("total_buy_qty") - F.col("total_sell_qty")).alias("delta"), F.count(F.lit(1)).alias("n"),
+        F.max_by("ltp", by_time()).alias("ltp"),
+        rounded(F.coalesce(F.avg(spread).cast("double"), none), 2).alias("avg_spread"),
+        rounded(F.coalesce(F.max(spread).cast("double"), none), 1).alias("max_spread"),
+        rounded(F.coalesce(F.avg(imbalance), none), 4).alias("imbalance"),
+        F.avg("total_buy_qty").cast("bigint").alias("buy_depth"),
+        F.avg("total_sell_qty").cast("bigint").alias("sell_depth"),
+        F.sum(F.col("total_buy_qty") - F.col("total_sell_qty")).alias("delta"),
+        F.count(F.lit(1)).alias("n"),
     )
     return out.withColumn("cum_delta", F.expr("sum(delta) OVER (PARTITION BY instrument, CAST(timestamp AS DATE) ORDER BY timestamp)"))
 
@@ -72,32 +78,40 @@ def _first() -> list[Column]:
 def walls(books: DataFrame, least: int = 5000) -> DataFrame:
     """The first level of at least this quantity for each instrument, minute, side and price to one decimal. Books without a time
     are in no minute; empty and null sides have no levels."""
-    key = levels(books, least).where("row.timestamp IS NOT NULL").select("*", start("1 minute", "row.timestamp").alias("minute"), tenth(F.col("level.price")).alias("price"), F.col("row.instrument").alias("instrument"))
+    key = levels(books, least).where("row.timestamp IS NOT NULL").select("*", start("1 minute", "row.timestamp").alias("minute"), rounded(F.col("level.price")).alias("price"), F.col("row.instrument").alias("instrument"))
     first = F.struct(*_first(), F.col("level.quantity").alias("quantity"), F.col("row.ltp").alias("ltp"))
     out = key.groupBy("instrument", "minute", "side", "price").agg(F.min(first).alias("f"))
     return out.select("instrument", "minute", "side", "price", "f.quantity", "f.ltp", "f.timestamp")
 
 
+#: How far a price is followed after a wall, in microseconds.
+REACH = 300_000_000
+
+
 def absorptions(books: DataFrame, least: int = 3000) -> DataFrame:
     """Walls that the price passes within five minutes: the first that qualifies for each instrument, minute, side and price, with
     the tick's time.
 
-    The following prices are a range frame of each instrument's ticks by hour and the next one's first ticks, so that no
-    window holds a whole instrument: ticks near an hour's end are also copied into the hour before.
+    The following prices are ordered.ahead() of the ticks' prices alone; of the books only those with a level of at least this
+    quantity are shuffled to them.
     """
-    hour, reach = 3_600_000_000, 300_000_000
-    book = F.struct(*[F.col(f"`{c}`") for c in books.columns]).alias("book")
     at = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    wide = books.where("timestamp IS NOT NULL").select(book, "instrument", "ltp", at.alias("at")).withColumn("mine", F.floor(F.col("at") / hour))
-    copies = wide.withColumn("part", F.explode(F.array_distinct(F.array("mine", F.floor((F.col("at") - reach) / hour)))))
-    frame = f"OVER (PARTITION BY instrument, part ORDER BY at RANGE BETWEEN 1 FOLLOWING AND {reach} FOLLOWING)"
-    seen = copies.withColumns({"low": F.expr(f"min(ltp) {frame}"), "high": F.expr(f"max(ltp) {frame}")}).where("part = mine")
-    each = levels(seen.select("book.*", F.struct("low", "high").alias("_next")), least).where("level.price > 0")
+    next_ = ordered.ahead(books.select("instrument", at.alias("_at"), "ltp"), "instrument", "_at", "ltp", REACH).withColumnsRenamed({"low": "_low", "high": "_high"})
+    thick = [F.exists(F.coalesce(side, F.array()), lambda x: F.coalesce(x["quantity"] >= least, F.lit(False))) for side in ("best_5_buy", "best_5_sell")]
+    some = books.where("timestamp IS NOT NULL").where(thick[0] | thick[1]).withColumn("_at", at)
+    each = levels(some.join(next_, ["instrument", "_at"]), least).where("level.price > 0")
     price, buy = F.col("level.price"), F.col("side") == "BUY"
-    reached = F.when(buy, F.col("row._next.low")).otherwise(F.col("row._next.high"))
-    hit = each.where(F.when(buy, reached < price).otherwise(reached > price)).select("*", F.col("row.instrument").alias("instrument"), start("1 minute", "row.timestamp").alias("minute"), tenth(price).alias("wall"), tenth(reached - price).alias("move"))
-    first = F.struct(*_first(), tenth(F.col("row.ltp")).alias("price"), F.col("level.quantity").alias("quantity"), "move")
-    out = hit.groupBy("instrument", "minute", "side", "wall").agg(F.min(first).alias("f"))
+    reached = F.when(buy, F.col("row._low")).otherwise(F.col("row._high"))
+    return first_absorptions(each.where(F.when(buy, reached < price).otherwise(reached > price)).withColumn("reached", reached))
+
+
+def first_absorptions(hits: DataFrame) -> DataFrame:
+    """Of hits (row, side, place and level as in levels(), reached) the first of each instrument, minute, side and price to one
+    decimal, and how far the price moved beyond it."""
+    price = F.col("level.price")
+    key = [F.col("row.instrument").alias("instrument"), start("1 minute", "row.timestamp").alias("minute"), "side", rounded(price).alias("wall")]
+    first = F.struct(*_first(), rounded(F.col("row.ltp")).alias("price"), F.col("level.quantity").alias("quantity"), rounded(F.col("reached") - price).alias("move"))
+    out = hits.groupBy(*key).agg(F.min(first).alias("f"))
     return out.select("instrument", "minute", "side", "wall", "f.price", "f.quantity", "f.move", "f.timestamp", "f.sequence_number", "f.place")
 
 
@@ -106,7 +120,7 @@ def strip(analytics: DataFrame, counts: DataFrame, absorbed: DataFrame | None =
     absorbed (instrument, ...) is given how many of its rows. Bars without counts have no walls; halves round to even."""
     both = analytics.join(counts, ["instrument", "timestamp"], "left")
     out = both.groupBy("instrument").agg(
-        F.bround(F.avg(F.when(F.col("avg_spread") > 0, F.col("avg_spread"))), 2).alias("avg_spread"), F.max("max_spread").alias("max_spread"), F.bround(F.avg("imbalance"), 4).alias("imbalance"),
+        rounded(F.avg(F.when(F.col("avg_spread") > 0, F.col("avg_spread"))), 2).alias("avg_spread"), F.max("max_spread").alias("max_spread"), rounded(F.avg("imbalance"), 4).alias("imbalance"),
         F.sum(F.coalesce("walls_buy", F.lit(0))).alias("walls_buy"), F.sum(F.coalesce("walls_sell", F.lit(0))).alias("walls_sell"),
     )
     out = out.withColumn("bias", F.when(F.col("imbalance") > 0.02, "BUY").when(F.col("imbalance") < -0.02, "SELL").otherwise("NEUTRAL"))

@@ -75,8 +75,8 @@ def premium(options: DataFrame, closes: DataFrame, underlying: DataFrame, n: int
     spots = underlying.groupBy("name", "timestamp").agg(F.max(F.struct("close", "open", "high", "low")).alias("u"))
     bars = closes.groupBy("token", "timestamp").agg(F.max("close").alias("paid"))
     both = bars.join(options, "token").join(spots, ["name", "timestamp"]).select("token", "timestamp", "strike", "expiry", "kind", "paid", "u.*")
-    step = both.where("open > 0 AND high > 0 AND low > 0 AND close > 0").withColumn("ret", F.expr("ln(close / lag(close) OVER (PARTITION BY token ORDER BY timestamp))"))
-    rv = step.withColumn("rv", volatility.by_name(method, n, by="token"))
+    each = volatility.placed(both, n, by="token")
+    rv = volatility.estimated(each, n, by="_key").where("own").withColumn("rv", volatility.by_name(method)).drop("_key", "k", "part", "own", "ret", *volatility.METHODS)
     rows = solved(rv.withColumnRenamed("close", "spot").withColumnRenamed("paid", "close"))
     return rows.select(F.col("token").alias("instrument"), "timestamp", "close", "expiry", "iv", "rv", (F.col("iv") - F.col("rv")).alias("vrp"))
 

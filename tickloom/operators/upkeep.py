@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert(table: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """table with `columns` replaced where new has the key, and new's other rows; columns not named are kept or null. Of several
-    new rows of a key the largest in `columns`, in their order, stands. Null keys match none, so such rows of new are added, as
-    one. Columns of table keep their names, whatever they are."""
-    fresh = new.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*columns)).alias("_new"))
+def upsert(table: DataFrame, new: DataFrame, key: str | list[str], columns: list[str], at: Column | None = None) -> DataFrame:
+    """table with `columns` replaced where new has the key (one column or several), and new's other rows; columns not named are kept or
+    null. Of several new rows of a key the largest in `columns`, in their order, stands. Keys with a null match none, so such rows of
+    new are added, as one for each key. With `at`, rows that new wrote have it as updated_at. Columns of table keep their names,
+    whatever they are."""
+    keys = [key] if isinstance(key, str) else list(key)
+    fresh = new.groupBy(F.struct(*keys).alias("_key")).agg(F.max(F.struct(*columns)).alias("_new"))
     old = table.select(F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("_old"))
-    both = old.join(fresh, F.col(f"_old.{key}") == F.col("_key"), "full")
-    value = {c: F.when(F.col("_new").isNotNull(), F.col("_new").getField(c)).otherwise(F.col("_old").getField(c)) for c in columns} | {key: F.coalesce(F.col("_old").getField(key), F.col("_key"))}
+    same = reduce(Column.__and__, [F.col(f"_old.`{k}`") == F.col(f"_key.`{k}`") for k in keys])
+    both = old.join(fresh, same, "full")
+    written = F.col("_new").isNotNull()
+    value = {c: F.when(written, F.col("_new").getField(c)).otherwise(F.col("_old").getField(c)) for c in columns}
+    value |= {k: F.when(F.col("_old").isNotNull(), F.col("_old").getField(k)).otherwise(F.col("_key").getField(k)) for k in keys}
+    if at is not None:
+        value["updated_at"] = F.when(written, at).otherwise(F.col("_old").getField("updated_at"))
     return both.select(*[value.get(c, F.col("_old").getField(c)).alias(c) for c in table.columns])
 
 
@@ -90,14 +99,14 @@ def compacted(spark: SparkSession, source: str, target: str, rows: int = 5_000_0
 
 def cleaned(master: DataFrame) -> DataFrame:
     """A downloaded list of instruments, all text, in its types. Strikes that are no number are null, those of options are in
-    hundredths; expiries are like 28NOV2026, others null; lots that are no number are 0; missing names, exchanges and types
+    hundredths; expiries are like 28NOV2026 or 5JAN2027, others null; lots that are no number are 0; missing names, exchanges and types
     empty."""
     strike = F.col("strike").try_cast("double")
     option = F.col("instrumenttype").isin("OPTIDX", "OPTSTK")
     text = [F.coalesce(F.col(c), F.lit("")).alias(to) for c, to in (("name", "name"), ("exch_seg", "exchange"), ("instrumenttype", "instrument_type"))]
     lot = F.coalesce(F.col("lotsize").try_cast("double").cast("int"), F.lit(0))
-    good = F.upper("expiry").rlike("^[0-9]{2}[A-Z]{3}[0-9]{4}$")
-    expiry = F.to_date(F.try_to_timestamp(F.when(good, F.initcap(F.lower("expiry"))), F.lit("ddMMMyyyy")))
+    good = F.upper("expiry").rlike("^[0-9]{1,2}[A-Z]{3}[0-9]{4}$")
+    expiry = F.to_date(F.try_to_timestamp(F.when(good, F.initcap(F.lower(F.lpad("expiry", 9, "0")))), F.lit("ddMMMyyyy")))
     return master.select(F.col("token").cast("string").alias("token"), "symbol", *text, expiry.alias("expiry"), F.when(option, strike / 100).otherwise(strike).alias("strike"), lot.alias("lot_size"))
 
 
@@ -112,10 +121,15 @@ def logged(runs: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """rows as CSV with a header line at path; quotes in cells are doubled, null and empty cells differ."""
-    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "\\N").csv(path)
+    """rows as CSV with a header line at path; quotes in cells are doubled, null and empty cells differ. A cell like a null's mark
+    is written with one more backslash."""
+    text = {f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"}
+    cells = [F.regexp_replace(F.col(f"`{c}`"), r"^(\\+N)$", r"\\$1").alias(c) if c in text else F.col(f"`{c}`") for c in rows.columns]
+    rows.select(*cells).write.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "\\N").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What write_csv() wrote."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("nullValue", "\\N").option("multiLine", True).csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("nullValue", "\\N").option("multiLine", True).csv(path)
+    text = {f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"}
+    return rows.select(*[F.regexp_replace(F.col(f"`{c}`"), r"^\\(\\+N)$", "$1").alias(c) if c in text else F.col(f"`{c}`") for c in rows.columns])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
+from ..functions.rounding import rounded
 from . import calendar
 
 Calendar = Callable[[Column], Column]
@@ -62,54 +63,83 @@ def row_findings(bars: DataFrame, minutes: int, trading: Calendar = calendar.tra
     return bars.select("instrument", "sequence_number", F.explode(codes).alias("code")).withColumn("severity", severity(F.col("code")))
 
 
-def tick_findings(ticks: DataFrame, trading: Calendar = calendar.trading) -> DataFrame:
-    """All findings on ticks (timestamp, ltp, high, low, volume): what is missing or not positive, a day's high below its low, a
-    price outside of the day's range, times outside of sessions, falling volumes, and, as warnings, repeated and late times."""
+#: A tick's quantities, none of which may be negative.
+QUANTITIES = ("ltq", "volume", "total_buy_qty", "total_sell_qty", "open_interest")
+
+
+def tick_rules(ticks: DataFrame, trading: Calendar = calendar.trading) -> DataFrame:
+    """Findings on each tick alone: what is missing or not positive, quantities below zero (those that ticks have), a day's high below
+    its low, a price outside of the day's range, times outside of sessions. One pass, no shuffle."""
     day = F.col("high") >= F.col("low")
     rules = [("missing_field", F.col(c).isNull()) for c in ("timestamp", "ltp")]
-    rules += [("non_positive_price", F.col(c) <= 0) for c in ("ltp", "high", "low")] + [("negative_value", F.col("volume") < 0)]
+    rules += [("non_positive_price", F.col(c) <= 0) for c in ("ltp", "high", "low")] + [("negative_value", F.col(c) < 0) for c in QUANTITIES if c in ticks.columns]
     rules += [("out_of_session", ~in_session(trading=trading)), ("ohlc_invariant", ~day), ("ltp_outside_day_range", day & ~F.col("ltp").between(F.col("low"), F.col("high")))]
     codes = F.array_compact(F.array(*[F.when(x, F.lit(code)) for code, x in rules]))
-    own = ticks.select("instrument", "sequence_number", F.explode(codes).alias("code")).withColumn("severity", severity(F.col("code"), tick=True))
-    return own.union(sequence_findings(ticks, tick=True)).union(volume_findings(ticks))
+    return ticks.select("instrument", "sequence_number", F.explode(codes).alias("code")).withColumn("severity", severity(F.col("code"), tick=True))
 
 
-def sequence_findings(rows: DataFrame, tick: bool = False, size: int = 10_000) -> DataFrame:
-    """Repeated timestamps, and timestamps before that of the record in front (for bars: or at it); rows arrive in the order of
-    sequence_number. Both are errors of bars and warnings of ticks. A record without a time is passed over. Repeats are found by
-    timestamp, the record in front in parts of about `size` records."""
-    dated = rows.where("timestamp IS NOT NULL").select("instrument", "sequence_number", "timestamp")
-    each = ordered.parts(ordered.numbered(dated, "instrument", "sequence_number", F.floor(F.col("sequence_number") / 100_000)), 1, size)
-    seen = each.withColumn("front", F.expr("lag(timestamp) OVER (PARTITION BY instrument, part ORDER BY k)")).where("own")
-    again = seen.withColumn("again", F.expr("row_number() OVER (PARTITION BY instrument, timestamp ORDER BY sequence_number)"))
-    late = F.col("timestamp") < F.col("front") if tick else F.col("timestamp") <= F.col("front")
-    code = F.when(F.col("again") > 1, "duplicate_timestamp").when(late, "out_of_order")
-    return again.select("instrument", "sequence_number", code.alias("code")).where("code IS NOT NULL").withColumn("severity", severity(F.col("code"), tick))
+def tick_findings(ticks: DataFrame, trading: Calendar = calendar.trading, volumes: bool = True) -> DataFrame:
+    """All findings on ticks (timestamp, ltp, high, low, volume): those of tick_rules(), falling volumes unless volumes is false, and,
+    as warnings, repeated and late times. Ticks are numbered once for both rules on their order."""
+    own = tick_rules(ticks, trading)
+    return own.union(in_order_findings(ticks, volumes=volumes))
 
 
-def volume_findings(rows: DataFrame, size: int = 10_000) -> DataFrame:
-    """Cumulative volumes below the last known one of the same run of a day (records that follow each other and have one day, or
-    none). Null volumes are passed over.
+def _numbered(rows: DataFrame, size: int) -> DataFrame:
+    """rows with k, their place among their instrument's, in parts of about `size` with the row in front of each part (own: not that
+    one). instrument, sequence_number, timestamp, day and volume (null where rows have none) are enough for the rules on order."""
+    volume = F.col("volume") if "volume" in rows.columns else F.lit(None).cast("double")
+    each = rows.select("instrument", "sequence_number", "timestamp", F.to_date("timestamp").alias("day"), volume.alias("volume"))
+    return ordered.parts(ordered.numbered(each, "instrument", "sequence_number", F.floor(F.col("sequence_number") / 100_000)), 1, size)
+
+
+def _carried(x: DataFrame, ends: dict[str, Column]) -> DataFrame:
+    """x (instrument, part, ...) with what stands last in the parts before its own, one row of each part: name -> its aggregate. A null
+    is passed over."""
+    last = x.where("own").groupBy("instrument", "part").agg(*[c.alias(f"_{name}") for name, c in ends.items()])
+    before = "OVER (PARTITION BY instrument ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    each = last.select("instrument", "part", *[F.expr(f"last(_{name}, true) {before}").alias(name) for name in ends])
+    return x.join(each, ["instrument", "part"])
 
-    An instrument is read in parts of about `size` records. Which run a part begins in, and the last volume known before it,
-    come from one row for each part.
+
+def in_order_findings(rows: DataFrame, tick: bool = True, sequence: bool = True, volumes: bool = True, size: int = 10_000) -> DataFrame:
+    """The rules on order: sequence_findings() and volume_findings(), or one of them, over rows that are numbered once.
+
+    An instrument is read in parts of about `size` records. What a part needs of those before it (the last time and the last known
+    volume, and the run that it belongs to) comes from one row for each of them. Repeats are found by timestamp.
     """
-    each = ordered.numbered(rows.select("instrument", "sequence_number", F.to_date("timestamp").alias("day"), "volume"), "instrument", "sequence_number", F.floor(F.col("sequence_number") / 100_000))
-    part, key = "PARTITION BY instrument, part ORDER BY k", ["instrument", "part"]
-    front = F.expr(f"lag(struct(day)) OVER ({part})")
-    seen = ordered.parts(each, 1, size).withColumn("front", front).where("own")
-    begun = seen.withColumn("begun", F.expr(f"max(CASE WHEN front IS NULL OR NOT day <=> front.day THEN k END) OVER ({part})"))
+    part = "PARTITION BY instrument, part ORDER BY k"
+    front = f"OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    begins = F.expr(f"CASE WHEN lag(k) OVER ({part}) IS NULL OR NOT day <=> lag(day) OVER ({part}) THEN k END")
+    each = _numbered(rows, size).withColumns({"begins": begins, "last_time": F.expr(f"last(timestamp, true) {front}")})
+    each = _carried(each, {"earlier_time": F.max_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("k"))), "earlier_run": F.max("begins")})
+    run = F.coalesce(F.expr(f"max(begins) OVER ({part})"), F.col("earlier_run"))
+    each = each.where("own").withColumn("run", run).withColumn("known", F.when(F.col("volume").isNotNull(), F.struct("run", "volume")))
+    if volumes:
+        inside = each.withColumn("inside", F.expr(f"last(known, true) {front}"))
+        of = F.coalesce("inside", "earlier")
+        each = _carried(inside, {"earlier": F.max_by("known", F.when(F.col("known").isNotNull(), F.col("k")))}).withColumn("fell", (of["run"] == F.col("run")) & (F.col("volume") < of["volume"]))
+    codes = [F.when(F.col("fell"), "volume_regression")] if volumes else []
+    if sequence:
+        # a record without a time is alone in its group
+        each = each.withColumn("again", F.expr("row_number() OVER (PARTITION BY instrument, timestamp, CASE WHEN timestamp IS NULL THEN k END ORDER BY sequence_number)"))
+        time = F.coalesce("last_time", "earlier_time")
+        late = F.col("timestamp") < time if tick else F.col("timestamp") <= time
+        codes.append(F.when(F.col("timestamp").isNotNull(), F.when(F.col("again") > 1, "duplicate_timestamp").when(late, "out_of_order")))
+    found = each.select("instrument", "sequence_number", F.explode(F.array_compact(F.array(*codes))).alias("code"))
+    return found.withColumn("severity", severity(F.col("code"), tick))
+
+
+def sequence_findings(rows: DataFrame, tick: bool = False, size: int = 10_000) -> DataFrame:
+    """Repeated timestamps, and timestamps before that of the record in front (for bars: or at it); rows arrive in the order of
+    sequence_number. Both are errors of bars and warnings of ticks. A record without a time is passed over."""
+    return in_order_findings(rows, tick, volumes=False, size=size)
 
-    def carried(x: DataFrame, last: Column, name: str) -> DataFrame:
-        """x with what stands last in the parts before its own."""
-        ends = x.groupBy(*key).agg(last.alias("last")).withColumn(name, F.expr("last(last, true) OVER (PARTITION BY instrument ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-        return x.join(ends.drop("last"), key)
 
-    runs = carried(begun, F.max("begun"), "before").withColumn("run", F.coalesce("begun", "before"))
-    known = runs.withColumn("known", F.when(F.col("volume").isNotNull(), F.struct("run", "volume")))
-    inside = known.withColumn("inside", F.expr(f"last(known, true) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-    last = carried(inside, F.max_by("known", F.when(F.col("known").isNotNull(), F.col("k"))), "earlier").withColumn("of", F.coalesce("inside", "earlier"))
-    return last.where("of.run = run AND volume < of.volume").select("instrument", "sequence_number", F.lit("volume_regression").alias("code"), F.lit("WARNING").alias("severity"))
+def volume_findings(rows: DataFrame, size: int = 10_000) -> DataFrame:
+    """Cumulative volumes below the last known one of the same run of a day (records that follow each other and have one day, or
+    none). Null volumes are passed over."""
+    return in_order_findings(rows, sequence=False, size=size)
 
 
 def session_grid(days: DataFrame, minutes: int, trading: Calendar = calendar.trading) -> DataFrame:
@@ -146,21 +176,21 @@ def report(findings: DataFrame, rows: DataFrame, due: DataFrame | None = None) -
     an instrument without any. Findings on instruments without rows don't count."""
     counts = findings.groupBy("instrument").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"), *[F.count_if(F.col("code").isin(*codes)).alias(k) for k, codes in GROUPS.items()])
     sizes = rows.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-    out = sizes.join(counts, "instrument", "left").fillna(0)
+    out = sizes.join(counts, "instrument", "left").fillna(0, ["errors", "warnings", *GROUPS])
     if due is not None:
-        there = F.round(100.0 * (F.col("expected") - F.col("gaps")) / F.col("expected"), 2)
+        there = rounded(100.0 * (F.col("expected") - F.col("gaps")) / F.col("expected"), 2)
         out = out.join(due.groupBy("instrument").agg(F.count(F.lit(1)).alias("expected")), "instrument", "left").withColumn("completeness_pct", there)
     return out.withColumn("status", F.when(F.col("errors") > 0, "FAIL").when(F.col("warnings") > 0, "WARNING").otherwise("PASS"))
 
 
-#: The order of a report's sections; others follow by name.
+#: The order of a report's sections; others follow as they are given.
 SECTIONS = ("tick", "ohlcv_1m", "ohlcv_5m")
 
 
 def sections(reports: dict[str, DataFrame]) -> DataFrame:
     """Reports by data set as rows of one table, with position (1 for the first of an instrument's sections) and overall, the worst
     status of an instrument's sections. Data sets that weren't asked for have no row."""
-    names = [x for x in SECTIONS if x in reports] + sorted(set(reports) - set(SECTIONS))
+    names = [x for x in SECTIONS if x in reports] + [x for x in reports if x not in SECTIONS]
     parts = [reports[x].withColumns({"dataset": F.lit(x), "_place": F.lit(k)}) for k, x in enumerate(names)]
     out = parts[0]
     for p in parts[1:]:

@@ -18,47 +18,65 @@ BARS, DAYS, RATE = 75, 252, 0.065
 ANNUAL = math.sqrt(BARS * DAYS)
 
 
-def estimators(n: int, by: str = "instrument", order: str = "timestamp") -> dict[str, Column]:
-    """Annualised volatility of the last n bars by four estimators; null until there are n. One window for all."""
-    frame = f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    full = F.expr(f"count(1) {frame}") >= n
+#: The sums that each estimator needs: terms of a bar, and how many rows fewer than n they cover.
+_TERMS = {
+    "_r": ("ret", 1), "_rr": ("ret * ret", 1), "_hl": ("ln(high / low) * ln(high / low)", 0), "_co": ("ln(close / open) * ln(close / open)", 0),
+    "_rs": ("ln(high / open) * (ln(high / open) - ln(close / open)) + ln(low / open) * (ln(low / open) - ln(close / open))", 0),
+}
 
-    def mean(x: str) -> Column:
-        return F.expr(f"sum({x}) {frame}") / n
+
+def estimated(bars: DataFrame, n: int, by: str = "instrument", order: str = "k", full: str = "k") -> DataFrame:
+    """bars (with ret, the log of close over the one before) with annualised volatility of the last n of their window by four
+    estimators; null where `full`, a bar's place among its instrument's, is below n. Sums are ordered.rolling(), so the cost of a
+    bar doesn't grow with n."""
+    sums = ordered.rolling(bars, by, order, {name: (x, n - less) for name, (x, less) in _TERMS.items()})
+    there, m = F.col(full) >= n, max(n - 1, 1)
 
     def annual(x: Column) -> Column:
-        return F.when(full & (x >= 0), F.sqrt(x) * ANNUAL)
-
-    r = f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {n - 2} PRECEDING AND CURRENT ROW)"
-    return {
-        "close_close": F.when(full, F.expr(f"stddev_pop(ret) {r}") * ANNUAL),
-        "parkinson": annual(mean("ln(high / low) * ln(high / low)") / (4 * math.log(2))),
-        "garman_klass": annual(mean(f"0.5D * ln(high / low) * ln(high / low) - {2 * math.log(2) - 1!r}D * ln(close / open) * ln(close / open)")),
-        "rogers_satchell": annual(mean("ln(high / open) * (ln(high / open) - ln(close / open)) + ln(low / open) * (ln(low / open) - ln(close / open))")),
+        return F.when(there & (x >= 0), F.sqrt(x) * ANNUAL)
+
+    # one return has no spread; of several the squares' mean and the mean's square are exact to 1e-16 of them
+    spread = F.greatest(F.col("_rr") / m - (F.col("_r") / m) * (F.col("_r") / m), F.lit(0.0)) if m > 1 else F.lit(0.0)
+    of = {
+        "close_close": F.when(there & F.lit(n > 1), F.sqrt(spread) * ANNUAL),
+        "parkinson": annual(F.col("_hl") / n / (4 * math.log(2))),
+        "garman_klass": annual((0.5 * F.col("_hl") - (2 * math.log(2) - 1) * F.col("_co")) / n),
+        "rogers_satchell": annual(F.col("_rs") / n),
     }
+    return sums.withColumns(of).drop(*_TERMS)
+
+
+#: The estimators' names.
+METHODS = ("close_close", "parkinson", "garman_klass", "rogers_satchell")
+
+
+def placed(bars: DataFrame, n: int, by: str = "instrument", size: int = 10_000) -> DataFrame:
+    """bars in parts of about `size` with the n bars in front (ordered.parts), with ret and _key, the window of a part. Bars whose
+    prices aren't all positive and finite are left out."""
+    prices = ("open", "high", "low", "close")
+    good = bars.where("timestamp IS NOT NULL").where(" AND ".join(f"{c} > 0 AND {c} < DOUBLE('Infinity')" for c in prices))
+    each = ordered.parts(ordered.numbered(good, by, "timestamp", F.to_date("timestamp")), n, size).withColumn("_key", F.struct(by, "part"))
+    return each.withColumn("ret", F.expr("ln(close / lag(close) OVER (PARTITION BY _key ORDER BY k))"))
 
 
 def realised(bars: DataFrame, n: int, size: int = 10_000) -> DataFrame:
-    """bars with the four estimators. Bars whose prices aren't all positive are left out.
+    """bars with the four estimators. Bars whose prices aren't all positive and finite are left out.
 
     The windows run over parts of about `size` bars, each with the n bars in front, so an instrument's bars needn't fit a task.
     """
-    good = bars.where("timestamp IS NOT NULL AND open > 0 AND high > 0 AND low > 0 AND close > 0").select("instrument", "timestamp", "open", "high", "low", "close")
-    each = ordered.parts(ordered.numbered(good, "instrument", "timestamp", F.to_date("timestamp")), n, size).withColumn("_key", F.struct("instrument", "part"))
-    step = each.withColumn("ret", F.expr("ln(close / lag(close) OVER (PARTITION BY _key ORDER BY k))"))
-    return step.select("instrument", "timestamp", "own", *[F.round(x, 6).alias(c) for c, x in estimators(n, by="_key", order="k").items()]).where("own").drop("own")
+    each = placed(bars.select("instrument", "timestamp", "open", "high", "low", "close"), n, size=size)
+    return estimated(each, n, by="_key").where("own").select("instrument", "timestamp", *[F.round(c, 6).alias(c) for c in METHODS])
 
 
 def regime(vol: Column) -> Column:
     return F.when(vol < 0.10, "Low").when(vol < 0.15, "Normal").when(vol < 0.25, "Elevated").when(vol.isNotNull(), "High")
 
 
-def by_name(name: str, n: int, **keys: str) -> Column:
-    """One of estimators(); ValueError for another name."""
-    known = estimators(n, **keys)
-    if name not in known:
-        raise ValueError(f"no estimator is called {name!r}; there are {', '.join(known)}")
-    return known[name]
+def by_name(name: str) -> Column:
+    """One of estimated()'s columns; ValueError for another name."""
+    if name not in METHODS:
+        raise ValueError(f"no estimator is called {name!r}; there are {', '.join(METHODS)}")
+    return F.col(name)
 
 
 #: Steps of the error function's values, to 6 on both sides, beyond which it is 1 but for 1e-16.

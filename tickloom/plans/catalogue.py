@@ -134,7 +134,7 @@ def download_status(spark, sf_dir):
     return tables.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("o_custkey").alias("instruments"), F.max("o_orderdate").alias("last_run"))
 
 
-_ANALYTICS = TICKS + ", b AS (SELECT *, quantity * 100 AS buy, quantity % 7 * 150 AS sell, (ltp + 0.05::DOUBLE) - (ltp - 0.05::DOUBLE) AS spread FROM ticks), a AS (SELECT instrument, time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, arg_max(ltp, sequence_number) AS ltp, round_even(avg(spread), 2) AS avg_spread, round_even(max(spread), 2) AS max_spread, round_even(avg(CASE WHEN buy + sell > 0 THEN (buy - sell) / (buy + sell) ELSE 0 END), 4) AS imbalance, CAST(trunc(avg(buy)) AS BIGINT) AS buy_depth, CAST(trunc(avg(sell)) AS BIGINT) AS sell_depth, CAST(sum(buy - sell) AS BIGINT) AS delta, count(*) AS n FROM b GROUP BY 1, 2)"
+_ANALYTICS = TICKS + ", b AS (SELECT *, quantity * 100 AS buy, quantity % 7 * 150 AS sell, (ltp + 0.05::DOUBLE) - (ltp - 0.05::DOUBLE) AS spread FROM ticks), a AS (SELECT instrument, time_bucket(INTERVAL '1 hour', timestamp) AS timestamp, arg_max(ltp, sequence_number) AS ltp, CAST(printf('%.2f', avg(spread)) AS DOUBLE) AS avg_spread, CAST(printf('%.1f', max(spread)) AS DOUBLE) AS max_spread, CAST(printf('%.4f', avg(CASE WHEN buy + sell > 0 THEN (buy - sell) / (buy + sell) ELSE 0 END)) AS DOUBLE) AS imbalance, CAST(trunc(avg(buy)) AS BIGINT) AS buy_depth, CAST(trunc(avg(sell)) AS BIGINT) AS sell_depth, CAST(sum(buy - sell) AS BIGINT) AS delta, count(*) AS n FROM b GROUP BY 1, 2)"
 
 
 @query(f"WITH {_ANALYTICS} SELECT *, CAST(sum(delta) OVER (PARTITION BY instrument, CAST(timestamp AS DATE) ORDER BY timestamp) AS BIGINT) AS cum_delta FROM a")
@@ -150,7 +150,7 @@ def wall_counts(spark, sf_dir):
     return bars.wall_counts(books(spark, sf_dir), "1 hour")
 
 
-_WALLS = "first AS (SELECT instrument, date_trunc('minute', timestamp) AS minute, side, floor(price * 10 + 0.5) / 10 AS price, size AS quantity, ltp, timestamp, sequence_number, place FROM levels WHERE size >= 5000 QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, floor(price * 10 + 0.5) / 10 ORDER BY sequence_number, place) = 1)"
+_WALLS = "first AS (SELECT instrument, date_trunc('minute', timestamp) AS minute, side, CAST(printf('%.1f', price) AS DOUBLE) AS price, size AS quantity, ltp, timestamp, sequence_number, place FROM levels WHERE size >= 5000 QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, CAST(printf('%.1f', price) AS DOUBLE) ORDER BY sequence_number, place) = 1)"
 
 
 @query(f"WITH {BOOKS}, {_WALLS} SELECT instrument, minute, side, price, quantity, ltp, timestamp FROM first")
@@ -163,12 +163,12 @@ def wall_events_top50(spark, sf_dir):
     return bars.walls(books(spark, sf_dir)).orderBy(F.desc("quantity"), "timestamp", "side", "price").limit(50)
 
 
-@query(f"WITH {BOOKS}, f AS (SELECT instrument, sequence_number, min(ltp) OVER w AS lo, max(ltp) OVER w AS hi FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY timestamp RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL 5 MINUTES FOLLOWING)), h AS (SELECT l.*, CASE WHEN side = 'BUY' THEN lo ELSE hi END AS reached FROM levels l JOIN f USING (instrument, sequence_number) WHERE size >= 3000 AND price > 0 AND ((side = 'BUY' AND lo < price) OR (side = 'SELL' AND hi > price))) SELECT instrument, date_trunc('minute', timestamp) AS minute, side, floor(price * 10 + 0.5) / 10 AS wall, floor(ltp * 10 + 0.5) / 10 AS price, size AS quantity, floor((reached - price) * 10 + 0.5) / 10 AS move FROM h QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, floor(price * 10 + 0.5) / 10 ORDER BY sequence_number, place) = 1")
+@query(f"WITH {BOOKS}, f AS (SELECT instrument, sequence_number, min(ltp) OVER w AS lo, max(ltp) OVER w AS hi FROM ticks WINDOW w AS (PARTITION BY instrument ORDER BY timestamp RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL 5 MINUTES FOLLOWING)), h AS (SELECT l.*, CASE WHEN side = 'BUY' THEN lo ELSE hi END AS reached FROM levels l JOIN f USING (instrument, sequence_number) WHERE size >= 3000 AND price > 0 AND ((side = 'BUY' AND lo < price) OR (side = 'SELL' AND hi > price))) SELECT instrument, date_trunc('minute', timestamp) AS minute, side, CAST(printf('%.1f', price) AS DOUBLE) AS wall, CAST(printf('%.1f', ltp) AS DOUBLE) AS price, size AS quantity, CAST(printf('%.1f', (reached - price)) AS DOUBLE) AS move FROM h QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, CAST(printf('%.1f', price) AS DOUBLE) ORDER BY sequence_number, place) = 1")
 def absorption_events(spark, sf_dir):
     return bars.absorptions(books(spark, sf_dir)).select("instrument", "minute", "side", "wall", "price", "quantity", "move")
 
 
-@query(f"WITH {_ANALYTICS}{BOOKS.removeprefix(TICKS)}{_COUNTS}, s AS (SELECT a.instrument, round_even(avg(CASE WHEN avg_spread > 0 THEN avg_spread END), 2) AS avg_spread, max(max_spread) AS max_spread, round_even(avg(imbalance), 4) AS imbalance, CAST(sum(coalesce(walls_buy, 0)) AS BIGINT) AS walls_buy, CAST(sum(coalesce(walls_sell, 0)) AS BIGINT) AS walls_sell FROM a LEFT JOIN w ON a.instrument = w.instrument AND a.timestamp = w.timestamp GROUP BY 1) SELECT *, CASE WHEN imbalance > 0.02 THEN 'BUY' WHEN imbalance < -0.02 THEN 'SELL' ELSE 'NEUTRAL' END AS bias FROM s")
+@query(f"WITH {_ANALYTICS}{BOOKS.removeprefix(TICKS)}{_COUNTS}, s AS (SELECT a.instrument, CAST(printf('%.2f', avg(CASE WHEN avg_spread > 0 THEN avg_spread END)) AS DOUBLE) AS avg_spread, max(max_spread) AS max_spread, CAST(printf('%.4f', avg(imbalance)) AS DOUBLE) AS imbalance, CAST(sum(coalesce(walls_buy, 0)) AS BIGINT) AS walls_buy, CAST(sum(coalesce(walls_sell, 0)) AS BIGINT) AS walls_sell FROM a LEFT JOIN w ON a.instrument = w.instrument AND a.timestamp = w.timestamp GROUP BY 1) SELECT *, CASE WHEN imbalance > 0.02 THEN 'BUY' WHEN imbalance < -0.02 THEN 'SELL' ELSE 'NEUTRAL' END AS bias FROM s")
 def dashboard_summary(spark, sf_dir):
     b = books(spark, sf_dir)
     return bars.strip(bars.analytics(b, "1 hour"), bars.wall_counts(b, "1 hour"))

@@ -46,8 +46,8 @@ _RESTARTED_LEVELS = RESTARTED + catalogue.BOOKS.removeprefix(catalogue.TICKS)
 
 
 @query(
-    f"""WITH {_RESTARTED_LEVELS} SELECT instrument, date_trunc('minute', timestamp) AS minute, side, floor(price * 10 + 0.5) / 10 AS price, size AS quantity, ltp, timestamp FROM levels WHERE size >= 5000
-QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, floor(price * 10 + 0.5) / 10 ORDER BY timestamp, sequence_number NULLS FIRST, place) = 1"""
+    f"""WITH {_RESTARTED_LEVELS} SELECT instrument, date_trunc('minute', timestamp) AS minute, side, CAST(printf('%.1f', price) AS DOUBLE) AS price, size AS quantity, ltp, timestamp FROM levels WHERE size >= 5000
+QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, CAST(printf('%.1f', price) AS DOUBLE) ORDER BY timestamp, sequence_number NULLS FIRST, place) = 1"""
 )
 def walls_by_time(spark, sf_dir):
     return bars.walls(tables.books(restarted(spark, sf_dir)))
@@ -169,7 +169,7 @@ _BAR_GAPS = f"""{catalogue.FAULTY}, {catalogue.ROW_FINDINGS}, b AS (SELECT instr
 missing AS (SELECT instrument, 'unexpected_gap' AS code, 'WARNING' AS severity FROM g WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.instrument = g.instrument AND b.timestamp = g.timestamp)),
 every AS (SELECT instrument, code, severity FROM findings UNION ALL SELECT * FROM missing), ec AS ({_counters('every')}),
 due AS (SELECT instrument, count(*) AS expected FROM g GROUP BY 1), rows_ AS (SELECT instrument, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM bad GROUP BY 1),
-report AS (SELECT instrument, n, first, last, {_NAMES}, expected, round(100.0::DOUBLE * (expected - coalesce(gaps, 0)) / expected, 2) AS completeness_pct, {_STATUS} FROM rows_ LEFT JOIN ec USING (instrument) LEFT JOIN due USING (instrument))"""
+report AS (SELECT instrument, n, first, last, {_NAMES}, expected, CAST(printf('%.2f', 100.0::DOUBLE * (expected - coalesce(gaps, 0)) / expected) AS DOUBLE) AS completeness_pct, {_STATUS} FROM rows_ LEFT JOIN ec USING (instrument) LEFT JOIN due USING (instrument))"""
 
 
 def bar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +207,9 @@ def volatility_by_day(spark, sf_dir):
 
 
 _ABSORBED = catalogue.SQL["absorption_events"].removeprefix("WITH ")
-_HIT = _ABSORBED[: _ABSORBED.index(" SELECT instrument, date_trunc('minute', timestamp) AS minute, side, floor(price * 10 + 0.5) / 10 AS wall")]
-_FIRSTS = f"""{_HIT}, a AS (SELECT instrument, date_trunc('minute', timestamp) AS minute, side, floor(price * 10 + 0.5) / 10 AS wall, timestamp, sequence_number, place FROM h
-QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, floor(price * 10 + 0.5) / 10 ORDER BY timestamp, sequence_number, place) = 1)"""
+_HIT = _ABSORBED[: _ABSORBED.index(" SELECT instrument, date_trunc('minute', timestamp) AS minute, side, CAST(printf('%.1f', price) AS DOUBLE) AS wall")]
+_FIRSTS = f"""{_HIT}, a AS (SELECT instrument, date_trunc('minute', timestamp) AS minute, side, CAST(printf('%.1f', price) AS DOUBLE) AS wall, timestamp, sequence_number, place FROM h
+QUALIFY row_number() OVER (PARTITION BY instrument, date_trunc('minute', timestamp), side, CAST(printf('%.1f', price) AS DOUBLE) ORDER BY timestamp, sequence_number, place) = 1)"""
 
 
 @query(f"WITH {_FIRSTS} SELECT strftime(minute, '%H:%M') AS label, instrument, side, wall FROM a ORDER BY timestamp, sequence_number, side, place LIMIT 30")
@@ -225,7 +225,7 @@ _STRIP_S = _STRIP.removeprefix("WITH ")[: _STRIP.removeprefix("WITH ").index(" S
 
 @query(
     f"""WITH {_STRIP_S}, f2 AS (SELECT instrument, sequence_number, min(ltp) OVER q AS lo, max(ltp) OVER q AS hi FROM ticks WINDOW q AS (PARTITION BY instrument ORDER BY timestamp RANGE BETWEEN INTERVAL 1 MICROSECOND FOLLOWING AND INTERVAL 5 MINUTES FOLLOWING)),
-k AS (SELECT instrument, count(*) AS n FROM (SELECT DISTINCT instrument, date_trunc('minute', timestamp) AS minute, side, floor(price * 10 + 0.5) / 10 AS wall FROM levels l JOIN f2 USING (instrument, sequence_number) WHERE size >= 3000 AND price > 0 AND ((side = 'BUY' AND lo < price) OR (side = 'SELL' AND hi > price))) GROUP BY 1)
+k AS (SELECT instrument, count(*) AS n FROM (SELECT DISTINCT instrument, date_trunc('minute', timestamp) AS minute, side, CAST(printf('%.1f', price) AS DOUBLE) AS wall FROM levels l JOIN f2 USING (instrument, sequence_number) WHERE size >= 3000 AND price > 0 AND ((side = 'BUY' AND lo < price) OR (side = 'SELL' AND hi > price))) GROUP BY 1)
 SELECT s.*, CASE WHEN imbalance > 0.02 THEN 'BUY' WHEN imbalance < -0.02 THEN 'SELL' ELSE 'NEUTRAL' END AS bias, coalesce(k.n, 0) AS absorptions FROM s LEFT JOIN k USING (instrument)"""
 )
 def dashboard_strip(spark, sf_dir):

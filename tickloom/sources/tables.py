@@ -69,3 +69,25 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = "file:///tmp/checkpoints/tickloom"
     return f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}"
+
+
+def replayed(spark: SparkSession, rows: DataFrame, part: Column, parts: int) -> DataFrame:
+    """rows as a stream that comes in `parts` batches, those of part 0 first: for queries that show what a stream gives. Each part is one
+    file, as a source tells files apart by their times alone."""
+    folder = shared_folder(spark)
+    rows.withColumn("_part", part).write.partitionBy("_part").parquet(f"{folder}/parts")
+    whole = spark.read.parquet(f"{folder}/parts")
+    for k in range(parts):
+        whole.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/came")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/came")
+
+
+def twentieths(ticks: DataFrame) -> DataFrame:
+    """books() of ticks whose prices are multiples of 0.05, as an exchange's are; each the double nearest to its multiple."""
+    n = F.round(F.col("ltp") * 20)
+
+    def side(sign: int) -> Column:
+        quantity = lambda i: F.col("quantity") * ((i + 1) if sign < 0 else (5 - i)) * 20
+        return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(((n + sign * (i + 1)) / 20).alias("price"), quantity(i).alias("quantity"), (i + 1).alias("orders")))
+
+    return ticks.select(*[c for c in ticks.columns if c != "ltp"], (n / 20).alias("ltp"), side(-1).alias("best_5_buy"), side(1).alias("best_5_sell"))
