@@ -3,7 +3,7 @@
 import pytest
 
 from tests.compare import SMALL, difference
-from tickloom.plans import directory, records, registry, streams  # noqa: F401 - importing them registers their queries
+from tickloom.plans import directory, records, registry, reports, streams  # noqa: F401 - importing them registers their queries
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))

@@ -36,6 +36,11 @@ def days(spark: SparkSession, first: str, last: str, holidays: Iterable[str] = H
     return each.select("day", trading(F.col("day"), holidays, special).alias("is_trading"), F.year("day").isin(*years).alias("covered") if years else F.lit(False).alias("covered"))
 
 
+def uncovered(first: datetime, last: datetime, holidays: Iterable[str] = HOLIDAYS) -> list[int]:
+    """The years from first to last that the list of holidays doesn't have."""
+    return sorted({*range(first.year, last.year + 1)} - {int(x[:4]) for x in holidays})
+
+
 def due_slot(ts: Column, settle: int = 10) -> Column:
     """The five-minute slot whose bar may be fetched at ts, or null: trading days from 09:20 to 15:30, `settle` seconds into the slot's minute."""
     minute = F.hour(ts) * 60 + F.minute(ts)
