@@ -4,6 +4,8 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from tests.compare import SMALL
 from tests.test_frames import plain_order
 from tickloom.operators import validation
 from tickloom.plans import records, streams
-from tickloom.sources import tables
-from tickloom.streaming import ordered, sinks
+from tickloom.sources import replay, tables
+from tickloom.streaming import feed, ordered, sinks
 
 DAY = datetime(2026, 9, 3, 9, 15)
 TICK = "instrument string, sequence_number bigint, timestamp timestamp_ntz, ltp double, high double, low double, volume bigint, arrived timestamp"
@@ -111,3 +113,45 @@ def test_the_stream_comes_in_order_and_whole(spark):
     came = tables.replayed(spark, rows, streams._tenth(rows), streams.BATCHES)
     sinks.run_available(came, folder, lambda b, n: seen.append((n, *b.agg(F.min("sequence_number"), F.max("sequence_number"), F.count("*")).first())))
     assert [n for n, *_ in seen] == list(range(10)) and sum(c for *_, c in seen) == rows.count() and all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
+
+
+def test_recorded_packets_come_once_over_restarts(spark, tmp_path):
+    """Files of several row groups; some come after the query ended, one after a failure between write and commit."""
+    came, out = tmp_path / "packets", f"file://{tmp_path}/out"
+    came.mkdir()
+
+    def record(name, numbers):
+        lines = [f'{{"token":"t","sequence_number":{n},"last_traded_price":"{100 * n}","exchange_timestamp":"{1_700_000_000_000 + n}"}}' for n in numbers]
+        pq.write_table(pa.table({"value": lines}), came / name, row_group_size=3)
+
+    def go(store):
+        tokens = spark.createDataFrame([("t", "T")], "token string, instrument string")
+        schema = spark.createDataFrame([], "value string").schema
+        ticks = feed.parsed(feed.packets(replay.stream(spark, f"file://{came}", schema)), tokens).select("instrument", "sequence_number", "ltp")
+        sinks.run_available(ticks, out, store)
+        return sorted(r.sequence_number for r in sinks.stored(spark, out, ticks.schema).collect())
+
+    store, failed = sinks.batches_at(out), []
+
+    def failing(batch, n):
+        store(batch, n)
+        if not failed:
+            failed.append(n)
+            raise RuntimeError("before the commit")
+
+    record("0001.parquet", range(1, 8))
+    record("_half.parquet", range(50, 60))
+    assert go(store) == list(range(1, 8))
+    assert go(store) == list(range(1, 8))
+    record("0002.parquet", range(8, 10))
+    record("0003.parquet", range(10, 20))
+    with pytest.raises(Exception, match="before the commit"):
+        go(failing)
+    assert failed == [1] and go(failing) == list(range(1, 20))
+
+
+def test_a_source_without_files_gives_nothing(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    frame = replay.stream(spark, f"file://{tmp_path}/none", spark.createDataFrame([], "value string").schema)
+    sinks.run_available(frame, out, sinks.batches_at(out))
+    assert sinks.stored(spark, out, frame.schema).isEmpty()

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars
-from ..sources import tables
-from ..streaming import ordered, sinks, walls
+from ..sources import replay, tables
+from ..streaming import feed, ordered, sinks, walls
 from . import catalogue, records
 from .registry import SQL, query
 
@@ -119,3 +119,13 @@ CASE WHEN s.side = 'BUY' THEN quantity * (i + 1) * 20 ELSE quantity * (5 - i) *
 def walls_of_twentieths(spark, sf_dir):
     """Walls at prices that are multiples of 0.05, half of which end in 5: their key is Python's round() to one decimal."""
     return bars.walls(tables.twentieths(tables.ticks(spark, sf_dir)))
+
+
+@query(SQL["feed_ticks"])
+def stream_feed_ticks(spark, sf_dir):
+    """The feed's packets, recorded in a folder and replayed as a stream, as ticks."""
+    lines, path = catalogue.feed_lines(spark, sf_dir), f"{tables.shared_folder(spark)}/packets"
+    lines.repartition(4).write.parquet(path)
+    out = feed.parsed(feed.packets(replay.stream(spark, path, lines.schema)), catalogue.feed_tokens(spark))
+    best = F.get("best_5_buy", F.lit(0))["orders"]
+    return _all(spark, out.select("instrument", "timestamp", "sequence_number", "ltp", "time_source", F.size("best_5_buy").cast("bigint").alias("levels"), best.alias("orders")))
