@@ -31,8 +31,17 @@ def trading(day: Column, holidays: Iterable[str] = HOLIDAYS, special: Iterable[s
 
 def days(spark: SparkSession, first: str, last: str, holidays: Iterable[str] = HOLIDAYS, special: Iterable[str] = SPECIAL) -> DataFrame:
     """day, is_trading, covered for each day from first to last; covered says whether the lists have that year."""
+    return _told(spark.range(1).select(F.lit(first).cast("date").alias("first"), F.lit(last).cast("date").alias("last")), holidays, special)
+
+
+def days_of(rows: DataFrame, holidays: Iterable[str] = HOLIDAYS, special: Iterable[str] = SPECIAL) -> DataFrame:
+    """days() from the first to the last day of rows' timestamps; none if they have none."""
+    return _told(rows.agg(F.to_date(F.min("timestamp")).alias("first"), F.to_date(F.max("timestamp")).alias("last")), holidays, special)
+
+
+def _told(spans: DataFrame, holidays: Iterable[str], special: Iterable[str]) -> DataFrame:
     years = {int(x[:4]) for x in (*holidays, *special)}
-    each = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    each = spans.select(F.explode(F.sequence("first", "last")).alias("day"))
     return each.select("day", trading(F.col("day"), holidays, special).alias("is_trading"), F.year("day").isin(*years).alias("covered") if years else F.lit(False).alias("covered"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import validation
@@ -135,6 +135,19 @@ def findings(raw: DataFrame, contract: Contract) -> DataFrame:
     return both.select(*OWN, F.explode(broken).alias("x")).select(*OWN, "x.field", "x.code").withColumn("severity", validation.severity(F.col("code"), contract.minutes is None))
 
 
+def described(spark: SparkSession, contract: Contract) -> DataFrame:
+    """field, kind, required and price (whether it must be positive) of a contract's fields."""
+    rows = [(f.name, f.kind, f.name in contract.required(), f.name in contract.prices()) for f in contract.fields]
+    return spark.createDataFrame(rows, "field string, kind string, required boolean, price boolean")
+
+
+def by_field(found: DataFrame, contract: Contract) -> DataFrame:
+    """findings() by field and code: n, and the field's kind, whether it's required and whether it's a price; null for fields that the
+    contract doesn't have."""
+    counts = found.groupBy("field", "code").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(described(found.sparkSession, contract)), "field", "left")
+
+
 def candles(raw: DataFrame, column: str = "candle") -> DataFrame:
     """Positional records [time, open, high, low, close, volume] of text as named ones; cells that aren't there are null."""
     names = ("timestamp", "open", "high", "low", "close", "volume")

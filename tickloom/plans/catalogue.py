@@ -209,9 +209,10 @@ def strike_chain(spark, sf_dir):
     return rows.groupBy("strike").agg(F.max(F.when(F.col("kind") == "CE", F.col("token"))).alias("ce"), F.max(F.when(F.col("kind") == "PE", F.col("token"))).alias("pe"))
 
 
-@query(f"SELECT day + to_minutes({OPEN_ // 60} + k * 60) AS timestamp FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) s(day), range(6) r(k) WHERE isodow(day) < 6")
+@query(f"SELECT d + to_minutes({OPEN_ // 60} + k * 60) AS timestamp FROM (SELECT unnest(generate_series(CAST(CAST(min(ts) AS DATE) AS TIMESTAMP), max(ts), INTERVAL 1 DAY)) AS d FROM events WHERE value > 0), range(6) r(k) WHERE isodow(d) < 6")
 def session_grid(spark, sf_dir):
-    return validation.session_grid(spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2024-01-31')) AS day"), 60)
+    """The starts of the bars of the sessions from the first tick to the last."""
+    return validation.session_grid(calendar.days_of(tables.ticks(spark, sf_dir)), 60)
 
 
 @query(f"WITH {FAULTY}, {ROW_FINDINGS} SELECT instrument, sequence_number, code, severity FROM findings")
@@ -270,9 +271,20 @@ def breakout_study(spark, sf_dir):
 _HOLIDAYS, _SPECIAL = (", ".join(f"DATE '{x}'" for x in days) for days in (calendar.HOLIDAYS, calendar.SPECIAL))
 
 
-@query(f"SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS day, CAST(d AS DATE) IN ({_SPECIAL}) OR (isodow(d) < 6 AND CAST(d AS DATE) NOT IN ({_HOLIDAYS})) AS is_trading, year(d) = 2026 AS covered FROM generate_series(TIMESTAMP '2025-12-01', TIMESTAMP '2027-01-31', INTERVAL 1 DAY) s(d)")
+def spread(spark: SparkSession, sf_dir: str, *days: int) -> DataFrame:
+    """The ticks moved by each of these numbers of days."""
+    return tables.ticks(spark, sf_dir).withColumn("_by", F.explode(F.array(*map(F.lit, days)))).withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(F.col("_by"))).drop("_by")
+
+
+def span_sql(first: int, last: int) -> str:
+    """The days from the first tick's, moved by `first`, to the last one's, moved by `last`."""
+    return f"(SELECT unnest(generate_series(CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) + INTERVAL {first} DAY, CAST(CAST(max(ts) AS DATE) AS TIMESTAMP) + INTERVAL {last} DAY, INTERVAL 1 DAY)) AS d FROM events WHERE value > 0)"
+
+
+@query(f"SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS day, CAST(d AS DATE) IN ({_SPECIAL}) OR (isodow(d) < 6 AND CAST(d AS DATE) NOT IN ({_HOLIDAYS})) AS is_trading, year(d) = 2026 AS covered FROM {span_sql(700, 1000)}")
 def trading_calendar(spark, sf_dir):
-    return calendar.days(spark, "2025-12-01", "2027-01-31").withColumn("day", F.col("day").cast("string"))
+    """The days from the first tick to the last, and which of them are known to be trading days."""
+    return calendar.days_of(spread(spark, sf_dir, 700, 1000)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("WITH s AS (SELECT 'tick_downloader' AS service, max(ts) AS last_seen FROM events UNION ALL SELECT 'ohlcv_scheduler', max(o_orderdate) FROM orders UNION ALL SELECT 'instrument_sync_scheduler', NULL) SELECT service, last_seen, round(date_sub('second', last_seen, TIMESTAMP '2024-01-31 12:00:00') / 60, 1) AS minutes_ago, CASE WHEN last_seen IS NULL THEN 'unknown' WHEN date_sub('second', last_seen, TIMESTAMP '2024-01-31 12:00:00') / 60 > CASE service WHEN 'tick_downloader' THEN 10 ELSE 15 END THEN 'stale' ELSE 'ok' END AS status FROM s")

@@ -93,11 +93,12 @@ def session_ticks(spark, sf_dir):
 
 
 @query(
-    f"""WITH d AS (SELECT day, {_DAY.format(t='day')} AS open FROM generate_series(TIMESTAMP '2025-12-31', TIMESTAMP '2026-12-31', INTERVAL 1 DAY) s(day))
+    f"""WITH s AS {catalogue.span_sql(730, 1095)}, d AS (SELECT d AS day, {_DAY.format(t='d')} AS open FROM s)
 SELECT day + to_minutes({validation.OPEN // 60} + k * 75) AS timestamp FROM d, range(5) r(k) WHERE open"""
 )
 def year_grid(spark, sf_dir):
-    return validation.session_grid(calendar.days(spark, "2025-12-31", "2026-12-31"), 75)
+    """The starts of the bars of a year's sessions, holidays and special days among them, from the first tick to the last."""
+    return validation.session_grid(calendar.days_of(catalogue.spread(spark, sf_dir, 730, 1095)), 75)
 
 
 #: Ticks of that time with faults at fixed numbers: times repeated, late and missing, prices outside of the day's, falling volumes.

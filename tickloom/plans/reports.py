@@ -184,3 +184,16 @@ def strike_list(spark, sf_dir):
     """The strikes themselves of each name's next expiry, as of a day."""
     near = options.at_the_money(*catalogue.option_tables(spark, sf_dir), datetime(1997, 6, 30))
     return near.select("name", F.explode(F.col("strikes").cast("array<double>")).alias("strike"))
+
+
+_FIELDS = contracts.BAR_5M
+_ONE_OF = {name: ", ".join(repr(f.name) for f in _FIELDS.fields if test(f)) for name, test in (("any", lambda f: True), ("required", lambda f: f.required), ("price", lambda f: f.positive))}
+
+
+@query(
+    f"""SELECT field, code, count(*) AS n, CASE WHEN field = 'timestamp' THEN 'time' WHEN field IN ({_ONE_OF['any']}) THEN 'number' END AS kind, CASE WHEN field IN ({_ONE_OF['any']}) THEN field IN ({_ONE_OF['required']}) END AS required,
+CASE WHEN field IN ({_ONE_OF['any']}) THEN field IN ({_ONE_OF['price']}) END AS price FROM ({SQL['raw_findings']}) GROUP BY 1, 2"""
+)
+def field_findings(spark, sf_dir):
+    """How often each field breaks each rule, and what the contract says of it."""
+    return contracts.by_field(contracts.findings(catalogue.raw_bars(spark, sf_dir), _FIELDS), _FIELDS)

@@ -44,7 +44,8 @@ def parsed(packets: DataFrame, tokens: DataFrame) -> DataFrame:
     p = packets.withColumn("ltp", units(F.col("last_traded_price"))).where("ltp > 0").join(tokens.select("token", "instrument"), "token")
     at = ticks.event_time(clock(F.col("exchange_timestamp")), clock(F.col("last_traded_timestamp")), F.col("received"))
     day = {"open": "open_price_of_the_day", "high": "high_price_of_the_day", "low": "low_price_of_the_day", "close": "closed_price"}
-    return p.withColumn("at", at).select(
+    # laid out by inline: what is asked of the time later doesn't repeat how it was chosen
+    return p.select("*", F.inline(F.array(F.struct(at.alias("at"))))).select(
         "instrument", F.col("at.time").alias("timestamp"), F.coalesce("sequence_number", F.lit(0)).cast("bigint").alias("sequence_number"), "ltp", F.col("last_traded_quantity").alias("ltq"), *[units(F.col(c)).alias(k) for k, c in day.items()],
         units(F.coalesce("average_traded_price", "average_trade_price")).alias("avg_trade_price"), F.col("volume_trade_for_the_day").alias("volume"), F.col("total_buy_quantity").alias("total_buy_qty"), F.col("total_sell_quantity").alias("total_sell_qty"), "open_interest",
         best_five(F.col("best_5_buy_data")).alias("best_5_buy"), best_five(F.col("best_5_sell_data")).alias("best_5_sell"), F.col("at.source").alias("time_source"),
