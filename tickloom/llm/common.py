@@ -17,7 +17,7 @@ LOCAL_FOLDER = "file:///tmp/checkpoints/tickloom"
 BROADCAST_ROWS = 20_000
 #: Bytes of text whose results a Python task holds at a time.
 PIECE = 2 << 20
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<array<bigint>>": pa.list_(pa.list_(pa.int64()))}
 
 
 #: Of each open block of swept(): the paths that go when it ends.

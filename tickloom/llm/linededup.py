@@ -7,8 +7,8 @@ boundary that its own lines choose, whatever text it stands in, and about every
 are what a chunk is known by; a line of LONG words or more is a chunk by itself.
 
 Chunks are compared over the whole corpus, by hash and, where a hash occurs again, by their bytes. A chunk that stands earlier (by
-doc_id, nulls last, then position) goes, and with it the lines around it that are the same around its first place, line by line. As no
-passage reaches further than CONTEXT lines beyond its outer boundaries, that is all of it. A line that goes has an equal one earlier, so
+doc_id, nulls last, then position) goes, and with it the lines around it that are the same around its first place, line by line (by
+64-bit hashes, compared with that one place alone). As no passage reaches further than CONTEXT lines beyond its outer boundaries, that is all of it. A line that goes has an equal one earlier, so
 the first place of a line keeps it. A line without words goes with the lines around it.
 """
 
@@ -56,22 +56,31 @@ def boundaries(full: list[bytes], words: list[int]) -> list[bool]:
     return out
 
 
+def _hash(x: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") >> 1
+
+
 def marks(text: bytes | None) -> tuple[list[int], list[int]]:
     """Number and 63-bit hash of each chunk: 2k + 1 if the k-th line with words and the next are a boundary, 2k for a long line."""
     lines, at, words = laid(text)
     cut = boundaries([lines[i] for i in at], words)
     every = [(2 * k + 1, lines[i] + b"\n" + lines[j]) for k, (i, j, c) in enumerate(zip(at, at[1:], cut)) if c]
     every += [(2 * k, lines[i]) for k, (i, n) in enumerate(zip(at, words)) if n >= LONG]
-    return [k for k, _ in every], [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") >> 1 for _, x in every]
+    return [k for k, _ in every], [_hash(x) for _, x in every]
 
 
-def taken(text: bytes | None, numbers: list[int]) -> tuple[list[int], list[str], list[list[str]], list[list[str]]]:
-    """These chunks as texts (only one of two lines has a line end), with up to CONTEXT lines with words before, the nearest first,
-    and behind."""
+def taken(text: bytes | None, numbers: list[int]) -> tuple[list[int], list[str], list[list[int]], list[list[int]]]:
+    """These chunks as texts (only one of two lines has a line end), with the hashes of up to CONTEXT lines with words before, the
+    nearest first, and behind."""
     lines, at, _ = laid(text)
-    full = [lines[i].decode("utf-8", "replace") for i in at]
+    known: dict[int, int] = {}
+
+    def hashes(places: list[int]) -> list[int]:
+        return [known[i] if i in known else known.setdefault(i, _hash(lines[i])) for i in places]
+
     spans = [(n // 2, n // 2 + 1 + n % 2) for n in numbers]
-    return numbers, ["\n".join(full[a:z]) for a, z in spans], [full[max(a - CONTEXT, 0) : a][::-1] for a, _ in spans], [full[z : z + CONTEXT] for _, z in spans]
+    chunks = [b"\n".join([lines[i] for i in at[a:z]]).decode("utf-8", "replace") for a, z in spans]
+    return numbers, chunks, [hashes(at[max(a - CONTEXT, 0) : a][::-1]) for a, _ in spans], [hashes(at[z : z + CONTEXT]) for _, z in spans]
 
 
 def repeated_lines(text: bytes, numbers: list[int]) -> set[int]:
@@ -119,7 +128,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         # these sides grow with the corpus at any share of repeats, so none is broadcast
         asked = kept(each.join(again.hint("merge"), "mark").groupBy("id", "id_hash").agg(F.sort_array(F.collect_set("k")).alias("ask")), "asked")
         texts = keyed.join(asked.withColumnsRenamed({"id": "of", "id_hash": "of_hash"}).hint("merge"), _alike("id", "of")).select("id", "id_hash", "text", "ask")
-        bytes_ = per_text(texts, "ks array<int>, chunk array<string>, before array<array<string>>, after array<array<string>>", lambda: taken, also="ask")
+        bytes_ = per_text(texts, "ks array<int>, chunk array<string>, before array<array<bigint>>, after array<array<bigint>>", lambda: taken, also="ask")
         who = F.struct(F.col("id").isNull().alias("none"), "id", "id_hash", F.col("x.ks").alias("k")).alias("who")
         rows = bytes_.select("id", "id_hash", F.explode(F.arrays_zip("ks", "chunk", "before", "after")).alias("x"))
         same = kept(rows.select(F.col("x.chunk").alias("chunk"), F.struct(who, "x.before", "x.after").alias("x")), "bytes")
