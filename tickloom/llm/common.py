@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -20,8 +21,14 @@ PIECE = 2 << 20
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<array<bigint>>": pa.list_(pa.list_(pa.int64()))}
 
 
-#: Of each open block of swept(): the paths that go when it ends.
-_blocks: list[list[str]] = []
+class _Open(threading.local):
+    """Of each open block of swept() in this thread: the paths that go when it ends. Queries of other threads have their own."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -34,8 +41,8 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = LOCAL_FOLDER
     path = f"{base.rstrip('/')}/tickloom-{uuid.uuid4().hex}/{name}"
-    if _blocks:
-        _blocks[-1].append(path)
+    if _open.blocks:
+        _open.blocks[-1].append(path)
     return path
 
 
@@ -53,19 +60,19 @@ def swept(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]
     """A block whose kept() tables go when it ends, also if it fails. It yields a kept() whose tables outlive it: for what the
     block has to hand on, since a frame that is read later needs its tables."""
     mine: list[str] = []
-    _blocks.append(mine)
+    _open.blocks.append(mine)
 
     def outliving(df: DataFrame, name: str) -> DataFrame:
         out = kept(df, name)
         path = mine.pop()
-        if len(_blocks) > 1:
-            _blocks[-2].append(path)
+        if len(_open.blocks) > 1:
+            _open.blocks[-2].append(path)
         return out
 
     try:
         yield outliving
     finally:
-        _blocks.pop()
+        _open.blocks.pop()
         for path in mine:
             at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -110,7 +110,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang).
 
     Texts that are null or have no letter get "und" and 0, as all do if nothing can be learned. A null doc_id isn't held
-    out. Other columns are ignored, repeated rows stay.
+    out. Other columns are ignored, repeated rows stay, an empty table gives one.
     """
     docs = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     model = learn(docs)

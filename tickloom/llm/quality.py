@@ -114,7 +114,11 @@ def judged(counts: DataFrame) -> DataFrame:
 
 
 def assess(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed and kept for each row of docs (doc_id, text, lang, source); other columns are ignored."""
+    """doc_id, the counts, base_failed and kept for each row of docs (doc_id, text, lang, source); other columns are ignored.
+
+    Null and empty texts have no words and fail the base rules. Repeated rows stay and each count in their group's quantiles; a null
+    language or source is a group like any other. An empty table gives one.
+    """
     counts = kept(measured(docs, ["doc_id", "lang", "source"]), "counts")
     return judged(counts).drop("lang", "source", "n_lines")
 

@@ -181,6 +181,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic; columns as in docs."""
+    """The rows of docs that aren't predicted toxic; columns as in docs. Null and empty texts are scored as texts without features and
+    stay, repeated rows stay or go together, an empty table gives one."""
     model = train(docs, labels)
     return per_text(docs.select(row_of(docs), "text"), "score double, predicted int", lambda: model.score).where("predicted = 0").select("row.*")

@@ -288,7 +288,8 @@ READ = "record_id string, record_type string, page_id bigint, payload_bytes bigi
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """READ for each response, resource and revisit below path. A payload's length is that of its bytes, whatever an HTTP header
-    says, and its digest must agree with the record's. A revisit names the record that holds its payload, and has no length."""
+    says, and its digest must agree with the record's. A revisit names the record that holds its payload, and has no length. A folder
+    without files gives no rows."""
 
     def one(fields: dict[str, str], block: bytes) -> tuple:
         kind = fields["warc-type"]
@@ -320,7 +321,7 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
 
     The files are read twice: first without payloads, for a row for each payload that occurs again, by its digest, with the
     record of the smallest page_id. A record with that payload and another id revisits it. Records without id are responses, as
-    is all of an equal id (repeated rows).
+    is all of an equal id (repeated rows). A folder without files is an empty one of WARC files.
     """
     with swept(spark):
         light = kept(read_arc(spark, arc, payloads=False).where(F.col("size") >= LEAST_REVISIT).select("digest", "page_id", "place", "url", "date"), "digests")
