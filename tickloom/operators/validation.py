@@ -93,33 +93,31 @@ def _numbered(rows: DataFrame, size: int) -> DataFrame:
     return ordered.parts(ordered.numbered(each, "instrument", "sequence_number", F.floor(F.col("sequence_number") / 100_000)), 1, size)
 
 
-def _carried(x: DataFrame, ends: dict[str, Column]) -> DataFrame:
-    """x (instrument, part, ...) with what stands last in the parts before its own, one row of each part: name -> its aggregate. A null
-    is passed over."""
-    last = x.where("own").groupBy("instrument", "part").agg(*[c.alias(f"_{name}") for name, c in ends.items()])
-    before = "OVER (PARTITION BY instrument ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    each = last.select("instrument", "part", *[F.expr(f"last(_{name}, true) {before}").alias(name) for name in ends])
-    return x.join(each, ["instrument", "part"])
-
-
 def in_order_findings(rows: DataFrame, tick: bool = True, sequence: bool = True, volumes: bool = True, size: int = 10_000) -> DataFrame:
     """The rules on order: sequence_findings() and volume_findings(), or one of them, over rows that are numbered once.
 
-    An instrument is read in parts of about `size` records. What a part needs of those before it (the last time and the last known
-    volume, and the run that it belongs to) comes from one row for each of them. Repeats are found by timestamp.
+    An instrument is read in parts of about `size` records. What a part needs of those before it (the last time, the run that it
+    begins in, and the last known volume with its run) comes from one row for each of them. Repeats are found by timestamp.
     """
     part = "PARTITION BY instrument, part ORDER BY k"
     front = f"OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    begins = F.expr(f"CASE WHEN lag(k) OVER ({part}) IS NULL OR NOT day <=> lag(day) OVER ({part}) THEN k END")
+    begins = F.expr(f"CASE WHEN own AND (lag(k) OVER ({part}) IS NULL OR NOT day <=> lag(day) OVER ({part})) THEN k END")
     each = _numbered(rows, size).withColumns({"begins": begins, "last_time": F.expr(f"last(timestamp, true) {front}")})
-    each = _carried(each, {"earlier_time": F.max_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("k"))), "earlier_run": F.max("begins")})
-    run = F.coalesce(F.expr(f"max(begins) OVER ({part})"), F.col("earlier_run"))
-    each = each.where("own").withColumn("run", run).withColumn("known", F.when(F.col("volume").isNotNull(), F.struct("run", "volume")))
+    # a run that began in an earlier part is null until the parts are joined
+    each = each.withColumn("run", F.expr(f"max(begins) OVER ({part})")).withColumn("known", F.when(F.col("own") & F.col("volume").isNotNull(), F.struct("run", "volume")))
+    each = each.withColumn("inside", F.expr(f"last(known, true) {front}")).where("own")
+    before = "OVER (PARTITION BY instrument ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ends = each.groupBy("instrument", "part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("k"))).alias(f"_{c}") for c in ("timestamp", "begins", "known")])
+    ends = ends.withColumn("earlier_run", F.expr(f"last(_begins, true) {before}"))
+    named = F.when(F.col("_known").isNotNull(), F.struct(F.coalesce("_known.run", "earlier_run").alias("run"), "_known.volume"))
+    ends = ends.withColumn("_known", named).select("instrument", "part", "earlier_run", F.expr(f"last(_timestamp, true) {before}").alias("earlier_time"), F.expr(f"last(_known, true) {before}").alias("earlier"))
+    each = each.join(ends, ["instrument", "part"])
+    codes = []
     if volumes:
-        inside = each.withColumn("inside", F.expr(f"last(known, true) {front}"))
-        of = F.coalesce("inside", "earlier")
-        each = _carried(inside, {"earlier": F.max_by("known", F.when(F.col("known").isNotNull(), F.col("k")))}).withColumn("fell", (of["run"] == F.col("run")) & (F.col("volume") < of["volume"]))
-    codes = [F.when(F.col("fell"), "volume_regression")] if volumes else []
+        run, own = F.coalesce("run", "earlier_run"), F.col("inside").isNotNull()
+        of = F.when(own, F.coalesce("inside.run", "earlier_run")).otherwise(F.col("earlier.run"))
+        least = F.when(own, F.col("inside.volume")).otherwise(F.col("earlier.volume"))
+        codes.append(F.when((of == run) & (F.col("volume") < least), "volume_regression"))
     if sequence:
         # a record without a time is alone in its group
         each = each.withColumn("again", F.expr("row_number() OVER (PARTITION BY instrument, timestamp, CASE WHEN timestamp IS NULL THEN k END ORDER BY sequence_number)"))
