@@ -198,7 +198,7 @@ def test_completeness_and_the_order_of_sections(spark):
     assert (r.gaps, r.expected, r.completeness_pct, r.errors, r.status) == (1, 4, 75.0, 0, "WARNING")
     clean, bad = report.withColumns({"status": F.lit("PASS")}), report.withColumns({"status": F.lit("FAIL")})
     got = validation.sections({"zeta": bad, "ohlcv_5m": report, "alpha": clean, "tick": clean}).orderBy("position").collect()
-    assert [(x.dataset, x.overall) for x in got] == [("tick", "FAIL"), ("ohlcv_5m", "FAIL"), ("alpha", "FAIL"), ("zeta", "FAIL")]
+    assert [(x.dataset, x.overall) for x in got] == [("tick", "FAIL"), ("ohlcv_5m", "FAIL"), ("zeta", "FAIL"), ("alpha", "FAIL")]
     assert {x.overall for x in validation.sections({"tick": clean, "ohlcv_5m": report}).collect()} == {"WARNING"}
     (line,) = validation.summary(found, bars_, "ohlcv_5m").collect()
     assert line.line == "ohlcv_5m: 3 rows, 0 errors, 1 warnings [unexpected_gap=1]"
