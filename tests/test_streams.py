@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from tests.compare import SMALL
 from tests.test_frames import plain_order
-from tickloom.operators import validation
+from tickloom.operators import bars, validation
 from tickloom.plans import records, streams
 from tickloom.sources import replay, tables
-from tickloom.streaming import feed, ordered, sinks
+from tickloom.streaming import feed, ordered, sinks, walls
 
 DAY = datetime(2026, 9, 3, 9, 15)
 TICK = "instrument string, sequence_number bigint, timestamp timestamp_ntz, ltp double, high double, low double, volume bigint, arrived timestamp"
@@ -155,3 +155,40 @@ def test_a_source_without_files_gives_nothing(spark, tmp_path):
     frame = replay.stream(spark, f"file://{tmp_path}/none", spark.createDataFrame([], "value string").schema)
     sinks.run_available(frame, out, sinks.batches_at(out))
     assert sinks.stored(spark, out, frame.schema).isEmpty()
+
+
+def test_extremes_ahead_against_a_plain_loop():
+    """Ticks in any order, some at equal times, on the block's end and on the reach's; some prices that are no number."""
+    r, end, reach = random.Random(4), 1000, 100
+    for n in (0, 1, 5, 60):
+        times = [r.choice([r.randrange(895, 1105), 900, 1000, 1100]) for _ in range(n)]
+        prices = [r.choice([float("nan"), *map(float, range(9))]) for _ in range(n)]
+        at = [*range(900, 1000)]
+        low, high = walls.extremes(np.array(at), np.array(times, np.int64), np.array(prices, float), end, reach)
+        for a, x, y in zip(at, low, high):
+            seen = [p for t, p in zip(times, prices) if a < t <= a + reach]
+            good = [p for p in seen if p == p]
+            np.testing.assert_equal((x, y), (min(good, default=np.nan), max(good, default=np.nan) if len(good) == len(seen) else np.nan))
+
+
+def test_absorptions_of_a_dense_stream(spark, tmp_path):
+    """Many ticks of two instruments within each other's reach, numbers against time, null prices and instruments; the stream says
+    what the whole says, without a join in which each wall meets each tick of its instrument."""
+    r, came, out, rows = random.Random(9), str(tmp_path / "came"), f"file://{tmp_path}/out", []
+    for n in range(1500):
+        price = None if n % 50 == 0 else r.randrange(1, 400) / 20
+        rows.append((r.choice(["a", "b", None]) if n % 40 == 0 else r.choice(["a", "b"]), DAY + timedelta(seconds=n * 0.9), 1500 - n if n % 7 else None, price, r.randrange(100)))
+    rows.append(("", DAY + timedelta(days=1), None, None, None))
+    schema = "instrument string, timestamp timestamp_ntz, sequence_number bigint, ltp double, quantity bigint"
+    for k in (0, 600, 1100, 1500):
+        end = {0: 600, 600: 1100, 1100: 1500}.get(k, 1501)
+        books = tables.books(spark.createDataFrame(rows[k:end], schema)).withColumn("at", F.col("timestamp").cast("timestamp")).drop("timestamp")
+        books.coalesce(1).write.mode("append").parquet(came)
+    books = source(spark, books.schema, came)
+    frame = walls.absorptions(books, books.select("instrument", "ltp", "at"))
+    assert "Join" not in frame._jdf.queryExecution().logical().toString()
+    sinks.run_available(frame, out, sinks.batches_at(out))
+    columns = ["instrument", F.col("minute").cast("string"), "side", "wall", "price", "quantity", "move"]
+    got = sorted(map(tuple, sinks.stored(spark, out, frame.schema).select(*columns).collect()))
+    whole = bars.absorptions(tables.books(spark.createDataFrame(rows, schema)))
+    assert got == sorted(map(tuple, whole.select(*columns).collect())) and len(got) > 500
