@@ -666,33 +666,32 @@ def test_boundaries_move_with_inserted_lines():
 
 def plain_lines(texts):
     """By (id, text) in order: the lines that stay, by the rule of linededup's docstring."""
-    first, out, every = {}, [], []
-    for _, text in texts:
+    pairs, singles, out = {}, {}, []
+    every = []
+    for d, text in texts:
         lines = text.split("\n")
         full = [i for i, x in enumerate(lines) if x.split()]
-        own, words = [lines[i] for i in full], [len(lines[i].split()) for i in full]
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in own]
-        r = [(b + 31 * a) % 2**32 for a, b in zip(h, h[1:])]
-        cut = set()
-        for k in range(len(r)):
-            n = next((n for n in (1, 2) if sum(words[k : k + n + 1]) > 50), 3)
-            stretch = r[k : k + n]
-            cut.add(k + stretch.index(min(stretch)))
-        chunks = sorted([(k, 2) for k in cut] + [(k, 1) for k, n in enumerate(words) if n >= 50], key=lambda x: (x[0], -x[1]))
-        every.append((lines, full, own, chunks))
-        for k, n in chunks:
-            first.setdefault("\n".join(own[k : k + n]), (len(every) - 1, k))
-    for d, (lines, full, own, chunks) in enumerate(every):
-        gone = set()
-        for k, n in chunks:
-            e, j = first["\n".join(own[k : k + n])]
-            if (e, j) != (d, k):
-                there, a, z = every[e][2], k, k + n
-                while k - a < 2 and a and j - (k - a) and own[a - 1] == there[j - (k - a) - 1]:
-                    a -= 1
-                while z - k - n < 2 and z < len(own) and j + z - k < len(there) and own[z] == there[j + z - k]:
-                    z += 1
-                gone.update(range(a, z))
+        words = [len(lines[i].split()) for i in full]
+        every.append((lines, full, words))
+        for k in range(len(full)):
+            singles.setdefault(lines[full[k]], (d, k))
+            if k + 1 < len(full):
+                pairs.setdefault((lines[full[k]], lines[full[k + 1]]), (d, k))
+    for (d, _), (lines, full, words) in zip(texts, every):
+        r = []
+        for a, b in zip(full, full[1:]):
+            h = [int(hashlib.md5(lines[i].encode()).hexdigest()[:8], 16) for i in (a, b)]
+            r.append((h[1] + 31 * h[0]) % 2**32)
+        cut = [words[k] + words[k + 1] > 50 or k + 1 == len(r) or not (all(x > y for x, y in ((x, y) for x in [r[k]] for y in r[max(0, k - 1) : k] + r[k + 1 : k + 2]))) for k in range(len(r))]
+        again = [pairs[lines[full[k]], lines[full[k + 1]]] < (d, k) for k in range(len(r))]
+        gone, k = {k for k in range(len(full)) if words[k] >= 50 and singles[lines[full[k]]] < (d, k)}, 0
+        while k < len(again):
+            end = k
+            while end < len(again) and again[end]:
+                end += 1
+            if any(cut[k:end]):
+                gone.update(range(k, end + 1))
+            k = max(end, k + 1)
         stay, at = [], {i: k for k, i in enumerate(full)}
         for i, x in enumerate(lines):
             beside = [k for k in (max((k for j, k in at.items() if j < i), default=None), min((k for j, k in at.items() if j > i), default=None)) if k is not None]
@@ -755,3 +754,16 @@ def test_recall_of_repeated_runs(spark):
             seen.setdefault(p, d.doc_id)
     print({k: (gone[k], n) for k, n in total.items()})
     assert gone["long"] >= 0.97 * total["long"] > 1000
+
+
+def test_runs_of_three_lines_and_lines_that_stand_earlier_elsewhere_go(spark):
+    """Whatever lies around them: a run of three lines; a run whose pairs stand in different earlier texts; the last two lines."""
+    r = random.Random(8)
+    other = lambda n: [f"other {r.randrange(10**9)}" for _ in range(n)]
+    shared = [[f"run {k} line {i}" for i in range(3)] for k in range(40)]
+    texts = [[*other(3), *x, *other(3)] for x in shared] + [[*other(4), *x, *other(4)] for x in shared]
+    a, b, c, d = "first line", "second line", "third line", "fourth line"
+    texts += [[*other(2), a, b, c, *other(2)], [*other(2), b, c, d, *other(2)], [*other(2), a, b, c, d, *other(2)], [*other(2), c, d]]
+    got = {x.doc_id: x for x in linededup.report(spark.createDataFrame([(n, "\n".join(x)) for n, x in enumerate(texts)], "doc_id bigint, text string")).collect()}
+    assert [got[n].gone_lines for n in range(80)] == [0] * 40 + [3] * 40
+    assert got[82].gone_lines == 4 and got[83].gone_lines == 2

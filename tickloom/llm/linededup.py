@@ -1,15 +1,15 @@
 """Removal of passages that repeat across documents, by content-defined chunks of lines.
 
 The lines with words of a text follow each other, whatever lines without words lie between. A rolling hash over the hashes
-of two neighbouring lines chooses boundaries: in each stretch of lines that ends with RUN lines or, sooner, with over PASSAGE words,
-the first pair with the smallest hash is one. So every passage of RUN lines or of over PASSAGE words in two lines or more holds a
-boundary that its own lines choose, whatever text it stands in, and about every second line begins a chunk. The two lines at a boundary
-are what a chunk is known by; a line of LONG words or more is a chunk by itself.
-
-Chunks are compared over the whole corpus, by hash and, where a hash occurs again, by their bytes. A chunk that stands earlier (by
-doc_id, nulls last, then position) goes, and with it the lines around it that are the same around its first place, line by line (by
-64-bit hashes, compared with that one place alone). As no passage reaches further than CONTEXT lines beyond its outer boundaries, that is all of it. A line that goes has an equal one earlier, so
-the first place of a line keeps it. A line without words goes with the lines around it.
+of two neighbouring lines chooses boundaries that depend on these lines and the next ones alone, so they move with inserted
+text: a pair is a boundary unless its hash is above both of its neighbours', or if it has over PASSAGE words or ends its text. The
+two lines at a boundary are a chunk; a line of LONG words or more is one by itself.
+
+Chunks are compared over the whole corpus, by hash and, where a hash occurs again, by their bytes. A chunk that stands
+earlier (by doc_id, nulls last, then position) is repeated, and from it the match goes on to both sides, line by line, as
+long as neighbouring lines stand earlier, too. The lines of such a run go. So each repeated run of three lines or more goes,
+and each of two lines or one with over PASSAGE words; of shorter runs of two lines those that are a chunk. The first place of
+a line keeps it. A line without words goes with the lines around it.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 from .common import kept, per_text, row_of, swept
 
 BASE, MODULUS = 31, 1 << 32
-#: Lines, or words if these are passed sooner, of a stretch that holds a boundary; the words of a line that is a chunk.
-RUN, PASSAGE, LONG = 4, 50, 50
-#: Lines of a stretch that may lie before or behind the two at its boundary.
-CONTEXT = RUN - 2
+#: A pair of lines with more words than PASSAGE is always a boundary, a line of LONG words a chunk.
+PASSAGE, LONG = 50, 50
 
 
 def line_hash(line: bytes) -> int:
@@ -43,50 +41,44 @@ def laid(text: bytes | None) -> tuple[list[bytes], list[int], list[int]]:
 
 
 def boundaries(full: list[bytes], words: list[int]) -> list[bool]:
-    """Whether each pair of neighbouring lines with words is a boundary. Stretches at the end may be shorter."""
+    """Whether each pair of neighbouring lines with words is a boundary."""
     h = [line_hash(x) for x in full]
     r = [(b + BASE * a) % MODULUS for a, b in zip(h, h[1:])]
-    out = [False] * len(r)
-    for k in range(len(r)):
-        n, total = 1, words[k] + words[k + 1]
-        while total <= PASSAGE and n < RUN - 1 and k + n < len(r):
-            n += 1
-            total += words[k + n]
-        out[k + min(range(n), key=r[k : k + n].__getitem__)] = True
+    out = []
+    for k, x in enumerate(r):
+        beside = r[max(k - 1, 0) : k] + r[k + 1 : k + 2]
+        out.append(k + 1 == len(r) or x <= max(beside) or words[k] + words[k + 1] > PASSAGE)
     return out
 
 
-def _hash(x: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") >> 1
-
-
 def marks(text: bytes | None) -> tuple[list[int], list[int]]:
-    """Number and 63-bit hash of each chunk: 2k + 1 if the k-th line with words and the next are a boundary, 2k for a long line."""
+    """Number and 63-bit hash of what is compared: of the k-th line with words and the next (2k + 1), of a long line (2k)."""
     lines, at, words = laid(text)
-    cut = boundaries([lines[i] for i in at], words)
-    every = [(2 * k + 1, lines[i] + b"\n" + lines[j]) for k, (i, j, c) in enumerate(zip(at, at[1:], cut)) if c]
+    every = [(2 * k + 1, lines[i] + b"\n" + lines[j]) for k, (i, j) in enumerate(zip(at, at[1:]))]
     every += [(2 * k, lines[i]) for k, (i, n) in enumerate(zip(at, words)) if n >= LONG]
-    return [k for k, _ in every], [_hash(x) for _, x in every]
+    return [k for k, _ in every], [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "big") >> 1 for _, x in every]
 
 
-def taken(text: bytes | None, numbers: list[int]) -> tuple[list[int], list[str], list[list[int]], list[list[int]]]:
-    """These chunks as texts (only one of two lines has a line end), with the hashes of up to CONTEXT lines with words before, the
-    nearest first, and behind."""
+def taken(text: bytes | None, numbers: list[int]) -> tuple[list[int], list[str]]:
+    """These lines and pairs of lines as texts; only a pair has a line end."""
     lines, at, _ = laid(text)
-    known: dict[int, int] = {}
-
-    def hashes(places: list[int]) -> list[int]:
-        return [known[i] if i in known else known.setdefault(i, _hash(lines[i])) for i in places]
-
-    spans = [(n // 2, n // 2 + 1 + n % 2) for n in numbers]
-    chunks = [b"\n".join([lines[i] for i in at[a:z]]).decode("utf-8", "replace") for a, z in spans]
-    return numbers, chunks, [hashes(at[max(a - CONTEXT, 0) : a][::-1]) for a, _ in spans], [hashes(at[z : z + CONTEXT]) for _, z in spans]
+    return numbers, [b"\n".join(lines[i] for i in at[n // 2 : n // 2 + 1 + n % 2]).decode("utf-8", "replace") for n in numbers]
 
 
 def repeated_lines(text: bytes, numbers: list[int]) -> set[int]:
-    """The lines that go, given those with words that do by their numbers among these: they, and lines without words between them."""
-    lines, at, _ = laid(text)
-    gone = set(numbers)
+    """The lines that go, given the numbers (as in marks()) of what stands earlier."""
+    lines, at, words = laid(text)
+    again = set(numbers)
+    pairs = sorted(n // 2 for n in again if n % 2)
+    cut = boundaries([lines[i] for i in at], words) if pairs else []
+    gone = {n // 2 for n in again if not n % 2}
+    run: list[int] = []
+    for k in [*pairs, -1]:
+        if run and k != run[-1] + 1:
+            if any(cut[j] for j in run):
+                gone.update(range(run[0], run[-1] + 2))
+            run = []
+        run.append(k)
     out = {at[k] for k in gone}
     for k, (a, b) in enumerate(zip([-1, *at], [*at, len(lines)])):
         beside = [j in gone for j in (k - 1, k) if 0 <= j < len(at)]
@@ -109,17 +101,9 @@ def _alike(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b)) & (F.col(f"{a}_hash") == F.col(f"{b}_hash"))
 
 
-def _same(side: str) -> Column:
-    """How many lines on this side of a chunk are as at its first place, up to the first that isn't."""
-    out = F.lit(0)
-    for n in reversed(range(CONTEXT)):
-        out = F.when(F.get(f"x.{side}", F.lit(n)) == F.get(f"first.{side}", F.lit(n)), out + 1).otherwise(0)
-    return out
-
-
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> id, id_hash, gone: for each text with something that stands earlier, the numbers of its lines with words
-    that go. Rows alike in doc_id and text are one document; id_hash is the text's hash."""
+    """docs (doc_id, text) -> id, id_hash, gone: for each text with something that stands earlier, the numbers of its pairs and
+    long lines that do, as in marks(). Rows alike in doc_id and text are one document; id_hash is the text's hash."""
     keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("id_hash"), "text")
     with swept(docs.sparkSession) as outliving:
         found = per_text(keyed, "ks array<int>, marks array<bigint>", lambda: marks)
@@ -128,16 +112,13 @@ def repeated(docs: DataFrame) -> DataFrame:
         # these sides grow with the corpus at any share of repeats, so none is broadcast
         asked = kept(each.join(again.hint("merge"), "mark").groupBy("id", "id_hash").agg(F.sort_array(F.collect_set("k")).alias("ask")), "asked")
         texts = keyed.join(asked.withColumnsRenamed({"id": "of", "id_hash": "of_hash"}).hint("merge"), _alike("id", "of")).select("id", "id_hash", "text", "ask")
-        bytes_ = per_text(texts, "ks array<int>, chunk array<string>, before array<array<bigint>>, after array<array<bigint>>", lambda: taken, also="ask")
+        bytes_ = per_text(texts, "ks array<int>, chunk array<string>", lambda: taken, also="ask")
         who = F.struct(F.col("id").isNull().alias("none"), "id", "id_hash", F.col("x.ks").alias("k")).alias("who")
-        rows = bytes_.select("id", "id_hash", F.explode(F.arrays_zip("ks", "chunk", "before", "after")).alias("x"))
-        same = kept(rows.select(F.col("x.chunk").alias("chunk"), F.struct(who, "x.before", "x.after").alias("x")), "bytes")
+        same = kept(bytes_.select("id", "id_hash", F.explode(F.arrays_zip("ks", "chunk")).alias("x")).select(who, F.col("x.chunk").alias("chunk")), "bytes")
         # grouping and joining by the chunk itself compares all of its bytes
-        first = same.groupBy("chunk").agg(F.min("x").alias("first"), F.max("x.who").alias("last")).where("first.who < last").select("chunk", "first")
-        later = same.join(kept(first, "firsts").hint("merge"), "chunk").where("x.who > first.who")
-        k = F.expr("x.who.k div 2").cast("int")
-        span = F.sequence(k - _same("before"), k + F.col("x.who.k") % 2 + _same("after"))
-        return outliving(later.groupBy("x.who.id", "x.who.id_hash").agg(F.array_distinct(F.flatten(F.collect_set(span))).alias("gone")), "gone")
+        first = kept(same.groupBy("chunk").agg(F.min("who").alias("first"), F.max("who").alias("last")).where("first < last").select("chunk", "first"), "firsts")
+        later = same.join(first.hint("merge"), "chunk").where("who > first")
+        return outliving(later.groupBy("who.id", "who.id_hash").agg(F.collect_set("who.k").alias("gone")), "gone")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -169,15 +150,13 @@ def replaced(docs: DataFrame) -> DataFrame:
 LINES_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 h AS (SELECT *, CAST(('0x' || substr(md5(line), 1, 8)) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
-f AS (SELECT *, row_number() OVER d AS k, lead(line) OVER d AS next, (lead(h) OVER d + 31 * h) % 4294967296 AS r, coalesce(lead(w) OVER d, 0) AS w1, coalesce(lead(w, 2) OVER d, 0) AS w2,
-    lag(line) OVER d AS p1, lag(line, 2) OVER d AS p2, lead(line, 2) OVER d AS n2, lead(line, 3) OVER d AS n3 FROM h WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-s AS (SELECT *, list_slice([r, lead(r) OVER d, lead(r, 2) OVER d], 1, CASE WHEN w + w1 > 50 THEN 1 WHEN w + w1 + w2 > 50 THEN 2 ELSE 3 END) AS rs FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
-b AS (SELECT DISTINCT doc_id, k + list_position(rs, list_min(rs)) - 1 AS k FROM s WHERE r IS NOT NULL),
-c AS (SELECT f.doc_id, f.k, 2 AS n, line || chr(10) || next AS chunk, p1, p2, n2 AS q1, n3 AS q2 FROM f JOIN b ON f.doc_id IS NOT DISTINCT FROM b.doc_id AND f.k = b.k UNION ALL SELECT doc_id, k, 1, line, p1, p2, next, n2 FROM f WHERE w >= 50),
-o1 AS (SELECT *, row_number() OVER t AS place, first_value(p1) OVER t AS fp1, first_value(p2) OVER t AS fp2, first_value(q1) OVER t AS fq1, first_value(q2) OVER t AS fq2 FROM c WINDOW t AS (PARTITION BY chunk ORDER BY doc_id NULLS LAST, k)),
-m AS (SELECT doc_id, k - CASE WHEN p1 = fp1 THEN CASE WHEN p2 = fp2 THEN 2 ELSE 1 END ELSE 0 END AS a, k + n - 1 + CASE WHEN q1 = fq1 THEN CASE WHEN q2 = fq2 THEN 2 ELSE 1 END ELSE 0 END AS z FROM o1 WHERE place > 1),
-g AS (SELECT DISTINCT doc_id, unnest(generate_series(a, z)) AS k FROM m),
-z AS (SELECT f.doc_id, f.i, g.k IS NOT NULL AS gone FROM f LEFT JOIN g ON f.doc_id IS NOT DISTINCT FROM g.doc_id AND f.k = g.k),
+f AS (SELECT *, row_number() OVER d AS k, lead(line) OVER d AS next, (lead(h) OVER d + 31 * h) % 4294967296 AS r, w + lead(w) OVER d AS w2 FROM h WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, w2 > 50 OR coalesce(r <= lag(r) OVER d, false) OR coalesce(r <= lead(r) OVER d, true) AS cut,
+    next IS NOT NULL AND row_number() OVER (PARTITION BY line, next ORDER BY doc_id NULLS LAST, k) > 1 AS again,
+    w >= 50 AND row_number() OVER (PARTITION BY line ORDER BY doc_id NULLS LAST, k) > 1 AS alone FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+g AS (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM b),
+s AS (SELECT *, again AND max(CASE WHEN again AND cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, run) = 1 AS goes FROM g),
+z AS (SELECT doc_id, i, goes OR alone OR coalesce(lag(goes) OVER (PARTITION BY doc_id ORDER BY k), false) AS gone FROM s),
 e AS (SELECT h.doc_id, h.i, h.line, h.w, last_value(z.gone IGNORE NULLS) OVER d AS before, first_value(z.gone IGNORE NULLS) OVER u AS after
     FROM h LEFT JOIN z ON h.doc_id IS NOT DISTINCT FROM z.doc_id AND h.i = z.i WINDOW d AS (PARTITION BY h.doc_id ORDER BY h.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), u AS (PARTITION BY h.doc_id ORDER BY h.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 x AS (SELECT *, coalesce(before AND after, before, after, false) AS gone FROM e),
