@@ -767,3 +767,23 @@ def test_runs_of_three_lines_and_lines_that_stand_earlier_elsewhere_go(spark):
     got = {x.doc_id: x for x in linededup.report(spark.createDataFrame([(n, "\n".join(x)) for n, x in enumerate(texts)], "doc_id bigint, text string")).collect()}
     assert [got[n].gone_lines for n in range(80)] == [0] * 40 + [3] * 40
     assert got[82].gone_lines == 4 and got[83].gone_lines == 2
+
+
+def test_workers_hold_only_what_their_operator_asks_for(spark):
+    """A worker that has encoded texts keeps the model for more of them, and not for the next operator."""
+    rows = spark.createDataFrame([(1, "a text")], "doc_id bigint, text string").coalesce(1)
+
+    def seen():
+        return lambda text: (len(common._held),)
+
+    def count():
+        return common.per_text(rows, "n int", lambda: seen()).first().n
+
+    common._held.clear()
+    made = []
+    for _ in range(2):
+        common.begun(lambda: common.held("a", lambda: made.append(1) or made))
+    assert made == [1] and list(common._held) == ["a"]
+    common.begun(lambda: len)
+    assert not common._held
+    assert spm.encoded(rows, queries.PIECES).first().n_tokens > 0 and count() == 0

@@ -93,6 +93,27 @@ def words(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
+_held: dict[object, object] = {}
+_asked: set[object] = set()
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """make()'s value, kept in this Python worker for its later tasks, until begun() begins one that doesn't ask for it."""
+    if key not in _held:
+        _held[key] = make()
+    _asked.add(key)
+    return _held[key]
+
+
+def begun(make: Callable[[], Callable]) -> Callable:
+    """make(), and nothing held that it hasn't asked for: workers outlive their stage, and what they hold takes memory from the next."""
+    _asked.clear()
+    fn = make()
+    for key in [k for k in _held if k not in _asked]:
+        del _held[key]
+    return fn
+
+
 def per_text(rows: DataFrame, fields: str, make: Callable[[], Callable[..., tuple]], text: str = "text", also: str | None = None) -> DataFrame:
     """The other columns of rows, then `fields` ("name type, ..."), computed from the whole text of each row as UTF-8 (None for null).
 
@@ -106,7 +127,7 @@ def per_text(rows: DataFrame, fields: str, make: Callable[[], Callable[..., tupl
     others, used = [f.name for f in rest], [text] if also is None else [text, also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn, n = make(), len(others)
+        fn, n = begun(make), len(others)
 
         def piece(b: pa.RecordBatch, got: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(c, t) for c, t in zip(zip(*got), types))], [*others, *names])

@@ -16,7 +16,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
-from .common import per_text
+from .common import held, per_text
 
 SPACE = "▁"
 #: Entries of each memory; the older half is forgotten when it is full.
@@ -174,14 +174,9 @@ class Bpe:
         return len(ids), hashlib.sha256(",".join(map(self.shown.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def loaded(path: str) -> Bpe:
-    """The model at path, read once in each Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    """The model at path, read once in each Python worker, and again after another operator's texts."""
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -193,12 +188,12 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids. Null and empty texts have an empty list; other columns are ignored, repeated rows stay."""
-    return per_text(docs.select("doc_id", "text"), "ids array<int>", lambda: lambda t: (loaded(path).encode((t or b"").decode("utf-8", "replace")),))
+    return per_text(docs.select("doc_id", "text"), "ids array<int>", lambda: (lambda encode: lambda t: (encode((t or b"").decode("utf-8", "replace")),))(loaded(path).encode))
 
 
 def texts(ids: DataFrame, path: str) -> DataFrame:
     """ids (doc_id, ids) -> doc_id, text: decoding. Null ids: an empty text."""
     from pyspark.sql import functions as F
 
-    out = per_text(ids.select("doc_id", "ids", F.lit("").alias("text")), "decoded string", lambda: lambda _, i: (loaded(path).decode(i or []),), also="ids")
+    out = per_text(ids.select("doc_id", "ids", F.lit("").alias("text")), "decoded string", lambda: (lambda decode: lambda _, i: (decode(i or []),))(loaded(path).decode), also="ids")
     return out.withColumnRenamed("decoded", "text")
