@@ -8,9 +8,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tests.compare import SMALL
 from tickloom.functions import ordered
 from tickloom.functions.rounding import rounded
 from tickloom.operators import bars, upkeep, validation, volatility
+from tickloom.plans import catalogue
+from tickloom.sources import tables
 
 DAY = datetime(2026, 9, 3, 9, 15)
 
@@ -90,6 +93,20 @@ def test_no_frame_grows(spark):
         assert frames and all(a.startswith("unboundedpreceding") or a == b for a, b in frames)
 
 
+def test_option_bars_are_dealt_by_their_number(spark, monkeypatch):
+    """More bars make more tasks, not larger ones, where Spark would put together keys and times that compress well."""
+    monkeypatch.setattr(tables, "SHARE", 300, raising=False)
+    bars_, history = tables.table(spark, SMALL, "lineitem").count(), catalogue.implied_history(spark, SMALL)
+    most = history.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 3 * 300 < bars_ / 4
+    # the premium's own groups, joins and numbers by token, and its join by name
+    plan = catalogue.volatility_premium(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*), (\d+)\), (\w+)", plan)
+    by_token = [(int(n), why) for keys, n, why in dealt if re.match(r"token#\d+L?(, timestamp#\d+|$)", keys)]
+    assert by_token and all(n == -(-bars_ // 300) for n, _ in by_token)
+    assert {re.sub(r"#\d+L?", "", keys) for keys, _, why in dealt if why == "REPARTITION_BY_NUM"} >= {"token", "name, timestamp", "token, _bucket"}
+
+
 def test_flat_and_odd_prices(spark):
     rows = [("a", DAY + timedelta(minutes=k), 5.0, 5.0, 5.0, 5.0) for k in range(5)] + [("a", DAY + timedelta(minutes=9), math.inf, math.inf, 1.0, 1.0), ("a", None, 1.0, 1.0, 1.0, 1.0), ("a", DAY, None, 1.0, 1.0, 1.0)]
     got = volatility.realised(frame(spark, rows), 3).orderBy("timestamp").collect()

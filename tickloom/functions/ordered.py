@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, by: str, order: str, bucket: Column) -> DataFrame:
+def dealt(rows: DataFrame, partitions: int | None, *by: str) -> DataFrame:
+    """rows shuffled by key into that many partitions, which Spark doesn't put together again; None: as they are.
+
+    Spark puts partitions together until they hold so many compressed bytes. Keys and times of 12 bytes a row take ten times that
+    and more where they are sorted or grouped, so a count that follows from the number of rows is what bounds a task's memory.
+    """
+    return rows if partitions is None else rows.repartition(partitions, *by)
+
+
+def numbered(rows: DataFrame, by: str, order: str, bucket: Column, partitions: int | None = None) -> DataFrame:
     """rows with k, their position (from 1) by `order` among those of their key. bucket must not fall as `order` rises.
 
     Rows are numbered within (key, bucket); what lies in front comes from one count for each of these. Of rows equal in order
-    any may be first.
+    any may be first. partitions: as in dealt().
     """
-    each = rows.withColumn("_bucket", bucket)
-    counts = each.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    each = dealt(rows.withColumn("_bucket", bucket), partitions, by, "_bucket")
+    counts = dealt(each.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n")), partitions, by)
     front = counts.withColumn("_front", F.expr(f"coalesce(sum(_n) OVER (PARTITION BY `{by}` ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")).drop("_n")
     inside = each.withColumn("_k", F.expr(f"row_number() OVER (PARTITION BY `{by}`, _bucket ORDER BY `{order}`)"))
     return inside.join(front, [by, "_bucket"]).withColumn("k", F.col("_front") + F.col("_k")).drop("_bucket", "_front", "_k")

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ordered
 from . import access, volatility
 
 #: Bars of the realised volatility.
@@ -59,23 +60,26 @@ def at_the_money(options: DataFrame, closes: DataFrame, underlying: DataFrame, a
     return spot.join(next_, "name")
 
 
-def history(options: DataFrame, closes: DataFrame, underlying: DataFrame) -> DataFrame:
-    """token, timestamp, close, spot, iv of the bars whose underlying has one of the same time; none without a volatility."""
-    spots = underlying.groupBy("name", "timestamp").agg(F.max("close").alias("spot"))
-    bars = closes.groupBy("token", "timestamp").agg(F.max("close").alias("close"))
-    rows = bars.join(options, "token").join(spots, ["name", "timestamp"])
+def history(options: DataFrame, closes: DataFrame, underlying: DataFrame, partitions: int | None = None) -> DataFrame:
+    """token, timestamp, close, spot, iv of the bars whose underlying has one of the same time; none without a volatility. partitions:
+    as in premium()."""
+    spots = ordered.dealt(underlying, partitions, "name", "timestamp").groupBy("name", "timestamp").agg(F.max("close").alias("spot"))
+    bars = ordered.dealt(closes, partitions, "token").groupBy("token", "timestamp").agg(F.max("close").alias("close"))
+    rows = ordered.dealt(bars.join(options, "token"), partitions, "name", "timestamp").join(spots, ["name", "timestamp"])
     return solved(rows).where("iv IS NOT NULL").select("token", "timestamp", "close", "spot", "iv")
 
 
-def premium(options: DataFrame, closes: DataFrame, underlying: DataFrame, n: int = WINDOW, method: str = "garman_klass") -> DataFrame:
+def premium(options: DataFrame, closes: DataFrame, underlying: DataFrame, n: int = WINDOW, method: str = "garman_klass", partitions: int | None = None) -> DataFrame:
     """instrument (the option's token), timestamp, close, iv, rv of the last n bars that both have, and vrp = iv - rv.
 
-    underlying has open, high and low too. rv and vrp are null until there are n bars; iv where no volatility fits.
+    underlying has open, high and low too. rv and vrp are null until there are n bars; iv where no volatility fits. partitions:
+    into how many the bars are dealt for groups, joins and numbers, as in ordered.dealt().
     """
-    spots = underlying.groupBy("name", "timestamp").agg(F.max(F.struct("close", "open", "high", "low")).alias("u"))
-    bars = closes.groupBy("token", "timestamp").agg(F.max("close").alias("paid"))
-    both = bars.join(options, "token").join(spots, ["name", "timestamp"]).select("token", "timestamp", "strike", "expiry", "kind", "paid", "u.*")
-    each = volatility.placed(both, n, by="token")
+    spots = ordered.dealt(underlying, partitions, "name", "timestamp").groupBy("name", "timestamp").agg(F.max(F.struct("close", "open", "high", "low")).alias("u"))
+    bars = ordered.dealt(closes, partitions, "token").groupBy("token", "timestamp").agg(F.max("close").alias("paid"))
+    named = ordered.dealt(bars.join(options, "token"), partitions, "name", "timestamp")
+    both = named.join(spots, ["name", "timestamp"]).select("token", "timestamp", "strike", "expiry", "kind", "paid", "u.*")
+    each = volatility.placed(both, n, by="token", partitions=partitions)
     rv = volatility.estimated(each, n, by="_key").where("own").withColumn("rv", volatility.by_name(method)).drop("_key", "k", "part", "own", "ret", *volatility.METHODS)
     rows = solved(rv.withColumnRenamed("close", "spot").withColumnRenamed("paid", "close"))
     return rows.select(F.col("token").alias("instrument"), "timestamp", "close", "expiry", "iv", "rv", (F.col("iv") - F.col("rv")).alias("vrp"))

@@ -50,12 +50,12 @@ def estimated(bars: DataFrame, n: int, by: str = "instrument", order: str = "k",
 METHODS = ("close_close", "parkinson", "garman_klass", "rogers_satchell")
 
 
-def placed(bars: DataFrame, n: int, by: str = "instrument", size: int = 10_000) -> DataFrame:
+def placed(bars: DataFrame, n: int, by: str = "instrument", size: int = 10_000, partitions: int | None = None) -> DataFrame:
     """bars in parts of about `size` with the n bars in front (ordered.parts), with ret and _key, the window of a part. Bars whose
-    prices aren't all positive and finite are left out."""
+    prices aren't all positive and finite are left out. partitions: as in ordered.dealt(), up to the numbering."""
     prices = ("open", "high", "low", "close")
     good = bars.where("timestamp IS NOT NULL").where(" AND ".join(f"{c} > 0 AND {c} < DOUBLE('Infinity')" for c in prices))
-    each = ordered.parts(ordered.numbered(good, by, "timestamp", F.to_date("timestamp")), n, size).withColumn("_key", F.struct(by, "part"))
+    each = ordered.parts(ordered.numbered(good, by, "timestamp", F.to_date("timestamp"), partitions), n, size).withColumn("_key", F.struct(by, "part"))
     return each.withColumn("ret", F.expr("ln(close / lag(close) OVER (PARTITION BY _key ORDER BY k))"))
 
 

@@ -339,10 +339,16 @@ _OPTIONS = """o AS (SELECT p_partkey AS token, p_brand AS name, CASE WHEN p_part
 c AS (SELECT l_partkey AS token, l_shipdate AS timestamp, 0.15 + (l_partkey % 30) / 100 AS sigma FROM lineitem GROUP BY ALL)"""
 
 
+def option_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is an option of its brand."""
+    return tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("token"), F.col("p_brand").alias("name"), F.when(F.col("p_partkey") % 2 == 0, "CE").otherwise("PE").alias("kind"), (700 + F.col("p_partkey") % 8 * 50).cast("double").alias("strike"), F.lit("2002-06-30").cast("date").alias("expiry"))
+
+
 def option_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """options, closes and underlying: a part is an option of its brand, its ship dates are its bars, a brand's price follows the day."""
-    some = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("token"), F.col("p_brand").alias("name"), F.when(F.col("p_partkey") % 2 == 0, "CE").otherwise("PE").alias("kind"), (700 + F.col("p_partkey") % 8 * 50).cast("double").alias("strike"), F.lit("2002-06-30").cast("date").alias("expiry"))
-    days = tables.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("token"), F.col("l_shipdate").alias("timestamp")).distinct()
+    """options, closes and underlying: a part's ship dates are its bars, a brand's price follows the day. A bar comes as often as its
+    date does, each time with the same close; the operators keep one."""
+    some = option_list(spark, sf_dir)
+    days = tables.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("token"), F.col("l_shipdate").alias("timestamp"))
     spot = 1050.0 + F.pmod(F.datediff(F.col("timestamp"), F.lit("1992-01-01")) * 7, F.lit(100))
     years = volatility.years_to(F.col("expiry"), F.to_date("timestamp"))
     paid = volatility.priced(spot, F.col("strike"), years, 0.15 + (F.col("token") % 30) / 100, F.col("kind") == "CE")
@@ -353,7 +359,8 @@ def option_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 @query(f"WITH {_OPTIONS} SELECT token, timestamp, round(sigma, 3) AS iv FROM c JOIN o USING (token)")
 def implied_history(spark, sf_dir):
-    return options.history(*option_tables(spark, sf_dir)).select("token", "timestamp", F.round("iv", 3).alias("iv"))
+    dealt = tables.shares(tables.table(spark, sf_dir, "lineitem"))
+    return options.history(*option_tables(spark, sf_dir), partitions=dealt).select("token", "timestamp", F.round("iv", 3).alias("iv"))
 
 
 @query(f"WITH {_OPTIONS}, n AS (SELECT DISTINCT token, sigma FROM c WHERE timestamp <= TIMESTAMP '1997-06-30' AND timestamp > TIMESTAMP '1990-01-01'), x AS (SELECT name, CAST(strike AS DOUBLE) AS strike, arg_max(sigma, token) FILTER (WHERE kind = 'CE') AS ce, arg_max(sigma, token) FILTER (WHERE kind = 'PE') AS pe FROM o JOIN n USING (token) GROUP BY 1, 2) SELECT name, strike, round(ce * 100, 1) AS ce_iv, round(pe * 100, 1) AS pe_iv FROM x")
@@ -381,14 +388,14 @@ v AS (SELECT token, timestamp, sigma, CASE WHEN count(*) OVER w >= 5 THEN sqrt(s
 @query(f"WITH {_OPTIONS}{_VRP} SELECT token, timestamp, round(sigma, 3) AS iv, round(rv, 4) AS rv, round(sigma - rv, 4) AS vrp FROM v")
 def volatility_premium(spark, sf_dir):
     """Implied less realised volatility of each option's bars."""
-    out = options.premium(*option_tables(spark, sf_dir), n=5)
+    dealt = tables.shares(tables.table(spark, sf_dir, "lineitem"))
+    out = options.premium(*option_tables(spark, sf_dir), n=5, partitions=dealt)
     return out.select(F.col("instrument").alias("token"), "timestamp", F.round("iv", 3).alias("iv"), F.round("rv", 4).alias("rv"), F.round("vrp", 4).alias("vrp"))
 
 
 @query(f"WITH {_OPTIONS} SELECT token, name, kind, CAST(strike AS DOUBLE) AS strike FROM o WHERE name = 'Brand#13' AND strike BETWEEN 900 AND 1000")
 def nearest_options(spark, sf_dir):
-    some, _, _ = option_tables(spark, sf_dir)
-    return options.nearest_band(some, "Brand#13", 951.0, "1997-06-30", 50, 1).select("token", "name", "kind", "strike")
+    return options.nearest_band(option_list(spark, sf_dir), "Brand#13", 951.0, "1997-06-30", 50, 1).select("token", "name", "kind", "strike")
 
 
 @query("WITH i AS (SELECT p_partkey AS token, CASE WHEN p_partkey % 5 = 0 THEN 'NIFTY' ELSE p_brand END AS name, p_name AS symbol, CASE p_partkey % 3 WHEN 0 THEN 'OPTIDX' WHEN 1 THEN 'FUTIDX' ELSE 'AMXIDX' END AS instrument_type, p_retailprice AS strike, DATE '2026-09-01' + CAST(p_partkey % 4 * 7 AS INTEGER) AS expiry, p_partkey % 2 = 0 AS is_active FROM part) SELECT token, CASE WHEN instrument_type = 'OPTIDX' AND name = 'NIFTY' THEN expiry = DATE '2026-09-15' AND strike BETWEEN 900 AND 1000 WHEN name = 'NIFTY' AND (instrument_type = 'AMXIDX' OR expiry >= DATE '2026-09-10') THEN true WHEN expiry < DATE '2026-09-10' THEN false ELSE is_active END AS is_active FROM i")

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows to a partition where their number decides.
+SHARE = 250_000
+
+
+def shares(rows: DataFrame) -> int:
+    """How many partitions of about SHARE rows hold a table; one a core at least. Parquet's footers have the count."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SHARE))
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """instrument, timestamp, sequence_number, ltp, quantity; prices that aren't positive are no ticks."""
     k = F.get_json_object("props", "$.k").cast("bigint")
